@@ -34,4 +34,5 @@ def load_all() -> None:
         mask_queries,
         profile_queries,
         querylog_queries,
+        signal_queries,
     )
