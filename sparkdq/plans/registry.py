@@ -35,4 +35,5 @@ def load_all() -> None:
         profile_queries,
         querylog_queries,
         signal_queries,
+        source_queries,
     )
