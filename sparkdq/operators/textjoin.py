@@ -1,13 +1,16 @@
 """Substring-containment join: which documents contain which phrases.
 
-Small phrase side (checked by count): broadcast it and stream the documents
-through a BroadcastNestedLoopJoin, lower-casing every document once.
-
-Large phrase side: an exact candidate join.  A phrase of three or more word
-tokens has interior tokens that must occur as whole tokens of any document
-containing it; documents and phrases are equi-joined on the phrase's longest
-interior token and the candidates are verified with ``contains``.  Phrases too
-short for that (fewer than three tokens) keep the nested-loop path.
+Exact, and without comparing every document with every phrase.  A phrase of
+three or more word tokens has interior tokens that occur as whole tokens in
+any document containing it (the first and last token may be fragments).  Each
+such phrase is keyed by its longest interior token; documents are exploded
+into their distinct tokens and equi-joined with the phrase keys, and only
+those candidate pairs are verified with ``contains``.  The phrase side is
+broadcast when its row count is within ``max_broadcast`` (a checked bound);
+beyond it the same equi-join runs as a shuffle join (adaptive execution splits
+skewed token partitions).  Phrases of one or two tokens cannot be keyed; they
+are compared with every document in a broadcast nested-loop join, which is
+refused beyond ``max_broadcast`` such phrases.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN_RE = r"[\p{L}\p{N}]+"
-DEFAULT_MAX_BROADCAST_PHRASES = 10_000
+DEFAULT_MAX_BROADCAST_PHRASES = 100_000
 
 
-def _lowered_docs(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("_lt", F.lower(F.col(text_col)))
+def _tokens(c):
+    return F.regexp_extract_all(c, F.lit(TOKEN_RE), F.lit(0))
 
 
 def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str,
@@ -33,23 +36,32 @@ def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col
     lower = F.lower if ignore_case else (lambda c: c)
     d = docs.withColumn("_lt", lower(F.col(text_col)))
     p = phrases.withColumn("_lp", lower(F.col(phrase_col))).where(F.length("_lp") > 0)
-    n = p.count()
-    if n <= max_broadcast:
-        j = d.join(F.broadcast(p), F.col("_lt").contains(F.col("_lp")), "inner")
-        return j.drop("_lt", "_lp")
-    toks = F.regexp_extract_all(F.col("_lp"), F.lit(TOKEN_RE), F.lit(0))
-    # Interior tokens: drop the first and the last token (they may be word fragments).
+    toks = _tokens(F.col("_lp"))
     interior = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
     longest = F.aggregate(interior, F.lit(""),
                           lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
     p = p.withColumn("_key", F.when(F.size(toks) >= 3, longest))
-    keyed, short = p.where(F.col("_key").isNotNull()), p.where(F.col("_key").isNull())
-    doc_tokens = d.withColumn("_key", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.col("_lt"), F.lit(TOKEN_RE), F.lit(0)))))
-    via_key = (doc_tokens.join(keyed, "_key", "inner")
-               .where(F.col("_lt").contains(F.col("_lp"))).drop("_key"))
-    via_loop = d.join(F.broadcast(short.drop("_key")), F.col("_lt").contains(F.col("_lp")), "inner")
-    return via_key.unionByName(via_loop).drop("_lt", "_lp")
+    counts = p.agg(F.count_if(F.col("_key").isNotNull()).alias("k"),
+                   F.count_if(F.col("_key").isNull()).alias("s")).first()
+    parts = []
+    if counts["k"]:
+        keyed = p.where(F.col("_key").isNotNull())
+        if counts["k"] <= max_broadcast:
+            keyed = F.broadcast(keyed)
+        doc_tokens = d.withColumn("_key", F.explode(F.array_distinct(_tokens(F.col("_lt")))))
+        parts.append(doc_tokens.join(keyed, "_key", "inner")
+                     .where(F.col("_lt").contains(F.col("_lp"))).drop("_key"))
+    if counts["s"]:
+        if counts["s"] > max_broadcast:
+            raise ValueError(f"{counts['s']} phrases of fewer than three tokens exceed {max_broadcast}")
+        short = p.where(F.col("_key").isNull()).drop("_key")
+        parts.append(d.join(F.broadcast(short), F.col("_lt").contains(F.col("_lp")), "inner"))
+    if not parts:
+        return d.join(p.drop("_key"), F.lit(False), "inner").drop("_lt", "_lp")
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.drop("_lt", "_lp")
 
 
 def phrases_found(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str, key_cols: list[str],

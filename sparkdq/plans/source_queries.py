@@ -57,9 +57,7 @@ FROM v GROUP BY action""")
 def s_run_history(spark, sf_dir):
     """Append a run (one row per proposal) to the history, read it back, summarise."""
     path = scratch_path(spark, "history")
-    v = bench_verdicts(spark, sf_dir)
-    overall = G.overall(v).first()
-    io.append_run(v, path, "run-1", "benchmark", overall["overall_decision"] == "accept", None, None)
+    io.append_run(bench_verdicts(spark, sf_dir), path, "run-1", "benchmark")
     return io.history_summary(io.read_history(spark, path))
 
 
