@@ -47,8 +47,11 @@ TEXT_PATTERNS = {
 
 
 def gazetteer_frame(spark: SparkSession, gazetteer: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    rows = [(w.lower(), cls) for cls, words in (gazetteer or DEFAULT_GAZETTEER).items() for w in words]
-    return spark.createDataFrame(rows, "word string, class string").dropDuplicates(["word"])
+    seen: dict[str, str] = {}
+    for cls, words in (gazetteer or DEFAULT_GAZETTEER).items():
+        for w in words:
+            seen.setdefault(w.lower(), cls)
+    return spark.createDataFrame(sorted(seen.items()), "word string, class string")
 
 
 def unpivot_strings(df: DataFrame, columns: Sequence[str] | None = None, key_cols: Sequence[str] = ()) -> DataFrame:
@@ -84,15 +87,18 @@ def entity_counts(df: DataFrame, columns: Sequence[str] | None = None, gazetteer
         w = Window.partitionBy(key).orderBy(*(order_by or ["value"]))
         vals = vals.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample_rows).drop("_rn")
     vals = vals.select(key, "value")
-    present = vals.where(~F.col("value").rlike(r"^\s*$")).select(key).distinct()
-    dates = vals.groupBy(key).agg(F.sum(F.regexp_count("value", F.lit(DATE_RE))).alias("n")).withColumn(
-        "class", F.lit("DATE"))
+    # One pass for presence and DATE counts, one streamed pass for the gazetteer join.
+    per_key = vals.groupBy(key).agg(
+        F.max(~F.col("value").rlike(r"^\s*$")).alias("_present"),
+        F.sum(F.regexp_count("value", F.lit(DATE_RE))).alias("_dates"))
     words = vals.select(key, F.explode(F.regexp_extract_all(F.lower("value"), F.lit(WORD_RE), F.lit(0))).alias("word"))
     named = words.join(F.broadcast(gaz), "word").groupBy(key, "class").agg(F.count(F.lit(1)).alias("n"))
-    counts = dates.select(key, "class", "n").unionByName(named.select(key, "class", "n"))
-    grid = present.select(key, F.explode(F.array(*[F.lit(c) for c in ENTITY_CLASSES])).alias("class"))
-    return (grid.join(counts, [key, "class"], "left")
-            .select(key, "class", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
+    grid = per_key.where("_present").select(
+        key, F.inline(F.array(*[F.struct(F.lit(c).alias("class"),
+                                         (F.col("_dates") if c == "DATE" else F.lit(None).cast("bigint")).alias("d"))
+                                for c in ENTITY_CLASSES])))
+    return (grid.join(named, [key, "class"], "left")
+            .select(key, "class", F.coalesce(F.col("n"), F.col("d"), F.lit(0)).cast("bigint").alias("n")))
 
 
 def exemplar_similarity(vectors: DataFrame, exemplars: DataFrame, id_col: str = "vec_id",
