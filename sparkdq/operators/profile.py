@@ -170,3 +170,35 @@ def schema_catalog(df: DataFrame, table: str | None = None) -> DataFrame:
 def head_sample(df: DataFrame, order_by: Sequence[str | Column], n: int = 10) -> DataFrame:
     """First ``n`` rows in an explicit order (planned as TakeOrderedAndProject)."""
     return df.orderBy(*order_by).limit(n)
+
+
+def profile_pii(df: DataFrame, email_cols: Sequence[str] = ("email",), phone_cols: Sequence[str] = ("phone",),
+                nonneg_cols: Sequence[str] = ("price",), gazetteer: DataFrame | None = None,
+                column_vectors: DataFrame | None = None, exemplars: DataFrame | None = None) -> DataFrame:
+    """The personal-data profile in long form ``(column, metric, value)``.
+
+    Row count, null counts, invalid e-mail / phone counts, negatives (P1, P4,
+    V1-V3), entity counts per column as ``ner_<CLASS>`` (D1, every column read
+    as text), similarity to class exemplars as ``sim_<class>`` when column-name
+    vectors ``(column, embedding)`` and ``exemplars (class, embedding)`` are
+    given (D2), and ``risk_score`` per column (D3).  The head sample (P7) is
+    :func:`head_sample`.
+    """
+    from . import signals as S
+
+    spark = df.sparkSession
+    base = profile(df, email_cols, nonneg_cols, phone_cols, include_null_percent=False, include_dups=False)
+    ent = S.entity_counts(df, list(df.columns), gazetteer)
+    ent_long = ent.select("column", F.concat(F.lit("ner_"), F.col("class")).alias("metric"),
+                          F.col("n").cast("double").alias("value"))
+    if column_vectors is not None and exemplars is not None:
+        sims = S.exemplar_similarity(column_vectors, exemplars, id_col="column")
+    else:
+        sims = spark.createDataFrame([(c, None, None) for c in df.columns],
+                                     "column string, class string, similarity double")
+    sim_long = sims.where(F.col("class").isNotNull()).select(
+        "column", F.concat(F.lit("sim_"), F.col("class")).alias("metric"), F.col("similarity").alias("value"))
+    has_email = any(c in df.columns for c in email_cols)
+    risk = S.risk_scores(ent, sims, key="column", has_email_check=has_email).select(
+        "column", F.lit("risk_score").alias("metric"), F.col("risk_score").cast("double").alias("value"))
+    return base.unionByName(ent_long).unionByName(sim_long).unionByName(risk)
