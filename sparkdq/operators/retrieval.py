@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from ..functions.vectors import cosine, squared_l2
+from ..functions.vectors import cosine, literal_array, squared_l2
 
 DEFAULT_MAX_BROADCAST_QUERIES = 4096
 
@@ -48,8 +48,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 3, metric: str = "l2", d
         rows = qb.collect()
         if not rows:
             continue
-        ids = F.array(*[F.lit(r["_qid"]) for r in rows])
-        mat = F.lit([[float(x) for x in r["_qv"]] for r in rows])
+        id_type = queries.schema[query_id].dataType.simpleString()
+        ids = literal_array([r["_qid"] for r in rows], id_type)
+        mat = literal_array([[float(x) for x in r["_qv"]] for r in rows])
         if metric == "l2":
             dists = F.transform(mat, lambda qv: squared_l2(F.col("_dv"), qv))
         else:

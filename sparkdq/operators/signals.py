@@ -7,12 +7,13 @@ exemplars; D3 turns both into a 0-100 risk score and D4 into a level.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import dot, literal_array, norm
 
 ENTITY_CLASSES = ("PERSON", "GPE", "LOC", "DATE")
 
@@ -107,25 +108,45 @@ def exemplar_similarity(vectors: DataFrame, exemplars: DataFrame, id_col: str =
     """Mean cosine similarity of every vector with each class's exemplars.
 
     The exemplar set is checked by count; up to ``max_literal`` exemplars are
-    inlined into the projection as literal arrays (no join, one pass over the
-    vectors).  Larger sets are rejected: they belong in ``retrieval.top_k``.
+    shipped once as a literal matrix and every vector computes its dot
+    products with all of them in one projection (no join, one pass, the
+    vector's norm computed once).  Larger sets are rejected: they belong in
+    ``retrieval.top_k``.
     """
     n = exemplars.count()
     if n > max_literal:
         raise ValueError(f"{n} exemplars exceed the bound of {max_literal}")
-    ex = exemplars.select(class_col, F.col(vec_col).cast("array<double>").alias("v")).collect()
-    by_class: dict[str, list[list[float]]] = {}
-    for r in ex:
-        by_class.setdefault(str(r[class_col]), []).append(list(r["v"]))
+    ex = exemplars.select(F.col(class_col).cast("string").alias("c"),
+                          F.col(vec_col).cast("array<double>").alias("v")).collect()
+    ex = sorted(((r["c"], [float(x) for x in r["v"]]) for r in ex), key=lambda t: t[0])
+    if not ex:
+        return vectors.select(id_col, F.lit(None).cast("string").alias("class"),
+                              F.lit(None).cast("double").alias("similarity")).limit(0)
+    # Exemplar norms are computed here with the same left-to-right summation as the executors use.
+    norms = []
+    for _, v in ex:
+        acc = 0.0
+        for x in v:
+            acc += x * x
+        norms.append(math.sqrt(acc))
+    mat = literal_array([v for _, v in ex])
+    dv = F.col(vec_col).cast("array<double>")
+    dots = F.transform(mat, lambda e: dot(dv, e))
+    nd = norm(dv)
     sims = []
-    for cls in sorted(by_class):
-        vs = by_class[cls]
+    i = 0
+    while i < len(ex):
+        cls = ex[i][0]
         total = None
-        for v in vs:
-            c = cosine(F.col(vec_col), F.array(*[F.lit(float(x)) for x in v]))
+        j = i
+        while j < len(ex) and ex[j][0] == cls:
+            c = F.element_at(F.col("_dots"), j + 1) / (F.col("_nd") * F.lit(norms[j]))
             total = c if total is None else total + c
-        sims.append(F.struct(F.lit(cls).alias("class"), F.round(total / len(vs), digits).alias("similarity")))
-    return vectors.select(id_col, F.inline(F.array(*sims)))
+            j += 1
+        sims.append(F.struct(F.lit(cls).alias("class"), F.round(total / (j - i), digits).alias("similarity")))
+        i = j
+    return (vectors.select(id_col, dots.alias("_dots"), nd.alias("_nd"))
+            .select(id_col, F.inline(F.array(*sims))))
 
 
 def risk_scores(entities: DataFrame, similarities: DataFrame, key: str = "column",

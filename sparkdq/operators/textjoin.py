@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 TOKEN_RE = r"[\p{L}\p{N}]+"
 DEFAULT_MAX_BROADCAST_PHRASES = 100_000
+# Up to this many phrases a plain scan with ``contains`` per phrase is cheaper
+# than tokenising every document.
+SCAN_ALL_MAX_PHRASES = 16
 
 
 def _tokens(c):
@@ -41,6 +44,9 @@ def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col
     longest = F.aggregate(interior, F.lit(""),
                           lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
     p = p.withColumn("_key", F.when(F.size(toks) >= 3, longest))
+    n_all = p.count()
+    if n_all <= SCAN_ALL_MAX_PHRASES:
+        p = p.withColumn("_key", F.lit(None).cast("string"))
     counts = p.agg(F.count_if(F.col("_key").isNotNull()).alias("k"),
                    F.count_if(F.col("_key").isNull()).alias("s")).first()
     parts = []
