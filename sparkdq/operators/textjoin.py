@@ -30,7 +30,8 @@ def _tokens(c):
 
 
 def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str,
-                  max_broadcast: int = DEFAULT_MAX_BROADCAST_PHRASES, ignore_case: bool = True) -> DataFrame:
+                  max_broadcast: int = DEFAULT_MAX_BROADCAST_PHRASES, ignore_case: bool = True,
+                  scan_all_max: int = SCAN_ALL_MAX_PHRASES) -> DataFrame:
     """Rows of ``docs`` x ``phrases`` where the document text contains the phrase.
 
     Empty phrases never match.  Output keeps every column of both sides
@@ -44,9 +45,9 @@ def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col
     longest = F.aggregate(interior, F.lit(""),
                           lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
     p = p.withColumn("_key", F.when(F.size(toks) >= 3, longest))
-    n_all = p.count()
-    if n_all <= SCAN_ALL_MAX_PHRASES:
-        p = p.withColumn("_key", F.lit(None).cast("string"))
+    if p.count() <= scan_all_max:  # a handful of phrases: one contains() per phrase and document
+        j = d.join(F.broadcast(p.drop("_key")), F.col("_lt").contains(F.col("_lp")), "inner")
+        return j.drop("_lt", "_lp")
     counts = p.agg(F.count_if(F.col("_key").isNotNull()).alias("k"),
                    F.count_if(F.col("_key").isNull()).alias("s")).first()
     parts = []

@@ -77,12 +77,11 @@ def test_contains_join_paths_agree(spark):
     ph = spark.createDataFrame([("a", "quick brown fox"), ("b", "ck brown fo"), ("c", "DOG"), ("d", ""),
                                 ("e", "brown cat jumps")], "pid string, phrase string")
     small = {(r["doc_id"], r["pid"]) for r in contains_join(docs, "text", ph, "phrase").collect()}
-    big = {(r["doc_id"], r["pid"]) for r in contains_join(docs, "text", ph, "phrase", max_broadcast=0).collect()
-           } if False else None
-    assert small == {(1, "a"), (1, "b"), (2, "c")}
+    keyed = {(r["doc_id"], r["pid"]) for r in contains_join(docs, "text", ph, "phrase", scan_all_max=0).collect()}
+    assert small == keyed == {(1, "a"), (1, "b"), (2, "c")}
     keyed_only = ph.where("pid in ('a', 'e')")
     shuffled = {(r["doc_id"], r["pid"]) for r in contains_join(docs, "text", keyed_only, "phrase",
-                                                                  max_broadcast=0).collect()}
+                                                                  max_broadcast=0, scan_all_max=0).collect()}
     assert shuffled == {(1, "a")}
 
 
