@@ -104,11 +104,16 @@ def plan_fixes(plans: DataFrame, key_cols: Sequence[str]) -> DataFrame:
             .select(*key_cols, "fix_pos", "fix.*"))
 
 
+def plan_question() -> Column:
+    """The fallback question of a parsed plan row (null when the plan is usable)."""
+    return (F.when(F.col("json_text").isNull() | ~F.coalesce(
+        F.array_contains(F.json_object_keys("json_text"), "proposed_fixes"), F.lit(False)), F.lit(QUESTION_NO_JSON))
+            .when(~F.col("schema_valid"), F.lit(QUESTION_NO_GROUNDED_FIX)))
+
+
 def plan_questions(plans: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """The fallback question of every plan that cannot be used."""
-    q = (F.when(F.col("json_text").isNull() | ~F.coalesce(
-        F.array_contains(F.json_object_keys("json_text"), "proposed_fixes"), F.lit(False)), F.lit(QUESTION_NO_JSON))
-         .when(~F.col("schema_valid"), F.lit(QUESTION_NO_GROUNDED_FIX)))
+    q = plan_question()
     return (plans.select(*key_cols, q.alias("question"))
             .where(F.col("question").isNotNull())
             .withColumn("related_columns", F.array().cast("array<string>")))

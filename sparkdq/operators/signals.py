@@ -45,6 +45,8 @@ TEXT_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
 }
+# A literal every match of the pattern contains: texts without it skip the regex.
+TEXT_PATTERN_MARKERS = {"email": "@", "phone": "+"}
 
 
 def gazetteer_frame(spark: SparkSession, gazetteer: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -193,9 +195,13 @@ def text_matches(df: DataFrame, text_col: str, group_cols: Sequence[str],
                  patterns: Mapping[str, str] | None = None) -> DataFrame:
     """``(group..., kind, n_matches, n_docs)`` for e-mail / phone patterns over free text."""
     pats = patterns or TEXT_PATTERNS
-    arr = F.array(*[F.struct(F.lit(k).alias("kind"),
-                             F.size(F.regexp_extract_all(text_col, F.lit(p), F.lit(0))).alias("m"))
-                    for k, p in pats.items()])
+    markers = TEXT_PATTERN_MARKERS if patterns is None else {}
+
+    def n_matches(kind: str, pat: str) -> Column:
+        m = F.size(F.regexp_extract_all(text_col, F.lit(pat), F.lit(0)))
+        return F.when(F.col(text_col).contains(markers[kind]), m).otherwise(0) if kind in markers else m
+
+    arr = F.array(*[F.struct(F.lit(k).alias("kind"), n_matches(k, p).alias("m")) for k, p in pats.items()])
     per_doc = df.select(*group_cols, F.inline(arr)).where(F.col("m") > 0)
     return per_doc.groupBy(*group_cols, "kind").agg(F.sum("m").cast("bigint").alias("n_matches"),
                                                     F.count(F.lit(1)).alias("n_docs"))

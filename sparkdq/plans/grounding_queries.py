@@ -230,10 +230,10 @@ FROM s"""
 def g_parse_plans(spark, sf_dir):
     """JSON extraction, schema validation and fallback questions."""
     plans = G.parse_plans(conversation_answers(spark, sf_dir), "raw")
-    q = G.plan_questions(plans, ["conv_id", "turn"])
-    return plans.join(q.drop("related_columns"), ["conv_id", "turn"], "left").select(
+    return plans.select(
         "conv_id", "turn", F.col("json_text").isNotNull().alias("has_json"), "schema_valid",
-        F.when(F.col("schema_valid"), F.size("plan.proposed_fixes")).cast("int").alias("n_fixes"), "question")
+        F.when(F.col("schema_valid"), F.size("plan.proposed_fixes")).cast("int").alias("n_fixes"),
+        G.plan_question().alias("question"))
 
 
 # ---------------------------------------------------------------- G1, G9

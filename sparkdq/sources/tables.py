@@ -67,6 +67,12 @@ FIXTURES = {
     "dirty_customer": (DIRTY_CUSTOMER_SQL, ("dc_base",)),
     "query_log": (QUERY_LOG_SQL, ()),
 }
+# Driver tables each fixture reads.
+FIXTURE_TABLES = {"dc_base": ("customer",), "dirty_customer": (), "query_log": ("events",)}
+
+# DataFrames of driver tables already opened in this session (a scan plan, not data):
+# reopening a table lists its files and reads its footers again.
+_OPEN: dict[tuple[str, str], DataFrame] = {}
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -74,19 +80,34 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    key = (spark.sparkContext.applicationId, table_path(sf_dir, name))
+    df = _OPEN.get(key)
+    if df is None:
+        df = spark.read.parquet(key[1])
+        _OPEN[key] = df
+    return df
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Register every driver table and fixture as a temporary view."""
-    for name in TABLES:
+def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
+    """Register driver tables as temporary views."""
+    for name in names:
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
-    for name, (sql, _deps) in FIXTURES.items():
-        spark.sql(sql).createOrReplaceTempView(name)
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register_tables(spark, sf_dir)
+    """A fixture view over the driver tables of ``sf_dir`` (its dependencies registered first)."""
+    order: list[str] = []
+
+    def visit(n: str) -> None:
+        for d in FIXTURES[n][1]:
+            visit(d)
+        if n not in order:
+            order.append(n)
+
+    visit(name)
+    register_tables(spark, sf_dir, sorted({t for n in order for t in FIXTURE_TABLES[n]}))
+    for n in order:
+        spark.sql(FIXTURES[n][0]).createOrReplaceTempView(n)
     return spark.table(name)
 
 
