@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_ws
 from .fixes import FIX_ACTIONS
 from .textjoin import DEFAULT_MAX_BROADCAST_PHRASES, phrases_found
+from .util import broadcast_if_small
 
 # Fixed values that must equal the reference's behaviour.
 # Canonical policy phrases of the data-quality rules text, by policy id.
@@ -129,8 +130,8 @@ def propose(profile_long: DataFrame, rules: DataFrame, policies: DataFrame) -> D
     whose value exceeds ``min_value``; ``column`` comes from the profile row.
     The policy's canonical phrase is the quote.
     """
-    fired = profile_long.join(F.broadcast(rules), "metric").where(F.col("value") > F.col("min_value"))
-    fired = fired.join(F.broadcast(policies), "policy_id", "left")
+    fired = profile_long.join(broadcast_if_small(rules), "metric").where(F.col("value") > F.col("min_value"))
+    fired = fired.join(broadcast_if_small(policies), "policy_id", "left")
     params = F.struct(
         F.col("subset"), F.col("column"), F.col("strategy"), F.col("value_param").alias("value"),
         F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("repl"),
@@ -170,7 +171,7 @@ def canonical_refs(props: DataFrame, policies: DataFrame, docs: DataFrame, text_
     """Keep references whose policy id is known and whose canonical phrase
     (not the quote) occurs in the documents; ``policy_refs`` is rebuilt in order."""
     present = phrases_found(docs, text_col, policies, "phrase", ["policy_id"])
-    kept = exploded_refs(props).join(F.broadcast(present), "policy_id", "left_semi")
+    kept = exploded_refs(props).join(broadcast_if_small(present), "policy_id", "left_semi")
     agg = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ref_pos", "policy_id", "quote"))).alias("r"))
     refs = F.coalesce(F.transform("r", lambda x: F.struct(x["policy_id"].alias("policy_id"), x["quote"].alias("quote"))),
                       F.array().cast(REF_TYPE))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, literal_array, norm
+from .util import broadcast_if_small
 
 ENTITY_CLASSES = ("PERSON", "GPE", "LOC", "DATE")
 
@@ -95,7 +96,7 @@ def entity_counts(df: DataFrame, columns: Sequence[str] | None = None, gazetteer
         F.max(~F.col("value").rlike(r"^\s*$")).alias("_present"),
         F.sum(F.regexp_count("value", F.lit(DATE_RE))).alias("_dates"))
     words = vals.select(key, F.explode(F.regexp_extract_all(F.lower("value"), F.lit(WORD_RE), F.lit(0))).alias("word"))
-    named = words.join(F.broadcast(gaz), "word").groupBy(key, "class").agg(F.count(F.lit(1)).alias("n"))
+    named = words.join(broadcast_if_small(gaz), "word").groupBy(key, "class").agg(F.count(F.lit(1)).alias("n"))
     grid = per_key.where("_present").select(
         key, F.inline(F.array(*[F.struct(F.lit(c).alias("class"),
                                          (F.col("_dates") if c == "DATE" else F.lit(None).cast("bigint")).alias("d"))
