@@ -76,10 +76,13 @@ def profile(
     strict: bool = False,
     include_null_percent: bool = True,
     include_dups: bool = True,
+    max_aggs_per_pass: int = 600,
 ) -> DataFrame:
     """P1, P4, P5, P6, V1, V2, V3 in long form ``(column, metric, value)``.
 
-    Absent role columns are skipped, like the reference's name lookups.
+    Absent role columns are skipped, like the reference's name lookups.  All
+    additive metrics share one scan; a very wide table is split into passes of
+    at most ``max_aggs_per_pass`` aggregates so generated code stays compact.
     """
     cols = df.columns
     email_cols = [c for c in email_cols if c in cols]
@@ -100,14 +103,17 @@ def profile(
     for c in nonneg_cols:
         entries.append((c, "negative_count", negative_count_expr(df, c, strict)))
 
-    aggs = [e[2].cast("double").alias(f"m{i}") for i, e in enumerate(entries)]
-    one_row = df.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(col).cast("string").alias("column"), F.lit(metric).alias("metric"),
-                 F.col(f"m{i}").alias("value"))
-        for i, (col, metric, _) in enumerate(entries)
-    ])
-    long = one_row.select(F.inline(rows))
+    long = None
+    for start in range(0, len(entries), max_aggs_per_pass):
+        chunk = list(enumerate(entries))[start:start + max_aggs_per_pass]
+        one_row = df.agg(*[e[2].cast("double").alias(f"m{i}") for i, e in chunk])
+        rows = F.array(*[
+            F.struct(F.lit(col).cast("string").alias("column"), F.lit(metric).alias("metric"),
+                     F.col(f"m{i}").alias("value"))
+            for i, (col, metric, _) in chunk
+        ])
+        part = one_row.select(F.inline(rows))
+        long = part if long is None else long.unionByName(part)
     if include_dups:
         long = long.unionByName(
             dup_rows(df).select(F.lit(None).cast("string").alias("column"), F.lit("dup_rows").alias("metric"),

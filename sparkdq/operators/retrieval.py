@@ -38,14 +38,15 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 3, metric: str = "l2", d
     sets run in blocks of ``max_broadcast`` queries.  ``metric``: ``l2``
     (squared Euclidean) or ``cosine`` (1 - cosine similarity).
     """
-    n = queries.count()
     d = docs.select(F.col(doc_id).alias("_did"), F.col(vec_col).alias("_dv"))
-    blocks = max(1, -(-n // max_broadcast))
     q = queries.select(F.col(query_id).alias("_qid"), F.col(vec_col).cast("array<double>").alias("_qv"))
+    first = q.limit(max_broadcast + 1).collect()
+    blocks = 1 if len(first) <= max_broadcast else max(2, -(-q.count() // max_broadcast))
     parts = []
     for b in range(blocks):
-        qb = q if blocks == 1 else q.where(F.pmod(F.xxhash64("_qid"), F.lit(blocks)) == b)
-        rows = qb.collect()
+        rows = first if blocks == 1 else q.where(F.pmod(F.xxhash64("_qid"), F.lit(blocks)) == b).collect()
+        if len(rows) > 2 * max_broadcast:
+            raise ValueError(f"query block of {len(rows)} rows exceeds twice the bound {max_broadcast}")
         if not rows:
             continue
         id_type = queries.schema[query_id].dataType.simpleString()

@@ -116,11 +116,10 @@ def exemplar_similarity(vectors: DataFrame, exemplars: DataFrame, id_col: str =
     vector's norm computed once).  Larger sets are rejected: they belong in
     ``retrieval.top_k``.
     """
-    n = exemplars.count()
-    if n > max_literal:
-        raise ValueError(f"{n} exemplars exceed the bound of {max_literal}")
     ex = exemplars.select(F.col(class_col).cast("string").alias("c"),
-                          F.col(vec_col).cast("array<double>").alias("v")).collect()
+                          F.col(vec_col).cast("array<double>").alias("v")).limit(max_literal + 1).collect()
+    if len(ex) > max_literal:
+        raise ValueError(f"more than {max_literal} exemplars")
     ex = sorted(((r["c"], [float(x) for x in r["v"]]) for r in ex), key=lambda t: t[0])
     if not ex:
         return vectors.select(id_col, F.lit(None).cast("string").alias("class"),

@@ -45,11 +45,11 @@ def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col
     longest = F.aggregate(interior, F.lit(""),
                           lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
     p = p.withColumn("_key", F.when(F.size(toks) >= 3, longest))
-    if p.count() <= scan_all_max:  # a handful of phrases: one contains() per phrase and document
+    counts = p.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_key").isNotNull()).alias("k"),
+                   F.count_if(F.col("_key").isNull()).alias("s")).first()
+    if counts["n"] <= scan_all_max:  # a handful of phrases: one contains() per phrase and document
         j = d.join(F.broadcast(p.drop("_key")), F.col("_lt").contains(F.col("_lp")), "inner")
         return j.drop("_lt", "_lp")
-    counts = p.agg(F.count_if(F.col("_key").isNotNull()).alias("k"),
-                   F.count_if(F.col("_key").isNull()).alias("s")).first()
     parts = []
     if counts["k"]:
         keyed = p.where(F.col("_key").isNotNull())

@@ -134,3 +134,12 @@ def test_schema_catalog(spark):
 def test_head_sample_plan(dq_sample):
     plan = P.head_sample(dq_sample, ["id"], 3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_wide_table_passes_agree(spark):
+    cols = [f"c{i}" for i in range(40)]
+    rows = [tuple(None if (r + i) % 7 == 0 else r * i for i in range(40)) for r in range(30)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in cols))
+    one = sorted(P.profile(df).collect(), key=str)
+    many = sorted(P.profile(df, max_aggs_per_pass=7).collect(), key=str)
+    assert one == many and len(one) == 1 + 2 * 40 + 1
