@@ -106,18 +106,31 @@ def remove_negative_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def apply_fixes(df: DataFrame, actions: Iterable[Mapping], order_by: Sequence[str] | None = None,
-                missing_as_text: bool = False) -> DataFrame:
-    """apply the actions in order."""
+                missing_as_text: bool = False, checkpoint_barriers: bool = False) -> DataFrame:
+    """apply the actions in order.
+
+    A mean / median fill needs a statistic of the frame as it is at that
+    point.  With ``checkpoint_barriers`` the frame is checkpointed (reliably,
+    into ``spark.checkpoint.dir``) before such a statistic when a
+    de-duplication precedes it, so the shuffle is not recomputed for the
+    statistic and again for the result, and lineage stays short.
+    """
     out = df
+    shuffled = False
     for a in actions:
         act = a.get("action")
         p = dict(a.get("params") or {})
         if act == "drop_duplicates":
             out = drop_duplicates(out, p.get("subset"), order_by)
+            shuffled = True
         elif act == "impute_nulls":
             col = p.get("column")
             if col in out.columns:
-                out = impute_nulls(out, col, p.get("strategy") or "constant", p.get("value", ""))
+                strategy = p.get("strategy") or "constant"
+                if checkpoint_barriers and shuffled and strategy in ("mean", "median") and _numeric(out, col):
+                    out = out.checkpoint(eager=True)
+                    shuffled = False
+                out = impute_nulls(out, col, strategy, p.get("value", ""))
         elif act == "normalize_email":
             out = normalize_email(out, p.get("column") or "email", missing_as_text)
         elif act == "regex_clean":

@@ -105,6 +105,32 @@ def entity_counts(df: DataFrame, columns: Sequence[str] | None = None, gazetteer
             .select(key, "class", F.coalesce(F.col("n"), F.col("d"), F.lit(0)).cast("bigint").alias("n")))
 
 
+def entity_counts_with_model(df: DataFrame, extractor, columns: Sequence[str] | None = None,
+                             group_col: str = "column") -> DataFrame:
+    """D1 with a supplied entity model: ``extractor(pd.Series[str]) -> pd.Series[list[str]]`` of entity labels.
+
+    The model runs in an Arrow-batched ``pandas_udf`` over each value (rows stay
+    partitioned across executors); only PERSON / GPE / LOC / DATE labels are
+    counted per group.
+    """
+    import warnings
+
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        labels = pandas_udf(lambda values: extractor(values), "array<string>", PandasUDFType.SCALAR)
+
+    key_cols = [group_col] if group_col != "column" else []
+    vals = unpivot_strings(df, columns, key_cols)
+    key = group_col
+    present = vals.where(~F.col("value").rlike(r"^\s*$")).select(key).distinct()
+    found = (vals.select(key, F.explode(labels("value")).alias("class"))
+             .where(F.col("class").isin(*ENTITY_CLASSES)).groupBy(key, "class").agg(F.count(F.lit(1)).alias("n")))
+    grid = present.select(key, F.explode(F.array(*[F.lit(c) for c in ENTITY_CLASSES])).alias("class"))
+    return grid.join(found, [key, "class"], "left").select(key, "class", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
 def exemplar_similarity(vectors: DataFrame, exemplars: DataFrame, id_col: str = "vec_id",
                         vec_col: str = "embedding", class_col: str = "class", digits: int = 3,
                         max_literal: int = 1024) -> DataFrame:

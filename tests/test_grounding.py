@@ -108,3 +108,13 @@ def test_split_known_columns(spark):
     kept, q = G.split_known_columns(_props(spark, fixes), ["email"])
     assert [r["id"] for r in kept.collect()] == ["A"]
     assert q.first()["question"] == "Column nope not found for action B"
+
+
+def test_verdicts_independent_of_row_order(spark):
+    kp = G.KNOWN_POLICIES
+    fixes = [(f"F{i}", "normalize_email", "d", _p("email"),
+              [("RAG-P1", kp["RAG-P1"] + ("." if i % 2 else "")), ("X", " ")], 0.5 + i / 20) for i in range(8)]
+    a = sorted(G.verdicts(_props(spark, fixes), _docs(spark)).collect(), key=lambda r: r["id"])
+    b = sorted(G.verdicts(_props(spark, list(reversed(fixes))).repartition(5), _docs(spark).repartition(3)).collect(),
+               key=lambda r: r["id"])
+    assert a == b

@@ -105,3 +105,20 @@ def test_validate_reviews(spark):
                                 ('{"recommendations": [], "risk_flags": [], "sql_quality_score": 120, "complexity": "low"}',),
                                 ("not json",)], "review string")
     assert [r["review_valid"] for r in QL.validate_reviews(df).collect()] == [True, False, False]
+
+
+from hypothesis import given, settings, strategies as st
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="abcxyz.", min_size=1, max_size=8),
+                          st.text(alphabet="abc.", min_size=0, max_size=6)), min_size=1, max_size=8))
+def test_mask_email_keeps_domain_and_length(spark, pairs):
+    vals = [f"{l}@{d}" for l, d in pairs]
+    df = spark.createDataFrame([(v,) for v in vals], "e string")
+    out = [r[0] for r in df.select(M.mask_email("e")).collect()]
+    for v, m in zip(vals, out):
+        local, dom = v.split("@", 1)
+        assert len(m) == len(v) and m.endswith("@" + dom) and m[0] == local[0]
+        if len(local) > 2:
+            assert m[len(local) - 1] == local[-1] and set(m[1:len(local) - 1]) <= {"*"}

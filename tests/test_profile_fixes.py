@@ -143,3 +143,24 @@ def test_wide_table_passes_agree(spark):
     one = sorted(P.profile(df).collect(), key=str)
     many = sorted(P.profile(df, max_aggs_per_pass=7).collect(), key=str)
     assert one == many and len(one) == 1 + 2 * 40 + 1
+
+
+def test_checkpoint_barriers_same_result(spark, dq_sample):
+    plan = [{"action": "drop_duplicates", "params": {"subset": ["id"]}},
+            {"action": "impute_nulls", "params": {"column": "price", "strategy": "median"}}]
+    a = sorted(FX.apply_fixes(dq_sample, plan, ["name"]).collect(), key=str)
+    b = sorted(FX.apply_fixes(dq_sample, plan, ["name"], checkpoint_barriers=True).collect(), key=str)
+    assert a == b
+
+
+def test_entity_counts_with_model(spark, pii_sample):
+    import pandas as pd
+
+    from sparkdq.operators import signals as S
+
+    def fake_model(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: ["PERSON"] * v.count(" ") + (["DATE"] if v[:2] in ("19", "20") else []))
+
+    e = {(r["column"], r["class"]): r["n"] for r in
+         S.entity_counts_with_model(pii_sample, fake_model, ["name", "signup_date"]).collect()}
+    assert e[("name", "PERSON")] == 6 and e[("signup_date", "DATE")] == 6 and e[("name", "GPE")] == 0
