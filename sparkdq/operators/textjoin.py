@@ -10,7 +10,7 @@ broadcast when its row count is within ``max_broadcast`` (a checked bound);
 beyond it the same equi-join runs as a shuffle join (adaptive execution splits
 skewed token partitions).  Phrases of one or two tokens cannot be keyed; they
 are compared with every document in a broadcast nested-loop join, which is
-refused beyond ``max_broadcast`` such phrases.
+refused beyond ``max_short`` such phrases.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ DEFAULT_MAX_BROADCAST_PHRASES = 100_000
 # Up to this many phrases a plain scan with ``contains`` per phrase is cheaper
 # than tokenising every document.
 SCAN_ALL_MAX_PHRASES = 16
+# Phrases of one or two tokens are compared with every document; refuse more than this many.
+MAX_SHORT_PHRASES = 1_000
 
 
 def _tokens(c):
@@ -31,7 +33,7 @@ def _tokens(c):
 
 def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str,
                   max_broadcast: int = DEFAULT_MAX_BROADCAST_PHRASES, ignore_case: bool = True,
-                  scan_all_max: int = SCAN_ALL_MAX_PHRASES) -> DataFrame:
+                  scan_all_max: int = SCAN_ALL_MAX_PHRASES, max_short: int = MAX_SHORT_PHRASES) -> DataFrame:
     """Rows of ``docs`` x ``phrases`` where the document text contains the phrase.
 
     Empty phrases never match.  Output keeps every column of both sides
@@ -59,8 +61,8 @@ def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col
         parts.append(doc_tokens.join(keyed, "_key", "inner")
                      .where(F.col("_lt").contains(F.col("_lp"))).drop("_key"))
     if counts["s"]:
-        if counts["s"] > max_broadcast:
-            raise ValueError(f"{counts['s']} phrases of fewer than three tokens exceed {max_broadcast}")
+        if counts["s"] > min(max_short, max_broadcast):
+            raise ValueError(f"{counts['s']} phrases of fewer than three tokens exceed {min(max_short, max_broadcast)}")
         short = p.where(F.col("_key").isNull()).drop("_key")
         parts.append(d.join(F.broadcast(short), F.col("_lt").contains(F.col("_lp")), "inner"))
     if not parts:
