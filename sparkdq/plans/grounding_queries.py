@@ -254,7 +254,7 @@ def rules_frame(spark):
 
 
 def _rules_sql():
-    rows = ", ".join(f"('{r[0]}', '{r[1]}', {r[2]}, '{r[3]}', '{r[7]}', {r[8]})" for r in RULES)
+    rows = ", ".join(f"('{r[0]}', '{r[1]}', {r[2]}, '{r[3]}', '{r[7]}', CAST({r[8]} AS DOUBLE))" for r in RULES)
     return f"(VALUES {rows}) AS rules(rule_id, metric, min_value, action, policy_id, confidence)"
 
 
@@ -296,7 +296,7 @@ SELECT (ev.a < ev.b) AND NOT (act.n > 0 AND neg.n > 0) AS accepted,
        CASE WHEN (ev.a < ev.b) AND NOT (act.n > 0 AND neg.n > 0) THEN 'Improved and compliant'
             WHEN act.n > 0 AND neg.n > 0 THEN 'Negative price values remain while policy prohibits negatives.'
             ELSE 'No improvement detected' END AS notes,
-       CASE WHEN (ev.a < ev.b) AND NOT (act.n > 0 AND neg.n > 0) THEN 0.9 ELSE 0.2 END AS confidence
+       CAST(CASE WHEN (ev.a < ev.b) AND NOT (act.n > 0 AND neg.n > 0) THEN 0.9 ELSE 0.2 END AS DOUBLE) AS confidence
 FROM ev, act, neg"""
 
 
