@@ -40,9 +40,18 @@ def _key(row):
     return tuple((x is None, str(type(x)), str(x)) for x in row)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT"}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     sdf = fn(spark, sf_dir)
     scols = sdf.columns
+    duck_types = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    for f in sdf.schema.fields:
+        t = f.dataType.simpleString()
+        if t in SPARK_TO_DUCK and duck_types.get(f.name) != SPARK_TO_DUCK[t]:
+            return False, f"type of {f.name}: spark={t} duck={duck_types.get(f.name)}"
     srows = [tuple(_norm(x) for x in r) for r in sdf.collect()]
     rel = con.execute(sql)
     dcols = [d[0] for d in rel.description]
