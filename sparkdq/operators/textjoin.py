@@ -1,16 +1,26 @@
 """Substring-containment join: which documents contain which phrases.
 
-Exact, and without comparing every document with every phrase.  A phrase of
-three or more word tokens has interior tokens that occur as whole tokens in
-any document containing it (the first and last token may be fragments).  Each
-such phrase is keyed by its longest interior token; documents are exploded
-into their distinct tokens and equi-joined with the phrase keys, and only
-those candidate pairs are verified with ``contains``.  The phrase side is
-broadcast when its row count is within ``max_broadcast`` (a checked bound);
-beyond it the same equi-join runs as a shuffle join (adaptive execution splits
-skewed token partitions).  Phrases of one or two tokens cannot be keyed; they
-are compared with every document in a broadcast nested-loop join, which is
-refused beyond ``max_short`` such phrases.
+Exact, and without comparing every document with every phrase.  Every phrase
+gets an equi-join key that any containing document must also produce, and
+only the candidate pairs sharing a key are verified with ``contains``:
+
+* a phrase of three or more word tokens is keyed by its longest interior
+  token, which occurs as a whole token in any document containing it (the
+  first and last token may be fragments); documents are exploded into their
+  distinct tokens;
+* a phrase of one or two tokens is keyed by the first ``g`` characters
+  (``g = min(3, length)``) of its longest token: that token lies inside some
+  token of a containing document, so its leading ``g``-gram is a ``g``-gram of
+  a document token; documents are exploded into the distinct ``g``-grams of
+  their distinct tokens (only for the gram lengths that occur);
+* a phrase without any word character is keyed by its first character;
+  documents are exploded into their distinct characters.
+
+The phrase side of each equi-join is broadcast when its row count is within
+``max_broadcast`` (a checked bound); beyond it the same equi-join runs as a
+shuffle join and adaptive execution splits skewed key partitions.  Up to
+``scan_all_max`` phrases a streamed scan with one ``contains`` per phrase is
+cheaper than tokenising and is used instead.
 """
 
 from __future__ import annotations
@@ -23,17 +33,29 @@ DEFAULT_MAX_BROADCAST_PHRASES = 100_000
 # Up to this many phrases a plain scan with ``contains`` per phrase is cheaper
 # than tokenising every document.
 SCAN_ALL_MAX_PHRASES = 16
-# Phrases of one or two tokens are compared with every document; refuse more than this many.
-MAX_SHORT_PHRASES = 1_000
+# Longest character gram used to key phrases of one or two tokens.
+MAX_GRAM = 3
 
 
 def _tokens(c):
     return F.regexp_extract_all(c, F.lit(TOKEN_RE), F.lit(0))
 
 
+def _longest(arr):
+    return F.aggregate(arr, F.lit(""), lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
+
+
+def _token_grams(text, g: int):
+    """Distinct ``g``-character grams of the distinct word tokens of ``text``."""
+    toks = F.filter(F.array_distinct(_tokens(text)), lambda u: F.length(u) >= g)
+    grams = F.transform(toks, lambda u: F.transform(F.sequence(F.lit(1), F.length(u) - (g - 1)),
+                                                    lambda i: F.substring(u, i, g)))
+    return F.array_distinct(F.flatten(grams))
+
+
 def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str,
                   max_broadcast: int = DEFAULT_MAX_BROADCAST_PHRASES, ignore_case: bool = True,
-                  scan_all_max: int = SCAN_ALL_MAX_PHRASES, max_short: int = MAX_SHORT_PHRASES) -> DataFrame:
+                  scan_all_max: int = SCAN_ALL_MAX_PHRASES) -> DataFrame:
     """Rows of ``docs`` x ``phrases`` where the document text contains the phrase.
 
     Empty phrases never match.  Output keeps every column of both sides
@@ -44,29 +66,30 @@ def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col
     p = phrases.withColumn("_lp", lower(F.col(phrase_col))).where(F.length("_lp") > 0)
     toks = _tokens(F.col("_lp"))
     interior = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
-    longest = F.aggregate(interior, F.lit(""),
-                          lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
-    p = p.withColumn("_key", F.when(F.size(toks) >= 3, longest))
-    counts = p.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_key").isNotNull()).alias("k"),
-                   F.count_if(F.col("_key").isNull()).alias("s")).first()
-    if counts["n"] <= scan_all_max:  # a handful of phrases: one contains() per phrase and document
-        j = d.join(F.broadcast(p.drop("_key")), F.col("_lt").contains(F.col("_lp")), "inner")
+    longest = _longest(toks)
+    g = F.least(F.length(longest), F.lit(MAX_GRAM))
+    # _kind: 0 = interior token, 1..3 = leading gram of that length, 4 = first character.
+    p = p.withColumn("_kind", F.when(F.size(toks) >= 3, 0).when(F.size(toks) >= 1, g).otherwise(4)).withColumn(
+        "_key", F.when(F.col("_kind") == 0, _longest(interior))
+                 .when(F.col("_kind") == 4, F.substring("_lp", 1, 1))
+                 .otherwise(F.substring(longest, 1, g)))
+    counts = p.groupBy("_kind").count().collect()  # at most five rows
+    by_kind = {r["_kind"]: r["count"] for r in counts}
+    if sum(by_kind.values()) <= scan_all_max:  # a handful of phrases: one contains() per phrase and document
+        j = d.join(F.broadcast(p.drop("_key", "_kind")), F.col("_lt").contains(F.col("_lp")), "inner")
         return j.drop("_lt", "_lp")
+    doc_keys = {0: lambda: F.array_distinct(_tokens(F.col("_lt"))),
+                4: lambda: F.array_distinct(F.split(F.col("_lt"), ""))}
     parts = []
-    if counts["k"]:
-        keyed = p.where(F.col("_key").isNotNull())
-        if counts["k"] <= max_broadcast:
-            keyed = F.broadcast(keyed)
-        doc_tokens = d.withColumn("_key", F.explode(F.array_distinct(_tokens(F.col("_lt")))))
-        parts.append(doc_tokens.join(keyed, "_key", "inner")
-                     .where(F.col("_lt").contains(F.col("_lp"))).drop("_key"))
-    if counts["s"]:
-        if counts["s"] > min(max_short, max_broadcast):
-            raise ValueError(f"{counts['s']} phrases of fewer than three tokens exceed {min(max_short, max_broadcast)}")
-        short = p.where(F.col("_key").isNull()).drop("_key")
-        parts.append(d.join(F.broadcast(short), F.col("_lt").contains(F.col("_lp")), "inner"))
+    for kind in sorted(by_kind):
+        side = p.where(F.col("_kind") == kind).drop("_kind")
+        if by_kind[kind] <= max_broadcast:
+            side = F.broadcast(side)
+        keys = doc_keys[kind]() if kind in doc_keys else _token_grams(F.col("_lt"), kind)
+        exploded = d.withColumn("_key", F.explode(keys))
+        parts.append(exploded.join(side, "_key", "inner").where(F.col("_lt").contains(F.col("_lp"))).drop("_key"))
     if not parts:
-        return d.join(p.drop("_key"), F.lit(False), "inner").drop("_lt", "_lp")
+        return d.join(p.drop("_key", "_kind"), F.lit(False), "inner").drop("_lt", "_lp")
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

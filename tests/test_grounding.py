@@ -118,3 +118,26 @@ def test_verdicts_independent_of_row_order(spark):
     b = sorted(G.verdicts(_props(spark, list(reversed(fixes))).repartition(5), _docs(spark).repartition(3)).collect(),
                key=lambda r: r["id"])
     assert a == b
+
+
+def test_contains_join_matches_brute_force(spark):
+    import random
+
+    rnd = random.Random(7)
+    words = ["alpha", "be", "c", "delta", "Éclair", "x9", "fox", "über", "--", "a.b", "p5"]
+    texts = [" ".join(rnd.choice(words) + rnd.choice(["", ",", ".", " -"]) for _ in range(rnd.randint(0, 12)))
+             for _ in range(40)]
+    phrases = set()
+    for t in texts:
+        if len(t) > 1:
+            i = rnd.randrange(len(t))
+            phrases.add(t[i:i + rnd.randint(1, 25)])
+    phrases |= {"zzz", "-", " -", ". ", "q", "FOX", "über de", "be c"}
+    phrases = sorted(p for p in phrases if p)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    ph = spark.createDataFrame(list(enumerate(phrases)), "pid int, phrase string")
+    want = {(i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if p.lower() in t.lower()}
+    for mb in (100_000, 0):
+        got = {(r["doc_id"], r["pid"]) for r in contains_join(docs, "text", ph, "phrase", max_broadcast=mb,
+                                                                scan_all_max=0).collect()}
+        assert got == want
