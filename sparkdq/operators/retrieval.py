@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from ..functions.vectors import cosine, literal_array, squared_l2
+from ..functions.vectors import literal_array
 
 DEFAULT_MAX_BROADCAST_QUERIES = 4096
 
@@ -25,45 +27,128 @@ def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding") ->
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias(vec_col))
 
 
+def _nearest_rows(dist, ids, k: int):
+    """Per row of ``dist`` (queries x candidates): the ``k`` smallest by (distance, id), sorted."""
+    m = dist.shape[1]
+    if m > k:
+        part = np.argpartition(dist, k - 1, axis=1)[:, :k]
+        sel = np.take_along_axis(dist, part, 1)
+        kth = sel.max(axis=1, keepdims=True)
+        # Rows where the k-th distance is tied with an unselected candidate: pick exactly by id.
+        for r in np.nonzero((dist == kth).sum(1) != (sel == kth).sum(1))[0]:
+            part[r] = np.lexsort((ids[r], dist[r]))[:k]
+        dist, ids = np.take_along_axis(dist, part, 1), np.take_along_axis(ids, part, 1)
+    order = np.lexsort((ids, dist))
+    return np.take_along_axis(dist, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _distances(x, mat, metric: str):
+    """``len(x) x len(mat)`` distances, accumulated over dimensions in order (as the Spark expressions do)."""
+    acc = np.zeros((x.shape[0], mat.shape[0]))
+    if metric == "l2":
+        for j in range(mat.shape[1]):
+            diff = x[:, j:j + 1] - mat[None, :, j]
+            acc += diff * diff
+        return acc
+    xx = np.zeros(x.shape[0])
+    qq = np.zeros(mat.shape[0])
+    for j in range(mat.shape[1]):
+        acc += x[:, j:j + 1] * mat[None, :, j]
+        xx += x[:, j] * x[:, j]
+        qq += mat[:, j] * mat[:, j]
+    return 1.0 - acc / (np.sqrt(xx)[:, None] * np.sqrt(qq)[None, :])
+
+
+def _partition_top_k(bmat, k: int, metric: str, cells: int):
+    """``mapInArrow`` body: this task's ``k`` nearest documents of every query."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        mat = bmat.value
+        nq, dim = mat.shape
+        best_d = best_i = None
+        id_type = None
+        for rb in batches:
+            id_type = rb.schema.field("_did").type
+            vec = rb.column(1)
+            keep = pc.equal(pc.fill_null(pc.list_value_length(vec), -1), dim)
+            rb = rb.filter(keep)
+            if rb.num_rows == 0:
+                continue
+            flat = pc.list_flatten(rb.column(1))
+            x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            ids = rb.column(0).to_numpy(zero_copy_only=False)
+            if ids.dtype == object:
+                ids = ids.astype(str)
+            if flat.null_count:  # a vector with a missing element has no distance
+                ok = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, dim).any(axis=1)
+                x, ids = x[ok], ids[ok]
+            step = max(1, cells // max(nq, 1))
+            for s in range(0, x.shape[0], step):
+                d = _distances(x[s:s + step], mat, metric).T
+                i = np.broadcast_to(ids[s:s + step], d.shape)
+                if best_d is not None:
+                    d, i = np.concatenate([best_d, d], 1), np.concatenate([best_i, i], 1)
+                best_d, best_i = _nearest_rows(d, i, k)
+        if best_d is None:
+            return
+        kk = best_d.shape[1]
+        yield pa.record_batch([pa.array(np.repeat(np.arange(nq, dtype=np.int32), kk)),
+                               pa.array(best_i.reshape(-1), type=id_type),
+                               pa.array(best_d.reshape(-1), type=pa.float64())],
+                              names=["_qi", "_did", "distance"])
+
+    return run
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 3, metric: str = "l2", doc_id: str = "vec_id",
           query_id: str = "query_id", vec_col: str = "embedding",
-          max_broadcast: int = DEFAULT_MAX_BROADCAST_QUERIES) -> DataFrame:
+          max_broadcast: int = DEFAULT_MAX_BROADCAST_QUERIES, cells: int = 4_000_000) -> DataFrame:
     """The ``k`` nearest documents of every query, ``(query_id, rank, doc_id, distance)``.
 
-    Exact search without a join: the query vectors (count checked against
-    ``max_broadcast``) are shipped once as a literal matrix, every document row
-    computes its distance to each query in one projection, and
-    ``row_number() <= k`` per query is planned as a WindowGroupLimit that keeps
-    at most k rows per query and partition before the shuffle.  Larger query
-    sets run in blocks of ``max_broadcast`` queries.  ``metric``: ``l2``
-    (squared Euclidean) or ``cosine`` (1 - cosine similarity).
+    Exact search without a join and without one row per (document, query)
+    pair: the query matrix (count checked against ``max_broadcast``) is
+    broadcast once, each task scores its Arrow batches with numpy (at most
+    ``cells`` distances in memory at a time, summed over dimensions in the
+    same order as the Spark expressions) and keeps only its ``k`` nearest
+    documents per query.  ``row_number() <= k`` per query then merges at most
+    k rows per task and query.  Larger query sets run in blocks of
+    ``max_broadcast`` queries.  ``metric``: ``l2`` (squared Euclidean) or
+    ``cosine`` (1 - cosine similarity).  Ties are broken by document id;
+    documents whose vector is missing, has a missing element or another
+    length than the queries' are skipped.
     """
-    d = docs.select(F.col(doc_id).alias("_did"), F.col(vec_col).alias("_dv"))
+    if metric not in ("l2", "cosine"):
+        raise ValueError(f"unknown metric {metric}")
+    spark = docs.sparkSession
+    d = docs.select(F.col(doc_id).alias("_did"), F.col(vec_col).cast("array<double>").alias("_dv"))
     q = queries.select(F.col(query_id).alias("_qid"), F.col(vec_col).cast("array<double>").alias("_qv"))
     first = q.limit(max_broadcast + 1).collect()
     blocks = 1 if len(first) <= max_broadcast else max(2, -(-q.count() // max_broadcast))
+    id_type = queries.schema[query_id].dataType.simpleString()
+    out_schema = f"_qi int, _did {docs.schema[doc_id].dataType.simpleString()}, distance double"
     parts = []
     for b in range(blocks):
         rows = first if blocks == 1 else q.where(F.pmod(F.xxhash64("_qid"), F.lit(blocks)) == b).collect()
         if len(rows) > 2 * max_broadcast:
             raise ValueError(f"query block of {len(rows)} rows exceeds twice the bound {max_broadcast}")
+        rows = [r for r in rows if r["_qv"] is not None and None not in r["_qv"]]
         if not rows:
             continue
-        id_type = queries.schema[query_id].dataType.simpleString()
+        if len({len(r["_qv"]) for r in rows}) != 1:
+            raise ValueError("query vectors differ in length")
+        mat = spark.sparkContext.broadcast(np.array([r["_qv"] for r in rows], dtype=np.float64))
         ids = literal_array([r["_qid"] for r in rows], id_type)
-        mat = literal_array([[float(x) for x in r["_qv"]] for r in rows])
-        if metric == "l2":
-            dists = F.transform(mat, lambda qv: squared_l2(F.col("_dv"), qv))
-        else:
-            dists = F.transform(mat, lambda qv: 1.0 - cosine(F.col("_dv"), qv))
-        scored = d.select("_did", F.posexplode(dists).alias("_qi", "distance")).select(
+        scored = d.mapInArrow(_partition_top_k(mat, k, metric, cells), out_schema).select(
             F.element_at(ids, F.col("_qi") + 1).alias("_qid"), "_did", "distance")
         w = Window.partitionBy("_qid").orderBy("distance", "_did")
         parts.append(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
     if not parts:
-        return docs.sparkSession.createDataFrame(
-            [], f"{query_id} {queries.schema[query_id].dataType.simpleString()}, rank int, "
-                f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, distance double")
+        return spark.createDataFrame(
+            [], f"{query_id} {id_type}, rank int, {doc_id} {docs.schema[doc_id].dataType.simpleString()}, "
+                f"distance double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

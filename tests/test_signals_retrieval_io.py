@@ -60,6 +60,29 @@ def test_top_k_brute_force(spark):
             assert [v for _, v in sorted(res[100 + i])] == want
 
 
+def test_top_k_cosine_string_ids_ties(spark):
+    rng = np.random.default_rng(5)
+    docs = np.round(rng.normal(size=(300, 4)), 1)
+    docs[50:60] = docs[0]  # exact ties, broken by id
+    qs = np.round(rng.normal(size=(5, 4)), 1)
+    qs[0] = docs[0]
+    ddf = spark.createDataFrame([(f"d{i:03d}", [float(x) for x in v]) for i, v in enumerate(docs)],
+                                "vec_id string, embedding array<float>").repartition(4)
+    qdf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(qs)], "query_id int, embedding array<double>")
+    for metric in ("cosine", "l2"):
+        got = {}
+        for r in R.top_k(ddf, qdf, k=7, metric=metric, cells=50).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        d32 = docs.astype(np.float32).astype(np.float64)
+        for i, q in enumerate(qs):
+            if metric == "l2":
+                dist = ((d32 - q) ** 2).sum(axis=1)
+            else:
+                dist = 1 - (d32 @ q) / (np.linalg.norm(d32, axis=1) * np.linalg.norm(q))
+            want = sorted(range(len(docs)), key=lambda j: (round(dist[j], 9), f"d{j:03d}"))[:7]
+            assert [v for _, v in sorted(got[i])] == [f"d{j:03d}" for j in want]
+
+
 def test_top_k_plan_has_group_limit(spark):
     ddf = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id int, embedding array<double>")
     qdf = spark.createDataFrame([(1, [0.0, 1.0])], "query_id int, embedding array<double>")
