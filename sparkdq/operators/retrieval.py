@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
 from ..functions.vectors import literal_array
+from .util import spread_small
 
 DEFAULT_MAX_BROADCAST_QUERIES = 4096
 
@@ -170,7 +171,8 @@ def flatten_dedupe(df: DataFrame, text_col: str = "text", order_col: str = "doc_
     if t.startswith("struct"):
         names = [f for f in fields if f in x.schema[text_col].dataType.fieldNames()]
         x = x.withColumn(text_col, F.coalesce(*[F.col(f"{text_col}.{f}").cast("string") for f in names]))
-    s = x.select(order_col, strip_ws(F.col(text_col).cast("string")).alias("_t")).where(F.col("_t") != "")
+    s = spread_small(x.select(order_col, text_col)).select(
+        order_col, strip_ws(F.col(text_col).cast("string")).alias("_t")).where(F.col("_t") != "")
     return s.groupBy("_t").agg(F.min(order_col).alias(order_col), F.count(F.lit(1)).alias("n_copies")).select(
         order_col, F.col("_t").alias(text_col), "n_copies")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, literal_array, norm
-from .util import broadcast_if_small
+from .util import broadcast_if_small, spread_small
 
 ENTITY_CLASSES = ("PERSON", "GPE", "LOC", "DATE")
 
@@ -23,6 +23,7 @@ DATE_RE = (r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|"
            r"(?:January|February|March|April|May|June|July|August|September|October|November|December)"
            r" (?:[0-9]{1,2}, )?[0-9]{4})\b")
 WORD_RE = r"\p{L}+"
+NON_WORD_RE = r"[^\p{L}]+"
 DEFAULT_GAZETTEER = {
     "PERSON": ("john", "jane", "maria", "mary", "james", "robert", "michael", "david", "anna", "peter",
                "paul", "laura", "sarah", "thomas", "pierre", "jean", "juan", "carlos", "hans", "klaus"),
@@ -80,7 +81,7 @@ def entity_counts(df: DataFrame, columns: Sequence[str] | None = None, gazetteer
     spark = df.sparkSession
     gaz = gazetteer if gazetteer is not None else gazetteer_frame(spark)
     key_cols = [group_col] if group_col != "column" else []
-    vals = unpivot_strings(df, columns, key_cols + list(order_by or []))
+    vals = unpivot_strings(spread_small(df), columns, key_cols + list(order_by or []))
     if group_col == "column":
         key = "column"
     else:
@@ -95,7 +96,7 @@ def entity_counts(df: DataFrame, columns: Sequence[str] | None = None, gazetteer
     per_key = vals.groupBy(key).agg(
         F.max(~F.col("value").rlike(r"^\s*$")).alias("_present"),
         F.sum(F.regexp_count("value", F.lit(DATE_RE))).alias("_dates"))
-    words = vals.select(key, F.explode(F.regexp_extract_all(F.lower("value"), F.lit(WORD_RE), F.lit(0))).alias("word"))
+    words = vals.select(key, F.explode(F.split(F.lower("value"), NON_WORD_RE)).alias("word")).where(F.col("word") != "")
     named = words.join(broadcast_if_small(gaz), "word").groupBy(key, "class").agg(F.count(F.lit(1)).alias("n"))
     grid = per_key.where("_present").select(
         key, F.inline(F.array(*[F.struct(F.lit(c).alias("class"),
@@ -213,6 +214,7 @@ def term_hits(df: DataFrame, text_col: str, group_cols: Sequence[str], terms: Se
     """``(group..., term, n)`` case-insensitive whole-word occurrences of each term."""
     alt = "|".join(sorted((t.lower() for t in terms), key=len, reverse=True))
     pat = rf"\b({alt})\b"
+    df = spread_small(df.select(*group_cols, text_col))
     hits = df.select(*group_cols, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(pat), F.lit(1))).alias("term"))
     return hits.groupBy(*group_cols, "term").agg(F.count(F.lit(1)).alias("n"))
 
@@ -228,6 +230,7 @@ def text_matches(df: DataFrame, text_col: str, group_cols: Sequence[str],
         return F.when(F.col(text_col).contains(markers[kind]), m).otherwise(0) if kind in markers else m
 
     arr = F.array(*[F.struct(F.lit(k).alias("kind"), n_matches(k, p).alias("m")) for k, p in pats.items()])
+    df = spread_small(df.select(*group_cols, text_col))
     per_doc = df.select(*group_cols, F.inline(arr)).where(F.col("m") > 0)
     return per_doc.groupBy(*group_cols, "kind").agg(F.sum("m").cast("bigint").alias("n_matches"),
                                                     F.count(F.lit(1)).alias("n_docs"))

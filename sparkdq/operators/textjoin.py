@@ -28,7 +28,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import spread_small
+
 TOKEN_RE = r"[\p{L}\p{N}]+"
+NON_TOKEN_RE = r"[^\p{L}\p{N}]+"
 DEFAULT_MAX_BROADCAST_PHRASES = 100_000
 # Up to this many phrases a plain scan with ``contains`` per phrase is cheaper
 # than tokenising every document.
@@ -38,7 +41,8 @@ MAX_GRAM = 3
 
 
 def _tokens(c):
-    return F.regexp_extract_all(c, F.lit(TOKEN_RE), F.lit(0))
+    """Maximal runs of letters and digits, in order (splitting on the complement is faster than extracting)."""
+    return F.array_remove(F.split(c, NON_TOKEN_RE), "")
 
 
 def _longest(arr):
@@ -62,7 +66,7 @@ def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col
     (column names must not clash).
     """
     lower = F.lower if ignore_case else (lambda c: c)
-    d = docs.withColumn("_lt", lower(F.col(text_col)))
+    d = spread_small(docs).withColumn("_lt", lower(F.col(text_col)))
     p = phrases.withColumn("_lp", lower(F.col(phrase_col))).where(F.length("_lp") > 0)
     toks = _tokens(F.col("_lp"))
     interior = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
