@@ -66,7 +66,7 @@ def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col
     (column names must not clash).
     """
     lower = F.lower if ignore_case else (lambda c: c)
-    d = spread_small(docs).withColumn("_lt", lower(F.col(text_col)))
+    d = docs.withColumn("_lt", lower(F.col(text_col)))
     p = phrases.withColumn("_lp", lower(F.col(phrase_col))).where(F.length("_lp") > 0)
     toks = _tokens(F.col("_lp"))
     interior = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
@@ -82,6 +82,7 @@ def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col
     if sum(by_kind.values()) <= scan_all_max:  # a handful of phrases: one contains() per phrase and document
         j = d.join(F.broadcast(p.drop("_key", "_kind")), F.col("_lt").contains(F.col("_lp")), "inner")
         return j.drop("_lt", "_lp")
+    d = spread_small(docs).withColumn("_lt", lower(F.col(text_col)))  # tokenising is CPU-bound per row
     doc_keys = {0: lambda: F.array_distinct(_tokens(F.col("_lt"))),
                 4: lambda: F.array_distinct(F.split(F.col("_lt"), ""))}
     parts = []
