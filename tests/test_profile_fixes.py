@@ -89,6 +89,18 @@ def test_exact_median_bracketing_matches_numpy(spark):
     assert stats.exact_median(df2, "x", max_collect=10, accuracy=100) == float(np.median(vals2))
 
 
+def test_values_at_ranks_bounded_collect(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.normal(size=3000) * 1e6, np.full(1000, 3.5), rng.integers(0, 5, 500).astype(float)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(5)
+    srt = np.sort(vals)
+    for r1 in (0, 1499, 2249, 2250, 3999, len(vals) - 2):
+        assert stats._values_at_ranks(df, r1, r1 + 1, max_collect=5, buckets=8) == (srt[r1], srt[r1 + 1])
+    assert stats._values_at_ranks(df, 7, 7, max_collect=3, buckets=4) == (srt[7], srt[7])
+
+
 def test_normalize_and_regex_clean(spark):
     df = spark.createDataFrame([(" A@B.COM\t",), (None,)], "email string")
     out = [r["email"] for r in FX.normalize_email(df).collect()]
