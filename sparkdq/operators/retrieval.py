@@ -157,11 +157,16 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 3, metric: str = "l2", d
 
 
 def flatten_dedupe(df: DataFrame, text_col: str = "text", order_col: str = "doc_id",
-                   fields: Sequence[str] = ("document", "text", "content")) -> DataFrame:
+                   fields: Sequence[str] = ("document", "text", "content"), with_text: bool = True) -> DataFrame:
     """R2: one row per distinct stripped, non-empty text: ``(order_col, text, n_copies)``.
 
     A nested text column (array, or array of structs with one of ``fields``)
     is flattened first.  The first-seen row (smallest ``order_col``) is kept.
+    Partial aggregation collapses copies map-side, so a text repeated in a
+    third of the rows costs one buffer per task.  With ``with_text=False`` the
+    result is ``(order_col, n_copies)`` and rows are grouped by the SHA-256
+    digest of the stripped text, so the shuffle carries 32 bytes per distinct
+    text and task instead of the text itself.
     """
     t = df.schema[text_col].dataType.simpleString()
     x = df
@@ -173,6 +178,9 @@ def flatten_dedupe(df: DataFrame, text_col: str = "text", order_col: str = "doc_
         x = x.withColumn(text_col, F.coalesce(*[F.col(f"{text_col}.{f}").cast("string") for f in names]))
     s = spread_small(x.select(order_col, text_col)).select(
         order_col, strip_ws(F.col(text_col).cast("string")).alias("_t")).where(F.col("_t") != "")
+    if not with_text:
+        return s.groupBy(F.sha2("_t", 256)).agg(F.min(order_col).alias(order_col),
+                                                F.count(F.lit(1)).alias("n_copies")).select(order_col, "n_copies")
     return s.groupBy("_t").agg(F.min(order_col).alias(order_col), F.count(F.lit(1)).alias("n_copies")).select(
         order_col, F.col("_t").alias(text_col), "n_copies")
 

@@ -162,7 +162,7 @@ WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''
 GROUP BY regexp_replace(text, '^\\s+|\\s+$', '', 'g')""")
 def r_flatten_dedupe(spark, sf_dir):
     """R2: distinct stripped texts, first-seen id and number of copies."""
-    return R.flatten_dedupe(read_table(spark, sf_dir, "documents")).select("doc_id", "n_copies")
+    return R.flatten_dedupe(read_table(spark, sf_dir, "documents"), with_text=False)
 
 
 @register("s_ingest", """

@@ -94,6 +94,7 @@ def test_flatten_dedupe_and_combined(spark):
     df = spark.createDataFrame([(1, ["  a ", "b"]), (2, ["a", ""]), (3, None)], "doc_id int, text array<string>")
     out = {r["text"]: (r["doc_id"], r["n_copies"]) for r in R.flatten_dedupe(df).collect()}
     assert out == {"a": (1, 2), "b": (1, 1)}
+    assert sorted(map(tuple, R.flatten_dedupe(df, with_text=False).collect())) == [(1, 1), (1, 2)]
     hits = spark.createDataFrame([(1, 2, 20), (1, 1, 10)], "query_id int, rank int, doc_id int")
     docs = spark.createDataFrame([(10, "x"), (20, "y")], "doc_id int, text string")
     assert R.combined_text(hits, docs).first()["combined_text"] == "x\n\ny"
