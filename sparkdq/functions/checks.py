@@ -13,9 +13,10 @@ EMAIL_RE = r"^[^@]+@[^@]+\.[^@]+"
 # Re-aimed phone validity: after removing space, parentheses, dot and dash the
 # value must be an E.164-shaped number (leading +, 7 to 15 digits).
 PHONE_STRIP_RE = r"[\s().-]"
-PHONE_E164_RE = r"^\+[1-9][0-9]{6,14}$"
-# Written-policy phone character set: digits, spaces, dashes, parentheses.
-PHONE_CHARS_RE = r"^[0-9 ()\-]+$"
+PHONE_E164_RE = r"^\+[1-9][0-9]{6,14}\z"
+# Written-policy phone character set: digits, spaces, dashes, parentheses.  ``\z`` (not ``$``,
+# which in Java also matches before a final line break) so a trailing newline fails.
+PHONE_CHARS_RE = r"^[0-9 ()\-]+\z"
 
 
 def email_valid(c: Column | str) -> Column:

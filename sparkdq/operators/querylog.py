@@ -1,7 +1,8 @@
 """Query-log analytics (Q8, Q9, Q11, Q12, S9) over a table of SQL texts.
 
-One row per query; every statistic is a native expression, the line diff is a
-grouped aggregate over exploded lines.
+One row per query; every statistic is a native expression.  The per-line
+changes are a grouped aggregate over exploded lines; the per-query summary is
+a merge of the two sorted line arrays inside the row (no shuffle).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import querylog as QF
 from ..functions.text import as_col, strip_ws
+from .util import spread_small
 
 # Line breaks recognised when splitting SQL text into lines.
 LINE_BREAK_RE = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x85\u2028\u2029]"
@@ -37,7 +39,7 @@ def with_stats(df: DataFrame, sql_col: str, bytes_col: str, prefix: str = "",
 def report(df: DataFrame, sql_col: str = "sql", bytes_col: str = "bytes_scanned",
            scan_cols: tuple[str, ...] = ("bytes_scanned",), partition_col: str = "event_date") -> DataFrame:
     """Q8: nested report ``{query_text_stats, scan_stats, plan_stats}`` per query."""
-    out = with_stats(df, sql_col, bytes_col, "", partition_col)
+    out = with_stats(spread_small(df), sql_col, bytes_col, "", partition_col)
     scan = F.struct(*[F.col(c) for c in scan_cols if c in df.columns])
     return out.withColumn("report", F.struct(F.col("query_text_stats"), scan.alias("scan_stats"),
                                              F.col("plan_stats"))).drop("query_text_stats", "plan_stats")
@@ -49,7 +51,7 @@ def compare(df: DataFrame, before_col: str, after_col: str, bytes_col: str,
 
     A missing rewrite gives null statistics (and null deltas), not an error.
     """
-    out = with_stats(df, before_col, bytes_col, "before_", partition_col)
+    out = with_stats(spread_small(df), before_col, bytes_col, "before_", partition_col)
     out = with_stats(out, after_col, bytes_col, "after_", partition_col)
     return out.withColumn(
         "delta_num_joins", F.col("after_query_text_stats.num_joins") - F.col("before_query_text_stats.num_joins")
@@ -61,7 +63,8 @@ def compare(df: DataFrame, before_col: str, after_col: str, bytes_col: str,
 def split_lines(c) -> "F.Column":
     """Lines of a text like Python ``splitlines`` (no trailing empty line)."""
     s = as_col(c)
-    body = F.regexp_replace(s, f"({LINE_BREAK_RE})$", "")
+    # ``\z``: only the very last line break; Java's ``$`` would also match before it and drop two.
+    body = F.regexp_replace(s, f"({LINE_BREAK_RE})\\z", "")
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK_RE))
 
 
@@ -79,18 +82,40 @@ def line_changes(df: DataFrame, id_col: str, before_col: str, after_col: str) ->
 
 
 def line_diff(df: DataFrame, id_col: str, before_col: str, after_col: str) -> DataFrame:
-    """Q11 summary per query: lines added and removed (null when there is no rewrite)."""
-    ch = line_changes(df, id_col, before_col, after_col).groupBy(id_col).agg(
-        F.sum(F.when(F.col("delta") > 0, F.col("delta")).otherwise(0)).cast("int").alias("lines_added"),
-        F.sum(F.when(F.col("delta") < 0, -F.col("delta")).otherwise(0)).cast("int").alias("lines_removed"),
-    )
-    base = df.select(id_col, F.col(before_col).isNotNull() & F.col(after_col).isNotNull()).toDF(id_col, "_has")
-    out = base.join(ch, id_col, "left")
-    return out.select(
-        id_col,
-        F.when(F.col("_has"), F.coalesce("lines_added", F.lit(0))).alias("lines_added"),
-        F.when(F.col("_has"), F.coalesce("lines_removed", F.lit(0))).alias("lines_removed"),
-    )
+    """Q11 summary per query: lines added and removed (null when there is no rewrite).
+
+    Both texts of a query are in one row, so the multiset difference needs no
+    shuffle: the two line arrays are sorted and walked once in step, like a
+    merge (O(L log L) per row, no row per line).  Equal to summing the
+    positive and negative ``delta`` of ``line_changes``.
+    """
+    # Sorted arrays are projected first, so the merge steps read columns instead of re-splitting.
+    a, b = F.col("_a"), F.col("_b")
+    na, nb = F.col("_na"), F.col("_nb")
+
+    def step(s, _):
+        i, j, add, rem = s["i"], s["j"], s["add"], s["rem"]
+
+        def st(i2, j2, add2, rem2):
+            return F.struct(i2.alias("i"), j2.alias("j"), add2.alias("add"), rem2.alias("rem"))
+
+        x, y = F.try_element_at(a, i), F.try_element_at(b, j)
+        return (F.when((i > na) & (j > nb), s)
+                .when(i > na, st(i, j + 1, add, rem + 1))
+                .when(j > nb, st(i + 1, j, add + 1, rem))
+                .when(x == y, st(i + 1, j + 1, add, rem))
+                .when(x < y, st(i + 1, j, add + 1, rem))
+                .otherwise(st(i, j + 1, add, rem + 1)))
+
+    init = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit(0).alias("add"), F.lit(0).alias("rem"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.greatest(na + nb, F.lit(1))), init, step)
+    has = F.col(before_col).isNotNull() & F.col(after_col).isNotNull()
+    lines = spread_small(df.select(id_col, before_col, after_col)).select(
+        id_col, has.alias("_has"), F.array_sort(split_lines(after_col)).alias("_a"),
+        F.array_sort(split_lines(before_col)).alias("_b"))
+    counted = lines.select(id_col, "_has", "_a", "_b", F.size("_a").alias("_na"), F.size("_b").alias("_nb"))
+    return counted.select(id_col, F.when(F.col("_has"), walk).alias("_w")).select(
+        id_col, F.col("_w.add").cast("int").alias("lines_added"), F.col("_w.rem").cast("int").alias("lines_removed"))
 
 
 REVIEW_SCHEMA = ("recommendations array<string>, risk_flags array<string>, "

@@ -122,3 +122,37 @@ def test_mask_email_keeps_domain_and_length(spark, pairs):
         assert len(m) == len(v) and m.endswith("@" + dom) and m[0] == local[0]
         if len(local) > 2:
             assert m[len(local) - 1] == local[-1] and set(m[1:len(local) - 1]) <= {"*"}
+
+
+def test_line_diff_merge_matches_grouped_changes(spark):
+    import random
+    from collections import Counter
+
+    rnd = random.Random(3)
+    pool = ["select a", "from t", "", "  ", "where x = 1", "join b", "Éte"]
+    rows = []
+    for i in range(60):
+        b = "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 8)))
+        a = "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 8)))
+        rows.append((i, b, a if i % 7 else None))
+    df = spark.createDataFrame(rows, "id int, b string, a string")
+    got = {r["id"]: (r["lines_added"], r["lines_removed"]) for r in QL.line_diff(df, "id", "b", "a").collect()}
+    ch = {}
+    for r in QL.line_changes(df, "id", "b", "a").collect():
+        add, rem = ch.get(r["id"], (0, 0))
+        ch[r["id"]] = (add + max(r["delta"], 0), rem + max(-r["delta"], 0))
+    for i, b, a in rows:
+        if a is None:
+            assert got[i] == (None, None)
+            continue
+        cb, ca = Counter(b.splitlines()), Counter(a.splitlines())
+        want = (sum((ca - cb).values()), sum((cb - ca).values()))
+        assert got[i] == want == ch.get(i, (0, 0))
+
+
+def test_split_lines_like_splitlines(spark):
+    texts = ["a\n\n", "a\n", "\n", "\n\n", "a\r\nb\r\n", "a\n\nb", "a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["l"] for r in df.select(QL.split_lines("t").alias("l")).collect()]
+    assert got == [t.splitlines() for t in texts]
+    assert not spark.range(1).select(C.phone_chars_ok(F.lit("555-0101\n")).alias("ok")).first()["ok"]
