@@ -230,7 +230,6 @@ def text_matches(df: DataFrame, text_col: str, group_cols: Sequence[str],
         return F.when(F.col(text_col).contains(markers[kind]), m).otherwise(0) if kind in markers else m
 
     arr = F.array(*[F.struct(F.lit(k).alias("kind"), n_matches(k, p).alias("m")) for k, p in pats.items()])
-    df = spread_small(df.select(*group_cols, text_col))
     per_doc = df.select(*group_cols, F.inline(arr)).where(F.col("m") > 0)
     return per_doc.groupBy(*group_cols, "kind").agg(F.sum("m").cast("bigint").alias("n_matches"),
                                                     F.count(F.lit(1)).alias("n_docs"))
