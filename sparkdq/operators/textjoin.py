@@ -17,8 +17,9 @@ only the candidate pairs sharing a key are verified with ``contains``:
   documents are exploded into their distinct characters.
 
 The phrase side of each equi-join is broadcast when its row count is within
-``max_broadcast`` (a checked bound); beyond it the same equi-join runs as a
-shuffle join and adaptive execution splits skewed key partitions.  Up to
+``max_broadcast`` (a checked bound).  Beyond it only (text digest, key) pairs
+are shuffled to find candidate pairs, and the documents are shuffled once, by
+digest, to verify them; adaptive execution splits skewed partitions.  Up to
 ``scan_all_max`` phrases a streamed scan with one ``contains`` per phrase is
 cheaper than tokenising and is used instead.
 """
@@ -88,11 +89,20 @@ def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col
     parts = []
     for kind in sorted(by_kind):
         side = p.where(F.col("_kind") == kind).drop("_kind")
-        if by_kind[kind] <= max_broadcast:
-            side = F.broadcast(side)
         keys = doc_keys[kind]() if kind in doc_keys else _token_grams(F.col("_lt"), kind)
-        exploded = d.withColumn("_key", F.explode(keys))
-        parts.append(exploded.join(side, "_key", "inner").where(F.col("_lt").contains(F.col("_lp"))).drop("_key"))
+        if by_kind[kind] <= max_broadcast:
+            # Broadcast side: the exploded rows stream through the join in the same task, text included.
+            exploded = d.withColumn("_key", F.explode(keys))
+            parts.append(exploded.join(F.broadcast(side), "_key", "inner")
+                         .where(F.col("_lt").contains(F.col("_lp"))).drop("_key"))
+        else:
+            # Shuffle side: only (text digest, key) pairs are shuffled to find candidates; the documents are
+            # shuffled once, by digest, to verify them (equal texts share a digest and a verdict).
+            digest = F.sha2(F.col("_lt"), 256)
+            pairs = d.select(digest.alias("_h"), F.explode(keys).alias("_key")).distinct()
+            cand = pairs.join(side, "_key", "inner").drop("_key")
+            parts.append(d.withColumn("_h", digest).join(cand, "_h", "inner")
+                         .where(F.col("_lt").contains(F.col("_lp"))).drop("_h"))
     if not parts:
         return d.join(p.drop("_key", "_kind"), F.lit(False), "inner").drop("_lt", "_lp")
     out = parts[0]
