@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_ws
 from .fixes import FIX_ACTIONS
 from .textjoin import DEFAULT_MAX_BROADCAST_PHRASES, phrases_found
-from .util import broadcast_if_small
+from .util import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small
 
 # Fixed values that must equal the reference's behaviour.
 # Canonical policy phrases of the data-quality rules text, by policy id.
@@ -171,7 +171,11 @@ def canonical_refs(props: DataFrame, policies: DataFrame, docs: DataFrame, text_
     """Keep references whose policy id is known and whose canonical phrase
     (not the quote) occurs in the documents; ``policy_refs`` is rebuilt in order."""
     present = phrases_found(docs, text_col, policies, "phrase", ["policy_id"])
-    kept = exploded_refs(props).join(broadcast_if_small(present), "policy_id", "left_semi")
+    # The found ids are a subset of the policy ids: check the bound on the (cheap) policy table rather than
+    # counting ``present``, which would run the containment join once more.
+    if policies.select("policy_id").distinct().limit(DEFAULT_MAX_BROADCAST_ROWS + 1).count() <= DEFAULT_MAX_BROADCAST_ROWS:
+        present = F.broadcast(present)
+    kept = exploded_refs(props).join(present, "policy_id", "left_semi")
     agg = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ref_pos", "policy_id", "quote"))).alias("r"))
     refs = F.coalesce(F.transform("r", lambda x: F.struct(x["policy_id"].alias("policy_id"), x["quote"].alias("quote"))),
                       F.array().cast(REF_TYPE))
