@@ -140,13 +140,16 @@ def exemplar_similarity(vectors: DataFrame, exemplars: DataFrame, id_col: str =
     The exemplar set is checked by count; up to ``max_literal`` exemplars are
     shipped once as a literal matrix and every vector computes its dot
     products with all of them in one projection (no join, one pass, the
-    vector's norm computed once).  Larger sets are rejected: they belong in
-    ``retrieval.top_k``.
+    vector's norm computed once).  Larger exemplar sets are reduced first: the
+    mean cosine is linear in the normalised exemplars, so a distributed
+    aggregate per (class, position) turns any number of exemplars into one
+    vector per class, and only those (at most ``max_literal`` classes) are
+    shipped.
     """
     ex = exemplars.select(F.col(class_col).cast("string").alias("c"),
                           F.col(vec_col).cast("array<double>").alias("v")).limit(max_literal + 1).collect()
     if len(ex) > max_literal:
-        raise ValueError(f"more than {max_literal} exemplars")
+        return _class_mean_similarity(vectors, exemplars, id_col, vec_col, class_col, digits, max_literal)
     ex = sorted(((r["c"], [float(x) for x in r["v"]]) for r in ex), key=lambda t: t[0])
     if not ex:
         return vectors.select(id_col, F.lit(None).cast("string").alias("class"),
@@ -178,6 +181,30 @@ def exemplar_similarity(vectors: DataFrame, exemplars: DataFrame, id_col: str =
             .select(id_col, F.inline(F.array(*sims))))
 
 
+def _class_mean_similarity(vectors: DataFrame, exemplars: DataFrame, id_col: str, vec_col: str, class_col: str,
+                           digits: int, max_classes: int) -> DataFrame:
+    """D2 for large exemplar sets: ``mean_e cos(v, e) = (v . sum_e e/|e|) / (n |v|)`` per class."""
+    v = F.col(vec_col).cast("array<double>")
+    unit = exemplars.select(F.col(class_col).cast("string").alias("c"),
+                            F.transform(v, lambda x: x / norm(v)).alias("u"))
+    per_pos = unit.select("c", F.posexplode("u").alias("pos", "x")).groupBy("c", "pos").agg(F.sum("x").alias("s"))
+    sums = per_pos.groupBy("c").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda t: t["s"]).alias("s"))
+    counts = unit.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    cls = sums.join(counts, "c").limit(max_classes + 1).collect()
+    if len(cls) > max_classes:
+        raise ValueError(f"more than {max_classes} exemplar classes (the output has one row per vector and class)")
+    cls = sorted((r["c"], [float(x) for x in r["s"]], r["n"]) for r in cls)
+    mat = literal_array([c[1] for c in cls])
+    dv = F.col(vec_col).cast("array<double>")
+    sims = [F.struct(F.lit(c).alias("class"),
+                     F.round(F.element_at(F.col("_dots"), i + 1) / (F.col("_nd") * F.lit(float(n))), digits)
+                     .alias("similarity"))
+            for i, (c, _, n) in enumerate(cls)]
+    return (vectors.select(id_col, F.transform(mat, lambda e: dot(dv, e)).alias("_dots"), norm(dv).alias("_nd"))
+            .select(id_col, F.inline(F.array(*sims))))
+
+
 def risk_scores(entities: DataFrame, similarities: DataFrame, key: str = "column",
                 has_email_check: bool = False, class_names: Mapping[str, str] | None = None) -> DataFrame:
     """D3: ``(key, risk_score)`` for every key of the similarity side (as the reference iterates).

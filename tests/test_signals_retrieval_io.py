@@ -42,6 +42,11 @@ def test_exemplar_similarity_matches_numpy(spark):
     for i in range(20):
         assert abs(got[(i, "a")] - round(cos[i, :3].mean(), 3)) < 1.1e-3
         assert abs(got[(i, "b")] - round(cos[i, 3:].mean(), 3)) < 1.1e-3
+    # Beyond the literal bound the exemplars are reduced to one normalised sum per class (no cap on exemplars).
+    small = {(r["vec_id"], r["class"]): r["similarity"] for r in S.exemplar_similarity(vdf, edf, digits=12).collect()}
+    big = {(r["vec_id"], r["class"]): r["similarity"]
+           for r in S.exemplar_similarity(vdf, edf, digits=12, max_literal=2).collect()}
+    assert small.keys() == big.keys() and all(abs(small[k] - big[k]) < 1e-9 for k in small)
 
 
 def test_top_k_brute_force(spark):
