@@ -125,14 +125,15 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 3, metric: str = "l2", d
         raise ValueError(f"unknown metric {metric}")
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("_did"), F.col(vec_col).cast("array<double>").alias("_dv"))
-    q = queries.select(F.col(query_id).alias("_qid"), F.col(vec_col).cast("array<double>").alias("_qv"))
+    # Exact copies of a query give the same hits: keep one, so copies cannot pile into one block.
+    q = queries.select(F.col(query_id).alias("_qid"), F.col(vec_col).cast("array<double>").alias("_qv")).distinct()
     first = q.limit(max_broadcast + 1).collect()
     blocks = 1 if len(first) <= max_broadcast else max(2, -(-q.count() // max_broadcast))
     id_type = queries.schema[query_id].dataType.simpleString()
     out_schema = f"_qi int, _did {docs.schema[doc_id].dataType.simpleString()}, distance double"
     parts = []
     for b in range(blocks):
-        rows = first if blocks == 1 else q.where(F.pmod(F.xxhash64("_qid"), F.lit(blocks)) == b).collect()
+        rows = first if blocks == 1 else q.where(F.pmod(F.xxhash64("_qid", "_qv"), F.lit(blocks)) == b).collect()
         if len(rows) > 2 * max_broadcast:
             raise ValueError(f"query block of {len(rows)} rows exceeds twice the bound {max_broadcast}")
         rows = [r for r in rows if r["_qv"] is not None and None not in r["_qv"]]
