@@ -60,10 +60,38 @@ def negative_count_expr(df: DataFrame, c: str, strict: bool = False) -> Column:
     return F.when(bad > 0, F.lit(0)).otherwise(neg)
 
 
-def dup_rows(df: DataFrame) -> DataFrame:
-    """Rows minus distinct rows (missing equals missing), one row ``dup_rows``."""
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a canonical text of the whole row; equal rows (as grouping sees them) give equal digests.
+
+    Atomic values are cast to text (timestamps keep microseconds, doubles the
+    round-trip form), ``-0.0`` is folded to ``0.0`` and NaN stays one value,
+    as in grouping; a missing field is left out of the JSON object, so it
+    never equals a value.
+    """
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
+        if isinstance(f.dataType, T.BinaryType):
+            c = F.hex(c)
+        elif isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.StringType):
+            c = c.cast("string")
+        parts.append(c.alias(f.name))
+    return F.sha2(F.to_json(F.struct(*parts)), 256)
+
+
+def dup_rows(df: DataFrame, by_digest: bool = True) -> DataFrame:
+    """Rows minus distinct rows (missing equals missing), one row ``dup_rows``.
+
+    Rows are grouped by a 256-bit digest of their canonical text, so the
+    shuffle carries 32 bytes per distinct row and task whatever the row width
+    (long texts included); partial aggregation collapses copies map-side.
+    ``by_digest=False`` groups by the columns themselves.
+    """
+    keyed = df.groupBy(row_digest(df).alias("_h")) if by_digest else df.groupBy(*df.columns)
     return (
-        df.groupBy(*df.columns).count()
+        keyed.count()
         .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("dup_rows"))
     )
 

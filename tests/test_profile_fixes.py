@@ -176,3 +176,18 @@ def test_entity_counts_with_model(spark, pii_sample):
     e = {(r["column"], r["class"]): r["n"] for r in
          S.entity_counts_with_model(pii_sample, fake_model, ["name", "signup_date"]).collect()}
     assert e[("name", "PERSON")] == 6 and e[("signup_date", "DATE")] == 6 and e[("name", "GPE")] == 0
+
+
+def test_dup_rows_digest_equals_grouping(spark):
+    import datetime as dt
+    import random
+
+    rnd = random.Random(5)
+    ts = [dt.datetime(2024, 1, 1, 0, 0, 0, 1), dt.datetime(2024, 1, 1, 0, 0, 0, 2), None]
+    fl = [0.0, -0.0, float("nan"), 1.5, None]
+    st = ['a"b', "a\\b", "", None, "{\"x\":1}", "é"]
+    rows = [(rnd.choice(fl), rnd.choice(st), rnd.choice(ts), rnd.choice([b"\x00", b"\xff", None]),
+             rnd.choice([[1, 2], [], None]), rnd.choice([None, 1, 2])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "f double, s string, t timestamp, b binary, a array<int>, i int")
+    exact = P.dup_rows(df, by_digest=False).first()["dup_rows"]
+    assert P.dup_rows(df).first()["dup_rows"] == exact == len(rows) - df.distinct().count()
