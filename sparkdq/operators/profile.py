@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import email_valid, phone_ok
+from .util import is_small
 
 # Metrics that make up the quality score (P10): the invalid kinds plus duplicates.
 SCORE_METRICS = ("email_invalid_count", "negative_count", "phone_invalid_count", "dup_rows")
@@ -81,14 +82,19 @@ def row_digest(df: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*parts)), 256)
 
 
-def dup_rows(df: DataFrame, by_digest: bool = True) -> DataFrame:
+def dup_rows(df: DataFrame, by_digest: bool | None = None) -> DataFrame:
     """Rows minus distinct rows (missing equals missing), one row ``dup_rows``.
 
-    Rows are grouped by a 256-bit digest of their canonical text, so the
-    shuffle carries 32 bytes per distinct row and task whatever the row width
-    (long texts included); partial aggregation collapses copies map-side.
-    ``by_digest=False`` groups by the columns themselves.
+    With ``by_digest`` rows are grouped by a 256-bit digest of their canonical
+    text, so the shuffle carries 32 bytes per distinct row and task whatever
+    the row width (long texts included); otherwise by the columns themselves.
+    Partial aggregation collapses copies map-side either way.  ``None``
+    (default) decides by the optimizer's size estimate: an input smaller than
+    one split per task slot groups by the columns (its shuffle is cheap and
+    hashing would only add CPU), a larger one by the digest.
     """
+    if by_digest is None:
+        by_digest = not is_small(df)
     keyed = df.groupBy(row_digest(df).alias("_h")) if by_digest else df.groupBy(*df.columns)
     return (
         keyed.count()

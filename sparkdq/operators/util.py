@@ -27,11 +27,16 @@ def spread_small(df: DataFrame) -> DataFrame:
     the slots.  Deciding costs no job: the estimate comes from the optimized
     plan.
     """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+
+
+def is_small(df: DataFrame) -> bool:
+    """True when the optimizer's size estimate is below one ``maxPartitionBytes`` split per task slot (no job)."""
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(slots) if size < slots * split else df
+    return size < slots * split
 
 
 def _bytes(v: str) -> int:

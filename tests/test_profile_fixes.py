@@ -190,4 +190,4 @@ def test_dup_rows_digest_equals_grouping(spark):
              rnd.choice([[1, 2], [], None]), rnd.choice([None, 1, 2])) for _ in range(300)]
     df = spark.createDataFrame(rows, "f double, s string, t timestamp, b binary, a array<int>, i int")
     exact = P.dup_rows(df, by_digest=False).first()["dup_rows"]
-    assert P.dup_rows(df).first()["dup_rows"] == exact == len(rows) - df.distinct().count()
+    assert P.dup_rows(df, by_digest=True).first()["dup_rows"] == exact == len(rows) - df.distinct().count()
