@@ -79,7 +79,8 @@ def entity_counts(df: DataFrame, columns: Sequence[str] | None = None, gazetteer
     text is blank gets no rows.
     """
     spark = df.sparkSession
-    gaz = gazetteer if gazetteer is not None else gazetteer_frame(spark)
+    # The built-in word list has a known size (a few dozen rows): broadcast it without a counting job.
+    gaz = broadcast_if_small(gazetteer) if gazetteer is not None else F.broadcast(gazetteer_frame(spark))
     key_cols = [group_col] if group_col != "column" else []
     vals = unpivot_strings(spread_small(df), columns, key_cols + list(order_by or []))
     if group_col == "column":
@@ -97,7 +98,7 @@ def entity_counts(df: DataFrame, columns: Sequence[str] | None = None, gazetteer
         F.max(~F.col("value").rlike(r"^\s*$")).alias("_present"),
         F.sum(F.regexp_count("value", F.lit(DATE_RE))).alias("_dates"))
     words = vals.select(key, F.explode(F.split(F.lower("value"), NON_WORD_RE)).alias("word")).where(F.col("word") != "")
-    named = words.join(broadcast_if_small(gaz), "word").groupBy(key, "class").agg(F.count(F.lit(1)).alias("n"))
+    named = words.join(gaz, "word").groupBy(key, "class").agg(F.count(F.lit(1)).alias("n"))
     grid = per_key.where("_present").select(
         key, F.inline(F.array(*[F.struct(F.lit(c).alias("class"),
                                          (F.col("_dates") if c == "DATE" else F.lit(None).cast("bigint")).alias("d"))
