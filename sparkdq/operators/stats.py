@@ -56,39 +56,44 @@ def exact_median(df: DataFrame, c: str, max_collect: int = 200_000, accuracy: in
             break  # bracket did not shrink safely; count the current one
         lo, hi, below, inside = nlo, nhi, nb, ni
     sub = x if lo is None else x.where((F.col("x") >= lo) & (F.col("x") <= hi))
-    v1, v2 = _values_at_ranks(sub, k1 - below, k2 - below, max_collect)
+    v1, v2 = _values_at_ranks(sub, k1 - below, k2 - below, max_collect, n_rows=inside)
     return (v1 + v2) / 2.0
 
 
 def _values_at_ranks(sub: DataFrame, r1: int, r2: int, max_collect: int, buckets: int = 4096,
-                     max_rounds: int = 64) -> tuple[float, float]:
-    """Values of the 0-based ranks ``r1 <= r2 <= r1 + 1`` among the rows of ``sub`` (column ``x``).
+                     max_rounds: int = 64, n_rows: int | None = None) -> tuple[float, float]:
+    """Values of the 0-based ranks ``r1 <= r2 <= r1 + 1`` among the ``n_rows`` rows of ``sub`` (column ``x``).
 
-    At most ``max_collect + 1`` (value, count) rows or ``buckets`` bucket
-    counts reach the driver per round.  While the ranks lie beyond the
-    smallest ``max_collect`` distinct values, the range is cut into
-    equal-width buckets and narrowed to the bucket holding the ranks; a range
-    holding one value always ends the search.
+    Distinct values with their counts are collected only once the range holds
+    at most ``max_collect`` rows; before that the range is cut into
+    ``buckets`` equal-width buckets (their counts are all that reaches the
+    driver) and narrowed to the bucket holding the ranks.  A range holding
+    one value ends the search.
     """
+    if n_rows is None:
+        n_rows = sub.count()
     for _ in range(max_rounds):
-        rows = sub.groupBy("x").count().orderBy("x").limit(max_collect + 1).collect()
-        seen, v1, v2 = 0, None, None
-        for row in rows[:max_collect] if len(rows) > max_collect else rows:
-            nxt = seen + row["count"]
-            if v1 is None and r1 < nxt:
-                v1 = row["x"]
-            if r2 < nxt:
-                return v1, row["x"]
-            seen = nxt
+        if n_rows <= max_collect:
+            seen, v1 = 0, None
+            for row in sub.groupBy("x").count().orderBy("x").collect():  # at most n_rows entries
+                nxt = seen + row["count"]
+                if v1 is None and r1 < nxt:
+                    v1 = row["x"]
+                if r2 < nxt:
+                    return v1, row["x"]
+                seen = nxt
+            raise RuntimeError("rank beyond the rows of the range")
         lim = sub.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
         lo, hi = lim["lo"], lim["hi"]
+        if lo == hi:
+            return lo, hi
         b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(hi - lo) * buckets).cast("int"), F.lit(buckets - 1))
         hist = sub.groupBy(b.alias("b")).count().orderBy("b").collect()  # at most ``buckets`` rows
-        seen, b1, b2, below = 0, None, None, 0
+        seen, b1, b2, below, size = 0, None, None, 0, 0
         for row in hist:
             nxt = seen + row["count"]
             if b1 is None and r1 < nxt:
-                b1, below = row["b"], seen
+                b1, below, size = row["b"], seen, row["count"]
             if r2 < nxt:
                 b2 = row["b"]
                 break
@@ -98,5 +103,5 @@ def _values_at_ranks(sub: DataFrame, r1: int, r2: int, max_collect: int, buckets
                            F.min(F.when(b == b2, F.col("x"))).alias("v2")).first()
             return ends["v1"], ends["v2"]
         sub = sub.where(b == b1)
-        r1, r2 = r1 - below, r2 - below
+        r1, r2, n_rows = r1 - below, r2 - below, size
     raise RuntimeError("median search did not converge")
