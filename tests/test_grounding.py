@@ -141,3 +141,13 @@ def test_contains_join_matches_brute_force(spark):
         got = {(r["doc_id"], r["pid"]) for r in contains_join(docs, "text", ph, "phrase", max_broadcast=mb,
                                                                 scan_all_max=0).collect()}
         assert got == want
+    # With size-based broadcasting off, the unhinted path runs as sort-merge joins (digest pairs, then documents).
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = contains_join(docs, "text", ph, "phrase", max_broadcast=0, scan_all_max=0)
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert {(r["doc_id"], r["pid"]) for r in j.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
