@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id
 from .exact_dedup import exact_dedup
+from .samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +38,12 @@ FROM n JOIN g USING (norm)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(_table(spark, sf_dir, "documents"))
     return found.selectExpr("id AS doc_id", "keep_id", "group_size", "kept", "digest AS text_sha256")
+
+
+@_register("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs.filter(~held))
+    found = language_id.identify(docs, model, carry=["doc_id"]).withColumn("doc_id", F.col("row.doc_id"))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
