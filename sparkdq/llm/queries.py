@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, toxicity
 from .exact_dedup import exact_dedup
 from .samples import fold
 
@@ -47,3 +47,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.filter(~held))
     found = language_id.identify(docs, model, carry=["doc_id"]).withColumn("doc_id", F.col("row.doc_id"))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@_register("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 4) == 2
+    labels = _table(spark, sf_dir, "labels").filter(~held & F.col("toxic").isNotNull()).select("doc_id", "toxic").distinct()
+    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    found = toxicity.rate(docs, model, carry=["doc_id"]).withColumn("doc_id", F.col("row.doc_id"))
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

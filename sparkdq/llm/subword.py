@@ -17,8 +17,14 @@ import numpy as np
 ORDERS = (3, 4, 5)
 
 
-def bags(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def bags(words: list[str], buckets: int, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of every word's n-grams, one word after the other, and where each word begins."""
+    parts = [_bags(words[i : i + at_once], buckets) for i in range(0, len(words), at_once)]
+    shift = np.cumsum([0] + [len(p[0]) for p in parts])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + s for p, s in zip(parts, shift, strict=False)])
+
+
+def _bags(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     chars = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(lens)
@@ -37,7 +43,7 @@ def bags(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     hashed = (np.concatenate(ids) >> np.uint64(33)) % np.uint64(buckets)
-    return hashed[order].astype(np.int64), np.searchsorted(owner[order], np.arange(len(words)))
+    return hashed[order].astype(np.int32), np.searchsorted(owner[order], np.arange(len(words)))
 
 
 class Vocabulary(dict):
