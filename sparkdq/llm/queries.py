@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import language_id, quality, toxicity
 from .exact_dedup import exact_dedup
 from .samples import fold
 
@@ -57,3 +57,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
     found = toxicity.rate(docs, model, carry=["doc_id"]).withColumn("doc_id", F.col("row.doc_id"))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_register("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 5) == 0
+    labels = _table(spark, sf_dir, "labels").filter(~held & F.col("quality").isNotNull()).select("doc_id", "quality").distinct()
+    model = quality.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    found = quality.rate(docs, model, carry=["doc_id"]).withColumn("doc_id", F.col("row.doc_id"))
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

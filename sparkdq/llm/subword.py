@@ -49,8 +49,9 @@ def _bags(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 class Vocabulary(dict):
     """Distinct words numbered as they come; ``fresh`` holds those that aren't scored yet."""
 
-    def __init__(self):
+    def __init__(self, lower: bool = True):
         super().__init__()
+        self.lower = lower
         self.fresh: list[str] = []
         self.chars = 0
 
@@ -62,7 +63,7 @@ class Vocabulary(dict):
 
     def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts, and the number of words of each."""
-        split = [t.lower().split() for t in texts]
+        split = [(t.lower() if self.lower else t).split() for t in texts]
         lens = np.fromiter(map(len, split), np.int64, len(split))
         return np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(lens.sum())), lens
 
