@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import language_id, quality, toxicity
 from .exact_dedup import exact_dedup
 from .samples import fold
+from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +68,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs.select("doc_id", "text").join(labels, "doc_id"))
     found = quality.rate(docs, model, carry=["doc_id"]).withColumn("doc_id", F.col("row.doc_id"))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def tokenizer_json(name: str) -> str:
+    """Definition of a public tokenizer, read on the driver and shipped to the executors (under 2 MB)."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+@_register("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(_table(spark, sf_dir, "documents"), tokenizer_json("word_bpe_49k.json"), carry=["doc_id"])
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
