@@ -62,9 +62,9 @@ def decode(data: bytes, k: int) -> np.ndarray:
 
 # Exchange ---------------------------------------------------------------------------------------
 
-MESSAGE = "_part int, owner int, k int, payload binary"
-ANSWER = "_part int, owner int, bits binary"
-SUSPECT = "_part int, _pos bigint"
+MESSAGE = "_part bigint, owner int, k int, payload binary"
+ANSWER = "_part bigint, owner int, bits binary"
+SUSPECT = "_part bigint, _pos bigint"
 
 
 def _sender(owners: int, bits: int):
@@ -80,7 +80,7 @@ def _sender(owners: int, bits: int):
             k = rice_parameter(span, len(mine))
             out.append((part, int(o), k, encode(mine, k)))
         return pa.table({n: pa.array([r[i] for r in out], typ) for i, (n, typ) in enumerate(
-            [(PART, pa.int32()), ("owner", pa.int32()), ("k", pa.int32()), ("payload", pa.binary())])})
+            [(PART, pa.int64()), ("owner", pa.int32()), ("k", pa.int32()), ("payload", pa.binary())])})
 
     return send
 
@@ -107,7 +107,7 @@ def _marker(owners: int, bits: int):
             suspect[lo:hi] |= np.unpackbits(np.frombuffer(b, np.uint8), count=hi - lo).astype(bool)
         hit = suspect[inverse]
         n = int(hit.sum())
-        return pa.table({PART: pa.array(np.full(n, rows.column(PART)[0].as_py() if len(rows) else 0), pa.int32()),
+        return pa.table({PART: pa.array(np.full(n, rows.column(PART)[0].as_py() if len(rows) else 0), pa.int64()),
                          POS: pa.array(pos[hit], pa.int64())})
 
     return mark

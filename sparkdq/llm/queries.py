@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, quality, toxicity
+from .bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .samples import fold
 from .token_counts import token_counts
@@ -82,3 +83,14 @@ def tokenizer_json(name: str) -> str:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(_table(spark, sf_dir, "documents"), tokenizer_json("word_bpe_49k.json"), carry=["doc_id"])
     return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    coded = encode_decode(docs, tokenizer_json("byte_bpe_50k.json"), carry=["doc_id"])
+    return coded.select("row.doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_register("op8_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(_table(spark, sf_dir, "documents"))

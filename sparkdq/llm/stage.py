@@ -25,15 +25,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def stage(df: DataFrame, numbered: bool = False) -> DataFrame:
+def stage(df: DataFrame, numbered: bool = False, rows_per_part: int | None = None) -> DataFrame:
     """Write ``df`` as a table bucketed by part and return it with ``_part`` and ``_pos``.
 
-    With ``numbered`` the rows already carry ``_part`` (an executor-side step set it).
+    With ``numbered`` the rows already carry ``_part`` (an executor-side step set it).  ``rows_per_part`` splits a
+    task's rows into several parts, for steps that hold one part in memory.
     """
     spark = df.sparkSession
     if not numbered:
-        df = df.select("*", F.spark_partition_id().alias(PART),
-                       F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(POS))
+        pos = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        part = F.spark_partition_id().cast("bigint")
+        part = part if rows_per_part is None else part * (1 << 33) + F.floor(pos / rows_per_part)
+        df = df.select("*", part.alias(PART), pos.alias(POS))
     name = f"staged_{uuid.uuid4().hex}"
     (df.write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, name))
        .bucketBy(shuffle_partitions(spark), PART).saveAsTable(name))

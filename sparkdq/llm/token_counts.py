@@ -90,7 +90,7 @@ def pieces(tokenizer, pretoken: str) -> int:
     return len(tokenizer.model.tokenize(pretoken))
 
 
-FREQUENCIES = f"{PART} int, {POS} bigint, n_bytes bigint, at array<int>, times array<int>, pretoken string"
+FREQUENCIES = f"{PART} bigint, {POS} bigint, n_bytes bigint, at array<int>, times array<int>, pretoken string"
 
 
 def _count_pretokens(tokenizer_json: str):
@@ -98,9 +98,9 @@ def _count_pretokens(tokenizer_json: str):
         part, dictionary, pos = TaskContext.get().partitionId(), PreTokens(tokenizer_json), 0
 
         def rows(n: int, **given):
-            given = {PART: pa.array([part] * n, pa.int32())} | given
+            given = {PART: pa.array([part] * n, pa.int64())} | given
             return [given.get(f, pa.nulls(n, t)) for f, t in (
-                (PART, pa.int32()), (POS, pa.int64()), ("n_bytes", pa.int64()), ("at", pa.list_(pa.int32())),
+                (PART, pa.int64()), (POS, pa.int64()), ("n_bytes", pa.int64()), ("at", pa.list_(pa.int32())),
                 ("times", pa.list_(pa.int32())), ("pretoken", pa.string()), ("row", kind))]
 
         kind = None
