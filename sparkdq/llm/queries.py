@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, toxicity
+from sparkdq.session import scratch_path
+
+from . import language_id, quality, toxicity, warc
 from .bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .samples import fold
@@ -94,3 +96,12 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 @_register("op8_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"))
+
+
+@_register("op2_warc")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    facts = warc.payload_facts(warc.read_archives(spark, path))
+    return facts.select(F.col("key").cast("bigint").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+                        "record_type", F.col("refers_to").cast("bigint").alias("refers_to"), "problem")
