@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkdq.session import scratch_path
 
-from . import language_id, quality, toxicity, warc
+from . import language_id, quality, topk_search, toxicity, warc
 from .bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .samples import fold
@@ -105,3 +105,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = warc.payload_facts(warc.read_archives(spark, path))
     return facts.select(F.col("key").cast("bigint").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
                         "record_type", F.col("refers_to").cast("bigint").alias("refers_to"), "problem")
+
+
+@_register("op4_topk_search", """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
+SELECT query_id, rn::INTEGER AS rank, vec_id, score FROM r WHERE rn <= 5
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
