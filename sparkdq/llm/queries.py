@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkdq.session import scratch_path
 
-from . import language_id, quality, topk_search, toxicity, warc
+from . import language_id, mixing, quality, topk_search, toxicity, warc
 from .bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .samples import fold
@@ -118,3 +118,45 @@ SELECT query_id, rn::INTEGER AS rank, vec_id, score FROM r WHERE rn <= 5
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
     return found.withColumnRenamed("id", "vec_id")
+
+
+#: Target weights of op3: domains are the last number in a source's name modulo 4 (the table has no domain column).
+DOMAIN = "concat('domain', coalesce(cast(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int) % 4 AS string), ' unknown'))"
+WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 6, "de": 2, "fr": 1, "es": 1}}
+
+
+def _level_sql(i: int) -> str:
+    """One level of the budget tree in SQL: children ``n``, their shares of the parent's budget."""
+    names = list(mixing.LEVELS[: i + 1])
+    keys, parent = ", ".join(names), ", ".join(names[:-1]) or "1"
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.get(names[-1], {}).items())
+    weight = f"CASE {names[-1]} {cases} ELSE 1 END" if cases else "1"
+    given = "JOIN b{0} USING ({1})".format(i - 1, ", ".join(names[:-1])) if i else "CROSS JOIN budget"
+    upper = ", b%d.budget AS given" % (i - 1) if i else ", budget.total AS given"
+    order = f"ORDER BY cap::DOUBLE / weight::DOUBLE, {names[-1]}"
+    return f"""
+n{i} AS (SELECT x.*{upper}, {weight} AS weight FROM (SELECT {keys}, sum(supply)::BIGINT * 2 AS cap FROM leaves GROUP BY ALL) x {given}),
+f{i} AS (SELECT *, cap::HUGEINT * sum(weight) OVER (PARTITION BY {parent} {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+       <= (given - coalesce(sum(cap) OVER (PARTITION BY {parent} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::HUGEINT * weight AS is_full FROM n{i}),
+r{i} AS (SELECT *, given - coalesce(sum(CASE WHEN is_full THEN cap END) OVER (PARTITION BY {parent}), 0) AS rest,
+       sum(CASE WHEN NOT is_full THEN weight END) OVER (PARTITION BY {parent}) AS total,
+       sum(weight) OVER (PARTITION BY {parent}, is_full {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM f{i}),
+b{i} AS (SELECT {keys}, CASE WHEN is_full THEN cap ELSE rest::HUGEINT * upto // total - rest::HUGEINT * (upto - weight) // total END::BIGINT AS budget FROM r{i})"""
+
+
+@_register("op3_mixing", """
+WITH d AS (SELECT doc_id, 'domain' || coalesce((TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4)::VARCHAR, ' unknown') AS domain,
+       coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+       coalesce(len(regexp_extract_all(text, '[^\\x09-\\x0D\\x20]+')), 0)::BIGINT AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS supply FROM d GROUP BY ALL),
+budget AS (SELECT floor(sum(supply) * 0.5::DOUBLE)::BIGINT AS total FROM leaves),""" + ",".join(_level_sql(i) for i in range(3)) + """,
+p AS (SELECT domain, lang, source, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS passes,
+       CASE WHEN supply > 0 THEN budget % supply ELSE 0 END AS room FROM b2 JOIN leaves USING (domain, lang, source)),
+o AS (SELECT d.*, passes, room, ('0x' || substr(md5('17|' || passes || '|' || doc_id), 1, 12))::BIGINT AS place FROM d JOIN p USING (domain, lang, source)),
+c AS (SELECT *, passes + (passes < 2 AND sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= room)::INTEGER AS copies FROM o)
+SELECT doc_id, domain, lang, source, tokens AS n_tokens, copies::INTEGER AS copies FROM c WHERE copies > 0
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.mix(_table(spark, sf_dir, "documents"), F.expr(DOMAIN), 0.5, WEIGHTS, epochs=2, seed=17)
+    return chosen.select("row.doc_id", "domain", "lang", "source", F.col("tokens").alias("n_tokens"), "copies")
