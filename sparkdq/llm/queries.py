@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkdq.session import scratch_path
 
-from . import language_id, mixing, quality, topk_search, toxicity, warc
+from . import dart_minhash, language_id, mixing, quality, topk_search, toxicity, warc
 from .bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .samples import fold
@@ -160,3 +160,9 @@ SELECT doc_id, domain, lang, source, tokens AS n_tokens, copies::INTEGER AS copi
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = mixing.mix(_table(spark, sf_dir, "documents"), F.expr(DOMAIN), 0.5, WEIGHTS, epochs=2, seed=17)
     return chosen.select("row.doc_id", "domain", "lang", "source", F.col("tokens").alias("n_tokens"), "copies")
+
+
+@_register("op5_dart_minhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dart_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.verdict.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
