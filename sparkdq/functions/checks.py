@@ -48,9 +48,3 @@ def not_numeric(c: Column | str) -> Column:
     """T4: present but not castable to double."""
     c = as_col(c)
     return c.isNotNull() & c.cast("string").try_cast("double").isNull()
-
-
-def email_domain(c: Column | str) -> Column:
-    """Keep only the part after the last ``@`` (null when there is none)."""
-    c = as_col(c)
-    return F.when(c.contains("@"), F.substring_index(c, "@", -1))

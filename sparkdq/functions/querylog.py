@@ -6,6 +6,8 @@ about comments or string literals, exactly like the statistics they mirror.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ FENCE_RE = r"(?s)```(.*?)```"
 
 def partition_filter_re(partition_col: str = "event_date") -> str:
     # (?d): only \n ends a line, so ".*" stays on one line as in the original.
-    return rf"(?id)(WHERE|AND)\s+.*{partition_col}"
+    return rf"(?id)(WHERE|AND)\s+.*{re.escape(partition_col)}"
 
 
 def select_star(sql: Column | str) -> Column:

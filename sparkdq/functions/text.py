@@ -28,9 +28,19 @@ def is_blank(c: Column | str) -> Column:
 def python_repl_to_java(repl: str) -> str:
     """Translate a Python ``re.sub`` replacement into a Java one.
 
-    ``\\1`` and ``\\g<1>`` become ``$1``; a literal ``$`` is escaped.
+    ``\\1``, ``\\12`` and ``\\g<1>`` become ``$`` references, ``\\g<name>`` a
+    named one; a digit that follows a reference stays a character of its own
+    and a literal ``$`` is escaped.
     """
-    out = repl.replace("$", "\\$")
-    out = re.sub(r"\\g<(\d+)>", r"$\1", out)
-    out = re.sub(r"\\(\d)", r"$\1", out)
-    return out
+    def one(m: re.Match) -> str:
+        if m["name"]:
+            return "${" + m["name"] + "}"
+        number, digit = (m["number"], m["after"]) if m["number"] else (m["short"], m["behind"])
+        return "\\$" if number is None else f"${number}" + (f"\\{digit}" if digit else "")
+
+    return re.sub(r"\\g<(?P<number>\d+)>(?P<after>\d?)|\\g<(?P<name>[A-Za-z_]\w*)>|\\(?P<short>\d{1,2})(?P<behind>\d?)|\$", one, repl)
+
+
+def python_pattern_to_java(pattern: str) -> str:
+    """Named groups and references of a Python pattern in Java's spelling."""
+    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))

@@ -18,23 +18,3 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
-
-
-def cosine(a: Column | str, b: Column | str) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
-
-
-def squared_l2(a: Column | str, b: Column | str) -> Column:
-    return _sum(F.zip_with(as_col(a), as_col(b),
-                           lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))))
-
-
-def literal_array(values: list, element_type: str = "array<double>") -> Column:
-    """A constant ``array<element_type>`` column built from a JSON literal.
-
-    One short call instead of one literal per element; the optimizer folds it
-    into a single constant.  Floats survive the JSON round trip exactly.
-    """
-    import json
-
-    return F.from_json(F.lit(json.dumps(values)), f"array<{element_type}>")

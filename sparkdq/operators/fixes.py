@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import python_repl_to_java, strip_ws
+from ..functions.text import python_pattern_to_java, python_repl_to_java, strip_ws
 from . import stats
 from .profile import missing
+from .util import col
 
 FIX_ACTIONS = ("drop_duplicates", "impute_nulls", "normalize_email", "regex_clean", "remove_negative_values")
 
@@ -27,7 +28,7 @@ def _numeric(df: DataFrame, c: str) -> bool:
 
 
 def _replace(df: DataFrame, c: str, expr: Column) -> DataFrame:
-    return df.withColumn(c, expr)
+    return df.select(*[expr.alias(c) if x == c else col(x) for x in df.columns])
 
 
 def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
@@ -51,11 +52,9 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
     order_by = [c for c in (order_by or []) if c in df.columns]
     rest = [c for c in df.columns if c not in subset]
     keys = order_by + [c for c in rest if c not in order_by]
-    packed = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)],
-                      *[F.col(c).alias(f"v{i}") for i, c in enumerate(rest)])
-    agg = df.groupBy(*subset).agg(F.min(packed).alias("_first"))
-    return agg.select(*[F.col(c) if c in subset else F.col(f"_first.v{rest.index(c)}").alias(c)
-                        for c in df.columns])
+    packed = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(keys)])
+    agg = df.groupBy(*[col(c).alias(f"g{i}") for i, c in enumerate(subset)]).agg(F.min(packed).alias("_first"))
+    return agg.select(*[F.col(f"g{subset.index(c)}" if c in subset else f"_first.k{keys.index(c)}").alias(c) for c in df.columns])
 
 
 def impute_nulls(df: DataFrame, column: str, strategy: str = "constant", value=""):
@@ -64,23 +63,22 @@ def impute_nulls(df: DataFrame, column: str, strategy: str = "constant", value="
         return df
     miss = missing(df, column)
     if strategy in ("mean", "median") and _numeric(df, column):
-        fill = stats.mean(df, column) if strategy == "mean" else stats.exact_median(df, column)
-        if fill is None:
-            return df
-        return _replace(df, column, F.when(miss, F.lit(float(fill))).otherwise(F.col(column).cast("double")))
+        # The statistic is one value that the job itself reads; a column without values keeps its nulls.
+        fill = stats.mean(df, column) if strategy == "mean" else F.lit(stats.exact_median(df, column))
+        return _replace(df, column, F.when(miss, fill).otherwise(col(column).cast("double")))
     dt = df.schema[column].dataType
     if isinstance(dt, T.StringType):
-        return _replace(df, column, F.when(miss, F.lit(str(value))).otherwise(F.col(column)))
+        return _replace(df, column, F.when(miss, F.lit(str(value))).otherwise(col(column)))
     # Numeric / other column: only a value castable to the column type is used.
     lit = F.lit(value).cast("string").try_cast(dt) if not isinstance(value, (int, float)) else F.lit(value).cast(dt)
-    return _replace(df, column, F.when(miss & lit.isNotNull(), lit).otherwise(F.col(column)))
+    return _replace(df, column, F.when(miss & lit.isNotNull(), lit).otherwise(col(column)))
 
 
 def normalize_email(df: DataFrame, column: str = "email", missing_as_text: bool = False) -> DataFrame:
     """strip white space and lower-case; ``missing_as_text`` writes ``'nan'`` like the reference."""
     if column not in df.columns:
         return df
-    s = F.col(column).cast("string")
+    s = col(column).cast("string")
     if missing_as_text:
         s = F.coalesce(s, F.lit("nan"))
     return _replace(df, column, F.lower(strip_ws(s)))
@@ -91,17 +89,17 @@ def regex_clean(df: DataFrame, column: str, pattern: str | None, repl: str = "",
     """regex replace-all; a Python-style replacement (``\\1``) is translated."""
     if column not in df.columns or not pattern:
         return df
-    s = F.col(column).cast("string")
+    s = col(column).cast("string")
     if missing_as_text:
         s = F.coalesce(s, F.lit("nan"))
-    return _replace(df, column, F.regexp_replace(s, pattern, python_repl_to_java(repl or "")))
+    return _replace(df, column, F.regexp_replace(s, python_pattern_to_java(pattern), python_repl_to_java(repl or "")))
 
 
 def remove_negative_values(df: DataFrame, column: str) -> DataFrame:
     """F8: a negative value becomes missing; the row stays and the type is kept."""
     if column not in df.columns or not _numeric(df, column):
         return df
-    c = F.col(column)
+    c = col(column)
     return _replace(df, column, F.when(c < 0, F.lit(None).cast(df.schema[column].dataType)).otherwise(c))
 
 
@@ -124,21 +122,21 @@ def apply_fixes(df: DataFrame, actions: Iterable[Mapping], order_by: Sequence[st
             out = drop_duplicates(out, p.get("subset"), order_by)
             shuffled = True
         elif act == "impute_nulls":
-            col = p.get("column")
-            if col in out.columns:
+            name = p.get("column")
+            if name in out.columns:
                 strategy = p.get("strategy") or "constant"
-                if checkpoint_barriers and shuffled and strategy in ("mean", "median") and _numeric(out, col):
+                if checkpoint_barriers and shuffled and strategy in ("mean", "median") and _numeric(out, name):
                     out = out.checkpoint(eager=True)
                     shuffled = False
-                out = impute_nulls(out, col, strategy, p.get("value", ""))
+                out = impute_nulls(out, name, strategy, p.get("value", ""))
         elif act == "normalize_email":
             out = normalize_email(out, p.get("column") or "email", missing_as_text)
         elif act == "regex_clean":
-            col = p.get("column")
-            if col in out.columns:
-                out = regex_clean(out, col, p.get("pattern"), p.get("repl") or "", missing_as_text)
+            name = p.get("column")
+            if name in out.columns:
+                out = regex_clean(out, name, p.get("pattern"), p.get("repl") or "", missing_as_text)
         elif act == "remove_negative_values":
-            col = p.get("column")
-            if col in out.columns:
-                out = remove_negative_values(out, col)
+            name = p.get("column")
+            if name in out.columns:
+                out = remove_negative_values(out, name)
     return out

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import email_valid, phone_ok
-from .util import is_small
+from .util import col
 
 # Metrics that make up the quality score (P10): the invalid kinds plus duplicates.
 SCORE_METRICS = ("email_invalid_count", "negative_count", "phone_invalid_count", "dup_rows")
@@ -37,10 +37,10 @@ def _is_fractional(dt: T.DataType) -> bool:
 
 def missing(df: DataFrame, c: str) -> Column:
     """Missing as pandas sees it: null, or NaN for floating columns."""
-    col = F.col(c)
+    x = col(c)
     if _is_fractional(df.schema[c].dataType):
-        return col.isNull() | F.isnan(col)
-    return col.isNull()
+        return x.isNull() | F.isnan(x)
+    return x.isNull()
 
 
 def negative_count_expr(df: DataFrame, c: str, strict: bool = False) -> Column:
@@ -52,54 +52,50 @@ def negative_count_expr(df: DataFrame, c: str, strict: bool = False) -> Column:
     """
     dt = df.schema[c].dataType
     if isinstance(dt, T.NumericType):
-        return F.count_if(F.col(c) < 0)
-    x = F.col(c).cast("string").try_cast("double")
+        return F.count_if(col(c) < 0)
+    x = col(c).cast("string").try_cast("double")
     neg = F.count_if(x < 0)
     if strict:
         return neg
-    bad = F.count_if(F.col(c).isNotNull() & x.isNull())
+    bad = F.count_if(col(c).isNotNull() & x.isNull())
     return F.when(bad > 0, F.lit(0)).otherwise(neg)
 
 
-def row_digest(df: DataFrame) -> Column:
-    """SHA-256 of a canonical text of the whole row; equal rows (as grouping sees them) give equal digests.
+def canonical(c: Column, dt: T.DataType) -> Column:
+    """``c`` in a form whose JSON text is equal exactly when grouping sees the values as equal.
 
-    Atomic values are cast to text (timestamps keep microseconds, doubles the
-    round-trip form), ``-0.0`` is folded to ``0.0`` and NaN stays one value,
-    as in grouping; a missing field is left out of the JSON object, so it
-    never equals a value.
+    -0.0 is folded into 0.0 and NaN is one value, timestamps keep microseconds, binary becomes hex; arrays, structs and
+    maps are treated the same way inside, at any depth.
     """
-    parts = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            c = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
-        if isinstance(f.dataType, T.BinaryType):
-            c = F.hex(c)
-        elif isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.StringType):
-            c = c.cast("string")
-        parts.append(c.alias(f.name))
-    return F.sha2(F.to_json(F.struct(*parts)), 256)
-
-
-def dup_rows(df: DataFrame, by_digest: bool | None = None) -> DataFrame:
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return F.when(c == 0, F.lit("0.0")).otherwise(c.cast("double").cast("string"))
+    if isinstance(dt, T.BinaryType):
+        return F.hex(c)
+    if isinstance(dt, T.ArrayType):
+        return F.transform(c, lambda x: canonical(x, dt.elementType))
+    if isinstance(dt, T.MapType):
+        entry = T.StructType([T.StructField("key", dt.keyType), T.StructField("value", dt.valueType)])
+        return F.array_sort(F.transform(F.map_entries(c), lambda e: F.to_json(canonical(e, entry))))
+    if isinstance(dt, T.StructType):
+        inside = F.struct(*[canonical(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(dt.fields)])
+        return F.when(c.isNotNull(), inside)
+    return c if isinstance(dt, T.StringType) else c.cast("string")
+
+
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a canonical text of the whole row; a missing field is left out of it, so it never equals a value."""
+    return F.sha2(F.to_json(F.struct(*[canonical(col(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(df.schema.fields)])), 256)
+
+
+def dup_rows(df: DataFrame) -> DataFrame:
     """Rows minus distinct rows (missing equals missing), one row ``dup_rows``.
 
-    With ``by_digest`` rows are grouped by a 256-bit digest of their canonical
-    text, so the shuffle carries 32 bytes per distinct row and task whatever
-    the row width (long texts included); otherwise by the columns themselves.
-    Partial aggregation collapses copies map-side either way.  ``None``
-    (default) decides by the optimizer's size estimate: an input smaller than
-    one split per task slot groups by the columns (its shuffle is cheap and
-    hashing would only add CPU), a larger one by the digest.
+    Rows are grouped by a 256-bit digest of their canonical text, so the
+    shuffle carries 32 bytes per distinct row and task whatever the row's width
+    or column types; partial aggregation collapses copies map-side.
     """
-    if by_digest is None:
-        by_digest = not is_small(df)
-    keyed = df.groupBy(row_digest(df).alias("_h")) if by_digest else df.groupBy(*df.columns)
-    return (
-        keyed.count()
-        .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("dup_rows"))
-    )
+    return (df.groupBy(row_digest(df).alias("_h")).count()
+            .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("dup_rows")))
 
 
 def profile(
@@ -131,9 +127,9 @@ def profile(
         if include_null_percent:
             entries.append((c, "null_percent", F.try_divide(nulls.cast("double"), n.cast("double"))))
     for c in email_cols:
-        entries.append((c, "email_invalid_count", F.count_if(~email_valid(c))))
+        entries.append((c, "email_invalid_count", F.count_if(~email_valid(col(c)))))
     for c in phone_cols:
-        entries.append((c, "phone_invalid_count", F.count_if(~phone_ok(c))))
+        entries.append((c, "phone_invalid_count", F.count_if(~phone_ok(col(c)))))
     for c in nonneg_cols:
         entries.append((c, "negative_count", negative_count_expr(df, c, strict)))
 
@@ -142,9 +138,9 @@ def profile(
         chunk = list(enumerate(entries))[start:start + max_aggs_per_pass]
         one_row = df.agg(*[e[2].cast("double").alias(f"m{i}") for i, e in chunk])
         rows = F.array(*[
-            F.struct(F.lit(col).cast("string").alias("column"), F.lit(metric).alias("metric"),
+            F.struct(F.lit(c).cast("string").alias("column"), F.lit(metric).alias("metric"),
                      F.col(f"m{i}").alias("value"))
-            for i, (col, metric, _) in chunk
+            for i, (c, metric, _) in chunk
         ])
         part = one_row.select(F.inline(rows))
         long = part if long is None else long.unionByName(part)
@@ -165,14 +161,18 @@ def quality_score(profile_long: DataFrame) -> DataFrame:
 
 
 def evaluate(before: DataFrame, after: DataFrame, **profile_args) -> DataFrame:
-    """``before_score, after_score, improved`` (strictly lower is better)."""
-    b = quality_score(profile(before, **profile_args)).select(F.lit("before").alias("side"), "score")
-    a = quality_score(profile(after, **profile_args)).select(F.lit("after").alias("side"), "score")
-    both = b.unionByName(a)
-    return both.agg(
-        F.max(F.when(F.col("side") == "before", F.col("score"))).alias("before_score"),
-        F.max(F.when(F.col("side") == "after", F.col("score"))).alias("after_score"),
-    ).withColumn("improved", F.col("after_score") < F.col("before_score"))
+    """``before_score, after_score, improved`` (strictly lower is better) of two tables."""
+    return evaluate_profiles(profile(before, **profile_args), profile(after, **profile_args))
+
+
+def evaluate_profiles(before_long: DataFrame, after_long: DataFrame) -> DataFrame:
+    """P11 on two finished profiles; both scores come from one aggregate."""
+    sides = before_long.select(F.lit("before").alias("side"), "metric", "value").unionByName(
+        after_long.select(F.lit("after").alias("side"), "metric", "value"))
+    counted = F.col("metric").isin(*SCORE_METRICS)
+    score = lambda side: F.coalesce(F.sum(F.when(counted & (F.col("side") == side), F.col("value"))), F.lit(0.0)).cast("bigint")
+    return (sides.agg(score("before").alias("before_score"), score("after").alias("after_score"))
+            .withColumn("improved", F.col("after_score") < F.col("before_score")))
 
 
 def compare_profiles(before_long: DataFrame, after_long: DataFrame) -> DataFrame:
@@ -228,17 +228,18 @@ def profile_pii(df: DataFrame, email_cols: Sequence[str] = ("email",), phone_col
 
     spark = df.sparkSession
     base = profile(df, email_cols, nonneg_cols, phone_cols, include_null_percent=False, include_dups=False)
-    ent = S.entity_counts(df, list(df.columns), gazetteer)
-    ent_long = ent.select("column", F.concat(F.lit("ner_"), F.col("class")).alias("metric"),
-                          F.col("n").cast("double").alias("value"))
     if column_vectors is not None and exemplars is not None:
         sims = S.exemplar_similarity(column_vectors, exemplars, id_col="column")
     else:
-        sims = spark.createDataFrame([(c, None, None) for c in df.columns],
-                                     "column string, class string, similarity double")
-    sim_long = sims.where(F.col("class").isNotNull()).select(
-        "column", F.concat(F.lit("sim_"), F.col("class")).alias("metric"), F.col("similarity").alias("value"))
+        sims = spark.createDataFrame([(c, None, None) for c in df.columns], "column string, class string, similarity double")
+    # One row per column: the risk score and the entity counts come out of the same grouping.
+    ent = S.entity_counts(df, list(df.columns), gazetteer)
     has_email = any(c in df.columns for c in email_cols)
-    risk = S.risk_scores(ent, sims, key="column", has_email_check=has_email).select(
-        "column", F.lit("risk_score").alias("metric"), F.col("risk_score").cast("double").alias("value"))
-    return base.unionByName(ent_long).unionByName(sim_long).unionByName(risk)
+    risk = S.risk_scores(ent, sims, key="column", has_email_check=has_email, with_counts=True)
+    long = F.array(F.struct(F.lit("risk_score").alias("metric"), F.col("risk_score").cast("double").alias("value")), *[
+        F.struct(F.lit(f"ner_{c}").alias("metric"), F.col(f"e_{c}").cast("double").alias("value")) for c in S.ENTITY_CLASSES])
+    out = base.unionByName(risk.select("column", F.inline(long)).where("value IS NOT NULL"))
+    if column_vectors is None or exemplars is None:
+        return out
+    return out.unionByName(sims.where(F.col("class").isNotNull()).select(
+        "column", F.concat(F.lit("sim_"), F.col("class")).alias("metric"), F.col("similarity").alias("value")))

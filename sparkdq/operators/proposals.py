@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
 from .fixes import FIX_ACTIONS
-from .textjoin import DEFAULT_MAX_BROADCAST_PHRASES, phrases_found
-from .util import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small
+from .masks import MASK_ACTIONS
+from .profile import row_digest
+from .textjoin import contains_join, phrases_found
 
 # Fixed values that must equal the reference's behaviour.
 # Canonical policy phrases of the data-quality rules text, by policy id.
@@ -37,16 +38,26 @@ NOTE_VALIDATED = "Policy validated."
 NOTE_SUGGESTION = "Policy grounding missing. Consider asking the user to confirm this fix or provide policy text."
 QUESTION_NO_JSON = "LLM did not return valid JSON — rerun?"
 QUESTION_NO_GROUNDED_FIX = "No conservative fix could be produced with policy grounding; please advise."
+# Texts of the masking flow.
+PII_QUESTION_NO_PLAN = "LLM failed or no valid proposals; please advise."
+PII_NOTE_NO_MATCH = "No valid policy_refs matched."
 REQUIRED_FIX_KEYS = ("id", "description", "action", "params", "policy_refs", "confidence")
 JSON_OBJECT_RE = r"(\{[\s\S]*\})"
 
 PARAMS_TYPE = ("struct<subset:array<string>,column:string,strategy:string,value:string,"
                "pattern:string,repl:string,salt:string>")
 REF_TYPE = "array<struct<policy_id:string,quote:string>>"
-FIX_TYPE = (f"struct<id:string,action:string,description:string,params:{PARAMS_TYPE},"
-            f"policy_refs:{REF_TYPE},confidence:double>")
-PLAN_SCHEMA = (f"struct<proposed_fixes:array<{FIX_TYPE}>,"
-               "questions_to_user:array<struct<question:string,related_columns:array<string>>>>")
+PII_REF_TYPE = "array<struct<source:string,quote:string>>"
+
+
+def _plan_schema(name: str, ref_type: str) -> str:
+    # A confidence may come as a number or as text: it is read as text and cast.
+    fix = (f"struct<id:string,action:string,description:string,params:{PARAMS_TYPE},policy_refs:{ref_type},confidence:string>")
+    return f"struct<{name}:array<{fix}>,questions_to_user:array<struct<question:string,related_columns:array<string>>>>"
+
+
+PLAN_SCHEMA = _plan_schema("proposed_fixes", REF_TYPE)
+PII_PLAN_SCHEMA = _plan_schema("proposed_actions", PII_REF_TYPE)
 
 
 def policies_frame(spark: SparkSession, policies: dict[str, str] | None = None) -> DataFrame:
@@ -98,24 +109,35 @@ def parse_plans(df: DataFrame, raw_col: str = "raw") -> DataFrame:
             .withColumn("schema_valid", schema_valid("json_text")))
 
 
-def plan_fixes(plans: DataFrame, key_cols: Sequence[str]) -> DataFrame:
-    """Proposal rows of the schema-valid plans (one row per fix)."""
+def parse_pii_plans(df: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """G10 + G12 of the masking flow: a plan is usable when it has ``proposed_actions``."""
+    out = df.withColumn("json_text", extract_json(raw_col))
+    usable = _has_keys(F.col("json_text"), ("proposed_actions",)) & F.json_array_length(
+        F.get_json_object("json_text", "$.proposed_actions")).isNotNull()
+    return (out.withColumn("plan", F.from_json("json_text", PII_PLAN_SCHEMA))
+            .withColumn("schema_valid", F.coalesce(usable, F.lit(False))))
+
+
+def plan_fixes(plans: DataFrame, key_cols: Sequence[str], name: str = "proposed_fixes") -> DataFrame:
+    """Proposal rows of the schema-valid plans (one row per fix, ``fix_pos`` its place); ``name``: the plan's list."""
     return (plans.where("schema_valid")
-            .select(*key_cols, F.posexplode("plan.proposed_fixes").alias("fix_pos", "fix"))
-            .select(*key_cols, "fix_pos", "fix.*"))
+            .select(*key_cols, F.posexplode(f"plan.{name}").alias("fix_pos", "fix"))
+            .select(*key_cols, "fix_pos", "fix.*")
+            .withColumn("confidence", F.col("confidence").try_cast("double")))
 
 
-def plan_question() -> Column:
+def plan_question(pii: bool = False) -> Column:
     """The fallback question of a parsed plan row (null when the plan is usable)."""
+    if pii:
+        return F.when(~F.col("schema_valid"), F.lit(PII_QUESTION_NO_PLAN))
     return (F.when(F.col("json_text").isNull() | ~F.coalesce(
         F.array_contains(F.json_object_keys("json_text"), "proposed_fixes"), F.lit(False)), F.lit(QUESTION_NO_JSON))
             .when(~F.col("schema_valid"), F.lit(QUESTION_NO_GROUNDED_FIX)))
 
 
-def plan_questions(plans: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+def plan_questions(plans: DataFrame, key_cols: Sequence[str], pii: bool = False) -> DataFrame:
     """The fallback question of every plan that cannot be used."""
-    q = plan_question()
-    return (plans.select(*key_cols, q.alias("question"))
+    return (plans.select(*key_cols, plan_question(pii).alias("question"))
             .where(F.col("question").isNotNull())
             .withColumn("related_columns", F.array().cast("array<string>")))
 
@@ -130,8 +152,8 @@ def propose(profile_long: DataFrame, rules: DataFrame, policies: DataFrame) -> D
     whose value exceeds ``min_value``; ``column`` comes from the profile row.
     The policy's canonical phrase is the quote.
     """
-    fired = profile_long.join(broadcast_if_small(rules), "metric").where(F.col("value") > F.col("min_value"))
-    fired = fired.join(broadcast_if_small(policies), "policy_id", "left")
+    fired = profile_long.join(rules, "metric").where(F.col("value") > F.col("min_value"))
+    fired = fired.join(policies, "policy_id", "left")
     params = F.struct(
         F.col("subset"), F.col("column"), F.col("strategy"), F.col("value_param").alias("value"),
         F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("repl"),
@@ -152,133 +174,151 @@ def propose(profile_long: DataFrame, rules: DataFrame, policies: DataFrame) -> D
 # ---------------------------------------------------------------- G2 / G4
 
 def policy_inventory(policies: DataFrame, docs: DataFrame, text_col: str = "text",
-                     doc_key: str = "doc_id", max_broadcast: int = DEFAULT_MAX_BROADCAST_PHRASES) -> DataFrame:
+                     doc_key: str = "doc_id") -> DataFrame:
     """``(doc_id, policy_id)`` for every document containing a policy phrase (case-insensitive)."""
-    from .textjoin import contains_join
-
-    j = contains_join(docs.select(doc_key, text_col), text_col,
-                      policies.select("policy_id", "phrase"), "phrase", max_broadcast)
+    j = contains_join(docs.select(doc_key, text_col), text_col, policies.select("policy_id", "phrase"), "phrase")
     return j.select(doc_key, "policy_id")
 
 
 def exploded_refs(props: DataFrame) -> DataFrame:
-    """One row per policy reference: ``id, ref_pos, policy_id, quote``."""
-    return (props.select("id", F.posexplode("policy_refs").alias("ref_pos", "ref"))
-            .select("id", "ref_pos", F.col("ref.policy_id").alias("policy_id"), F.col("ref.quote").alias("quote")))
+    """One row per policy reference and distinct proposal row: ``_row, ref_pos, ref`` and the trimmed quote ``q``.
+
+    ``_row`` is a digest of the whole proposal: proposals of several plans may share ids or have none, and rows that
+    are equal in every column have the same references and the same verdict.
+    """
+    return (props.select("_row", F.posexplode("policy_refs").alias("ref_pos", "ref")).distinct()
+            .withColumn("q", strip_ws(F.coalesce("ref.quote", F.lit("")))))
 
 
 def canonical_refs(props: DataFrame, policies: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Keep references whose policy id is known and whose canonical phrase
     (not the quote) occurs in the documents; ``policy_refs`` is rebuilt in order."""
     present = phrases_found(docs, text_col, policies, "phrase", ["policy_id"])
-    # The found ids are a subset of the policy ids: check the bound on the (cheap) policy table rather than
-    # counting ``present``, which would run the containment join once more.
-    if policies.select("policy_id").distinct().limit(DEFAULT_MAX_BROADCAST_ROWS + 1).count() <= DEFAULT_MAX_BROADCAST_ROWS:
-        present = F.broadcast(present)
-    kept = exploded_refs(props).join(present, "policy_id", "left_semi")
-    agg = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ref_pos", "policy_id", "quote"))).alias("r"))
-    refs = F.coalesce(F.transform("r", lambda x: F.struct(x["policy_id"].alias("policy_id"), x["quote"].alias("quote"))),
-                      F.array().cast(REF_TYPE))
-    return props.drop("policy_refs").join(agg, "id", "left").withColumn("policy_refs", refs).drop("r")
+    keyed = props.withColumn("_row", row_digest(props))
+    refs = exploded_refs(keyed).withColumn("policy_id", F.col("ref.policy_id"))
+    kept = refs.join(present, "policy_id", "left_semi")
+    agg = kept.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("ref_pos", "ref"))).alias("_r"))
+    refs = F.coalesce(F.transform("_r", lambda x: x["ref"]), F.array().cast(props.schema["policy_refs"].dataType))
+    return keyed.join(agg, "_row", "left").withColumn("policy_refs", refs).drop("_r", "_row")
 
 
 # ---------------------------------------------------------------- G3, G5-G8
 
 def verdicts(props: DataFrame, docs: DataFrame, text_col: str = "text",
-             columns: Sequence[str] | None = None, allowed_actions: Sequence[str] | None = FIX_ACTIONS,
-             threshold: float = CONFIDENCE_THRESHOLD,
-             max_broadcast: int = DEFAULT_MAX_BROADCAST_PHRASES) -> DataFrame:
-    """Per-proposal verdict: ``status``, ``notes``, matched ``policy_refs``.
-
-    Checks in note order: allowed action (G6, when ``allowed_actions``),
-    column exists (G7, when ``columns``), confidence (G5, missing = 0.0),
-    each reference's trimmed quote found case-insensitively in some document
-    (G3), and at least one matched reference.
+             columns: Sequence[str] | None = None, allowed_actions: Sequence[str] | None = None,
+             threshold: float = CONFIDENCE_THRESHOLD, key_cols: Sequence[str] = (), pii: bool = False) -> DataFrame:
+    """Per-proposal verdict: ``key_cols``, ``id``, ``status``, ``notes``, matched ``policy_refs``.
+
+    Checks: allowed action (G6), column exists (G7, when ``columns``),
+    confidence (G5, missing = 0.0), each reference's trimmed quote found
+    case-insensitively in some document (G3), at least one matched reference.
+    Notes come in that order; in the masking flow (``pii``) the references come
+    before the confidence and the note texts are that flow's.  ``key_cols``
+    (a plan's key, a position) are carried along.
     """
-    refs = exploded_refs(props).withColumn("q", strip_ws(F.coalesce("quote", F.lit(""))))
+    allowed = allowed_actions if allowed_actions is not None else MASK_ACTIONS if pii else FIX_ACTIONS
+    keyed = props.withColumn("_row", row_digest(props))
+    refs = exploded_refs(keyed)
     quotes = refs.select("q").where(F.col("q") != "").distinct()
-    found = phrases_found(docs, text_col, quotes, "q", ["q"], max_broadcast).withColumn("found", F.lit(True))
+    found = phrases_found(docs, text_col, quotes, "q", ["q"]).withColumn("found", F.lit(True))
     refs = refs.join(found, "q", "left").withColumn("found", F.coalesce("found", F.lit(False)))
-    note = (F.when(F.col("q") == "", F.lit(NOTE_EMPTY_QUOTE))
-            .when(~F.col("found"), F.concat(F.lit("Policy quote not found in RAG: '"), F.substring("q", 1, 60),
-                                             F.lit("...'"))))
-    per = refs.groupBy("id").agg(
+    missing = F.concat(F.lit("Policy quote not found: '" if pii else "Policy quote not found in RAG: '"), F.substring("q", 1, 60), F.lit("...'"))
+    note = F.when(~F.col("found"), missing)
+    if not pii:
+        note = F.when(F.col("q") == "", F.lit(NOTE_EMPTY_QUOTE)).otherwise(note)
+    per = refs.groupBy("_row").agg(
         F.array_sort(F.collect_list(F.struct("ref_pos", note.alias("note")))).alias("ref_notes"),
-        F.array_sort(F.collect_list(F.when(F.col("found") & (F.col("q") != ""),
-                                           F.struct("ref_pos", "policy_id", "quote")))).alias("matched"),
-    )
-    v = props.join(per, "id", "left")
+        F.array_sort(F.collect_list(F.when(F.col("found"), F.struct("ref_pos", "ref")))).alias("matched"))
+    v = keyed.join(per, "_row", "left")
     conf = F.coalesce(F.col("confidence"), F.lit(0.0))
-    col = F.col("params.column")
-    checks: list[tuple[Column, Column]] = []
-    if allowed_actions is not None:
-        bad = ~F.coalesce(F.col("action").isin(*allowed_actions), F.lit(False))
-        checks.append((bad, F.concat(F.lit("Action '"), F.coalesce("action", F.lit("None")), F.lit("' not allowed."))))
+    column = F.col("params.column")
+    checks = [(~F.coalesce(F.col("action").isin(*allowed), F.lit(False)),
+               F.concat(F.lit("Action '"), F.coalesce("action", F.lit("None")), F.lit("' not allowed.")))]
     if columns is not None:
-        bad = col.isNull() | ~F.coalesce(col.isin(*columns), F.lit(False))
-        checks.append((bad, F.concat(F.lit("Column '"), F.coalesce(col, F.lit("None")), F.lit("' not present."))))
+        checks.append((column.isNull() | ~F.coalesce(column.isin(*columns), F.lit(False)),
+                       F.concat(F.lit("Column '"), F.coalesce(column, F.lit("None")), F.lit("' not present."))))
     low = conf < threshold
-    checks.append((low, F.concat(F.lit("Low confidence ("), conf.cast("string"),
-                                 F.lit(f") - threshold {threshold}"))))
-    matched = F.coalesce(F.transform("matched", lambda x: F.struct(x["policy_id"].alias("policy_id"),
-                                                                   x["quote"].alias("quote"))),
-                         F.array().cast(REF_TYPE))
+    low_note = (F.concat(F.lit("Low confidence "), conf.cast("string"), F.lit(f" < {threshold:.2f}")) if pii else
+                F.concat(F.lit("Low confidence ("), conf.cast("string"), F.lit(f") - threshold {threshold}")))
+    none = F.array().cast(props.schema["policy_refs"].dataType)
+    matched = F.coalesce(F.transform("matched", lambda x: x["ref"]), none)
     no_match = F.size(matched) == 0
-    gate_notes = F.array(*[F.when(c, n) for c, n in checks])
-    ref_notes = F.coalesce(F.transform("ref_notes", lambda x: x["note"]), F.array().cast("array<string>"))
-    all_notes = F.filter(F.concat(gate_notes, ref_notes, F.array(F.when(no_match, F.lit(NOTE_NO_MATCH)))),
-                         lambda x: x.isNotNull())
-    rejected = no_match
+    gates = F.array(*[F.when(c, n) for c, n in checks])
+    low_notes = F.array(F.when(low, low_note))
+    ref_notes = F.concat(F.coalesce(F.transform("ref_notes", lambda x: x["note"]), F.array().cast("array<string>")),
+                         F.array(F.when(no_match, F.lit(PII_NOTE_NO_MATCH if pii else NOTE_NO_MATCH))))
+    notes = F.filter(F.concat(gates, ref_notes, low_notes) if pii else F.concat(gates, low_notes, ref_notes), lambda x: x.isNotNull())
+    rejected = no_match | low
     for c, _ in checks:
         rejected = rejected | c
     return v.select(
-        "id", "action", "params", F.coalesce("description", F.lit("")).alias("description"),
+        *key_cols, "id", "action", "params", F.coalesce("description", F.lit("")).alias("description"), conf.alias("confidence"),
         F.when(rejected, F.lit("rejected")).otherwise(F.lit("accepted")).alias("status"),
-        F.when(F.size(all_notes) > 0, F.array_join(all_notes, " ; ")).otherwise(F.lit(NOTE_VALIDATED)).alias("notes"),
-        matched.alias("policy_refs"),
-    )
+        F.when(F.size(notes) > 0, F.array_join(notes, " ; ")).otherwise(F.lit(NOTE_VALIDATED)).alias("notes"),
+        matched.alias("policy_refs"))
 
 
-def overall(verdict_df: DataFrame) -> DataFrame:
-    """One row ``overall_decision, n_proposals, n_rejected``; no proposals -> accept."""
-    return verdict_df.agg(
+def overall(verdict_df: DataFrame, key_cols: Sequence[str] = ()) -> DataFrame:
+    """``overall_decision, n_proposals, n_rejected``, one row (one per ``key_cols``); no proposals -> accept."""
+    return verdict_df.groupBy(*key_cols).agg(
         F.count(F.lit(1)).alias("n_proposals"),
         F.count_if(F.col("status") == "rejected").alias("n_rejected"),
-    ).select(F.when(F.col("n_rejected") > 0, F.lit("revise")).otherwise(F.lit("accept")).alias("overall_decision"),
+    ).select(*key_cols, F.when(F.col("n_rejected") > 0, F.lit("revise")).otherwise(F.lit("accept")).alias("overall_decision"),
              "n_proposals", "n_rejected")
 
 
-def suggested_changes(verdict_df: DataFrame) -> DataFrame:
-    """One suggestion per rejected proposal."""
-    return verdict_df.where(F.col("status") == "rejected").select("id", F.lit(NOTE_SUGGESTION).alias("note"))
+def suggested_changes(verdict_df: DataFrame, key_cols: Sequence[str] = (), pii: bool = False) -> DataFrame:
+    """One suggestion per rejected proposal; in the masking flow its ``reason`` is the verdict's notes."""
+    text = F.col("notes").alias("reason") if pii else F.lit(NOTE_SUGGESTION).alias("note")
+    return verdict_df.where(F.col("status") == "rejected").select(*key_cols, "id", text)
 
 
 # ---------------------------------------------------------------- G7 / G11, F10, G9
 
-def split_known_columns(props: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def split_known_columns(props: DataFrame, columns: Sequence[str], key_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(proposals on existing columns, one question per other proposal)."""
     col = F.col("params.column")
     known = F.coalesce(col.isin(*columns), F.lit(False)) if columns else F.lit(False)
     kept = props.where(known)
     questions = props.where(~known).select(
-        F.concat(F.lit("Column "), F.coalesce(col, F.lit("None")), F.lit(" not found for action "),
+        *key_cols, F.concat(F.lit("Column "), F.coalesce(col, F.lit("None")), F.lit(" not found for action "),
                  F.coalesce("id", F.lit("None"))).alias("question"),
         F.array().cast("array<string>").alias("related_columns"))
     return kept, questions
 
 
-def accepted_actions(verdict_df: DataFrame, partial_ok: bool = True) -> DataFrame:
+def accepted_actions(verdict_df: DataFrame, partial_ok: bool = True, key_cols: Sequence[str] = (),
+                     plan_cols: Sequence[str] = ()) -> DataFrame:
     """``{action, params}`` of accepted proposals.
 
     ``partial_ok=True`` (data-quality flow): accepted ones even when the plan is
-    ``revise``.  ``partial_ok=False`` (masking flow): all proposals, but only
-    when no proposal is rejected.
+    ``revise``.  ``partial_ok=False`` (masking flow): all proposals of a plan
+    (``plan_cols``; without them the whole table is one plan), but only when
+    none of it is rejected.  ``key_cols`` are carried along.
     """
+    out = [*key_cols, "id", "action", "params"]
     if partial_ok:
-        return verdict_df.where(F.col("status") == "accepted").select("id", "action", "params")
-    if not verdict_df.where(F.col("status") == "rejected").isEmpty():
-        return verdict_df.limit(0).select("id", "action", "params")
-    return verdict_df.select("id", "action", "params")
+        return verdict_df.where(F.col("status") == "accepted").select(*out)
+    plan = F.struct(F.lit(0), *plan_cols)
+    revised = verdict_df.where(F.col("status") == "rejected").select(plan.alias("_plan")).distinct()
+    return verdict_df.withColumn("_plan", plan).join(revised, "_plan", "left_anti").select(*out)
+
+
+def validate_masks(before_long: DataFrame, after_long: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """G9 (masking flow): one row ``accepted, notes, confidence`` from two personal-data profiles.
+
+    Accepted when no masked column still has a greater risk score or entity count than before, and at least one is
+    smaller.  A profile metric that is absent counts as 0.
+    """
+    watched = (F.col("metric") == "risk_score") | F.col("metric").startswith("ner_")
+    one = lambda df, sign: df.where(watched & F.col("column").isin(*columns)).select("column", "metric", (F.col("value") * sign).alias("v"))
+    change = one(before_long, -1).unionByName(one(after_long, 1)).groupBy("column", "metric").agg(F.sum("v").alias("d"))
+    got = change.agg(F.count_if(F.col("d") > 0).alias("worse"), F.count_if(F.col("d") < 0).alias("better"))
+    ok = (F.col("worse") == 0) & (F.col("better") > 0)
+    return got.select(ok.alias("accepted"), F.when(ok, F.lit("Sensitive signals reduced in the masked columns."))
+                      .when(F.col("worse") > 0, F.lit("A masked column shows more sensitive signals than before."))
+                      .otherwise(F.lit("No sensitive signal was reduced.")).alias("notes"),
+                      F.when(ok, F.lit(0.9)).otherwise(F.lit(0.2)).alias("confidence"))
 
 
 def validate_results(evaluation: DataFrame, after_profile: DataFrame, policy_active: DataFrame,

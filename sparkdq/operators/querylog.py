@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import querylog as QF
 from ..functions.text import as_col, strip_ws
-from .util import spread_small
 
 # Line breaks recognised when splitting SQL text into lines.
 LINE_BREAK_RE = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x85\u2028\u2029]"
@@ -39,7 +38,7 @@ def with_stats(df: DataFrame, sql_col: str, bytes_col: str, prefix: str = "",
 def report(df: DataFrame, sql_col: str = "sql", bytes_col: str = "bytes_scanned",
            scan_cols: tuple[str, ...] = ("bytes_scanned",), partition_col: str = "event_date") -> DataFrame:
     """Q8: nested report ``{query_text_stats, scan_stats, plan_stats}`` per query."""
-    out = with_stats(spread_small(df), sql_col, bytes_col, "", partition_col)
+    out = with_stats(df, sql_col, bytes_col, "", partition_col)
     scan = F.struct(*[F.col(c) for c in scan_cols if c in df.columns])
     return out.withColumn("report", F.struct(F.col("query_text_stats"), scan.alias("scan_stats"),
                                              F.col("plan_stats"))).drop("query_text_stats", "plan_stats")
@@ -51,7 +50,7 @@ def compare(df: DataFrame, before_col: str, after_col: str, bytes_col: str,
 
     A missing rewrite gives null statistics (and null deltas), not an error.
     """
-    out = with_stats(spread_small(df), before_col, bytes_col, "before_", partition_col)
+    out = with_stats(df, before_col, bytes_col, "before_", partition_col)
     out = with_stats(out, after_col, bytes_col, "after_", partition_col)
     return out.withColumn(
         "delta_num_joins", F.col("after_query_text_stats.num_joins") - F.col("before_query_text_stats.num_joins")
@@ -74,11 +73,13 @@ def line_changes(df: DataFrame, id_col: str, before_col: str, after_col: str) ->
     ``delta`` > 0: the line occurs that many more times after the rewrite;
     < 0: fewer times.  Rows whose rewrite is missing produce nothing.
     """
-    both = df.where(F.col(after_col).isNotNull() & F.col(before_col).isNotNull())
-    before = both.select(F.col(id_col), F.explode(split_lines(before_col)).alias("line"), F.lit(-1).alias("d"))
-    after = both.select(F.col(id_col), F.explode(split_lines(after_col)).alias("line"), F.lit(1).alias("d"))
-    return (before.unionByName(after).groupBy(id_col, "line").agg(F.sum("d").cast("int").alias("delta"))
-            .where(F.col("delta") != 0))
+    both = df.where(F.col(after_col).isNotNull() & F.col(before_col).isNotNull()).select(
+        F.col(id_col), split_lines(before_col).alias("_a"), split_lines(after_col).alias("_b"))
+    # Both texts are in one row: occurrences are counted inside it, nothing is shuffled.
+    count = lambda lines, x: F.size(F.filter(lines, lambda y: y == x))
+    deltas = F.transform(F.array_union("_a", "_b"), lambda x: F.struct(
+        x.alias("line"), (count(F.col("_b"), x) - count(F.col("_a"), x)).cast("int").alias("delta")))
+    return both.select(id_col, F.inline(deltas)).where(F.col("delta") != 0)
 
 
 def line_diff(df: DataFrame, id_col: str, before_col: str, after_col: str) -> DataFrame:
@@ -110,7 +111,7 @@ def line_diff(df: DataFrame, id_col: str, before_col: str, after_col: str) -> Da
     init = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit(0).alias("add"), F.lit(0).alias("rem"))
     walk = F.aggregate(F.sequence(F.lit(1), F.greatest(na + nb, F.lit(1))), init, step)
     has = F.col(before_col).isNotNull() & F.col(after_col).isNotNull()
-    lines = spread_small(df.select(id_col, before_col, after_col)).select(
+    lines = df.select(
         id_col, has.alias("_has"), F.array_sort(split_lines(after_col)).alias("_a"),
         F.array_sort(split_lines(before_col)).alias("_b"))
     counted = lines.select(id_col, "_has", "_a", "_b", F.size("_a").alias("_na"), F.size("_b").alias("_nb"))
@@ -122,11 +123,18 @@ REVIEW_SCHEMA = ("recommendations array<string>, risk_flags array<string>, "
                  "sql_quality_score double, complexity string")
 
 
+def _strings(json_text, path: str):
+    """The JSON value at ``path`` is a list whose items are all strings."""
+    text = F.get_json_object(json_text, path)
+    kinds = F.from_json(text, "array<variant>")
+    return F.coalesce(F.json_array_length(text).isNotNull() & F.forall(kinds, lambda v: F.schema_of_variant(v) == "STRING"), F.lit(False))
+
+
 def validate_reviews(df: DataFrame, review_col: str = "review") -> DataFrame:
     """Q12: parse a review and test the required shape.
 
     Valid when the text is a JSON object holding ``recommendations`` and
-    ``risk_flags`` arrays, ``sql_quality_score`` in 0..100 and a known
+    ``risk_flags`` lists of strings, an integer ``sql_quality_score`` in 0..100 and a known
     ``complexity``.
     """
     r = F.col(review_col)
@@ -134,8 +142,9 @@ def validate_reviews(df: DataFrame, review_col: str = "review") -> DataFrame:
     is_json = F.try_parse_json(r).isNotNull() & strip_ws(r).startswith("{")
     ok = (
         is_json
-        & parsed["recommendations"].isNotNull()
-        & parsed["risk_flags"].isNotNull()
+        & _strings(r, "$.recommendations")
+        & _strings(r, "$.risk_flags")
+        & F.coalesce(F.get_json_object(r, "$.sql_quality_score").rlike(r"^-?[0-9]+$"), F.lit(False))
         & parsed["sql_quality_score"].between(0, 100)
         & parsed["complexity"].isin(*COMPLEXITY_LEVELS)
     )

@@ -4,16 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from ..functions.vectors import literal_array
-from .util import spread_small
-
-DEFAULT_MAX_BROADCAST_QUERIES = 4096
 
 
 def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding") -> DataFrame:
@@ -28,133 +22,98 @@ def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding") ->
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias(vec_col))
 
 
-def _nearest_rows(dist, ids, k: int):
-    """Per row of ``dist`` (queries x candidates): the ``k`` smallest by (distance, id), sorted."""
-    m = dist.shape[1]
-    if m > k:
-        part = np.argpartition(dist, k - 1, axis=1)[:, :k]
-        sel = np.take_along_axis(dist, part, 1)
-        kth = sel.max(axis=1, keepdims=True)
-        # Rows where the k-th distance is tied with an unselected candidate: pick exactly by id.
-        for r in np.nonzero((dist == kth).sum(1) != (sel == kth).sum(1))[0]:
-            part[r] = np.lexsort((ids[r], dist[r]))[:k]
-        dist, ids = np.take_along_axis(dist, part, 1), np.take_along_axis(ids, part, 1)
-    order = np.lexsort((ids, dist))
-    return np.take_along_axis(dist, order, 1), np.take_along_axis(ids, order, 1)
-
-
-def _distances(x, mat, metric: str):
-    """``len(x) x len(mat)`` distances, accumulated over dimensions in order (as the Spark expressions do)."""
-    acc = np.zeros((x.shape[0], mat.shape[0]))
-    if metric == "l2":
-        for j in range(mat.shape[1]):
-            diff = x[:, j:j + 1] - mat[None, :, j]
-            acc += diff * diff
-        return acc
-    xx = np.zeros(x.shape[0])
-    qq = np.zeros(mat.shape[0])
-    for j in range(mat.shape[1]):
-        acc += x[:, j:j + 1] * mat[None, :, j]
-        xx += x[:, j] * x[:, j]
-        qq += mat[:, j] * mat[:, j]
-    return 1.0 - acc / (np.sqrt(xx)[:, None] * np.sqrt(qq)[None, :])
-
-
-def _partition_top_k(bmat, k: int, metric: str, cells: int):
-    """``mapInArrow`` body: this task's ``k`` nearest documents of every query."""
-
-    def run(batches):
+DOCS_PER_BLOCK, QUERIES_PER_BLOCK = 8192, 1024
+
+
+def _matrix(column, dim: int):
+    """Rows of a list column of ``dim`` components each."""
+    import numpy as np
+
+    return np.asarray(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
+
+
+def _block_top_k(k: int, metric: str, dim: int):
+    """Body of one (document block, query block) pair: each query's ``k`` nearest documents of the block.
+
+    Distances are summed over the dimensions in order, as the Spark expressions do.
+    """
+    def run(docs, queries):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        mat = bmat.value
-        nq, dim = mat.shape
-        best_d = best_i = None
-        id_type = None
-        for rb in batches:
-            id_type = rb.schema.field("_did").type
-            vec = rb.column(1)
-            keep = pc.equal(pc.fill_null(pc.list_value_length(vec), -1), dim)
-            rb = rb.filter(keep)
-            if rb.num_rows == 0:
-                continue
-            flat = pc.list_flatten(rb.column(1))
-            x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            ids = rb.column(0).to_numpy(zero_copy_only=False)
-            if ids.dtype == object:
-                ids = ids.astype(str)
-            if flat.null_count:  # a vector with a missing element has no distance
-                ok = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, dim).any(axis=1)
-                x, ids = x[ok], ids[ok]
-            step = max(1, cells // max(nq, 1))
-            for s in range(0, x.shape[0], step):
-                d = _distances(x[s:s + step], mat, metric).T
-                i = np.broadcast_to(ids[s:s + step], d.shape)
-                if best_d is not None:
-                    d, i = np.concatenate([best_d, d], 1), np.concatenate([best_i, i], 1)
-                best_d, best_i = _nearest_rows(d, i, k)
-        if best_d is None:
-            return
-        kk = best_d.shape[1]
-        yield pa.record_batch([pa.array(np.repeat(np.arange(nq, dtype=np.int32), kk)),
-                               pa.array(best_i.reshape(-1), type=id_type),
-                               pa.array(best_d.reshape(-1), type=pa.float64())],
-                              names=["_qi", "_did", "distance"])
+        out = []
+        if len(docs) and len(queries):
+            by_id = pc.sort_indices(docs.column("_did"))  # nulls last
+            docs = docs.take(by_id)
+            x, q = _matrix(docs.column("_dv"), dim), _matrix(queries.column("_qv"), dim)
+            square = lambda m: sum((m[:, j] * m[:, j] for j in range(dim)), np.zeros(len(m)))
+            xx = square(x)
+            for n in range(len(q)):
+                d = np.zeros(len(x))
+                for j in range(dim):
+                    d += (x[:, j] - q[n, j]) * (x[:, j] - q[n, j]) if metric == "l2" else x[:, j] * q[n, j]
+                at = np.arange(len(x))
+                if metric == "cosine":
+                    length = np.sqrt(xx) * np.sqrt(square(q[n : n + 1])[0])
+                    at = np.flatnonzero(length > 0)  # a vector without length has no direction
+                    d = 1.0 - d[at] / length[at]
+                near = at[np.argsort(d, kind="stable")[:k]]
+                out.append((n, near, np.sort(d, kind="stable")[:k]))
+        rows = pa.array([n for n, near, _ in out for _ in near], pa.int64())
+        picked = pa.array(np.concatenate([near for _, near, _ in out]).astype(np.int64) if out else [], pa.int64())
+        distance = pa.array(np.concatenate([d for _, _, d in out]) if out else [], pa.float64())
+        return pa.table({"_q": queries.column("_q").take(rows), "_did": docs.column("_did").take(picked), "distance": distance})
 
     return run
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 3, metric: str = "l2", doc_id: str = "vec_id",
-          query_id: str = "query_id", vec_col: str = "embedding",
-          max_broadcast: int = DEFAULT_MAX_BROADCAST_QUERIES, cells: int = 4_000_000) -> DataFrame:
+          query_id: str = "query_id", vec_col: str = "embedding", docs_per_block: int = DOCS_PER_BLOCK,
+          queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """The ``k`` nearest documents of every query, ``(query_id, rank, doc_id, distance)``.
 
-    Exact search without a join and without one row per (document, query)
-    pair: the query matrix (count checked against ``max_broadcast``) is
-    broadcast once, each task scores its Arrow batches with numpy (at most
-    ``cells`` distances in memory at a time, summed over dimensions in the
-    same order as the Spark expressions) and keeps only its ``k`` nearest
-    documents per query.  ``row_number() <= k`` per query then merges at most
-    k rows per task and query.  Larger query sets run in blocks of
-    ``max_broadcast`` queries.  ``metric``: ``l2`` (squared Euclidean) or
-    ``cosine`` (1 - cosine similarity).  Ties are broken by document id;
-    documents whose vector is missing, has a missing element or another
-    length than the queries' are skipped.
+    Exact search.  Documents and distinct query vectors are dealt into blocks by
+    a hash; every pair of blocks is one group that a task scores with numpy,
+    keeping the ``k`` nearest documents per query, and ``row_number() <= k``
+    merges those.  Neither side passes through the driver and any number of
+    queries takes the same way.  ``metric``: ``l2`` (squared Euclidean) or
+    ``cosine`` (1 - cosine similarity; vectors without length are left out).
+    Ties go to the smaller document id, null ids last.  Vectors that are missing,
+    have a missing or NaN element, or not the queries' length (the most frequent
+    one) are skipped.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric}")
-    spark = docs.sparkSession
-    d = docs.select(F.col(doc_id).alias("_did"), F.col(vec_col).cast("array<double>").alias("_dv"))
-    # Exact copies of a query give the same hits: keep one, so copies cannot pile into one block.
-    q = queries.select(F.col(query_id).alias("_qid"), F.col(vec_col).cast("array<double>").alias("_qv")).distinct()
-    first = q.limit(max_broadcast + 1).collect()
-    blocks = 1 if len(first) <= max_broadcast else max(2, -(-q.count() // max_broadcast))
-    id_type = queries.schema[query_id].dataType.simpleString()
-    out_schema = f"_qi int, _did {docs.schema[doc_id].dataType.simpleString()}, distance double"
-    parts = []
-    for b in range(blocks):
-        rows = first if blocks == 1 else q.where(F.pmod(F.xxhash64("_qid", "_qv"), F.lit(blocks)) == b).collect()
-        if len(rows) > 2 * max_broadcast:
-            raise ValueError(f"query block of {len(rows)} rows exceeds twice the bound {max_broadcast}")
-        rows = [r for r in rows if r["_qv"] is not None and None not in r["_qv"]]
-        if not rows:
-            continue
-        if len({len(r["_qv"]) for r in rows}) != 1:
-            raise ValueError("query vectors differ in length")
-        mat = spark.sparkContext.broadcast(np.array([r["_qv"] for r in rows], dtype=np.float64))
-        ids = literal_array([r["_qid"] for r in rows], id_type)
-        scored = d.mapInArrow(_partition_top_k(mat, k, metric, cells), out_schema).select(
-            F.element_at(ids, F.col("_qi") + 1).alias("_qid"), "_did", "distance")
-        w = Window.partitionBy("_qid").orderBy("distance", "_did")
-        parts.append(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-    if not parts:
-        return spark.createDataFrame(
-            [], f"{query_id} {id_type}, rank int, {doc_id} {docs.schema[doc_id].dataType.simpleString()}, "
-                f"distance double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(F.col("_qid").alias(query_id), "rank", F.col("_did").alias(doc_id), "distance")
+    whole = lambda c: F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x))
+    d = docs.select(F.col(doc_id).alias("_did"), F.col(vec_col).cast("array<double>").alias("_dv")).where(whole(F.col("_dv")))
+    q = queries.select(F.col(query_id).alias("_qid"), F.col(vec_col).cast("array<double>").alias("_qv")).where(whole(F.col("_qv")))
+    size = q.agg(F.mode(F.size("_qv")), F.count(F.lit(1))).first()
+    dim, n_q = size[0] or 0, size[1]
+    n_d = d.count()
+    d_blocks, q_blocks = -(-n_d // docs_per_block) or 1, -(-n_q // queries_per_block) or 1
+    # Equal query vectors have equal hits: each is searched once, under a key made of the vector.
+    keyed = q.where(F.size("_qv") == dim).withColumn("_q", F.xxhash64(F.to_json(F.struct("_qv"))))
+    once = keyed.select("_q", "_qv").distinct()
+    deal = lambda h, n: F.pmod(h, F.lit(n)).cast("int")
+    left = d.where(F.size("_dv") == dim).select("_did", "_dv", deal(F.xxhash64("_did", F.to_json(F.struct("_dv"))), d_blocks).alias("_db"),
+                                               F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_qb"))
+    right = once.select("_q", "_qv", deal(F.col("_q"), q_blocks).alias("_b2"), F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).alias("_b1"))
+    schema = f"_q bigint, _did {docs.schema[doc_id].dataType.simpleString()}, distance double"
+    near = left.groupBy("_db", "_qb").cogroup(right.groupBy("_b1", "_b2")).applyInArrow(_by_value(_block_top_k(k, metric, dim)), schema)
+    best = Window.partitionBy("_q").orderBy("distance", F.asc_nulls_last("_did"))
+    ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.join(keyed.select("_q", "_qid"), "_q").select(F.col("_qid").alias(query_id), "rank", F.col("_did").alias(doc_id), "distance")
+
+
+def _by_value(function):
+    """``function`` so pickled that executors need not have this library on their path."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    return function
 
 
 def flatten_dedupe(df: DataFrame, text_col: str = "text", order_col: str = "doc_id",
@@ -177,7 +136,7 @@ def flatten_dedupe(df: DataFrame, text_col: str = "text", order_col: str = "doc_
     if t.startswith("struct"):
         names = [f for f in fields if f in x.schema[text_col].dataType.fieldNames()]
         x = x.withColumn(text_col, F.coalesce(*[F.col(f"{text_col}.{f}").cast("string") for f in names]))
-    s = spread_small(x.select(order_col, text_col)).select(
+    s = x.select(
         order_col, strip_ws(F.col(text_col).cast("string")).alias("_t")).where(F.col("_t") != "")
     if not with_text:
         return s.groupBy(F.sha2("_t", 256)).agg(F.min(order_col).alias(order_col),
@@ -198,10 +157,18 @@ def combined_text(hits: DataFrame, docs: DataFrame, query_id: str = "query_id",
                      sep).alias("combined_text"))
 
 
-def ingest(new_docs: DataFrame, existing: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents of ``new_docs`` whose id is not stored yet (first row per new id).
+def read_documents(spark, path: str) -> DataFrame:
+    """Whole text files below ``path`` as ``(doc_id, text)``; the id is the file's path."""
+    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
 
-    Append the result to the store; an id already present is kept, not replaced.
+
+def ingest(new_docs: DataFrame, existing: DataFrame, key: str = "doc_id", order_by: Sequence[str] = ()) -> DataFrame:
+    """Documents of ``new_docs`` whose id is not stored yet, one row per new id.
+
+    The first row by ``order_by`` (then by the other columns) is kept.  Append
+    the result to the store; an id already present is kept, not replaced.
     """
-    fresh = new_docs.dropDuplicates([key])
-    return fresh.join(existing.select(key), key, "left_anti")
+    from .fixes import drop_duplicates
+
+    fresh = drop_duplicates(new_docs, [key], list(order_by))
+    return fresh.join(existing.select(key), key, "left_anti").select(*new_docs.columns)

@@ -7,14 +7,14 @@ exemplars; D3 turns both into a 0-100 risk score and D4 into a level.
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, literal_array, norm
-from .util import broadcast_if_small, spread_small
+from ..functions.vectors import dot, norm
+from .util import col
 
 ENTITY_CLASSES = ("PERSON", "GPE", "LOC", "DATE")
 
@@ -59,14 +59,13 @@ def gazetteer_frame(spark: SparkSession, gazetteer: Mapping[str, Sequence[str]]
     return spark.createDataFrame(sorted(seen.items()), "word string, class string")
 
 
-def unpivot_strings(df: DataFrame, columns: Sequence[str] | None = None, key_cols: Sequence[str] = ()) -> DataFrame:
-    """``(key_cols..., column, value)`` for every present value of the string columns."""
+def unpivot_strings(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[Column] = (), skip: Sequence[str] = ()) -> DataFrame:
+    """``(keep..., column, value)`` for every present value of the string columns (or of ``columns``)."""
     cols = list(columns) if columns is not None else [f.name for f in df.schema.fields
                                                         if f.dataType.simpleString() == "string"]
-    cols = [c for c in cols if c in df.columns and c not in key_cols]
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
-    return (df.select(*key_cols, F.inline(pairs))
-            .where(F.col("value").isNotNull()))
+    cols = [c for c in cols if c in df.columns and c not in skip]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in cols])
+    return df.select(*keep, F.inline(pairs)).where(F.col("value").isNotNull())
 
 
 def entity_counts(df: DataFrame, columns: Sequence[str] | None = None, gazetteer: DataFrame | None = None,
@@ -75,36 +74,33 @@ def entity_counts(df: DataFrame, columns: Sequence[str] | None = None, gazetteer
     """``(group, class, n)`` for PERSON, GPE, LOC, DATE.
 
     By default every value is read (``sample_rows=None``).  ``sample_rows=20``
-    with an ``order_by`` reproduces the first-20-values reading.  A group whose
-    text is blank gets no rows.
+    with an ``order_by`` reproduces the first-20-values reading; the order
+    columns stay columns that are read.  A group whose text is blank gets no
+    rows.  One pass: each value gives its date count and its words, the words
+    meet the gazetteer, and the counts of a group are summed once.
     """
     spark = df.sparkSession
-    # The built-in word list has a known size (a few dozen rows): broadcast it without a counting job.
-    gaz = broadcast_if_small(gazetteer) if gazetteer is not None else F.broadcast(gazetteer_frame(spark))
-    key_cols = [group_col] if group_col != "column" else []
-    vals = unpivot_strings(spread_small(df), columns, key_cols + list(order_by or []))
-    if group_col == "column":
-        key = "column"
-    else:
-        key = group_col
+    gaz = gazetteer if gazetteer is not None else gazetteer_frame(spark)
+    own = [group_col] if group_col != "column" else []
+    order = [col(c).alias(f"_o{i}") for i, c in enumerate(order_by or [])]
+    vals = unpivot_strings(df, columns, [col(c).alias(c) for c in own] + order, own)
+    key = group_col
     if sample_rows is not None:
         from pyspark.sql import Window
 
-        w = Window.partitionBy(key).orderBy(*(order_by or ["value"]))
-        vals = vals.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample_rows).drop("_rn")
-    vals = vals.select(key, "value")
-    # One pass for presence and DATE counts, one streamed pass for the gazetteer join.
-    per_key = vals.groupBy(key).agg(
-        F.max(~F.col("value").rlike(r"^\s*$")).alias("_present"),
-        F.sum(F.regexp_count("value", F.lit(DATE_RE))).alias("_dates"))
-    words = vals.select(key, F.explode(F.split(F.lower("value"), NON_WORD_RE)).alias("word")).where(F.col("word") != "")
-    named = words.join(gaz, "word").groupBy(key, "class").agg(F.count(F.lit(1)).alias("n"))
-    grid = per_key.where("_present").select(
-        key, F.inline(F.array(*[F.struct(F.lit(c).alias("class"),
-                                         (F.col("_dates") if c == "DATE" else F.lit(None).cast("bigint")).alias("d"))
-                                for c in ENTITY_CLASSES])))
-    return (grid.join(named, [key, "class"], "left")
-            .select(key, "class", F.coalesce(F.col("n"), F.col("d"), F.lit(0)).cast("bigint").alias("n")))
+        w = Window.partitionBy(col(key)).orderBy(*([F.col(f"_o{i}") for i in range(len(order))] or ["value"]))
+        vals = vals.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample_rows)
+    vals = vals.select(col(key).alias("_k"), "value")
+    marks = F.array(F.struct(F.lit(None).cast("string").alias("word"), F.regexp_count("value", F.lit(DATE_RE)).alias("dates"),
+                             (~F.col("value").rlike(r"^\s*$")).alias("present")))
+    words = F.transform(F.array_remove(F.split(F.lower("value"), NON_WORD_RE), ""), lambda x: F.struct(
+        x.alias("word"), F.lit(0).alias("dates"), F.lit(False).alias("present")))
+    found = vals.select("_k", F.inline(F.concat(marks, words))).join(gaz, "word", "left")
+    per_key = found.groupBy("_k").agg(
+        F.max("present").alias("present"), F.sum("dates").alias("DATE"),
+        *[F.count_if(F.col("class") == c).alias(c) for c in ENTITY_CLASSES if c != "DATE"])
+    rows = F.array(*[F.struct(F.lit(c).alias("class"), F.col(c).cast("bigint").alias("n")) for c in ENTITY_CLASSES])
+    return per_key.where("present").select(F.col("_k").alias(key), F.inline(rows))
 
 
 def entity_counts_with_model(df: DataFrame, extractor, columns: Sequence[str] | None = None,
@@ -124,7 +120,7 @@ def entity_counts_with_model(df: DataFrame, extractor, columns: Sequence[str] |
         labels = pandas_udf(lambda values: extractor(values), "array<string>", PandasUDFType.SCALAR)
 
     key_cols = [group_col] if group_col != "column" else []
-    vals = unpivot_strings(df, columns, key_cols)
+    vals = unpivot_strings(df, columns, [col(c).alias(c) for c in key_cols], key_cols)
     key = group_col
     present = vals.where(~F.col("value").rlike(r"^\s*$")).select(key).distinct()
     found = (vals.select(key, F.explode(labels("value")).alias("class"))
@@ -134,83 +130,37 @@ def entity_counts_with_model(df: DataFrame, extractor, columns: Sequence[str] |
 
 
 def exemplar_similarity(vectors: DataFrame, exemplars: DataFrame, id_col: str = "vec_id",
-                        vec_col: str = "embedding", class_col: str = "class", digits: int = 3,
-                        max_literal: int = 1024) -> DataFrame:
+                        vec_col: str = "embedding", class_col: str = "class", digits: int = 3) -> DataFrame:
     """Mean cosine similarity of every vector with each class's exemplars.
 
-    The exemplar set is checked by count; up to ``max_literal`` exemplars are
-    shipped once as a literal matrix and every vector computes its dot
-    products with all of them in one projection (no join, one pass, the
-    vector's norm computed once).  Larger exemplar sets are reduced first: the
-    mean cosine is linear in the normalised exemplars, so a distributed
-    aggregate per (class, position) turns any number of exemplars into one
-    vector per class, and only those (at most ``max_literal`` classes) are
-    shipped.
+    The mean cosine is linear in the normalised exemplars,
+    ``mean_e cos(v, e) = (v . sum_e e/|e|) / (n |v|)``, so a distributed sum per
+    (class, position) turns any number of exemplars into one vector per class,
+    and the classes' vectors reach the rows as one value.  Exemplars without
+    length (null, zero, or with a missing or NaN part) are left out; a vector
+    without length has a null similarity.
     """
-    ex = exemplars.select(F.col(class_col).cast("string").alias("c"),
-                          F.col(vec_col).cast("array<double>").alias("v")).limit(max_literal + 1).collect()
-    if len(ex) > max_literal:
-        return _class_mean_similarity(vectors, exemplars, id_col, vec_col, class_col, digits, max_literal)
-    ex = sorted(((r["c"], [float(x) for x in r["v"]]) for r in ex), key=lambda t: t[0])
-    if not ex:
-        return vectors.select(id_col, F.lit(None).cast("string").alias("class"),
-                              F.lit(None).cast("double").alias("similarity")).limit(0)
-    # Exemplar norms are computed here with the same left-to-right summation as the executors use.
-    norms = []
-    for _, v in ex:
-        acc = 0.0
-        for x in v:
-            acc += x * x
-        norms.append(math.sqrt(acc))
-    mat = literal_array([v for _, v in ex])
-    dv = F.col(vec_col).cast("array<double>")
-    dots = F.transform(mat, lambda e: dot(dv, e))
-    nd = norm(dv)
-    sims = []
-    i = 0
-    while i < len(ex):
-        cls = ex[i][0]
-        total = None
-        j = i
-        while j < len(ex) and ex[j][0] == cls:
-            c = F.element_at(F.col("_dots"), j + 1) / (F.col("_nd") * F.lit(norms[j]))
-            total = c if total is None else total + c
-            j += 1
-        sims.append(F.struct(F.lit(cls).alias("class"), F.round(total / (j - i), digits).alias("similarity")))
-        i = j
-    return (vectors.select(id_col, dots.alias("_dots"), nd.alias("_nd"))
-            .select(id_col, F.inline(F.array(*sims))))
-
-
-def _class_mean_similarity(vectors: DataFrame, exemplars: DataFrame, id_col: str, vec_col: str, class_col: str,
-                           digits: int, max_classes: int) -> DataFrame:
-    """D2 for large exemplar sets: ``mean_e cos(v, e) = (v . sum_e e/|e|) / (n |v|)`` per class."""
     v = F.col(vec_col).cast("array<double>")
-    unit = exemplars.select(F.col(class_col).cast("string").alias("c"),
-                            F.transform(v, lambda x: x / norm(v)).alias("u"))
-    per_pos = unit.select("c", F.posexplode("u").alias("pos", "x")).groupBy("c", "pos").agg(F.sum("x").alias("s"))
-    sums = per_pos.groupBy("c").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda t: t["s"]).alias("s"))
-    counts = unit.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    cls = sums.join(counts, "c").limit(max_classes + 1).collect()
-    if len(cls) > max_classes:
-        raise ValueError(f"more than {max_classes} exemplar classes (the output has one row per vector and class)")
-    cls = sorted((r["c"], [float(x) for x in r["s"]], r["n"]) for r in cls)
-    mat = literal_array([c[1] for c in cls])
-    dv = F.col(vec_col).cast("array<double>")
-    sims = [F.struct(F.lit(c).alias("class"),
-                     F.round(F.element_at(F.col("_dots"), i + 1) / (F.col("_nd") * F.lit(float(n))), digits)
-                     .alias("similarity"))
-            for i, (c, _, n) in enumerate(cls)]
-    return (vectors.select(id_col, F.transform(mat, lambda e: dot(dv, e)).alias("_dots"), norm(dv).alias("_nd"))
-            .select(id_col, F.inline(F.array(*sims))))
+    unit = exemplars.select(F.col(class_col).cast("string").alias("c"), v.alias("v"), norm(v).alias("l")).where("l > 0 AND l < double('Infinity')")
+    unit = unit.select("c", F.transform("v", lambda x: F.try_divide(x, F.col("l"))).alias("u"))
+    per_pos = unit.select("c", F.posexplode("u").alias("pos", "x")).groupBy("c", "pos").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    classes = per_pos.groupBy("c").agg(F.max("n").alias("n"), F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda t: t["s"]).alias("s"))
+    every = classes.agg(F.array_sort(F.collect_list(F.struct("c", "n", "s"))).alias("e")).scalar()
+    own = vectors.select(id_col, v.alias("_v"), norm(v).alias("_l"), every.alias("_e"))
+    ok = (F.col("_l") > 0) & (F.col("_l") < float("inf"))
+    sims = F.transform("_e", lambda e: F.struct(e["c"].alias("class"), F.when(
+        ok, F.round(F.try_divide(dot(F.col("_v"), e["s"]), e["n"] * F.col("_l")), digits)).alias("similarity")))
+    return own.select(id_col, F.inline(sims))
 
 
 def risk_scores(entities: DataFrame, similarities: DataFrame, key: str = "column",
-                has_email_check: bool = False, class_names: Mapping[str, str] | None = None) -> DataFrame:
+                has_email_check: bool = False, class_names: Mapping[str, str] | None = None,
+                with_counts: bool = False) -> DataFrame:
     """D3: ``(key, risk_score)`` for every key of the similarity side (as the reference iterates).
 
     ``entities``: ``(key, class, n)`` from D1; ``similarities``: ``(key, class, similarity)``.
+    ``with_counts`` adds the entity counts as ``e_<CLASS>``.
     ``class_names`` maps similarity classes to the bonus classes name/email/phone/dob.
     """
     sim = similarities
@@ -228,7 +178,8 @@ def risk_scores(entities: DataFrame, similarities: DataFrame, key: str = "column
         score = score + F.when(F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) > SIMILARITY_THRESHOLD, bonus).otherwise(0)
     if has_email_check:
         score = score + F.when(F.col(key).cast("string").contains("mail"), EMAIL_CHECK_BONUS).otherwise(0)
-    return j.select(key, F.least(score, F.lit(RISK_CAP)).cast("int").alias("risk_score"))
+    counts = [F.col(f"e_{c}") for c in ENTITY_CLASSES] if with_counts else []
+    return j.select(key, F.least(score, F.lit(RISK_CAP)).cast("int").alias("risk_score"), *counts)
 
 
 def risk_level(score: Column | str) -> Column:
@@ -240,9 +191,8 @@ def risk_level(score: Column | str) -> Column:
 def term_hits(df: DataFrame, text_col: str, group_cols: Sequence[str], terms: Sequence[str] = SENSITIVE_TERMS
               ) -> DataFrame:
     """``(group..., term, n)`` case-insensitive whole-word occurrences of each term."""
-    alt = "|".join(sorted((t.lower() for t in terms), key=len, reverse=True))
-    pat = rf"\b({alt})\b"
-    df = spread_small(df.select(*group_cols, text_col))
+    alt = "|".join(re.escape(t.lower()) for t in sorted(terms, key=len, reverse=True))
+    pat = rf"(?<!\w)({alt})(?!\w)"
     hits = df.select(*group_cols, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(pat), F.lit(1))).alias("term"))
     return hits.groupBy(*group_cols, "term").agg(F.count(F.lit(1)).alias("n"))
 

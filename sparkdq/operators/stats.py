@@ -1,107 +1,77 @@
-"""Exact column statistics that stay distributed.
-
-``exact_median`` narrows a value bracket with ``percentile_approx`` until the
-bracket holds few enough rows, then counts distinct values inside it.  Only
-that bounded value->count list reaches the driver, so the work per task stays
-bounded even for a huge column or one value holding a third of all rows.
-"""
+"""Exact column statistics that stay distributed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import struct
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+from .util import col
+
 
 def _values(df: DataFrame, c: str) -> DataFrame:
-    x = F.col(c).cast("double")
+    x = col(c).cast("double")
     if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
         x = F.nanvl(x, F.lit(None).cast("double"))
     return df.select(x.alias("x")).where(F.col("x").isNotNull())
 
 
-def mean(df: DataFrame, c: str) -> float | None:
-    """Mean of the non-missing values (NaN is missing); one scalar to the driver."""
-    return _values(df, c).agg(F.avg("x")).first()[0]
+def mean(df: DataFrame, c: str) -> Column:
+    """Mean of the non-missing values (NaN is missing) as a scalar subquery: no job runs until it is used."""
+    return _values(df, c).agg(F.avg("x")).scalar()
+
 
+def exact_median(df: DataFrame, c: str) -> float | None:
+    """Exact median (mean of the two middle values), like pandas / DuckDB ``median``.
 
-def exact_median(df: DataFrame, c: str, max_collect: int = 200_000, accuracy: int = 10_000,
-                 max_rounds: int = 8) -> float | None:
-    """Exact median (mean of the two middle values), like pandas / DuckDB ``median``."""
-    x = _values(df, c)
+    Values are mapped to 64-bit integers in their own order, and the rank is
+    followed down that integer's bits, ``BITS`` at a time: one grouped count per
+    step, each of at most ``2 ** BITS`` rows, says which range holds the rank.
+    Four passes over one written column find the value, however the values lie
+    and however often one repeats; every size of input takes the same steps.
+    """
+    x = _written(_values(df, c).select(_ordered(F.col("x")).alias("o")))
     n = x.count()
     if n == 0:
         return None
-    k1, k2 = (n - 1) // 2, n // 2  # 0-based ranks of the middle values
-    lo = hi = None
-    below, inside = 0, n
-    margin = 3.0 / accuracy
-    for _ in range(max_rounds):
-        sub = x
-        if lo is not None:
-            sub = sub.where((F.col("x") >= lo) & (F.col("x") <= hi))
-        if inside <= max_collect:
-            break
-        r1, r2 = k1 - below, k2 - below
-        p_lo = max(0.0, r1 / inside - margin)
-        p_hi = min(1.0, (r2 + 1) / inside + margin)
-        q = sub.agg(F.percentile_approx("x", [p_lo, p_hi], accuracy).alias("q")).first()["q"]
-        nlo, nhi = float(q[0]), float(q[1])
-        cnt = sub.agg(
-            F.count_if(F.col("x") < nlo).alias("b"),
-            F.count_if((F.col("x") >= nlo) & (F.col("x") <= nhi)).alias("i"),
-        ).first()
-        nb, ni = below + cnt["b"], cnt["i"]
-        if not (nb <= k1 and nb + ni > k2) or ni >= inside:
-            break  # bracket did not shrink safely; count the current one
-        lo, hi, below, inside = nlo, nhi, nb, ni
-    sub = x if lo is None else x.where((F.col("x") >= lo) & (F.col("x") <= hi))
-    v1, v2 = _values_at_ranks(sub, k1 - below, k2 - below, max_collect, n_rows=inside)
-    return (v1 + v2) / 2.0
-
-
-def _values_at_ranks(sub: DataFrame, r1: int, r2: int, max_collect: int, buckets: int = 4096,
-                     max_rounds: int = 64, n_rows: int | None = None) -> tuple[float, float]:
-    """Values of the 0-based ranks ``r1 <= r2 <= r1 + 1`` among the ``n_rows`` rows of ``sub`` (column ``x``).
-
-    Distinct values with their counts are collected only once the range holds
-    at most ``max_collect`` rows; before that the range is cut into
-    ``buckets`` equal-width buckets (their counts are all that reaches the
-    driver) and narrowed to the bucket holding the ranks.  A range holding
-    one value ends the search.
-    """
-    if n_rows is None:
-        n_rows = sub.count()
-    for _ in range(max_rounds):
-        if n_rows <= max_collect:
-            seen, v1 = 0, None
-            for row in sub.groupBy("x").count().orderBy("x").collect():  # at most n_rows entries
-                nxt = seen + row["count"]
-                if v1 is None and r1 < nxt:
-                    v1 = row["x"]
-                if r2 < nxt:
-                    return v1, row["x"]
-                seen = nxt
-            raise RuntimeError("rank beyond the rows of the range")
-        lim = sub.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-        lo, hi = lim["lo"], lim["hi"]
-        if lo == hi:
-            return lo, hi
-        b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(hi - lo) * buckets).cast("int"), F.lit(buckets - 1))
-        hist = sub.groupBy(b.alias("b")).count().orderBy("b").collect()  # at most ``buckets`` rows
-        seen, b1, b2, below, size = 0, None, None, 0, 0
-        for row in hist:
-            nxt = seen + row["count"]
-            if b1 is None and r1 < nxt:
-                b1, below, size = row["b"], seen, row["count"]
-            if r2 < nxt:
-                b2 = row["b"]
+    a = _value_at(x, (n - 1) // 2)
+    return a if n % 2 else (a + _value_at(x, n // 2)) / 2.0
+
+
+BITS = 16
+
+
+def _written(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = scratch_path(spark, "column")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _ordered(x: Column) -> Column:
+    """The double's bits as an integer that sorts like the double (0.0 and -0.0 alike)."""
+    b = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.when(x == 0, F.lit(0.0)).otherwise(x)).cast("bigint")
+    return F.when(b < 0, b.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(b)
+
+
+def _value_at(x: DataFrame, rank: int) -> float:
+    low, size = None, 64
+    rows = x
+    while size:
+        size -= BITS
+        part = F.shiftright("o", size)
+        for value, count in sorted(rows.groupBy(part.alias("p")).count().collect()):  # at most 2 ** BITS rows
+            if rank < count:
+                low = value
                 break
-            seen = nxt
-        if b1 != b2:  # the two middle ranks straddle adjacent non-empty buckets
-            ends = sub.agg(F.max(F.when(b == b1, F.col("x"))).alias("v1"),
-                           F.min(F.when(b == b2, F.col("x"))).alias("v2")).first()
-            return ends["v1"], ends["v2"]
-        sub = sub.where(b == b1)
-        r1, r2, n_rows = r1 - below, r2 - below, size
-    raise RuntimeError("median search did not converge")
+            rank -= count
+        rows = rows.where(part == low)
+    return _double(low)
+
+
+def _double(o: int) -> float:
+    bits = o if o >= 0 else o ^ ((1 << 63) - 1)
+    return struct.unpack("<d", struct.pack("<q", bits))[0]

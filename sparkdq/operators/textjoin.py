@@ -16,12 +16,9 @@ only the candidate pairs sharing a key are verified with ``contains``:
 * a phrase without any word character is keyed by its first character;
   documents are exploded into their distinct characters.
 
-The phrase side of each equi-join is broadcast when its row count is within
-``max_broadcast`` (a checked bound).  Beyond it only (text digest, key) pairs
-are shuffled to find candidate pairs, and the documents are shuffled once, by
-digest, to verify them; adaptive execution splits skewed partitions.  Up to
-``scan_all_max`` phrases a streamed scan with one ``contains`` per phrase is
-cheaper than tokenising and is used instead.
+Only (text digest, key) pairs meet the phrases; the candidate pairs are then
+joined back to the documents by digest and verified.  Adaptive execution
+broadcasts a side whose bytes are below its threshold and splits skewed keys.
 """
 
 from __future__ import annotations
@@ -29,14 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import spread_small
-
 TOKEN_RE = r"[\p{L}\p{N}]+"
 NON_TOKEN_RE = r"[^\p{L}\p{N}]+"
-DEFAULT_MAX_BROADCAST_PHRASES = 100_000
-# Up to this many phrases a plain scan with ``contains`` per phrase is cheaper
-# than tokenising every document.
-SCAN_ALL_MAX_PHRASES = 16
 # Longest character gram used to key phrases of one or two tokens.
 MAX_GRAM = 3
 
@@ -58,16 +49,13 @@ def _token_grams(text, g: int):
     return F.array_distinct(F.flatten(grams))
 
 
-def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str,
-                  max_broadcast: int = DEFAULT_MAX_BROADCAST_PHRASES, ignore_case: bool = True,
-                  scan_all_max: int = SCAN_ALL_MAX_PHRASES) -> DataFrame:
+def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str, ignore_case: bool = True) -> DataFrame:
     """Rows of ``docs`` x ``phrases`` where the document text contains the phrase.
 
     Empty phrases never match.  Output keeps every column of both sides
     (column names must not clash).
     """
     lower = F.lower if ignore_case else (lambda c: c)
-    d = docs.withColumn("_lt", lower(F.col(text_col)))
     p = phrases.withColumn("_lp", lower(F.col(phrase_col))).where(F.length("_lp") > 0)
     toks = _tokens(F.col("_lp"))
     interior = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
@@ -78,42 +66,23 @@ def contains_join(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col
         "_key", F.when(F.col("_kind") == 0, _longest(interior))
                  .when(F.col("_kind") == 4, F.substring("_lp", 1, 1))
                  .otherwise(F.substring(longest, 1, g)))
-    counts = p.groupBy("_kind").count().collect()  # at most five rows
-    by_kind = {r["_kind"]: r["count"] for r in counts}
-    if sum(by_kind.values()) <= scan_all_max:  # a handful of phrases: one contains() per phrase and document
-        j = d.join(F.broadcast(p.drop("_key", "_kind")), F.col("_lt").contains(F.col("_lp")), "inner")
-        return j.drop("_lt", "_lp")
-    d = spread_small(docs).withColumn("_lt", lower(F.col(text_col)))  # tokenising is CPU-bound per row
-    doc_keys = {0: lambda: F.array_distinct(_tokens(F.col("_lt"))),
-                4: lambda: F.array_distinct(F.split(F.col("_lt"), ""))}
-    parts = []
-    for kind in sorted(by_kind):
-        side = p.where(F.col("_kind") == kind).drop("_kind")
-        keys = doc_keys[kind]() if kind in doc_keys else _token_grams(F.col("_lt"), kind)
-        if by_kind[kind] <= max_broadcast:
-            # Broadcast side: the exploded rows stream through the join in the same task, text included.
-            exploded = d.withColumn("_key", F.explode(keys))
-            parts.append(exploded.join(F.broadcast(side), "_key", "inner")
-                         .where(F.col("_lt").contains(F.col("_lp"))).drop("_key"))
-        else:
-            # Shuffle side: only (text digest, key) pairs are shuffled to find candidates; the documents are
-            # shuffled once, by digest, to verify them (equal texts share a digest and a verdict).
-            digest = F.sha2(F.col("_lt"), 256)
-            pairs = d.select(digest.alias("_h"), F.explode(keys).alias("_key")).distinct()
-            cand = pairs.join(side, "_key", "inner").drop("_key")
-            parts.append(d.withColumn("_h", digest).join(cand, "_h", "inner")
-                         .where(F.col("_lt").contains(F.col("_lp"))).drop("_h"))
-    if not parts:
-        return d.join(p.drop("_key", "_kind"), F.lit(False), "inner").drop("_lt", "_lp")
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.drop("_lt", "_lp")
-
-
-def phrases_found(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str, key_cols: list[str],
-                  max_broadcast: int = DEFAULT_MAX_BROADCAST_PHRASES) -> DataFrame:
+    # Documents produce only the kinds of keys that some phrase has: one value, read while the join runs.
+    kinds = p.agg(F.collect_set("_kind").alias("k")).scalar()
+    d = docs.withColumn("_lt", lower(F.col(text_col))).withColumn("_h", F.sha2("_lt", 256))
+    none = F.array().cast("array<string>")
+
+    def keys(kind: int, made):
+        return F.transform(F.when(F.array_contains(F.col("_kinds"), kind), made).otherwise(none),
+                           lambda k: F.struct(F.lit(kind).alias("_kind"), k.alias("_key")))
+
+    made = [keys(0, F.array_distinct(_tokens(F.col("_lt")))), keys(4, F.array_distinct(F.split(F.col("_lt"), "")))]
+    made += [keys(n, _token_grams(F.col("_lt"), n)) for n in range(1, MAX_GRAM + 1)]
+    pairs = d.select("_h", "_lt", kinds.alias("_kinds")).select("_h", F.inline(F.flatten(F.array(*made))))
+    cand = pairs.join(p, ["_kind", "_key"]).drop("_kind", "_key").distinct()
+    return d.join(cand, "_h").where(F.col("_lt").contains(F.col("_lp"))).drop("_h", "_lt", "_lp")
+
+
+def phrases_found(docs: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str, key_cols: list[str]) -> DataFrame:
     """Distinct ``key_cols`` of phrases contained in at least one document."""
-    j = contains_join(docs.select(text_col), text_col, phrases.select(*key_cols, phrase_col), phrase_col,
-                      max_broadcast)
+    j = contains_join(docs.select(text_col), text_col, phrases.select(*key_cols, phrase_col), phrase_col)
     return j.select(*key_cols).distinct()

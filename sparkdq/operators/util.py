@@ -1,45 +1,15 @@
-"""Small planning helpers."""
+"""Small helpers for column names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
+def quoted(name: str) -> str:
+    """A column name as one identifier, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the row count is within ``max_rows`` (checked with a count).
 
-    Otherwise the frame is returned as is and the planner (with adaptive
-    execution) picks a shuffle join.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a small input over every task slot before CPU-bound per-row work (tokenising, regexes).
-
-    A large scan already has at least one split per slot; then the frame is
-    returned unchanged and no shuffle is added.  Only when the optimizer's
-    size estimate is below one ``spark.sql.files.maxPartitionBytes`` split per
-    slot (a few files, each a single split) the rows are repartitioned over
-    the slots.  Deciding costs no job: the estimate comes from the optimized
-    plan.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
-
-
-def is_small(df: DataFrame) -> bool:
-    """True when the optimizer's size estimate is below one ``maxPartitionBytes`` split per task slot (no job)."""
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size < slots * split
-
-
-def _bytes(v: str) -> int:
-    v = v.strip().lower().rstrip("b")
-    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    return int(float(v[:-1]) * mult[v[-1]]) if v and v[-1] in mult else int(v)
+def col(name: str) -> Column:
+    return F.col(quoted(name))

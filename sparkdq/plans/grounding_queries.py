@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from ..operators import proposals as G
 from ..operators import profile as P
+from ..operators.textjoin import phrases_found
 from ..sources.tables import fixture, fixture_ctes, read_table
 from .fix_queries import F9_SQL, _score_sql, cleaned_customer
 from .registry import register
 
-ACTIONS = ["drop_duplicates", "impute_nulls", "normalize_email", "regex_clean", "remove_negative_values",
-           "truncate_table"]
+ACTIONS = [*G.FIX_ACTIONS, "truncate_table"]
 COLUMNS = ["id", "email", "email", "phone", "price", "nope"]
 DC_COLUMNS = ["id", "name", "email", "phone", "signup_date", "price"]
 
@@ -44,8 +44,9 @@ def bench_proposals(spark, sf_dir):
         F.struct(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("policy_id"), F.col("text").alias("quote")),
         F.struct(F.lit("X").alias("policy_id"), second.alias("quote")))
     return b.select(
-        F.concat(F.lit("F"), F.col("item_id").cast("string")).alias("id"), action.alias("action"),
-        F.lit("d").alias("description"), params.alias("params"), refs.alias("policy_refs"),
+        F.col("item_id"), F.concat(F.lit("plan"), (F.col("item_id") % 2).cast("string")).alias("plan_id"),
+        F.when(F.col("item_id") % 13 != 5, F.concat(F.lit("F"), F.floor(F.col("item_id") / 2).cast("string"))).alias("id"),
+        action.alias("action"), F.lit("d").alias("description"), params.alias("params"), refs.alias("policy_refs"),
         (((F.col("item_id") % 10) * 10 + 5).cast("double") / 100).alias("confidence"))
 
 
@@ -56,79 +57,105 @@ def bench_policies(spark, sf_dir):
 
 def bench_verdicts(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return G.verdicts(bench_proposals(spark, sf_dir), docs, "text", columns=DC_COLUMNS)
+    return G.verdicts(bench_proposals(spark, sf_dir), docs, "text", columns=DC_COLUMNS, key_cols=["plan_id", "item_id"])
+
+
+def _sq(text: str) -> str:
+    return text.replace("'", "''")
 
 
 PROPS_CTE = f"""props AS (
-  SELECT concat('F', CAST(item_id AS VARCHAR)) AS id, item_id, text,
+  SELECT item_id, concat('plan', CAST(item_id % 2 AS VARCHAR)) AS plan_id,
+         CASE WHEN item_id % 13 <> 5 THEN concat('F', CAST(item_id // 2 AS VARCHAR)) END AS id, text,
          list_extract({_sql_list(ACTIONS)}, CAST(item_id % 6 AS INTEGER) + 1) AS action,
          list_extract({_sql_list(COLUMNS)}, CAST(item_id % 6 AS INTEGER) + 1) AS col,
          CAST((item_id % 10) * 10 + 5 AS DOUBLE) / 100 AS confidence
   FROM benchmark),
 refs AS (
-  SELECT id, 0 AS ref_pos, concat('B', CAST(item_id AS VARCHAR)) AS policy_id, text AS quote FROM props
+  SELECT item_id, 0 AS ref_pos, concat('B', CAST(item_id AS VARCHAR)) AS policy_id, text AS quote FROM props
   UNION ALL
-  SELECT id, 1, 'X', CASE WHEN item_id % 3 = 0 THEN '   ' ELSE concat(text, ' (paraphrased)') END FROM props),
+  SELECT item_id, 1, 'X', CASE WHEN item_id % 3 = 0 THEN '   ' ELSE concat(text, ' (paraphrased)') END FROM props),
 r AS (SELECT *, regexp_replace(quote, '^\\s+|\\s+$', '', 'g') AS q FROM refs),
 f AS (SELECT r.*, (q <> '' AND EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(r.q)))) AS found
       FROM r),
-m AS (SELECT id, count(*) FILTER (WHERE found) AS n_matched,
+m AS (SELECT item_id, count(*) FILTER (WHERE found) AS n_matched,
              string_agg(CASE WHEN found THEN policy_id END, ',' ORDER BY ref_pos) AS matched_ids
-      FROM f GROUP BY id),
-g AS (SELECT p.*, p.action NOT IN ('drop_duplicates', 'impute_nulls', 'normalize_email', 'regex_clean',
-                                   'remove_negative_values') AS bad_action,
+      FROM f GROUP BY item_id)"""
+
+
+def _verdict_cte(pii: bool) -> str:
+    allowed = G.MASK_ACTIONS if pii else G.FIX_ACTIONS
+    low = (f"concat('Low confidence ', CAST(confidence AS VARCHAR), ' < {G.CONFIDENCE_THRESHOLD:.2f}')" if pii else
+           f"concat('Low confidence (', CAST(confidence AS VARCHAR), ') - threshold {G.CONFIDENCE_THRESHOLD}')")
+    missing = "Policy quote not found: ''" if pii else "Policy quote not found in RAG: ''"
+    empty = "" if pii else f"WHEN q = '' THEN '{_sq(G.NOTE_EMPTY_QUOTE)}'"
+    low_ord, ref_ord = (5, 2) if pii else (2, 3)
+    return f"""{PII_PROPS_CTE if pii else PROPS_CTE},
+g AS (SELECT p.*, p.action NOT IN {tuple(allowed)} AS bad_action,
              (p.col IS NULL OR p.col NOT IN {tuple(DC_COLUMNS)}) AS bad_col,
-             p.confidence < 0.7 AS low, coalesce(m.n_matched, 0) = 0 AS no_match,
+             p.confidence < {G.CONFIDENCE_THRESHOLD} AS low, coalesce(m.n_matched, 0) = 0 AS no_match,
              coalesce(m.n_matched, 0) AS n_matched, m.matched_ids
-      FROM props p LEFT JOIN m ON p.id = m.id),
+      FROM props p LEFT JOIN m USING (item_id)),
 n AS (
-  SELECT id, 0 AS ord, 0 AS sub, CASE WHEN bad_action THEN concat('Action ''', action, ''' not allowed.') END AS note FROM g
-  UNION ALL SELECT id, 1, 0, CASE WHEN bad_col THEN concat('Column ''', coalesce(col, 'None'), ''' not present.') END FROM g
-  UNION ALL SELECT id, 2, 0, CASE WHEN low THEN concat('Low confidence (', CAST(confidence AS VARCHAR), ') - threshold 0.7') END FROM g
-  UNION ALL SELECT id, 3, ref_pos, CASE WHEN q = '' THEN 'Empty policy quote'
-                                        WHEN NOT found THEN concat('Policy quote not found in RAG: ''', left(q, 60), '...''') END FROM f
-  UNION ALL SELECT id, 4, 0, CASE WHEN no_match THEN 'No valid policy_refs matched the RAG text.' END FROM g),
+  SELECT item_id, 0 AS ord, 0 AS sub, CASE WHEN bad_action THEN concat('Action ''', action, ''' not allowed.') END AS note FROM g
+  UNION ALL SELECT item_id, 1, 0, CASE WHEN bad_col THEN concat('Column ''', coalesce(col, 'None'), ''' not present.') END FROM g
+  UNION ALL SELECT item_id, {low_ord}, 0, CASE WHEN low THEN {low} END FROM g
+  UNION ALL SELECT item_id, {ref_ord}, ref_pos, CASE {empty} WHEN NOT found THEN concat('{missing}', left(q, 60), '...''') END FROM f
+  UNION ALL SELECT item_id, 4, 0, CASE WHEN no_match THEN '{G.PII_NOTE_NO_MATCH if pii else G.NOTE_NO_MATCH}' END FROM g),
 v AS (
-  SELECT g.id, g.action, g.col AS "column",
+  SELECT g.item_id, g.plan_id, g.id, g.action, g.col AS "column",
          CASE WHEN bad_action OR bad_col OR low OR no_match THEN 'rejected' ELSE 'accepted' END AS status,
-         coalesce((SELECT string_agg(note, ' ; ' ORDER BY ord, sub) FROM n WHERE n.id = g.id AND note IS NOT NULL),
-                  'Policy validated.') AS notes,
+         coalesce((SELECT string_agg(note, ' ; ' ORDER BY ord, sub) FROM n WHERE n.item_id = g.item_id AND note IS NOT NULL),
+                  '{G.NOTE_VALIDATED}') AS notes,
          CAST(n_matched AS INTEGER) AS n_matched, coalesce(matched_ids, '') AS matched_policy_ids
   FROM g)"""
 
 
+#: The masking flow's proposals: as above with its actions, sources instead of policy ids, one plan without a fault.
+PII_ACTIONS = list(G.MASK_ACTIONS) + ["drop_table"]
+PII_COLUMNS = ["email", "phone", "name", "name", "email", "nope"]
+PII_PROPS_CTE = f"""props AS (
+  SELECT item_id, CASE WHEN item_id % 6 < 5 AND item_id % 10 >= 7 AND EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(b.text)))
+                       THEN 'clean' ELSE concat('plan', CAST(item_id % 2 AS VARCHAR)) END AS plan_id,
+         concat('A', CAST(item_id % 7 AS VARCHAR)) AS id, text,
+         list_extract({_sql_list(PII_ACTIONS)}, CAST(item_id % 6 AS INTEGER) + 1) AS action,
+         list_extract({_sql_list(PII_COLUMNS)}, CAST(item_id % 6 AS INTEGER) + 1) AS col,
+         CAST((item_id % 10) * 10 + 5 AS DOUBLE) / 100 AS confidence
+  FROM benchmark b),""" + PROPS_CTE.split("FROM benchmark),", 1)[1]
+
+
 def _flat_verdicts(v):
-    return v.select("id", "action", F.col("params.column").alias("column"), "status", "notes",
+    return v.select("plan_id", "item_id", "id", "action", F.col("params.column").alias("column"), "status", "notes",
                     F.size("policy_refs").cast("int").alias("n_matched"),
                     F.array_join(F.transform("policy_refs", lambda x: x["policy_id"]), ",").alias("matched_policy_ids"))
 
 
-@register("g_verdicts", f"WITH {PROPS_CTE}\nSELECT * FROM v")
+@register("g_verdicts", f"WITH {_verdict_cte(False)}\nSELECT * FROM v")
 def g_verdicts(spark, sf_dir):
     """Per-proposal verdicts grounded in the whole document table."""
     return _flat_verdicts(bench_verdicts(spark, sf_dir))
 
 
-@register("g_overall", f"""WITH {PROPS_CTE}
-SELECT CASE WHEN count(*) FILTER (WHERE status = 'rejected') > 0 THEN 'revise' ELSE 'accept' END AS overall_decision,
-       count(*) AS n_proposals, count(*) FILTER (WHERE status = 'rejected') AS n_rejected FROM v""")
+@register("g_overall", f"""WITH {_verdict_cte(False)}
+SELECT plan_id, CASE WHEN count(*) FILTER (WHERE status = 'rejected') > 0 THEN 'revise' ELSE 'accept' END AS overall_decision,
+       count(*) AS n_proposals, count(*) FILTER (WHERE status = 'rejected') AS n_rejected FROM v GROUP BY plan_id""")
 def g_overall(spark, sf_dir):
     """Overall decision."""
-    return G.overall(bench_verdicts(spark, sf_dir))
+    return G.overall(bench_verdicts(spark, sf_dir), ["plan_id"])
 
 
-@register("g_suggested_changes", f"""WITH {PROPS_CTE}
-SELECT id, '{G.NOTE_SUGGESTION}' AS note FROM v WHERE status = 'rejected'""")
+@register("g_suggested_changes", f"""WITH {_verdict_cte(False)}
+SELECT plan_id, id, '{G.NOTE_SUGGESTION}' AS note FROM v WHERE status = 'rejected'""")
 def g_suggested_changes(spark, sf_dir):
     """One suggestion per rejected proposal."""
-    return G.suggested_changes(bench_verdicts(spark, sf_dir))
+    return G.suggested_changes(bench_verdicts(spark, sf_dir), ["plan_id"])
 
 
-@register("f_accepted_actions", f"""WITH {PROPS_CTE}
-SELECT id, action, "column" FROM v WHERE status = 'accepted'""")
+@register("f_accepted_actions", f"""WITH {_verdict_cte(False)}
+SELECT item_id, id, action, "column" FROM v WHERE status = 'accepted'""")
 def f_accepted_actions(spark, sf_dir):
     """accepted actions even when the plan is 'revise' (data-quality flow)."""
-    return G.accepted_actions(bench_verdicts(spark, sf_dir)).select("id", "action", F.col("params.column").alias("column"))
+    return G.accepted_actions(bench_verdicts(spark, sf_dir), key_cols=["item_id"]).select("item_id", "id", "action", F.col("params.column").alias("column"))
 
 
 @register("g_policy_inventory", """
@@ -142,26 +169,80 @@ def g_policy_inventory(spark, sf_dir):
 @register("g_canonical_refs", f"""WITH {PROPS_CTE},
 present AS (SELECT DISTINCT concat('B', CAST(b.item_id AS VARCHAR)) AS policy_id
             FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(b.text))))
-SELECT r.id, CAST(r.ref_pos AS INTEGER) AS ref_pos, r.policy_id FROM refs r JOIN present USING (policy_id)""")
+SELECT r.item_id, CAST(r.ref_pos AS INTEGER) AS ref_pos, r.policy_id, r.quote
+FROM refs r JOIN present USING (policy_id)""")
 def g_canonical_refs(spark, sf_dir):
     """Keep references whose policy is known and whose canonical phrase is in the documents."""
     kept = G.canonical_refs(bench_proposals(spark, sf_dir), bench_policies(spark, sf_dir),
                             read_table(spark, sf_dir, "documents"))
-    return kept.select("id", F.posexplode("policy_refs").alias("ref_pos", "ref")).select(
-        "id", F.col("ref_pos").cast("int").alias("ref_pos"), F.col("ref.policy_id").alias("policy_id"))
+    return kept.select("item_id", F.posexplode("policy_refs").alias("ref_pos", "ref")).select(
+        "item_id", F.col("ref_pos").cast("int").alias("ref_pos"), F.col("ref.policy_id").alias("policy_id"),
+        F.col("ref.quote").alias("quote"))
 
 
 @register("g_split_known_columns", f"""WITH {PROPS_CTE}
-SELECT id, col IN {tuple(DC_COLUMNS)} AS kept,
-       CASE WHEN col NOT IN {tuple(DC_COLUMNS)} THEN concat('Column ', col, ' not found for action ', id) END AS question
+SELECT item_id, col IN {tuple(DC_COLUMNS)} AS kept,
+       CASE WHEN col NOT IN {tuple(DC_COLUMNS)} THEN concat('Column ', col, ' not found for action ', coalesce(id, 'None')) END AS question
 FROM props""")
 def g_split_known_columns(spark, sf_dir):
     """Proposals on unknown columns become questions."""
     props = bench_proposals(spark, sf_dir)
-    kept, questions = G.split_known_columns(props, DC_COLUMNS)
-    q = questions.select(F.regexp_extract("question", r"for action (.*)$", 1).alias("id"), "question")
-    return (kept.select("id", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("question"))
-            .unionByName(q.select("id", F.lit(False).alias("kept"), "question")))
+    kept, questions = G.split_known_columns(props, DC_COLUMNS, ["item_id"])
+    return (kept.select("item_id", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("question"))
+            .unionByName(questions.select("item_id", F.lit(False).alias("kept"), "question")))
+
+
+# ---------------------------------------------------------------- masking flow
+
+def pii_proposals(spark, sf_dir):
+    """Proposals of the masking flow; those without a fault make up the plan ``clean``."""
+    b = read_table(spark, sf_dir, "benchmark")
+    docs = read_table(spark, sf_dir, "documents")
+    found = phrases_found(docs, "text", b, "text", ["item_id"]).withColumn("_found", F.lit(True))
+    k = (F.col("item_id") % 6).cast("int") + 1
+    pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), k)
+    null = F.lit(None).cast("string")
+    params = F.struct(F.lit(None).cast("array<string>").alias("subset"), pick(PII_COLUMNS).alias("column"),
+                      *[null.alias(x) for x in ("strategy", "value", "pattern", "repl", "salt")])
+    second = F.when(F.col("item_id") % 3 == 0, F.lit("   ")).otherwise(F.concat("text", F.lit(" (paraphrased)")))
+    refs = F.array(F.struct(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("source"), F.col("text").alias("quote")),
+                   F.struct(F.lit("X").alias("source"), second.alias("quote")))
+    clean = (F.col("item_id") % 6 < 5) & (F.col("item_id") % 10 >= 7) & F.coalesce("_found", F.lit(False))
+    return b.join(found, "item_id", "left").select(
+        "item_id", F.when(clean, "clean").otherwise(F.concat(F.lit("plan"), (F.col("item_id") % 2).cast("string"))).alias("plan_id"),
+        F.concat(F.lit("A"), (F.col("item_id") % 7).cast("string")).alias("id"), pick(PII_ACTIONS).alias("action"),
+        F.lit("d").alias("description"), params.alias("params"), refs.alias("policy_refs"),
+        (((F.col("item_id") % 10) * 10 + 5).cast("double") / 100).alias("confidence"))
+
+
+def pii_verdicts(spark, sf_dir):
+    return G.verdicts(pii_proposals(spark, sf_dir), read_table(spark, sf_dir, "documents"), "text", columns=DC_COLUMNS,
+                      key_cols=["plan_id", "item_id"], pii=True)
+
+
+@register("g_pii_verdicts", f"WITH {_verdict_cte(True)}\nSELECT * FROM v")
+def g_pii_verdicts(spark, sf_dir):
+    """G3, G5-G8 of the masking flow: its gate order, notes and sources."""
+    return pii_verdicts(spark, sf_dir).select(
+        "plan_id", "item_id", "id", "action", F.col("params.column").alias("column"), "status", "notes",
+        F.size("policy_refs").cast("int").alias("n_matched"),
+        F.array_join(F.transform("policy_refs", lambda x: x["source"]), ",").alias("matched_policy_ids"))
+
+
+@register("g_pii_suggested_changes", f"""WITH {_verdict_cte(True)}
+SELECT item_id, id, notes AS reason FROM v WHERE status = 'rejected'""")
+def g_pii_suggested_changes(spark, sf_dir):
+    """G8 of the masking flow: the reason is the verdict's notes."""
+    return G.suggested_changes(pii_verdicts(spark, sf_dir), ["item_id"], pii=True)
+
+
+@register("f_pii_actions", f"""WITH {_verdict_cte(True)}
+SELECT plan_id, item_id, action, "column" FROM v WHERE plan_id NOT IN (SELECT plan_id FROM v WHERE status = 'rejected')""")
+def f_pii_actions(spark, sf_dir):
+    """F10 of the masking flow: all actions of plans in which nothing is rejected."""
+    return G.accepted_actions(pii_verdicts(spark, sf_dir), partial_ok=False, key_cols=["plan_id", "item_id"],
+                              plan_cols=["plan_id"]).select(
+        "plan_id", "item_id", "action", F.col("params.column").alias("column"))
 
 
 # ---------------------------------------------------------------- G10 / G12 over model-style answers
@@ -221,12 +302,12 @@ s AS (SELECT conv_id, turn, js,
 SELECT conv_id, turn, js IS NOT NULL AS has_json, schema_valid,
        CASE WHEN schema_valid THEN CAST(json_array_length(js, '$.proposed_fixes') AS INTEGER) END AS n_fixes,
        CASE WHEN js IS NULL OR NOT coalesce(json_type(js) = 'OBJECT' AND list_contains(json_keys(js), 'proposed_fixes'), false)
-            THEN 'LLM did not return valid JSON — rerun?'
-            WHEN NOT schema_valid THEN 'No conservative fix could be produced with policy grounding; please advise.' END AS question
+            THEN '{QUESTION_NO_JSON}'
+            WHEN NOT schema_valid THEN '{QUESTION_NO_GROUNDED_FIX}' END AS question
 FROM s"""
 
 
-@register("g_parse_plans", ANSWERS_SQL)
+@register("g_parse_plans", ANSWERS_SQL.replace("{QUESTION_NO_JSON}", G.QUESTION_NO_JSON).replace("{QUESTION_NO_GROUNDED_FIX}", G.QUESTION_NO_GROUNDED_FIX))
 def g_parse_plans(spark, sf_dir):
     """JSON extraction, schema validation and fallback questions."""
     plans = G.parse_plans(conversation_answers(spark, sf_dir), "raw")
@@ -267,9 +348,7 @@ def _g1_oracle():
     from .profile_queries import _profile_oracle
 
     prof = _profile_oracle()
-    return (prof.replace("\nUNION ALL ", "\nUNION ALL ", 1).replace(
-        "WITH ", "WITH prof AS (WITH ", 1) if False else
-        f"""WITH prof AS ({prof})
+    return (f"""WITH prof AS ({prof})
 SELECT concat(rule_id, ':', coalesce(prof."column", 'table')) AS id, rules.action, prof."column" AS "column",
        rules.policy_id, pol.phrase AS quote, rules.confidence
 FROM prof JOIN {_rules_sql()} ON prof.metric = rules.metric
@@ -305,7 +384,8 @@ def g_validate_results(spark, sf_dir):
     """Post-execution validation of the cleaned table."""
     before = fixture(spark, sf_dir, "dirty_customer")
     after = cleaned_customer(spark, sf_dir)
-    ev = P.evaluate(before, after)
+    after_profile = P.profile(after)
+    ev = P.evaluate_profiles(P.profile(before), after_profile)
     p5 = G.policies_frame(spark, {"RAG-P5": G.KNOWN_POLICIES["RAG-P5"]})
     active = G.policy_inventory(p5, read_table(spark, sf_dir, "documents"))
-    return G.validate_results(ev, P.profile(after), active)
+    return G.validate_results(ev, after_profile, active)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import querylog as QF
 from ..operators import querylog as QL
-from ..operators.util import spread_small
 from ..sources.tables import fixture, fixture_ctes, read_table
 from .registry import register
 
@@ -22,7 +21,7 @@ STATIC_SQL = """
 
 def _flat_static(df, sql_col):
     st = QF.static_stats(sql_col)
-    return spread_small(df.select("query_id", sql_col)).select(
+    return df.select(
         "query_id",
         st["select_star"].alias("select_star"),
         st["num_joins"].alias("num_joins"),

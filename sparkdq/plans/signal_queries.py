@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,21 @@ from .registry import register
 CLASS_NAMES = {"0": "name", "1": "email", "2": "phone", "3": "dob"}
 
 
+#: The gazetteer of the queries: long words of the benchmark texts, their class by their length.
+GAZETTEER_SQL = """SELECT word, CASE length(word) % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'GPE' ELSE 'LOC' END AS class
+FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM benchmark) b WHERE length(word) >= 12"""
+#: Terms of D5 that the texts hold.
+TERMS = ("licensed under", "all rights reserved", "token", "password", "the", "c++")
+
+
+def gazetteer(spark, sf_dir):
+    words = read_table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), S.NON_WORD_RE)).alias("word"))
+    n = F.length("word")
+    return words.where(n >= 12).distinct().select("word", F.when(n % 3 == 0, "PERSON").when(n % 3 == 1, "GPE").otherwise("LOC").alias("class"))
+
+
 def _gaz_sql():
-    rows = ", ".join(f"('{w}', '{c}')" for c, ws in S.DEFAULT_GAZETTEER.items() for w in ws)
-    return f"(VALUES {rows}) AS gaz(word, class)"
+    return f"({GAZETTEER_SQL}) AS gaz"
 
 
 def _sq(s: str) -> str:
@@ -44,16 +58,19 @@ ENTITY_SQL = "WITH " + _entity_sql(
 def d_entity_counts(spark, sf_dir):
     """D1 (re-aimed): DATE / PERSON / GPE / LOC counts per column over every document."""
     docs = read_table(spark, sf_dir, "documents")
-    return S.entity_counts(docs, ["text", "lang", "source"])
+    return S.entity_counts(docs, ["text", "lang", "source"], gazetteer(spark, sf_dir))
 
 
-EXEMPLAR_CTE = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-ex AS (SELECT label, v FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM e) t WHERE rn <= 3),
+def _exemplar_cte(per_label: int) -> str:
+    """The first ``per_label`` vectors of each label are its exemplars, a parameter of the method."""
+    return f"""e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ex AS (SELECT label, v FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM e) t WHERE rn <= {per_label}),
 sim AS (SELECT e.vec_id, CAST(ex.label AS VARCHAR) AS class,
                round(avg(list_dot_product(e.v, ex.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(ex.v, ex.v)))), 3) AS similarity
         FROM e CROSS JOIN ex GROUP BY e.vec_id, ex.label)"""
 
 
+
 def label_exemplars(spark, sf_dir, per_label: int = 3):
     emb = read_table(spark, sf_dir, "embeddings")
     w = Window.partitionBy("label").orderBy("vec_id")
@@ -61,19 +78,19 @@ def label_exemplars(spark, sf_dir, per_label: int = 3):
             .select(F.col("label").cast("string").alias("class"), "embedding"))
 
 
-def exemplar_sims(spark, sf_dir):
+def exemplar_sims(spark, sf_dir, per_label: int = 3):
     emb = read_table(spark, sf_dir, "embeddings")
-    return S.exemplar_similarity(emb, label_exemplars(spark, sf_dir))
+    return S.exemplar_similarity(emb, label_exemplars(spark, sf_dir, per_label))
 
 
-@register("d_exemplar_similarity", f"WITH {EXEMPLAR_CTE}\nSELECT * FROM sim")
+@register("d_exemplar_similarity", f"WITH {_exemplar_cte(3)}\nSELECT * FROM sim")
 def d_exemplar_similarity(spark, sf_dir):
     """Mean cosine of every vector with the first three vectors of each label."""
     return exemplar_sims(spark, sf_dir)
 
 
 RISK_SQL = "WITH " + _entity_sql("SELECT doc_id, text AS value FROM documents WHERE text IS NOT NULL", "doc_id") + f""",
-{EXEMPLAR_CTE},
+{_exemplar_cte(1)},
 s AS (SELECT vec_id AS doc_id,
              max(CASE WHEN class = '0' THEN similarity END) AS s_name, max(CASE WHEN class = '1' THEN similarity END) AS s_email,
              max(CASE WHEN class = '2' THEN similarity END) AS s_phone, max(CASE WHEN class = '3' THEN similarity END) AS s_dob
@@ -94,13 +111,13 @@ FROM sc"""
 def d_risk_scores(spark, sf_dir):
     """Risk score and level per document (entities of its text, similarity of its vector)."""
     docs = read_table(spark, sf_dir, "documents")
-    ent = S.entity_counts(docs, ["text"], group_col="doc_id")
-    sims = exemplar_sims(spark, sf_dir).withColumnRenamed("vec_id", "doc_id")
+    ent = S.entity_counts(docs, ["text"], gazetteer(spark, sf_dir), group_col="doc_id")
+    sims = exemplar_sims(spark, sf_dir, 1).withColumnRenamed("vec_id", "doc_id")
     risk = S.risk_scores(ent, sims, key="doc_id", has_email_check=True, class_names=CLASS_NAMES)
     return risk.withColumn("risk_level", S.risk_level("risk_score"))
 
 
-_TERMS_ALT = "|".join(sorted((t.lower() for t in S.SENSITIVE_TERMS), key=len, reverse=True))
+_TERMS_ALT = "|".join(re.escape(t) for t in sorted(TERMS, key=len, reverse=True) if t != "c++")
 
 
 @register("d_term_hits", f"""
@@ -109,7 +126,7 @@ FROM (SELECT source, unnest(regexp_extract_all(lower(text), '\\b({_TERMS_ALT})\\
 GROUP BY source, term""")
 def d_term_hits(spark, sf_dir):
     """Sensitive-term occurrences per source over every document."""
-    return S.term_hits(read_table(spark, sf_dir, "documents"), "text", ["source"])
+    return S.term_hits(read_table(spark, sf_dir, "documents"), "text", ["source"], TERMS)
 
 
 def _text_match_sql():
@@ -157,18 +174,22 @@ def r_combined_text(spark, sf_dir):
 
 
 @register("r_flatten_dedupe", """
-SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents
-WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''
-GROUP BY regexp_replace(text, '^\\s+|\\s+$', '', 'g')""")
+WITH x AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, NULL FROM documents),
+t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM x)
+SELECT min(doc_id) AS doc_id, text, count(*) AS n_copies FROM t WHERE text <> '' GROUP BY text""")
 def r_flatten_dedupe(spark, sf_dir):
-    """R2: distinct stripped texts, first-seen id and number of copies."""
-    return R.flatten_dedupe(read_table(spark, sf_dir, "documents"), with_text=False)
+    """R2: nested texts flattened; distinct stripped texts, first-seen id and number of copies."""
+    docs = read_table(spark, sf_dir, "documents")
+    item = lambda c: F.struct(F.lit(None).cast("string").alias("document"), c.cast("string").alias("text"))
+    nested = docs.select("doc_id", F.array(item(F.col("text")), item(F.col("source")), item(F.lit(None))).alias("text"))
+    return R.flatten_dedupe(nested)
 
 
 @register("s_ingest", """
-SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+SELECT doc_id, text FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def s_ingest(spark, sf_dir):
-    """Insert-if-absent; the store already holds the labelled documents."""
+    """Insert-if-absent; the store already holds the labelled documents, and every new id comes twice."""
     docs = read_table(spark, sf_dir, "documents")
     store = docs.join(read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    return R.ingest(docs, store).select("doc_id")
+    later = docs.withColumn("text", F.concat(F.lit("later: "), "text")).withColumn("version", F.lit(2))
+    return R.ingest(docs.withColumn("version", F.lit(1)).unionByName(later), store, order_by=["version"]).select("doc_id", "text")

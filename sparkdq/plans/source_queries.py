@@ -13,7 +13,7 @@ from ..session import scratch_path
 from ..sources import io
 from ..sources.tables import TABLES, fixture, fixture_ctes, read_table
 from .fix_queries import F9_SQL, cleaned_customer
-from .grounding_queries import PROPS_CTE, bench_verdicts
+from .grounding_queries import _verdict_cte, bench_verdicts
 from .mask_queries import _mask_email_sql, _mask_phone_sql
 from .profile_queries import DC_COLS, _null_cond
 from .registry import register
@@ -22,16 +22,19 @@ DC = fixture_ctes("dirty_customer")
 DC_SCHEMA = "id bigint, name string, email string, phone string, signup_date string, price double"
 
 
-@register("s_read_csv", DC + "SELECT * FROM dirty_customer")
+@register("s_read_csv", """
+SELECT doc_id, concat('a "quoted" cell, with' || chr(10) || 'a line break and c:\\dir\\', ' ', text) AS text,
+       CASE WHEN doc_id % 3 > 0 THEN lang END AS lang, source, CASE WHEN doc_id % 5 > 0 THEN n_chars END AS n_chars FROM documents""")
 def s_read_csv(spark, sf_dir):
-    """dirty_customer written as CSV with missing tokens, read back with a schema."""
-    df = fixture(spark, sf_dir, "dirty_customer")
-    tokens = df.select("id", "name", F.coalesce("email", F.lit("NA")).alias("email"),
-                       F.coalesce("phone", F.lit("null")).alias("phone"), "signup_date",
-                       F.col("price").cast("string").alias("price"))
+    """Documents written as CSV with quotes, line breaks, backslashes and missing tokens, read back with a schema."""
+    df = read_table(spark, sf_dir, "documents")
+    awkward = 'a "quoted" cell, with\na line break and c:\\dir\\'
+    cells = df.select("doc_id", F.concat(F.lit(awkward), F.lit(" "), "text").alias("text"),
+                      F.when(F.col("doc_id") % 3 > 0, F.col("lang")).otherwise("NA").alias("lang"), "source",
+                      F.when(F.col("doc_id") % 5 > 0, F.col("n_chars").cast("string")).otherwise("null").alias("n_chars"))
     path = scratch_path(spark, "csv")
-    io.write_table(tokens, path, "csv")
-    return io.read_csv(spark, path, DC_SCHEMA)
+    io.write_table(cells, path, "csv")
+    return io.read_csv(spark, path, df.select("doc_id", "text", "lang", "source", "n_chars").schema)
 
 
 @register("s_write_audit_publish", F9_SQL)
@@ -41,36 +44,62 @@ def s_write_audit_publish(spark, sf_dir):
     after = cleaned_customer(spark, sf_dir)
     root = scratch_path(spark, "wap")
 
+    before_profile = P.profile(before)
+
     def audit(staged):
-        return bool(P.evaluate(before, staged).first()["improved"])
+        return bool(P.evaluate_profiles(before_profile, P.profile(staged)).first()["improved"])
 
     res = io.write_audit_publish(after, f"{root}/staging", f"{root}/published", audit, mode="A")
     if not res["published"]:
-        raise RuntimeError("audit failed")
+        raise RuntimeError(res["warning"])
     return spark.read.parquet(f"{root}/published")
 
 
-@register("s_run_history", f"""WITH {PROPS_CTE}
-SELECT 'benchmark' AS dataset, action, CAST(1 AS BIGINT) AS n_runs, count(*) AS n_proposed,
+@register("s_run_history", f"""WITH {_verdict_cte(False)}
+SELECT concat('run-', v.plan_id) AS run_id, 'benchmark' AS dataset, v.id, v.action, "column", confidence, n_matched, status, notes,
+       true AS accepted, 'checked' AS validation_notes, NULL::VARCHAR AS question
+FROM v JOIN props USING (item_id)""")
+def s_run_history(spark, sf_dir):
+    """One run per plan appended with its full records (one of them twice, which changes nothing), read back."""
+    path = scratch_path(spark, "history")
+    v = bench_verdicts(spark, sf_dir)
+    for plan in ("plan0", "plan1", "plan1"):
+        io.append_run(v.where(F.col("plan_id") == plan), path, f"run-{plan}", "benchmark", True, "checked", 0.9)
+    back = io.read_history(spark, path)
+    return back.select("run_id", "dataset", "id", "action", F.col("params.column").alias("column"), "confidence",
+                       F.size("policy_refs").cast("int").alias("n_matched"), "status", "notes", "accepted", "validation_notes", "question")
+
+
+@register("s_history_summary", f"""WITH {_verdict_cte(False)}
+SELECT 'benchmark' AS dataset, action, count(DISTINCT plan_id) AS n_runs, count(*) AS n_proposed,
        count(*) FILTER (WHERE status = 'accepted') AS n_accepted
 FROM v GROUP BY action""")
-def s_run_history(spark, sf_dir):
-    """Append a run (one row per proposal) to the history, read it back, summarise."""
+def s_history_summary(spark, sf_dir):
+    """Proposals and acceptances per data set and action over all runs."""
     path = scratch_path(spark, "history")
-    io.append_run(bench_verdicts(spark, sf_dir), path, "run-1", "benchmark")
+    v = bench_verdicts(spark, sf_dir)
+    for plan in ("plan0", "plan1"):
+        io.append_run(v.where(F.col("plan_id") == plan), path, plan, "benchmark")
     return io.history_summary(io.read_history(spark, path))
 
 
 @register("s_query_records", fixture_ctes("query_log") + """
-SELECT query_id, original_sql, rewritten_sql, true AS has_created_at FROM query_log
+SELECT query_id, original_sql, rewritten_sql, bytes_scanned,
+       CAST(len(regexp_extract_all(original_sql, '(?i)\\bjoin\\b')) AS INTEGER) AS joins_before,
+       CASE WHEN rewritten_sql IS NOT NULL THEN CAST(len(regexp_extract_all(rewritten_sql, '(?i)\\bjoin\\b')) AS INTEGER) END AS joins_after,
+       true AS has_created_at FROM query_log
 WHERE NOT coalesce(regexp_replace(original_sql, '^\\s+|\\s+$', '', 'g') = '', true)""")
 def s_query_records(spark, sf_dir):
-    """Non-blank requests stored with a creation time, read back."""
+    """Non-blank requests stored with their statistics before and after, line diff and creation time, read back."""
     valid, _ = QL.split_blank(fixture(spark, sf_dir, "query_log"), "original_sql")
+    diff = QL.line_diff(valid, "query_id", "original_sql", "rewritten_sql")
+    full = QL.compare(valid, "original_sql", "rewritten_sql", "bytes_scanned").join(diff, "query_id")
     path = scratch_path(spark, "query_runs")
-    io.append_query_runs(valid.select("query_id", "original_sql", "rewritten_sql"), path)
+    io.append_query_runs(full, path)
     back = spark.read.parquet(path)
-    return back.select("query_id", "original_sql", "rewritten_sql", F.col("created_at").isNotNull().alias("has_created_at"))
+    return back.select("query_id", "original_sql", "rewritten_sql", "bytes_scanned",
+                       F.col("before_query_text_stats.num_joins").alias("joins_before"),
+                       F.col("after_query_text_stats.num_joins").alias("joins_after"), F.col("created_at").isNotNull().alias("has_created_at"))
 
 
 TYPE_MAP_SQL = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int'

@@ -42,10 +42,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) a scratch folder is created.
+    is.  Only a local master, whose tasks share the machine, may leave it unset:
+    then a scratch folder is created.
     """
     path = spark.conf.get(CHECKPOINT_KEY, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sparkdq-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)

@@ -2,11 +2,12 @@
 run history and query records.
 
 Writes go to paths the caller names (on a cluster: a shared folder such as
-the one in ``spark.checkpoint.dir``); nothing is collected to the driver.
+the one in ``spark.checkpoint.dir``); no data is collected to the driver.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,11 @@ PANDAS_MISSING_TOKENS = (
 )
 
 
+# One quoting rule for both directions: a quote inside a cell is doubled, nothing else is special in it.
+CSV_CELLS = {"quote": '"', "escape": '"', "multiLine": True, "emptyValue": "", "ignoreLeadingWhiteSpace": False,
+             "ignoreTrailingWhiteSpace": False}
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -30,11 +36,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
 
     Every column is read as text, missing tokens are nulled, then each column
     is ``try_cast`` to its target type (ANSI-safe: a bad value becomes null).
+    Quoted cells may hold separators, doubled quotes, line breaks and
+    backslashes.  A cell with a line break keeps a file from being split, so
+    large inputs should come as many files.
     """
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    raw = spark.read.schema(text_schema).option("header", True).option("emptyValue", "").csv(path)
+    raw = spark.read.schema(text_schema).options(**CSV_CELLS).option("header", True).csv(path)
     toks = list(missing_tokens)
     cols = []
     for f in schema.fields:
@@ -50,13 +59,40 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """Write a directory of files (no single-file promise)."""
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = (w.option("header", True).option("ignoreLeadingWhiteSpace", False)
-             .option("ignoreTrailingWhiteSpace", False))
+        w = w.options(**{k: v for k, v in CSV_CELLS.items() if k != "multiLine"}).option("header", True).option("quoteAll", True).option("nullValue", "")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def publish(spark: SparkSession, staged: str, target: str) -> None:
+    """Make the folder ``staged`` the folder ``target`` by renames, without copying data.
+
+    An earlier target is set aside first and put back when the second rename
+    fails, then removed; a reader sees the old or the new data, or for a moment
+    none, but never a mixture.
+    """
+    fs, new = _files(spark, staged)
+    _, old = _files(spark, target)
+    _, aside = _files(spark, f"{target.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
+    if old.getParent() is not None:
+        fs.mkdirs(old.getParent())
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"{target} can't be set aside")
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
+        raise OSError(f"{staged} can't be published as {target}")
+    if had:
+        fs.delete(aside, True)
+
+
 def write_audit_publish(df: DataFrame, staging_path: str, target_path: str,
                         audit: Callable[[DataFrame], bool], mode: str = "C", max_retries: int = 2,
                         repropose: Callable[[DataFrame, int], DataFrame] | None = None,
@@ -66,19 +102,25 @@ def write_audit_publish(df: DataFrame, staging_path: str, target_path: str,
     Mode ``A``: a failed audit stops (nothing published).  Mode ``B``: a failed
     audit asks ``repropose(candidate, attempt)`` for a new candidate, up to
     ``max_retries`` times.  Mode ``C`` (default): publish with a warning.  The
-    input is never modified; publishing writes the staged files to the target.
+    staged folder itself becomes the target; staged data that is not published is
+    removed.  When writing, auditing or publishing raises, the target is as
+    before and the error is in the result as ``warning``.
     """
-    attempt = 0
-    candidate = df
+    spark = df.sparkSession
+    attempt, candidate = 0, df
     while True:
         stage = f"{staging_path.rstrip('/')}/attempt={attempt}"
-        write_table(candidate, stage, fmt)
-        staged = df.sparkSession.read.format(fmt).load(stage)
-        ok = bool(audit(staged))
-        if ok or mode == "C":
-            write_table(staged, target_path, fmt)
-            return {"published": True, "audit_passed": ok, "attempts": attempt + 1,
-                    "warning": None if ok else "published although the audit failed"}
+        try:
+            write_table(candidate, stage, fmt)
+            ok = bool(audit(spark.read.format(fmt).load(stage)))
+            if ok or mode == "C":
+                publish(spark, stage, target_path)
+                return {"published": True, "audit_passed": ok, "attempts": attempt + 1,
+                        "warning": None if ok else "published although the audit failed"}
+        except Exception as e:
+            _remove(spark, stage)
+            return {"published": False, "audit_passed": False, "attempts": attempt + 1, "warning": f"{type(e).__name__}: {str(e)[:300]}"}
+        _remove(spark, stage)
         if mode == "B" and repropose is not None and attempt < max_retries:
             attempt += 1
             candidate = repropose(candidate, attempt)
@@ -86,31 +128,39 @@ def write_audit_publish(df: DataFrame, staging_path: str, target_path: str,
         return {"published": False, "audit_passed": False, "attempts": attempt + 1, "warning": "audit failed"}
 
 
-HISTORY_COLUMNS = ("run_id", "dataset", "run_ts", "id", "action", "params", "status", "notes", "accepted",
-                   "validation_notes", "validation_confidence")
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
 
 
 def append_run(verdicts: DataFrame, path: str, run_id: str, dataset: str,
-               accepted: bool | None = None, notes: str | None = None, confidence: float | None = None) -> None:
-    """Append one run to the history table, one row per proposal (long form).
-
-    Run-level fields repeat on each row; nothing is gathered into one row.
+               accepted: bool | None = None, notes: str | None = None, confidence: float | None = None,
+               questions: DataFrame | None = None) -> None:
+    """Append one run to the history table, one row per proposal or question (long form).
+
+    A proposal's row holds its whole record: description, parameters, matched
+    references, confidence, status and notes; a question's row only
+    ``question``.  Run-level fields repeat on each row.  The rows of a run are
+    one folder named by its id, so writing a run again replaces it.
     """
-    rows = verdicts.select(
-        F.lit(run_id).alias("run_id"), F.lit(dataset).alias("dataset"),
-        F.unix_timestamp().alias("run_ts"), "id", "action", "params", "status", "notes",
-        F.lit(accepted).cast("boolean").alias("accepted"), F.lit(notes).cast("string").alias("validation_notes"),
-        F.lit(confidence).cast("double").alias("validation_confidence"))
-    rows.write.mode("append").parquet(path)
+    run = [F.lit(dataset).alias("dataset"), F.unix_timestamp().alias("run_ts"), F.lit(accepted).cast("boolean").alias("accepted"),
+           F.lit(notes).cast("string").alias("validation_notes"), F.lit(confidence).cast("double").alias("validation_confidence")]
+    null = F.lit(None).cast("string").alias("question")
+    rows = verdicts.select(*run, "id", "action", "description", "params", "policy_refs", "confidence", "status", "notes", null)
+    if questions is not None:
+        asked = questions.select(*run, F.col("question"))
+        rows = rows.unionByName(asked, allowMissingColumns=True)
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """All runs of a history; ``run_id`` comes from the folders' names."""
+    return spark.read.option("basePath", path).parquet(path).withColumn("run_id", F.col("run_id").cast("string"))
 
 
 def history_summary(history: DataFrame) -> DataFrame:
     """Proposals and acceptances per (dataset, action)."""
-    return history.groupBy("dataset", "action").agg(
+    return history.where(F.col("question").isNull()).groupBy("dataset", "action").agg(
         F.countDistinct("run_id").alias("n_runs"),
         F.count(F.lit(1)).alias("n_proposed"),
         F.count_if(F.col("status") == "accepted").alias("n_accepted"))
@@ -141,6 +191,7 @@ def explode_runs(nested: DataFrame) -> DataFrame:
 
 
 def append_query_runs(df: DataFrame, path: str) -> None:
-    """Append query records; ``created_at`` defaults to now."""
+    """Append query records (texts, line diff, statistics before and after, scan figures, as the caller has them);
+    ``created_at`` defaults to now."""
     out = df if "created_at" in df.columns else df.withColumn("created_at", F.current_timestamp())
     out.write.mode("append").parquet(path)

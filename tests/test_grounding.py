@@ -71,18 +71,15 @@ def test_extract_and_validate(spark):
                  7: G.QUESTION_NO_GROUNDED_FIX}
 
 
-def test_contains_join_paths_agree(spark):
+def test_contains_join_few_phrases(spark):
     docs = spark.createDataFrame([(1, "The quick brown fox jumps"), (2, "lazy dog sleeps here"), (3, "")],
                                  "doc_id int, text string")
     ph = spark.createDataFrame([("a", "quick brown fox"), ("b", "ck brown fo"), ("c", "DOG"), ("d", ""),
                                 ("e", "brown cat jumps")], "pid string, phrase string")
-    small = {(r["doc_id"], r["pid"]) for r in contains_join(docs, "text", ph, "phrase").collect()}
-    keyed = {(r["doc_id"], r["pid"]) for r in contains_join(docs, "text", ph, "phrase", scan_all_max=0).collect()}
-    assert small == keyed == {(1, "a"), (1, "b"), (2, "c")}
-    keyed_only = ph.where("pid in ('a', 'e')")
-    shuffled = {(r["doc_id"], r["pid"]) for r in contains_join(docs, "text", keyed_only, "phrase",
-                                                                  max_broadcast=0, scan_all_max=0).collect()}
-    assert shuffled == {(1, "a")}
+    found = lambda p: {(r["doc_id"], r["pid"]) for r in contains_join(docs, "text", p, "phrase").collect()}
+    assert found(ph) == {(1, "a"), (1, "b"), (2, "c")}
+    assert found(ph.where("pid in ('a', 'e')")) == {(1, "a")}
+    assert found(ph.limit(0)) == set()
 
 
 def test_propose_and_validate_results(spark, dq_sample):
@@ -137,17 +134,57 @@ def test_contains_join_matches_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     ph = spark.createDataFrame(list(enumerate(phrases)), "pid int, phrase string")
     want = {(i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if p.lower() in t.lower()}
-    for mb in (100_000, 0):
-        got = {(r["doc_id"], r["pid"]) for r in contains_join(docs, "text", ph, "phrase", max_broadcast=mb,
-                                                                scan_all_max=0).collect()}
-        assert got == want
-    # With size-based broadcasting off, the unhinted path runs as sort-merge joins (digest pairs, then documents).
+    found = lambda: {(r["doc_id"], r["pid"]) for r in contains_join(docs, "text", ph, "phrase").collect()}
+    assert found() == want
+    # With size-based broadcasting off, the same plan runs as sort-merge joins.
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        j = contains_join(docs, "text", ph, "phrase", max_broadcast=0, scan_all_max=0)
-        plan = j._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
-        assert {(r["doc_id"], r["pid"]) for r in j.collect()} == want
+        assert "SortMergeJoin" in contains_join(docs, "text", ph, "phrase")._jdf.queryExecution().executedPlan().toString()
+        assert found() == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_equal_ids_of_several_plans_stay_apart(spark):
+    quote = G.KNOWN_POLICIES["RAG-P1"]
+    fix = lambda ref: ("F1", "normalize_email", "d", _p("email"), [("RAG-P1", ref)], 0.9)
+    good = _props(spark, [fix(quote)]).withColumn("plan", F.lit("good"))
+    bad = _props(spark, [fix("invented quote")]).withColumn("plan", F.lit("bad"))
+    none = _props(spark, [(None, *fix(quote)[1:])]).withColumn("plan", F.lit("no id"))
+    props = good.unionByName(bad).unionByName(none).unionByName(none)
+    v = G.verdicts(props, _docs(spark), key_cols=["plan"])
+    assert sorted((r["plan"], r["status"], len(r["policy_refs"])) for r in v.collect()) == [
+        ("bad", "rejected", 0), ("good", "accepted", 1), ("no id", "accepted", 1), ("no id", "accepted", 1)]
+    assert {r["plan"]: r["overall_decision"] for r in G.overall(v, ["plan"]).collect()} == {"bad": "revise", "good": "accept", "no id": "accept"}
+    assert {r["plan"] for r in G.accepted_actions(v, False, ["plan"], ["plan"]).collect()} == {"good", "no id"}
+    assert G.accepted_actions(v, partial_ok=False).count() == 0
+    # G4 goes by the policy's own phrase, whatever the quote says
+    kept = G.canonical_refs(props, G.policies_frame(spark), _docs(spark))
+    assert sorted((r["plan"], r["policy_refs"][0]["quote"]) for r in kept.collect()) == [
+        ("bad", "invented quote"), ("good", quote), ("no id", quote), ("no id", quote)]
+
+
+def test_masking_flow(spark):
+    plan = ('{"proposed_actions":[{"id":"A1","action":"mask_email","params":{"column":"email"},'
+            '"policy_refs":[{"source":"rules","quote":" dog sleeps "},{"source":"x","quote":""}],"confidence":"0.8"},'
+            '{"id":"A2","action":"drop","params":{"column":"nope"},"policy_refs":[],"confidence":0.1}]}')
+    raw = spark.createDataFrame([(1, plan), (2, "no"), (3, '{"proposed_fixes":[]}')], "k int, raw string")
+    plans = G.parse_pii_plans(raw)
+    assert {r["k"]: r["question"] for r in G.plan_questions(plans, ["k"], pii=True).collect()} == {2: G.PII_QUESTION_NO_PLAN, 3: G.PII_QUESTION_NO_PLAN}
+    props = G.plan_fixes(plans, ["k"], "proposed_actions")
+    docs = spark.createDataFrame([(1, "a Dog sleeps here")], "doc_id int, text string")
+    v = {r["id"]: r for r in G.verdicts(props, docs, columns=["email"], key_cols=["k"], pii=True).collect()}
+    assert (v["A1"]["status"], v["A1"]["notes"]) == ("accepted", "Policy quote not found: '...'")
+    assert v["A2"]["notes"] == ("Action 'drop' not allowed. ; Column 'nope' not present. ; No valid policy_refs matched. ; "
+                                "Low confidence 0.1 < 0.70")
+    reasons = G.suggested_changes(G.verdicts(props, docs, columns=["email"], pii=True), pii=True).collect()
+    assert [(r["id"], r["reason"]) for r in reasons] == [("A2", v["A2"]["notes"])]
+
+
+def test_masked_columns_are_compared(spark):
+    long = lambda rows: spark.createDataFrame(rows, "column string, metric string, value double")
+    before = long([("email", "risk_score", 50.0), ("name", "ner_PERSON", 3.0), ("other", "risk_score", 1.0)])
+    assert G.validate_masks(before, long([("email", "risk_score", 0.0), ("other", "risk_score", 9.0)]), ["email", "name"]).first()["accepted"]
+    assert not G.validate_masks(before, before, ["email", "name"]).first()["accepted"]
+    assert not G.validate_masks(before, long([("email", "risk_score", 60.0)]), ["email", "name"]).first()["accepted"]

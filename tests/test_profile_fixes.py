@@ -76,29 +76,15 @@ def test_impute_median_and_constant(spark):
     assert got[1] == "zz"
 
 
-def test_exact_median_bracketing_matches_numpy(spark):
+def test_exact_median_matches_numpy(spark):
     import numpy as np
 
     rng = np.random.default_rng(7)
-    vals = np.concatenate([rng.normal(size=5000), np.full(3000, 0.25)])  # a hot value
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(7)
-    got = stats.exact_median(df, "x", max_collect=100, accuracy=200)
-    assert got == float(np.median(vals))
-    vals2 = np.arange(1, 1002, dtype=float)
-    df2 = spark.createDataFrame([(float(v),) for v in vals2], "x double")
-    assert stats.exact_median(df2, "x", max_collect=10, accuracy=100) == float(np.median(vals2))
-
-
-def test_values_at_ranks_bounded_collect(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(11)
-    vals = np.concatenate([rng.normal(size=3000) * 1e6, np.full(1000, 3.5), rng.integers(0, 5, 500).astype(float)])
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(5)
-    srt = np.sort(vals)
-    for r1 in (0, 1499, 2249, 2250, 3999, len(vals) - 2):
-        assert stats._values_at_ranks(df, r1, r1 + 1, max_collect=5, buckets=8) == (srt[r1], srt[r1 + 1])
-    assert stats._values_at_ranks(df, 7, 7, max_collect=3, buckets=4) == (srt[7], srt[7])
+    for vals in (np.concatenate([rng.normal(size=5000), np.full(3000, 0.25)]), np.arange(1, 1002, dtype=float),
+                 np.concatenate([rng.normal(size=300) * 1e300, [0.0, -0.0]]), np.array([-5.0, -7.0]), np.array([3.5])):
+        df = spark.createDataFrame([(float(v),) for v in vals] + [(None,), (float("nan"),)], "`a.x` double").repartition(7)
+        assert stats.exact_median(df, "a.x") == float(np.median(vals))
+    assert stats.exact_median(df.limit(0), "a.x") is None
 
 
 def test_normalize_and_regex_clean(spark):
@@ -178,7 +164,7 @@ def test_entity_counts_with_model(spark, pii_sample):
     assert e[("name", "PERSON")] == 6 and e[("signup_date", "DATE")] == 6 and e[("name", "GPE")] == 0
 
 
-def test_dup_rows_digest_equals_grouping(spark):
+def test_dup_rows_equals_grouping(spark):
     import datetime as dt
     import random
 
@@ -189,5 +175,26 @@ def test_dup_rows_digest_equals_grouping(spark):
     rows = [(rnd.choice(fl), rnd.choice(st), rnd.choice(ts), rnd.choice([b"\x00", b"\xff", None]),
              rnd.choice([[1, 2], [], None]), rnd.choice([None, 1, 2])) for _ in range(300)]
     df = spark.createDataFrame(rows, "f double, s string, t timestamp, b binary, a array<int>, i int")
-    exact = P.dup_rows(df, by_digest=False).first()["dup_rows"]
-    assert P.dup_rows(df, by_digest=True).first()["dup_rows"] == exact == len(rows) - df.distinct().count()
+    assert P.dup_rows(df).first()["dup_rows"] == len(rows) - df.distinct().count()
+    nested = df.selectExpr("array(f, 1.0D) AS `x.a`", "named_struct('t', t, 'f', f) AS y", "array(t) AS z", "array(named_struct('b', b)) AS w")
+    assert P.dup_rows(nested).first()["dup_rows"] == len(rows) - nested.distinct().count()
+    maps = df.selectExpr("map('a', f, 'b', 0.0D) AS m")
+    flat = df.selectExpr("f + 0.0D AS f").distinct().count()
+    assert P.dup_rows(maps).first()["dup_rows"] == len(rows) - flat
+
+
+def test_awkward_column_names(spark):
+    df = spark.createDataFrame([(1, "A@B.C", -1.0), (1, None, 2.0), (1, None, 2.0)], "`k.1` int, `e.mail` string, `p ``x` double")
+    prof = {(r["column"], r["metric"]): r["value"] for r in P.profile(df, ["e.mail"], ["p `x"]).collect()}
+    assert (prof[("e.mail", "null_count")], prof[("p `x", "negative_count")], prof[(None, "dup_rows")]) == (2, 1, 1)
+    out = FX.apply_fixes(df, [{"action": "drop_duplicates", "params": {"subset": ["k.1", "p `x"]}},
+                              {"action": "normalize_email", "params": {"column": "e.mail"}},
+                              {"action": "remove_negative_values", "params": {"column": "p `x"}},
+                              {"action": "impute_nulls", "params": {"column": "p `x", "strategy": "mean"}}])
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == [(1, "a@b.c", 2.0), (1, None, 2.0)]
+
+
+def test_python_groups_in_regex_clean(spark):
+    df = spark.createDataFrame([("2023-01-05",)], "d string")
+    got = FX.regex_clean(df, "d", r"(?P<y>\d{4})-(?P<m>\d{2})-(\d{2})", r"\g<m>/\g<1>0 \g<3> $").first()["d"]
+    assert got == "01/20230 05 $"

@@ -42,11 +42,19 @@ def test_exemplar_similarity_matches_numpy(spark):
     for i in range(20):
         assert abs(got[(i, "a")] - round(cos[i, :3].mean(), 3)) < 1.1e-3
         assert abs(got[(i, "b")] - round(cos[i, 3:].mean(), 3)) < 1.1e-3
-    # Beyond the literal bound the exemplars are reduced to one normalised sum per class (no cap on exemplars).
-    small = {(r["vec_id"], r["class"]): r["similarity"] for r in S.exemplar_similarity(vdf, edf, digits=12).collect()}
-    big = {(r["vec_id"], r["class"]): r["similarity"]
-           for r in S.exemplar_similarity(vdf, edf, digits=12, max_literal=2).collect()}
-    assert small.keys() == big.keys() and all(abs(small[k] - big[k]) < 1e-9 for k in small)
+    # Vectors and exemplars without length change nothing for the others.
+    odd = spark.createDataFrame([(100, [0.0] * 8), (101, None), (102, [float("nan")] * 8)], vdf.schema)
+    odd_ex = spark.createDataFrame([("a", [0.0] * 8), ("b", None), ("a", [float("nan")] * 8)], edf.schema)
+    more = {(r["vec_id"], r["class"]): r["similarity"] for r in S.exemplar_similarity(vdf.unionByName(odd), edf.unionByName(odd_ex)).collect()}
+    assert {k: v for k, v in more.items() if k[0] < 100} == got
+    assert all(v is None for k, v in more.items() if k[0] >= 100) and len(more) == 46
+
+
+def test_terms_and_order_columns(spark):
+    df = spark.createDataFrame([("a", "see C++ and e.mail, exmail or c"), ("b", "John went")], "name string, text string")
+    assert {(r["term"], r["n"]) for r in S.term_hits(df, "text", ["name"], ["c++", "e.mail", "c"]).collect()} == {("c++", 1), ("e.mail", 1), ("c", 1)}
+    e = {(r["column"], r["class"]): r["n"] for r in S.entity_counts(df, sample_rows=20, order_by=["name"]).collect()}
+    assert e[("text", "PERSON")] == 1 and ("name", "PERSON") in e
 
 
 def test_top_k_brute_force(spark):
@@ -56,7 +64,7 @@ def test_top_k_brute_force(spark):
     ddf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(docs)], "vec_id int, embedding array<double>")
     qdf = spark.createDataFrame([(100 + i, [float(x) for x in v]) for i, v in enumerate(qs)], "query_id int, embedding array<double>")
     for block in (100, 3):
-        got = R.top_k(ddf, qdf, k=4, max_broadcast=block).collect()
+        got = R.top_k(ddf, qdf, k=4, docs_per_block=40, queries_per_block=block).collect()
         res = {}
         for r in got:
             res.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
@@ -76,7 +84,7 @@ def test_top_k_cosine_string_ids_ties(spark):
     qdf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(qs)], "query_id int, embedding array<double>")
     for metric in ("cosine", "l2"):
         got = {}
-        for r in R.top_k(ddf, qdf, k=7, metric=metric, cells=50).collect():
+        for r in R.top_k(ddf, qdf, k=7, metric=metric, docs_per_block=50).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
         d32 = docs.astype(np.float32).astype(np.float64)
         for i, q in enumerate(qs):
@@ -92,7 +100,47 @@ def test_top_k_plan_has_group_limit(spark):
     ddf = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id int, embedding array<double>")
     qdf = spark.createDataFrame([(1, [0.0, 1.0])], "query_id int, embedding array<double>")
     plan = R.top_k(ddf, qdf, k=3)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Join" not in plan
+    assert "WindowGroupLimit" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_top_k_odd_rows(spark):
+    ddf = spark.createDataFrame([(None, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [2.0, 0.0])],
+                                "vec_id bigint, embedding array<double>")
+    qdf = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0])], "query_id int, embedding array<double>")
+    for metric, want in (("l2", {(1, None), (2, 2), (3, 6)}), ("cosine", {(1, 6), (2, None)})):
+        got = R.top_k(ddf, qdf, k=3, metric=metric).collect()
+        assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {(q, *w) for q in (1, 3) for w in want}
+    assert R.top_k(ddf.limit(0), qdf).count() == 0 and R.top_k(ddf, qdf.limit(0)).count() == 0
+
+
+def test_csv_cells(spark, tmp_path):
+    from sparkdq.sources import io
+
+    rows = [(1, 'a "quoted" b'), (2, "x\ny, z"), (3, "c:\\dir\\"), (4, None), (5, "  pad  "), (6, '"')]
+    df = spark.createDataFrame(rows, "id int, t string")
+    io.write_table(df, f"{tmp_path}/c", "csv")
+    assert sorted(map(tuple, io.read_csv(spark, f"{tmp_path}/c", "id int, t string").collect())) == rows
+
+
+def test_publish_modes_and_failures(spark, tmp_path):
+    from sparkdq.sources import io
+
+    old, new = spark.range(3), spark.range(10)
+    target = f"{tmp_path}/target"
+    go = lambda df, audit, **kw: io.write_audit_publish(df, f"{tmp_path}/staging", target, audit, **kw)
+    assert go(old, lambda d: True, mode="A")["published"]
+    assert not go(new, lambda d: False, mode="A")["published"] and spark.read.parquet(target).count() == 3
+
+    def broken(d):
+        raise RuntimeError("audit broke")
+
+    r = go(new, broken)
+    assert not r["published"] and "audit broke" in r["warning"] and spark.read.parquet(target).count() == 3
+    r = go(new, lambda d: d.count() == 7, mode="B", repropose=lambda d, n: d.limit(10 - 3 * n))
+    assert r["published"] and r["attempts"] == 2 and spark.read.parquet(target).count() == 7
+    assert go(new, lambda d: False)["warning"] and spark.read.parquet(target).count() == 10
+    import os
+    assert sorted(os.listdir(tmp_path)) == ["staging", "target"] and os.listdir(f"{tmp_path}/staging") == []
 
 
 def test_flatten_dedupe_and_combined(spark):
