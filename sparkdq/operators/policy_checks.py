@@ -47,10 +47,14 @@ def default_row_checks(as_of: str = "2024-01-01") -> dict[str, Column]:
     }
 
 
-def retention(df: DataFrame, ts_col: str, as_of: str, days: int) -> DataFrame:
-    """Keep rows not older than ``days`` before ``as_of`` (a fixed instant, for repeatability)."""
+def retention(df: DataFrame, ts_col: str, as_of: str, days: int, keep_missing: bool = False) -> DataFrame:
+    """Keep rows not older than ``days`` before ``as_of`` (a fixed instant, for repeatability).
+
+    Rows without a time can't be shown to be recent: they go, unless ``keep_missing``.
+    """
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(days))
-    return df.where(F.col(ts_col) >= cutoff)
+    recent = F.col(ts_col) >= cutoff
+    return df.where(recent | F.col(ts_col).isNull() if keep_missing else recent)
 
 
 def forget(df: DataFrame, subjects: DataFrame, key: str) -> DataFrame:
@@ -66,8 +70,9 @@ def consent(df: DataFrame, consents: DataFrame, keys: Sequence[str]) -> DataFram
 def mask_audit(df: DataFrame, actions: Iterable[Mapping]) -> DataFrame:
     """One audit row per applied masking action with the rows it changed.
 
-    ``(step, action, column, policy_id, quote, rows_changed)``; all counts come
-    from one aggregate over the staged projections.
+    ``(step, action, column, reason, policy_id, quote, rows_changed)``: the
+    reason is the action's description; all counts come from one aggregate over
+    the staged projections.
     """
     staged = df
     steps = []
@@ -82,15 +87,15 @@ def mask_audit(df: DataFrame, actions: Iterable[Mapping]) -> DataFrame:
         prev = f"_s{i}_prev"
         staged = staged.withColumn(prev, F.col(col).cast("string")).withColumn(col, e)
         refs = a.get("policy_refs") or [{}]
-        steps.append((i, a.get("action"), col, refs[0].get("policy_id"), refs[0].get("quote")))
+        steps.append((i, a.get("action"), col, refs[0].get("policy_id", refs[0].get("source")), refs[0].get("quote"), a.get("description")))
         staged = staged.withColumn(f"_s{i}_chg", ~F.col(col).eqNullSafe(F.col(prev)))
     if not steps:
         return df.sparkSession.createDataFrame(
-            [], "step int, action string, column string, policy_id string, quote string, rows_changed bigint")
+            [], "step int, action string, column string, reason string, policy_id string, quote string, rows_changed bigint")
     one = staged.agg(*[F.count_if(F.col(f"_s{s[0]}_chg")).alias(f"c{s[0]}") for s in steps])
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(s[0]).alias("step"), F.lit(s[1]).alias("action"), F.lit(s[2]).alias("column"),
-                 F.lit(s[3]).cast("string").alias("policy_id"), F.lit(s[4]).cast("string").alias("quote"),
+                 F.lit(s[5]).cast("string").alias("reason"), F.lit(s[3]).cast("string").alias("policy_id"), F.lit(s[4]).cast("string").alias("quote"),
                  F.col(f"c{s[0]}").cast("bigint").alias("rows_changed")) for s in steps])))
 
 

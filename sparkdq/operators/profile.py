@@ -187,11 +187,10 @@ def compare_profiles(before_long: DataFrame, after_long: DataFrame) -> DataFrame
 
 
 def schema_catalog(df: DataFrame, table: str | None = None) -> DataFrame:
-    """One row per field: ordinal, name, type, mode, dtype_name, description.
+    """One row per field: ordinal, name, type, mode, dtype_name, description, num_rows, num_missing.
 
-    The rows come from the DataFrame's schema (metadata), never from its data.
+    Names and types come from the schema; the last two are one aggregate over the table.
     """
-    spark = df.sparkSession
     rows = []
     for i, f in enumerate(df.schema.fields, start=1):
         if isinstance(f.dataType, T.ArrayType):
@@ -201,10 +200,13 @@ def schema_catalog(df: DataFrame, table: str | None = None) -> DataFrame:
         else:
             mode = "NULLABLE"
         t = f.dataType.simpleString()
-        rows.append((table, i, f.name, t, mode, PANDAS_DTYPE.get(t, "object"), f.metadata.get("comment")))
-    schema = ("table_name string, ordinal int, name string, type string, mode string, "
-              "dtype_name string, description string")
-    return spark.createDataFrame(rows, schema)
+        values = (table, i, f.name, t, mode, PANDAS_DTYPE.get(t, "object"), f.metadata.get("comment"))
+        names = ("table_name", "ordinal", "name", "type", "mode", "dtype_name", "description")
+        rows.append(F.struct(*[(F.lit(v) if n == "ordinal" else F.lit(v).cast("string")).alias(n) for n, v in zip(names, values)],
+                             F.col("n").alias("num_rows"), F.col(f"m{i}").alias("num_missing")))
+    counted = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(missing(df, f.name)).alias(f"m{i}")
+                                                     for i, f in enumerate(df.schema.fields, start=1)])
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def head_sample(df: DataFrame, order_by: Sequence[str | Column], n: int = 10) -> DataFrame:

@@ -58,6 +58,24 @@ def q_heuristics(spark, sf_dir):
     return df.select("query_id", "bytes_scanned", "report.plan_stats.*")
 
 
+REPORT_SQL = QLOG + ", st AS (SELECT query_id, original_sql, bytes_scanned, rows_read, slot_ms," + STATIC_SQL.format(s="original_sql") + """ FROM query_log)
+SELECT query_id, bytes_scanned, rows_read, slot_ms, select_star, num_joins, window_functions, non_sargable_predicates, partition_filters_used,
+       CASE WHEN num_joins > 1 THEN 'shuffle' ELSE 'broadcast' END AS join_type, partition_filters_used AS partition_pruning
+FROM st"""
+
+
+@register("q_report", REPORT_SQL)
+def q_report(spark, sf_dir):
+    """Q8: the whole report of every query: text statistics, scan figures (Q6) and plan statistics."""
+    df = QL.report(fixture(spark, sf_dir, "query_log"), "original_sql", "bytes_scanned", ("bytes_scanned", "rows_read", "slot_ms"))
+    st = F.col("report.query_text_stats")
+    return df.select("query_id", "report.scan_stats.*", st["select_star"].alias("select_star"), st["num_joins"].alias("num_joins"),
+                     F.array_join(st["window_functions"], "|").alias("window_functions"),
+                     F.array_join(st["non_sargable_predicates"], "|").alias("non_sargable_predicates"),
+                     st["partition_filters_used"].alias("partition_filters_used"),
+                     F.col("report.plan_stats.join_type").alias("join_type"), F.col("report.plan_stats.partition_pruning").alias("partition_pruning"))
+
+
 COMPARE_SQL = QLOG + """, s AS (
   SELECT query_id, bytes_scanned, rewritten_sql,
          len(regexp_extract_all(original_sql, '(?i)\\bjoin\\b')) AS jb,

@@ -36,12 +36,12 @@ def _sq(s: str) -> str:
     return s.replace("'", "''")
 
 
-def _entity_sql(values_sql: str, key: str) -> str:
+def _entity_sql(values_sql: str, key: str, gaz: str | None = None) -> str:
     return f"""v AS ({values_sql}),
 present AS (SELECT DISTINCT {key} FROM v WHERE NOT regexp_matches(value, '^\\s*$')),
 dates AS (SELECT {key}, 'DATE' AS class, sum(len(regexp_extract_all(value, '{_sq(S.DATE_RE)}'))) AS n FROM v GROUP BY {key}),
 w AS (SELECT {key}, unnest(regexp_extract_all(lower(value), '\\p{{L}}+')) AS word FROM v),
-named AS (SELECT {key}, gaz.class, count(*) AS n FROM w JOIN {_gaz_sql()} ON w.word = gaz.word GROUP BY ALL),
+named AS (SELECT {key}, gaz.class, count(*) AS n FROM w JOIN {gaz or _gaz_sql()} ON w.word = gaz.word GROUP BY ALL),
 counts AS (SELECT * FROM dates UNION ALL SELECT * FROM named),
 ent AS (SELECT p.{key}, c.class, CAST(coalesce(x.n, 0) AS BIGINT) AS n
         FROM present p CROSS JOIN (VALUES ('PERSON'), ('GPE'), ('LOC'), ('DATE')) AS c(class)

@@ -3,20 +3,24 @@ check suite (V4) and the written-policy checks (T2-T6, T8-T11)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import policy_checks as T
 from ..operators import profile as P
 from ..operators import proposals as G
 from ..operators import querylog as QL
+from ..operators import signals as S
 from ..session import scratch_path
 from ..sources import io
-from ..sources.tables import TABLES, fixture, fixture_ctes, read_table
+from ..sources.tables import fixture, fixture_ctes, read_table
 from .fix_queries import F9_SQL, cleaned_customer
 from .grounding_queries import _verdict_cte, bench_verdicts
 from .mask_queries import _mask_email_sql, _mask_phone_sql
 from .profile_queries import DC_COLS, _null_cond
 from .registry import register
+from .signal_queries import _entity_sql
 
 DC = fixture_ctes("dirty_customer")
 DC_SCHEMA = "id bigint, name string, email string, phone string, signup_date string, price double"
@@ -107,18 +111,46 @@ TYPE_MAP_SQL = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN
   WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>' ELSE lower(data_type) END"""
 
 
-@register("s_schema_catalog", f"""
+#: Columns of the driver tables, for the catalogue's oracle: missing values are counted column by column.
+TABLE_COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+
+
+def _catalog_sql() -> str:
+    counts = "\nUNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS name, count(*) AS num_rows, count(*) - count({c}) AS num_missing FROM {t}"
+        for t, names in TABLE_COLUMNS.items() for c in names.split())
+    return f"""
+WITH counts AS ({counts})
 SELECT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name AS name, {TYPE_MAP_SQL} AS type,
        CASE WHEN data_type LIKE '%[]' THEN 'REPEATED' ELSE 'NULLABLE' END AS mode,
        CASE {TYPE_MAP_SQL} WHEN 'bigint' THEN 'int64' WHEN 'int' THEN 'int64' WHEN 'double' THEN 'float64'
             WHEN 'float' THEN 'float64' WHEN 'string' THEN 'object' WHEN 'boolean' THEN 'bool'
-            WHEN 'timestamp_ntz' THEN 'datetime64[ns]' ELSE 'object' END AS dtype_name
-FROM information_schema.columns WHERE table_name IN {tuple(TABLES)}""")
+            WHEN 'timestamp_ntz' THEN 'datetime64[ns]' ELSE 'object' END AS dtype_name,
+       CAST(NULL AS VARCHAR) AS description, num_rows, num_missing
+FROM information_schema.columns c JOIN counts USING (table_name) WHERE c.column_name = counts.name"""
+
+
+@register("s_schema_catalog", _catalog_sql())
 def s_schema_catalog(spark, sf_dir):
-    """Schema catalogue of every driver table."""
+    """Schema catalogue of the driver tables with their row and missing counts."""
     out = None
-    for t in TABLES:
-        c = P.schema_catalog(read_table(spark, sf_dir, t), t).drop("description")
+    for t in TABLE_COLUMNS:
+        c = P.schema_catalog(read_table(spark, sf_dir, t), t)
         out = c if out is None else out.unionByName(c)
     return out
 
@@ -177,6 +209,28 @@ def v_check_suite(spark, sf_dir):
     return T.run_checks(fixture(spark, sf_dir, "dirty_customer"))
 
 
+def _pii_suite_sql() -> str:
+    values = "\n       UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value FROM dirty_customer WHERE {c} IS NOT NULL"
+                                        for c in ("name", "email", "phone", "signup_date"))
+    rows = ", ".join(f"('{w}', '{c}')" for c, ws in S.DEFAULT_GAZETTEER.items() for w in ws)
+    terms = "|".join(re.escape(t) for t in sorted(S.SENSITIVE_TERMS, key=len, reverse=True))
+    return DC.rstrip() + f""",
+{_entity_sql(values, '"column"', f"(VALUES {rows}) AS gaz(word, class)")}
+SELECT 'schema_check' AS "check", c AS "column", concat('type:', t) AS metric, 1.0::DOUBLE AS value
+FROM (VALUES ('id', 'bigint'), ('name', 'string'), ('email', 'string'), ('phone', 'string'), ('signup_date', 'string'), ('price', 'double')) AS s(c, t)
+UNION ALL SELECT 'ner_check', "column", class, CAST(n AS DOUBLE) FROM ent
+UNION ALL SELECT 'email_regex', 'email', 'email_invalid_count', CAST(count(*) FILTER (WHERE NOT coalesce(regexp_matches(email, '^[^@]+@[^@]+\\.[^@]+'), false)) AS DOUBLE) FROM dirty_customer
+UNION ALL SELECT 'phone_regex', 'phone', 'phone_invalid_count', CAST(count(*) FILTER (WHERE NOT coalesce(regexp_matches(regexp_replace(phone, '[\\s().-]', '', 'g'), '^\\+[1-9][0-9]{{6,14}}$'), false)) AS DOUBLE) FROM dirty_customer
+UNION ALL SELECT 'sensitive_terms_check', "column", term, CAST(count(*) AS DOUBLE)
+FROM (SELECT "column", unnest(regexp_extract_all(lower(value), '\\b({terms})\\b', 1)) AS term FROM v) x GROUP BY ALL"""
+
+
+@register("v_check_suite_pii", _pii_suite_sql())
+def v_check_suite_pii(spark, sf_dir):
+    """V4: the masking flow's fallback check list over dirty_customer."""
+    return T.run_checks(fixture(spark, sf_dir, "dirty_customer"), T.PII_FALLBACK_CHECKS)
+
+
 @register("t_policy_checks", DC + """
 SELECT 'required_not_null' AS "check", 'email' AS "column", count(*) FILTER (WHERE email IS NULL) AS n FROM dirty_customer
 UNION ALL SELECT 'required_not_null', 'phone', count(*) FILTER (WHERE phone IS NULL) FROM dirty_customer
@@ -244,17 +298,17 @@ def t_consent(spark, sf_dir):
 
 
 AUDIT_ACTIONS = [
-    {"action": "mask_email", "params": {"column": "email"}, "policy_refs": [{"policy_id": "GDPR-4", "quote": "mask"}]},
+    {"action": "mask_email", "description": "personal address", "params": {"column": "email"}, "policy_refs": [{"policy_id": "GDPR-4", "quote": "mask"}]},
     {"action": "mask_phone", "params": {"column": "phone"}, "policy_refs": [{"policy_id": "GDPR-4", "quote": "mask"}]},
     {"action": "unknown", "params": {"column": "name"}},
 ]
 
 
 @register("t_mask_audit", DC + f"""
-SELECT 0 AS step, 'mask_email' AS action, 'email' AS "column", 'GDPR-4' AS policy_id, 'mask' AS quote,
+SELECT 0 AS step, 'mask_email' AS action, 'email' AS "column", 'personal address' AS reason, 'GDPR-4' AS policy_id, 'mask' AS quote,
        count(*) FILTER (WHERE {_mask_email_sql('email')} IS DISTINCT FROM email) AS rows_changed FROM dirty_customer
 UNION ALL
-SELECT 1, 'mask_phone', 'phone', 'GDPR-4', 'mask',
+SELECT 1, 'mask_phone', 'phone', NULL, 'GDPR-4', 'mask',
        count(*) FILTER (WHERE {_mask_phone_sql('phone')} IS DISTINCT FROM phone) FROM dirty_customer""")
 def t_mask_audit(spark, sf_dir):
     """Audit rows (action, column, policy, rows changed) for a masking action list."""

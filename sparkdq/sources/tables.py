@@ -42,22 +42,22 @@ UNION ALL SELECT * FROM dc_base WHERE id % 10 = 0
 UNION ALL SELECT id, concat(name, ' II') AS name, email, phone, signup_date, price FROM dc_base WHERE id % 23 = 0
 """
 
-# query_log: one SQL text per event (six shapes), a rewrite, and scan bytes.
+# query_log: one SQL text per event, made of the event's own columns, a rewrite, and scan figures.
 QUERY_LOG_SQL = """
 SELECT event_id AS query_id,
-       CASE event_id % 6
-         WHEN 0 THEN 'SELECT * FROM t WHERE salary > 50000 ORDER BY salary DESC'
-         WHEN 1 THEN 'select a.x from a join b on a.k = b.k JOIN c on c.k = b.k where event_date = 1'
-         WHEN 2 THEN 'SELECT x, Row_Number() OVER (ORDER BY x), percent_rank () OVER (ORDER BY x) FROM t'
-         WHEN 3 THEN 'SELECT x FROM t WHERE DATE(ts) = 1 AND CAST(z AS DATE) > 1 AND TO_DATE(y) = 2'
-         WHEN 4 THEN concat('select  *', chr(10), 'from a', chr(10), 'inner join b on a.k = b.k', chr(10), 'where x = 1', chr(10), 'and event_date > 3')
-         ELSE '   ' END AS original_sql,
-       CASE event_id % 6
-         WHEN 0 THEN 'SELECT salary FROM t WHERE salary > 50000'
-         WHEN 4 THEN concat('select a.x', chr(10), 'from a', chr(10), 'inner join b on a.k = b.k', chr(10), 'where event_date > 3')
-         WHEN 5 THEN NULL
-         ELSE 'SELECT x FROM t' END AS rewritten_sql,
-       event_id * 7777777 AS bytes_scanned
+       CASE WHEN user_id % 11 = 3 THEN '   '
+         WHEN event_type = 'error' THEN concat('SELECT * FROM ', event_type, ' WHERE user_id > ', CAST(user_id AS STRING), ' ORDER BY props DESC')
+         WHEN event_type = 'click' THEN concat('select a.x from ', event_type, ' a join b on a.k = b.k JOIN c on c.k = b.k where event_date = ', CAST(user_id AS STRING))
+         WHEN event_type = 'view' THEN concat('SELECT props, Row_Number() OVER (ORDER BY x), percent_rank () OVER (ORDER BY x) FROM t WHERE props = ', props)
+         WHEN event_type = 'signup' THEN concat('SELECT x FROM ', event_type, ' WHERE DATE(ts) = ', CAST(user_id AS STRING), ' AND CAST(z AS DATE) > 1 AND TO_DATE(y) = 2')
+         ELSE concat('select  *', chr(10), 'from ', event_type, chr(10), 'inner join b on a.k = b.k', chr(10), 'where props = ', props, chr(10), 'and event_date > ', CAST(user_id AS STRING)) END AS original_sql,
+       CASE WHEN event_type = 'error' THEN concat('SELECT user_id FROM error WHERE user_id > ', CAST(user_id AS STRING))
+         WHEN event_type = 'purchase' THEN concat('select a.x', chr(10), 'from purchase', chr(10), 'inner join b on a.k = b.k', chr(10), 'where event_date > ', CAST(user_id AS STRING))
+         WHEN event_type = 'signup' THEN NULL
+         ELSE concat('SELECT x FROM t -- ', props) END AS rewritten_sql,
+       event_id * 7777777 AS bytes_scanned,
+       user_id * 1000 AS rows_read,
+       CAST(length(props) * 10 AS BIGINT) AS slot_ms
 FROM events
 """
 
@@ -70,22 +70,12 @@ FIXTURES = {
 # Driver tables each fixture reads.
 FIXTURE_TABLES = {"dc_base": ("customer",), "dirty_customer": (), "query_log": ("events",)}
 
-# DataFrames of driver tables already opened in this session (a scan plan, not data):
-# reopening a table lists its files and reads its footers again.
-_OPEN: dict[tuple[str, str], DataFrame] = {}
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, table_path(sf_dir, name))
-    df = _OPEN.get(key)
-    if df is None:
-        df = spark.read.parquet(key[1])
-        _OPEN[key] = df
-    return df
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
