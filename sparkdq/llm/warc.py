@@ -14,6 +14,7 @@ transfer framing is decoded.  A group is one record, bounded by a page's size.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ from .stage import PART, POS, marked, stage, written
 
 SEGMENT = 16 * 1024  # block bytes per record
 CHUNK = 4 * 1024  # bytes per transfer chunk
-RECORDS_PER_FILE = 2000  # with SEGMENT bounds an archive to about 33 MB
+RECORDS_PER_FILE = 2000  # with SEGMENT bounds an archive, unpacked, to about 33 MB
 DATE = "2024-01-01T00:00:00Z"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -151,7 +152,7 @@ def write_archives(pages: DataFrame, path: str, key_col: str = "page_id", url_co
     responses = marked(rows, again.select(PART, POS)).filter("NOT _marked").select(
         rid(F.col(PART), F.col(POS), F.col("sha256")).alias("rid"), "key", "url", "html")
     for records, to in ((responses.mapInArrow(_responses, "record binary"), "response"), (revisits.mapInArrow(_revisits, "record binary"), "revisit")):
-        (records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE)
+        (records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip")
          .text(f"{path}/kind={to}"))
 
 
@@ -184,7 +185,8 @@ def _reader(segmented: bool):
         for b in batches:
             for archive in b.column("content"):
                 rows, size = [], 0
-                for fields, block in parse(archive.as_py()):
+                content = archive.as_py()
+                for fields, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
                     if ("warc-segment-number" in fields) != segmented:
                         continue
                     rid, kind, key, refers, declared, origin = _fields(fields)
@@ -219,10 +221,10 @@ def reassemble(t: pa.Table) -> pa.Table:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of all archives below ``path``, segments joined and framing decoded.
 
-    ``problem`` is null for sound records, else ``missing segment``, ``total length``, ``framing`` or ``digest``;
+    Archives may be gzip files.  ``problem`` is null for sound records, else ``missing segment``, ``total length``, ``framing`` or ``digest``;
     the payload of revisits and of broken records is null.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", "true").load(path).select("content")
     whole = files.mapInArrow(_reader(False), RECORD)
     joined = files.mapInArrow(_reader(True), SEGMENTS).groupBy("origin").applyInArrow(reassemble, RECORD)
     return whole.unionByName(joined)
