@@ -9,7 +9,7 @@ count.  Token ids never exist outside the counting of one pre-token.
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -18,26 +18,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stage import PART, POS, stage, written
+from .stage import PART, POS, stage, trimmed, written
+from .subword import Vocabulary, in_pieces
 
-_CONTROL = str.maketrans("", "", "\x1c\x1d\x1e\x1f")  # white space to Python, not to the tokenizer
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed value: the tokenizer's own pre-token pattern
+WHOLE = " "  # marks a chunk that is counted by the whole tokenizer; no pre-token holds white space
 
 
 class PreTokens:
     """Pre-tokens of whole texts, looked up once per distinct white-space-separated chunk.
 
-    For a tokenizer whose normaliser and pre-tokenizer treat the chunks between white space independently and drop
-    the white space itself.  A chunk that holds an added token's string stays one entry, marked, and is counted by
-    the whole tokenizer.
+    For a tokenizer that lower-cases, splits by ``_SPLIT`` and drops white space, so that chunks between white space
+    are independent.  Chunks of letters below U+0250, whose composition and case are plain, are split here; others by
+    the library's normaliser and pre-tokenizer.  A chunk that holds an added token's string stays one, marked entry.
     """
 
-    def __init__(self, tokenizer_json: str, max_chunks: int = 200_000):
+    def __init__(self, tokenizer_json: str, max_chunks: int = 250_000, max_chars: int = 8_000_000):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.max_chunks, self.chunks, self.numbers = max_chunks, {}, {}
+        self.pattern, self.space = regex.compile(_SPLIT), regex.compile(r"\p{White_Space}+")
+        self.max_chunks, self.max_chars = max_chunks, max_chars
+        self.numbers: dict[str, int] = {}
         self.fresh: list[str] = []
+        self.start()
+
+    def start(self) -> None:
+        """Forget the chunks; pre-tokens keep their numbers."""
+        self.chunks, self.first, self.flat = Vocabulary(lower=False), np.zeros(1, np.int64), np.empty(0, np.int64)
 
     def number(self, pretoken: str) -> int:
         n = self.numbers.get(pretoken)
@@ -46,53 +56,62 @@ class PreTokens:
             self.fresh.append(pretoken)
         return n
 
-    def of_chunk(self, chunk: str) -> tuple[int, ...]:
-        if any(a in chunk for a in self.added):
-            return (self.number("\x00" + chunk),)
-        plain = self.tokenizer.normalizer.normalize_str(chunk)
-        return tuple(self.number(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain))
-
-    def frequencies(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted dictionary positions (as gaps) and frequencies of a text's distinct pre-tokens."""
-        if len(self.chunks) > self.max_chunks:
-            self.chunks = {}
-        if text.translate(_CONTROL) != text:
-            found = Counter(_white_space(text))
-        else:
-            found = Counter(text.split())
-        ids: list[int] = []
-        counts: list[int] = []
-        for chunk, n in found.items():
-            known = self.chunks.get(chunk)
-            if known is None:
-                known = self.of_chunk(chunk)
-                if len(chunk) <= 200:
-                    self.chunks[chunk] = known
-            ids += known
-            counts += [n] * len(known)
-        if not ids:
-            return np.empty(0, np.int32), np.empty(0, np.int32)
-        u, inverse = np.unique(np.array(ids, np.int32), return_inverse=True)
-        return np.diff(u, prepend=np.int32(0)), np.bincount(inverse, counts).astype(np.int32)
-
-
-def _white_space(text: str) -> list[str]:
-    """Chunks between white space where U+001C to U+001F count as ordinary characters."""
-    import regex
-
-    return [c for c in regex.split(r"\p{White_Space}+", text) if c]
+    def split(self, chunk: str) -> list[str]:
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+        elif max(chunk) >= "\u0250" or "\u0130" in chunk:
+            plain = self.tokenizer.normalizer.normalize_str(chunk)
+            return [WHOLE + chunk] if self.holds_added(chunk) else [plain[x:y] for _, (x, y) in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
+        return [WHOLE + chunk] if self.holds_added(chunk) else self.pattern.findall(chunk.lower())
+
+    def holds_added(self, chunk: str) -> bool:
+        return any(a in chunk for a in self.added)
+
+    def words(self, text: str) -> list[str]:
+        """Chunks between white space; U+001C to U+001F, white space to Python, are ordinary characters."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return [c for c in self.space.split(text) if c]
+        return text.split()
+
+    def frequencies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, pre-token number, frequency), sorted, for all texts."""
+        if len(self.chunks) > self.max_chunks or self.chunks.chars > self.max_chars:
+            self.start()
+        split = [self.words(t) for t in texts]
+        lens = np.fromiter(map(len, split), np.int64, len(split))
+        chunk = np.fromiter(map(self.chunks.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(lens.sum()))
+        new = [[self.number(p) for p in self.split(c)] for c in self.chunks.fresh]
+        self.chunks.fresh = []
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(new), np.int64)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))])
+        n = self.first[chunk + 1] - self.first[chunk]
+        at = np.repeat(self.first[chunk] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        packed = (np.repeat(np.repeat(np.arange(len(texts)), lens), n) << 40) | self.flat[at]
+        packed, counts = np.unique(packed, return_counts=True)
+        return packed >> 40, packed & ((1 << 40) - 1), counts
 
 
 def pieces(tokenizer, pretoken: str) -> int:
     """Tokens of one pre-token (of a whole chunk, if marked)."""
-    if pretoken.startswith("\x00"):
+    if pretoken.startswith(WHOLE):
         return len(tokenizer.encode(pretoken[1:], add_special_tokens=False).ids)
-    return len(tokenizer.model.tokenize(pretoken))
+    if pretoken.isascii() and pretoken.isprintable():  # bytes that stand for themselves
+        return len(tokenizer.model.tokenize(pretoken))
+    return sum(len(tokenizer.model.tokenize(p)) for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(pretoken))
 
 
 FREQUENCIES = f"{PART} bigint, {POS} bigint, n_bytes bigint, at array<int>, times array<int>, pretoken string"
 
 
+def _slices(b: pa.RecordBatch, chars: int = 400_000):
+    """A batch in slices of bounded text, with their texts; null is empty."""
+    at = 0
+    for texts in in_pieces([t or "" for t in b.column("text").to_pylist()], chars):
+        yield b.slice(at, len(texts)), texts
+        at += len(texts)
+
+
 def _count_pretokens(tokenizer_json: str):
     def run(batches):
         part, dictionary, pos = TaskContext.get().partitionId(), PreTokens(tokenizer_json), 0
@@ -106,12 +125,12 @@ def _count_pretokens(tokenizer_json: str):
         kind = None
         for b in batches:
             kind = b.schema.field("row").type
-            for lo in range(0, len(b), 1000):
-                piece = b.slice(lo, 1000)
-                texts = [t or "" for t in piece.column("text").to_pylist()]
-                found = [dictionary.frequencies(t) for t in texts]
-                lens = np.cumsum([0] + [len(f[0]) for f in found]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate([f[k] for f in found]))) for k in (0, 1)]
+            for piece, texts in _slices(b):
+                text, number, times = dictionary.frequencies(texts)
+                cut = np.searchsorted(text, np.arange(len(texts) + 1))
+                gaps = np.diff(number, prepend=0)
+                gaps[cut[:-1][cut[:-1] < len(number)]] = number[cut[:-1][cut[:-1] < len(number)]]
+                lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(v.astype(np.int32))) for v in (gaps, times)]
                 yield pa.RecordBatch.from_arrays(
                     rows(len(texts), **{POS: pa.array(np.arange(pos, pos + len(texts)), pa.int64()), "row": piece.column("row"),
                                         "n_bytes": pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
@@ -125,7 +144,7 @@ def _count_pretokens(tokenizer_json: str):
             dictionary.fresh = []
 
     names = [PART, POS, "n_bytes", "at", "times", "pretoken", "row"]
-    return run
+    return trimmed(run)
 
 
 def _count_pieces(tokenizer_json: str):
@@ -137,11 +156,11 @@ def _count_pieces(tokenizer_json: str):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces(tokenizer, p) for p in b.column(0).to_pylist()], pa.int32())],
                                              names=["pretoken", "pieces"])
 
-    return run
+    return trimmed(run)
 
 
 def _sum(docs: pa.Table, counts: pa.Table) -> pa.Table:
-    """Per document the dot product of its frequencies with the part's piece counts."""
+    """Per document the dot product of its frequencies (positions as gaps) with the part's piece counts."""
     at, n = counts.column(POS).to_numpy(), counts.column("pieces").to_numpy()
     by_number = np.zeros(int(at.max()) + 1 if len(at) else 1, np.int64)
     by_number[at] = n
