@@ -3,8 +3,8 @@
 A rolling hash over the last 16 bytes cuts every text where its low bits are
 zero, so passages that documents share are cut alike wherever they stand.  A
 chunk's *body* lies between its first and last certain token border: a space
-after a visible ASCII character always begins a new pre-token and nothing before
-it depends on what follows.  Bodies found in several parts are encoded once by
+after a character that is surely no white space always begins a new pre-token and
+nothing before it depends on what follows.  Bodies found in several parts are encoded once by
 one owner, and their ids travel to the parts that use them; other bodies are
 encoded where they are.  At a join the text from the last certain border of the
 left chunk to the first of the right one is encoded again; a chunk without a
@@ -17,6 +17,7 @@ encoded anew.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stage import PART, stage, written
+from .stage import PART, stage, trimmed, written
 
 WINDOW = 16
 CHUNK_BITS = 10  # chunks of 1 KB on average
@@ -51,9 +52,10 @@ def cuts(data: np.ndarray, table: np.ndarray, bits: int = CHUNK_BITS) -> np.ndar
 
 
 def borders(data: np.ndarray) -> np.ndarray:
-    """Certain token borders: positions of a space after a visible ASCII character."""
-    before = data[:-1]
-    return np.flatnonzero((data[1:] == 0x20) & (before > 0x20) & (before < 0x7F)) + 1
+    """Certain token borders: a space after a visible ASCII character or one from U+00C0 to U+07FF (none is white space)."""
+    at = np.flatnonzero(data[1:] == 0x20) + 1
+    last, lead = data[at - 1], data[np.maximum(at - 2, 0)]
+    return at[((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF))]
 
 
 def split(data: bytes, table: np.ndarray) -> list[tuple[int, int, bool]]:
@@ -83,7 +85,10 @@ def key(body: bytes) -> bytes:
 class Codec:
     """The tokenizer, and the bytes of each id."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, max_pieces: int = 200_000):
+        self.pieces: dict[bytes, bytes] = {}  # piece -> ids
+        self.changed: dict[bytes, bytes] = {}  # piece -> what its ids decode to, where that differs
+        self.max_pieces = max_pieces
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,14 +101,52 @@ class Codec:
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = added.get(i) or bytes(byte_of[c] for c in token)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+
+    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids (little-endian 32-bit integers) of each text and the bytes they decode to.
+
+        A text is encoded by the pieces between its certain borders; short pieces are remembered, up to a bound.  Ids of
+        a piece are decoded when it is first met; only pieces that decode to other bytes need remembering for that.
+        """
+        if len(self.pieces) > self.max_pieces:
+            self.pieces, self.changed = {}, {}
+        cut = []
+        for data in texts:
+            at = [0, *borders(np.frombuffer(data, np.uint8)).tolist(), len(data)] if data else []
+            cut.append([data[x:y] for x, y in itertools.pairwise(at)])
+        new = list(set(itertools.chain.from_iterable(cut)).difference(self.pieces))
+        self.learn(new)
+        out = []
+        for data, pieces in zip(texts, cut, strict=True):
+            same = not self.changed or self.changed.keys().isdisjoint(pieces)
+            out.append((b"".join(map(self.pieces.__getitem__, pieces)), data if same else b"".join([self.changed.get(p, p) for p in pieces])))
+        for p in new:
+            if len(p) > 64:
+                del self.pieces[p]
+        return out
+
+    def learn(self, pieces: list[bytes], at_once: int = 2000) -> None:
+        """Encode and decode pieces.  Those that are certain at both ends are encoded in a row, which costs far less than
+        one by one, and told apart by the byte lengths of their tokens: their borders are token borders in any context.
+        """
+        sure = [p for p in pieces if p[0] == 0x20 and (0x20 < p[-1] < 0x7F or p[-1] >= 0x80 and 0xC3 <= p[-2] <= 0xDF)]
+        groups = [sure[i : i + at_once] for i in range(0, len(sure), at_once)]
+        groups += [[p] for p in set(pieces).difference(sure)]
+        coded = self.tokenizer.encode_batch_fast([b"".join(g).decode() for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, coded, strict=True):
+            ids = np.array(e.ids, "<u4")
+            whole, decoded = ids.tobytes(), self.decode(ids)
+            at = np.cumsum([0] + [len(p) for p in group])
+            token = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), at, "right")).tolist() if len(group) > 1 else [0, len(whole)]
+            at = at.tolist() if len(group) > 1 else [0, len(decoded)]
+            for p, x, y, i, j in zip(group, at, at[1:], token, token[1:], strict=False):
+                self.pieces[p] = whole[i:j]
+                if decoded[x:y] != p:
+                    self.changed[p] = decoded[x:y]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
 def texts_of(column: pa.ChunkedArray, rows: int = 200):
@@ -112,6 +155,7 @@ def texts_of(column: pa.ChunkedArray, rows: int = 200):
         yield [(t or "").encode() for t in column.slice(lo, rows).to_pylist()]
 
 
+@trimmed
 def _keys(batches):
     table = gear()
     for b in batches:
@@ -124,11 +168,22 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=[PART, "key"])
 
 
-def _encode_owned(tokenizer_json: str):
+class Lazy:
+    """The codec of a task, made at first use and kept for the task's later groups."""
+
+    def __init__(self, tokenizer_json: str):
+        self.tokenizer_json, self.codec = tokenizer_json, None
+
+    def get(self) -> Codec:
+        self.codec = self.codec or Codec(self.tokenizer_json)
+        return self.codec
+
+
+def _encode_owned(lazy: Lazy):
     def run(docs: pa.Table, owned: pa.Table) -> pa.Table:
         wanted, out = set(owned.column("key").to_pylist()), []
         if wanted:
-            codec, table = Codec(tokenizer_json), gear()
+            codec, table = lazy.get(), gear()
             for texts in texts_of(docs.column("text")):
                 found = {}
                 for data in texts:
@@ -136,7 +191,7 @@ def _encode_owned(tokenizer_json: str):
                         if body and (k := key(data[x:y])) in wanted:
                             found[k] = data[x:y]
                             wanted.discard(k)
-                out += zip(found, codec.encode(list(found.values())), strict=True)
+                out += zip(found, [ids for ids, _ in codec.encode(list(found.values()))], strict=True)
                 if not wanted:
                     break
         return pa.table({"key": pa.array([r[0] for r in out], pa.binary()), "ids": pa.array([r[1] for r in out], pa.binary())})
@@ -144,9 +199,9 @@ def _encode_owned(tokenizer_json: str):
     return run
 
 
-def _assemble(tokenizer_json: str, cache_bytes: int = 48_000_000):
+def _assemble(lazy: Lazy, cache_bytes: int = 24_000_000):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        codec, table = Codec(tokenizer_json), gear()
+        codec, table = lazy.get(), gear()
         given = dict(zip(shared.column("key").to_pylist(), shared.column("ids").to_pylist(), strict=True))
         known: dict[bytes, tuple[bytes, bytes]] = {}  # body or join -> ids, decoded bytes
         size, ids, decoded = 0, [], []
@@ -158,14 +213,12 @@ def _assemble(tokenizer_json: str, cache_bytes: int = 48_000_000):
             for piece, body in (p for t in parts for p in t):
                 if piece not in known and piece not in new:
                     got = given.get(key(piece)) if body else None
-                    new[piece] = (got, codec.decode(got)) if got is not None else None
+                    new[piece] = (got, codec.decode(np.frombuffer(got, "<u4"))) if got is not None else None
                     if new[piece] and new[piece][1] != piece:
                         new[piece] = None
             fresh = [p for p, v in new.items() if v is None]
-            for p, i in zip(fresh, codec.encode(fresh), strict=True):
-                new[p] = (i, codec.decode(i))
-            known |= new
-            size += sum(len(p) + len(v[0]) + len(v[1]) + 200 for p, v in new.items())
+            known |= new | dict(zip(fresh, codec.encode(fresh), strict=True))
+            size += sum(7 * len(p) + 200 for p in new)
             ids += [b"".join(known[p][0] for p, _ in t) for t in parts]
             decoded += [b"".join(known[p][1] for p, _ in t).decode("utf-8", "replace") for t in parts]
         return pa.table({"row": docs.column("row"), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())})
@@ -185,7 +238,7 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, carry: list[str], text_c
     shared = uses.groupBy("key").agg(F.count("*").alias("parts"), F.min(PART).alias("owner")).filter("parts > 1")
     owned = shared.select(F.col("owner").alias(PART), "key")
     encoded = written(staged.select(PART, "text").groupBy(PART).cogroup(owned.groupBy(PART))
-                      .applyInArrow(_encode_owned(tokenizer_json), "key binary, ids binary"))
+                      .applyInArrow(_encode_owned(Lazy(tokenizer_json)), "key binary, ids binary"))
     sent = uses.join(encoded, "key").select(PART, "key", "ids")
     schema = T.StructType([staged.schema["row"], *T.StructType.fromDDL("ids binary, decoded string").fields])
-    return staged.select(PART, "row", "text").groupBy(PART).cogroup(sent.groupBy(PART)).applyInArrow(_assemble(tokenizer_json), schema)
+    return staged.select(PART, "row", "text").groupBy(PART).cogroup(sent.groupBy(PART)).applyInArrow(_assemble(Lazy(tokenizer_json)), schema)
