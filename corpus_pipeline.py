@@ -8,6 +8,8 @@
 
 Every stage reads all that its predecessor kept; ``run`` writes each result to the
 shared folder as Parquet and reads it again, so a lost executor repeats one stage.
+A stage begins by removing what the stage before it staged, so its ``docs`` must
+have been written and read again.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sparkdq.llm import dart_minhash, exact_dedup, language_id, mixing, queries
 from sparkdq.llm.samples import fold
-from sparkdq.llm.stage import written
+from sparkdq.llm.stage import release, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Mixing: this share of the tokens that come in is the budget, and no document is used twice.
@@ -30,27 +32,32 @@ def _columns(rows: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model, learned from the same folds as op9, does not reject."""
+    release(spark)
     model = language_id.train(docs.filter(fold(F.col("doc_id"), 4) != 2))
     return _columns(language_id.identify(docs, model, carry=COLUMNS).filter("NOT rejected"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text (white-space runs as one space) the smallest doc_id stays."""
+    release(spark)
     return _columns(exact_dedup.exact_dedup(docs, carry=COLUMNS).filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingle similarity the smallest doc_id stays."""
+    release(spark)
     return _columns(dart_minhash.near_duplicates(docs, carry=COLUMNS).kept_rows())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents chosen to fill the budget tree of domain, language and source."""
+    release(spark)
     return _columns(mixing.mix(docs, F.expr(queries.DOMAIN), TOKEN_SHARE, queries.WEIGHTS, epochs=EPOCHS, seed=SEED, carry=COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every remaining document."""
+    release(spark)
     return queries.bpe_digests(docs)
 
 
@@ -65,5 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

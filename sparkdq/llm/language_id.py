@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .samples import labelled_sample
+from .stage import trimmed
 from .subword import Softmax, Vocabulary, WordScores, bags, in_pieces, text_sums
 
 UNDETERMINED = "und"
@@ -95,7 +96,7 @@ def _identify(model: LanguageModel):
                 [b.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
                  pa.array([s < model.threshold for s in scores], pa.bool_())], names=["row", "lang_pred", "score", "rejected"])
 
-    return run
+    return trimmed(run)
 
 
 def identify(docs: DataFrame, model: LanguageModel, carry: list[str], text_col: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .samples import labelled_sample
+from .stage import trimmed
 from .subword import Vocabulary, in_pieces, platt
 
 PASSAGE = 48
@@ -32,7 +33,7 @@ def char_classes(limit: int = 0x3000) -> np.ndarray:
 class PassageEncoder:
     """Passage vectors of texts; what is known of each distinct word is computed once per task."""
 
-    def __init__(self, max_words: int = 200_000, max_chars: int = 8_000_000):
+    def __init__(self, max_words: int = 150_000, max_chars: int = 4_000_000):
         self.classes, self.max_words, self.max_chars = char_classes(), max_words, max_chars
         self.start()
 
@@ -185,7 +186,7 @@ def _rate(model: QualityModel):
             out = [np.empty(0)] + [model.scores(encoder, p) for p in in_pieces([t or "" for t in b.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.concatenate(out).astype(np.float64))], names=["row", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def rate(docs: DataFrame, model: QualityModel, carry: list[str], text_col: str = "text") -> DataFrame:

@@ -38,19 +38,56 @@ def stage(df: DataFrame, numbered: bool = False, rows_per_part: int | None = Non
         part = part if rows_per_part is None else part * (1 << 33) + F.floor(pos / rows_per_part)
         df = df.select("*", part.alias(PART), pos.alias(POS))
     name = f"staged_{uuid.uuid4().hex}"
-    (df.write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, name))
+    path = scratch_path(spark, name)
+    (df.write.format("parquet").option("compression", "zstd").option("path", path)
        .bucketBy(shuffle_partitions(spark), PART).saveAsTable(name))
+    _made.append((spark.sparkContext.applicationId, path, name))
     return spark.table(name)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: cuts lineage, computes once."""
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back: cuts lineage, computes once.
+
+    ``keep``: ``release`` leaves it.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "written")
     df.write.option("compression", "zstd").parquet(path)
+    if not keep:
+        _made.append((spark.sparkContext.applicationId, path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What ``stage`` and ``written`` have left in the shared folder: application, folder, table.
+_made: list[tuple[str, str, str | None]] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what earlier operators of this session staged.  Only when their results have been written or dropped."""
+    for app, path, table in _made:
+        if app == spark.sparkContext.applicationId:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _made.clear()
+
+
+def trimmed(run):
+    """A ``mapInArrow`` body that gives freed memory back to the system when its task ends: workers outlive tasks."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def bitmaps(picks: DataFrame) -> DataFrame:
     """``(_part, _pos)`` rows as one array of 63-bit words per part (JVM side, at most one bit per row of a part)."""
     words = (picks.groupBy(PART, F.floor(F.col(POS) / _WORD).cast("int").alias("w"))

@@ -71,7 +71,7 @@ class Vocabulary(dict):
 class WordScores:
     """Word logits of a trained model, kept per distinct word; memory is bounded by starting anew."""
 
-    def __init__(self, logits: np.ndarray, max_words: int = 300_000, max_chars: int = 8_000_000):
+    def __init__(self, logits: np.ndarray, max_words: int = 150_000, max_chars: int = 4_000_000):
         self.logits, self.max_words, self.max_chars = logits, max_words, max_chars
         self.vocabulary, self.scores = Vocabulary(), np.empty((0, logits.shape[1]), np.float32)
         self.used = 0

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .samples import labelled_sample
+from .stage import trimmed
 from .subword import Softmax, Vocabulary, WordScores, bags, in_pieces, platt
 
 WINDOW = 6
@@ -120,7 +121,7 @@ def _rate(model: ToxicityModel):
                 out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.concatenate(out), pa.float64())], names=["row", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def rate(docs: DataFrame, model: ToxicityModel, carry: list[str], text_col: str = "text") -> DataFrame:
