@@ -45,6 +45,17 @@ def stage(df: DataFrame, numbered: bool = False, rows_per_part: int | None = Non
     return spark.table(name)
 
 
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` shuffled once by ``key`` and written as a table bucketed and sorted by it: later joins on ``key`` read it in place."""
+    spark = df.sparkSession
+    name, n = f"keyed_{uuid.uuid4().hex}", shuffle_partitions(spark)
+    path = scratch_path(spark, name)
+    (df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path)
+       .bucketBy(n, key).sortBy(key).saveAsTable(name))
+    _made.append((spark.sparkContext.applicationId, path, name))
+    return spark.table(name)
+
+
 def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: cuts lineage, computes once.
 
