@@ -9,7 +9,7 @@ coordinate the earliest dart stays; coordinates of two texts agree with
 probability equal to their weighted Jaccard similarity.
 
 Texts whose coordinates agree in a band share a bucket.  In rounds, a bucket's
-pivots (one, then 4, 16, ...) are compared with its other members, exactly, by
+pivots (one, then 4, 16, ..., those with the most company first) are compared with its other members, exactly, by
 their shingles; found links merge classes, and a bucket is finished when the
 members that have not been pivots are of one class.  So no bucket is expanded into
 pairs, yet no pair of different classes within a bucket stays uncompared.
@@ -276,7 +276,10 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 
 def link_classes(members: DataFrame, shingles: DataFrame, short: DataFrame) -> DataFrame:
-    """``(node, root)`` of all nodes that share a class with a smaller node, from bucket members ``(key, node, weight)``."""
+    """``(node, root)`` of all nodes that share a class with a smaller node, from bucket members ``(key, node, weight, company)``.
+
+    Of a bucket the members with the most ``company`` are pivots first.
+    """
     spark = members.sparkSession
     roots = spark.createDataFrame([], "node bigint, root bigint")
     compared = spark.createDataFrame([], "node bigint, pivot bigint")
@@ -287,7 +290,8 @@ def link_classes(members: DataFrame, shingles: DataFrame, short: DataFrame) -> D
         open_ = written(labelled.join(many, "key", "left_semi"))
         if not open_.take(1):
             return roots
-        chosen = open_.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("s")).agg(F.min(F.struct("node", "weight", "root")).alias("p"))
+        chosen = open_.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("s")).agg(
+            F.max(F.struct("company", (-F.col("node")).alias("first"), "node", "weight", "root")).alias("p"))
         chosen = chosen.select("key", F.col("p.node").alias("pivot"), F.col("p.weight").alias("p_weight"), F.col("p.root").alias("p_root"))
         pairs = open_.join(chosen, "key").filter(
             (F.col("root") != F.col("p_root")) & (F.least("weight", "p_weight") >= SIMILARITY * F.greatest("weight", "p_weight") - 1e-9))
@@ -331,8 +335,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = sketch.filter("weight > 0")
     same = written(some.groupBy("digest", "weight").agg(F.min(F.struct("node", "bands", "short")).alias("f")).select("digest", "weight", "f.*"))
     banded = same.select(F.explode("bands").alias("key"), "node", "weight")
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = written(banded.join(shared, "key", "left_semi"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(banded.join(shared, "key"))
+    # The text that others are variants of shares more buckets with more texts than the variants share with each other.
+    popular = members.groupBy("node").agg(F.sum("n").alias("company"))
+    members = written(members.drop("n").join(popular, "node"))
     wanted = members.select("node").distinct()
     picked = marked(rows, wanted.select(F.shiftright("node", 33).alias(PART), F.col("node").bitwiseAND(F.lit((1 << 33) - 1)).alias(POS))).filter("_marked")
     shingles = keyed(picked.select(node, "text").mapInArrow(_shingles, "node bigint, elements binary, weights binary"), "node")
