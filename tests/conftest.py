@@ -7,8 +7,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -52,7 +50,3 @@ def pii_sample(spark):
     ]
     return spark.createDataFrame(
         rows, "id bigint, name string, email string, phone string, signup_date string, address string, notes string")
-
-
-def as_dict(profile_df):
-    return {(r["column"], r["metric"]): r["value"] for r in profile_df.collect()}

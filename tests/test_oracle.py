@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from dq_helpers import SF_SMALL
 from oracle_compare import compare, duck_connect
 from sparkdq.plans import registry
 

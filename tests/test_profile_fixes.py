@@ -1,6 +1,6 @@
 import math
 
-from conftest import as_dict
+from dq_helpers import as_dict
 from pyspark.sql import functions as F
 
 from sparkdq.operators import fixes as FX
