@@ -46,11 +46,11 @@ def test_odd_documents_and_empty_table(odd_docs, no_docs):
 def test_prefix_is_the_longest_that_fits_in_seeded_order(spark):
     docs = written(spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"),
                                             F.lit("en").alias("lang"), F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source")))
-    got = mixing.mix(docs, F.lit("d"), 0.45, {"source": {"big": 9}}, epochs=3, seed=5).selectExpr("row.doc_id", "source", "tokens", "copies").collect()
+    got = mixing.mix(docs, F.lit("d"), 0.9, {"source": {"big": 30}}, epochs=3, seed=5).selectExpr("row.doc_id", "source", "tokens", "copies").collect()
     leaves = docs.groupBy(F.lit("d").alias("domain"), "lang", "source").agg(F.sum(mixing.words(F.col("text"))).alias("supply"))
-    total = int(docs.select(F.sum(mixing.words(F.col("text")))).first()[0] * 0.45)
+    total = int(docs.select(F.sum(mixing.words(F.col("text")))).first()[0] * 0.9)
     want = {}
-    for leaf in mixing.budgets(leaves, total, {"source": {"big": 9}}, 3).collect():
+    for leaf in mixing.budgets(leaves, total, {"source": {"big": 30}}, 3).collect():
         passes, room = divmod(leaf.budget, leaf.supply)
         order = docs.filter(F.col("source") == leaf.source).select("doc_id", mixing.words(F.col("text")).alias("n"), mixing.place(5, F.lit(passes), F.col("doc_id")).alias("at"))
         for r in sorted(order.collect(), key=lambda r: r["at"]):
