@@ -51,7 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sparkdq-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, path)
-    spark.sparkContext.setCheckpointDir(path)
+    if spark.sparkContext.getCheckpointDir() is None:  # each call would make another folder
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
