@@ -23,6 +23,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ from .stage import PART, POS, bitmaps, stage, trimmed, written
 
 LEAST_DOCS, RANKS, SCALE = 3, 200, 1_000_000_000
 FIRST_BYTES = 4  # the first level; each next one doubles it
-CHUNK_WORDS = 2_000_000
-ROWS_PER_BLOCK = 100_000
+CHUNK_WORDS = 5_000_000
+ROWS_PER_BLOCK = 50_000
 CELLS = 1 << 18  # sources x terms compared at once
 _TERM_BYTES = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -65,19 +66,33 @@ class _Chunk:
 
     def columns(self) -> dict:
         lens = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        names = list(self.terms)
-        order = sorted(range(len(names)), key=names.__getitem__)
+        names = sorted(self.terms)
         place = np.empty(len(names), np.int64)
-        place[order] = np.arange(len(names))
+        place[np.fromiter(map(self.terms.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
         ids = place[np.concatenate(self.ids)] if lens.sum() else np.empty(0, np.int64)
         packed, times = np.unique((ids << 32) | np.repeat(np.arange(len(lens)), lens), return_counts=True)
         starts = np.searchsorted(packed >> 32, np.arange(len(names) + 1))
-        return {"terms": [names[i] for i in order], "starts": starts.astype("<i4").tobytes(), "docs": (packed & 0xFFFFFFFF).astype("<i4").tobytes(),
-                "times": times.astype("<i4").tobytes(), "of": np.array(self.of, "<i4").tobytes(), "sources": list(self.sources)}
-
-
-PARTS = f"{PART} bigint, lang string, terms array<binary>, starts binary, docs binary, times binary, of binary, sources array<string>"
-_TYPES = [(PART, pa.int64()), ("lang", pa.string()), ("terms", pa.list_(pa.binary())), ("starts", pa.binary()), ("docs", pa.binary()), ("times", pa.binary()),
+        return {"terms": names, "common": common(names).astype("<i4").tobytes(), "starts": starts.astype("<i4").tobytes(),
+                "docs": (packed & 0xFFFFFFFF).astype("<i4").tobytes(), "times": times.astype("<i4").tobytes(), "of": np.array(self.of, "<i4").tobytes(),
+                "sources": list(self.sources)}
+
+
+def common(names: list[bytes], width: int = 32) -> np.ndarray:
+    """How many first bytes each of the sorted terms shares with the one before it."""
+    if not names:
+        return np.empty(0, np.int64)
+    m = np.array(names, f"S{width}").view(np.uint8).reshape(len(names), width)  # terms hold no zero byte, which is the filling
+    out = np.zeros(len(names), np.int64)
+    out[1:] = np.logical_and.accumulate((m[1:] == m[:-1]) & (m[1:] > 0), axis=1).sum(1)
+    for i in np.flatnonzero(out == width).tolist():
+        x, y = names[i - 1], names[i]
+        while out[i] < min(len(x), len(y)) and x[out[i]] == y[out[i]]:
+            out[i] += 1
+    return out
+
+
+PARTS = f"{PART} bigint, lang string, terms array<binary>, common binary, starts binary, docs binary, times binary, of binary, sources array<string>"
+_TYPES = [(PART, pa.int64()), ("lang", pa.string()), ("terms", pa.list_(pa.binary())), ("common", pa.binary()), ("starts", pa.binary()), ("docs", pa.binary()), ("times", pa.binary()),
           ("of", pa.binary()), ("sources", pa.list_(pa.string()))]
 
 
@@ -108,40 +123,46 @@ def _parts(batches):
 
 # Levels -----------------------------------------------------------------------------------------
 
-def groups_of(terms: list[bytes], alive: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each group of a level begins among the ``alive`` (sorted) terms, and which groups are complete terms.
+def groups_of(size: np.ndarray, shared: np.ndarray, alive: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group of a level begins among the ``alive`` terms, and which groups are complete terms.
 
-    A term of at most ``width`` bytes is a group of its own; longer ones are grouped by their first ``width`` bytes.
+    ``size``: bytes of every term of the sorted dictionary; ``shared``: first bytes in common with the term before.  A
+    term of at most ``width`` bytes is a group of its own; longer ones are grouped by their first ``width`` bytes.
+    Terms stay alive by whole groups, so a group's neighbours are its neighbours in the dictionary too.
     """
-    last, begins, complete = None, [], []
-    for n, i in enumerate(alive.tolist()):
-        t = terms[i]
-        prefix = None if len(t) <= width else t[:width]
-        if prefix is None or prefix != last:
-            begins.append(n)
-            complete.append(prefix is None)
-            last = prefix
-    return np.array(begins, np.int64), np.array(complete, bool)
-
-
-def refine(terms: list[bytes], answers: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    complete = size <= width
+    begins = complete | (shared < width)
+    begins[1:] |= complete[:-1]
+    begins = np.flatnonzero(begins[alive])
+    return begins, complete[alive[begins]]
+
+
+def refine(size: np.ndarray, shared: np.ndarray, answers: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray, int]:
     """Term numbers that are still open after the ``answers`` of the levels so far, those kept for good, and the next level's width."""
-    alive, kept, width = np.arange(len(terms)), [np.empty(0, np.int64)], FIRST_BYTES
+    alive, kept, width = np.arange(len(size)), [np.empty(0, np.int64)], FIRST_BYTES
     for words in answers:
-        begins, complete = groups_of(terms, alive, width)
+        begins, complete = groups_of(size, shared, alive, width)
         bits = np.zeros(len(begins), bool)
         if words:
             at = np.arange(len(begins))
             w = np.array(words, np.int64)
             inside = at // 63 < len(w)
             bits[inside] = (w[at[inside] // 63] >> (at[inside] % 63)) & 1
-        size = np.diff(np.append(begins, len(alive)))
-        kept.append(alive[np.repeat(bits & complete, size)])
-        alive = alive[np.repeat(bits & ~complete, size)]
+        of = np.diff(np.append(begins, len(alive)))
+        kept.append(alive[np.repeat(bits & complete, of)])
+        alive = alive[np.repeat(bits & ~complete, of)]
         width *= 2
     return alive, np.sort(np.concatenate(kept)), width
 
 
+def _read(b: pa.RecordBatch, r: int, levels: int, *packed: str) -> tuple:
+    """Of a staged part: its terms, the state of the refinement, and the ``packed`` columns."""
+    terms = b.column("terms")[r].values
+    size = pc.binary_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    shared, *rest = (np.frombuffer(b.column(c)[r].as_py(), "<i4").astype(np.int64) for c in ("common", *packed))
+    return terms, size, shared, refine(size, shared, [b.column(f"bits{i}")[r].as_py() for i in range(levels)]), rest
+
+
 LEVEL = f"{PART} bigint, {POS} bigint, lang string, prefix binary, complete boolean, n bigint"
 
 
@@ -151,26 +172,26 @@ def _level(levels: int):
     def run(batches):
         for b in batches:
             for r in range(len(b)):
-                row = {c: b.column(c)[r].as_py() for c in (PART, "lang", "terms", "starts", "docs")}
-                terms = row["terms"]
-                alive, _, width = refine(terms, [b.column(f"bits{i}")[r].as_py() for i in range(levels)])
-                begins, complete = groups_of(terms, alive, width)
-                starts, docs = np.frombuffer(row["starts"], "<i4").astype(np.int64), np.frombuffer(row["docs"], "<i4")
+                terms, size, shared, (alive, _, width), (starts, docs) = _read(b, r, levels, "starts", "docs")
+                if not len(alive):
+                    continue
+                begins, complete = groups_of(size, shared, alive, width)
                 n = np.diff(starts)[alive]
-                group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(alive))))
+                of = np.diff(np.append(begins, len(alive)))
+                group = np.repeat(np.arange(len(begins)), of)
                 # Distinct documents only need looking for in prefixes of several terms.
-                count = np.add.reduceat(n, begins) if len(begins) else np.empty(0, np.int64)
-                many = np.flatnonzero(np.bincount(group, minlength=len(begins)) > 1)
-                if len(many):
-                    mine = np.flatnonzero(np.isin(group, many))
+                count = np.add.reduceat(n, begins)
+                several = of > 1
+                if several.any():
+                    mine = np.flatnonzero(several[group])
                     at = np.repeat(starts[alive[mine]] - (np.cumsum(n[mine]) - n[mine]), n[mine]) + np.arange(n[mine].sum())
                     pairs = np.unique((np.repeat(group[mine], n[mine]) << 32) | docs[at])
-                    count = np.where(np.isin(np.arange(len(begins)), many), np.bincount(pairs >> 32, minlength=len(begins)), count)
-                size = len(begins)
+                    count = np.where(several, np.bincount(pairs >> 32, minlength=len(begins)), count)
+                prefix = pc.binary_slice(terms.take(pa.array(alive[begins])), 0, width)
+                part, lang = b.column(PART)[r].as_py(), b.column("lang")[r].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size, row[PART]), pa.int64()), pa.array(np.arange(size), pa.int64()), pa.array([row["lang"]] * size, pa.string()),
-                     pa.array([terms[i][:width] for i in alive[begins].tolist()] if size else [], pa.binary()), pa.array(complete, pa.bool_()), pa.array(count, pa.int64())],
-                    names=[PART, POS, "lang", "prefix", "complete", "n"])
+                    [pa.array(np.full(len(begins), part), pa.int64()), pa.array(np.arange(len(begins)), pa.int64()), pa.repeat(lang, len(begins)),
+                     prefix, pa.array(complete, pa.bool_()), pa.array(count, pa.int64())], names=[PART, POS, "lang", "prefix", "complete", "n"])
 
     return trimmed(run)
 
@@ -181,22 +202,24 @@ def in_place(staged: DataFrame, told: DataFrame, column: str, name: str) -> Data
     return staged.join(b, staged[PART] == b["_bpart"], "left").drop("_bpart")
 
 
-def kept_terms(staged: DataFrame, least_docs: int) -> tuple[DataFrame, int]:
-    """The staged parts with one bitmap column per level, until every surviving prefix is a complete term; number of levels."""
-    levels = 0
+def kept_terms(staged: DataFrame, least_docs: int) -> tuple[DataFrame, int, int]:
+    """The staged parts with one bitmap column per level, until every surviving prefix is a complete term; number of
+    levels; number of kept terms, summed over parts.
+
+    A prefix has at most one row per part, so the window over a prefix is a small share of its task's rows.
+    """
+    levels = kept = 0
     parts = staged
     while True:
-        counts = written(parts.mapInArrow(_level(levels), LEVEL))
-        key = ["lang", "prefix", "complete"]
-        often = written(counts.groupBy(*key).agg(F.sum("n").alias("n")).filter(F.col("n") >= least_docs).select(*key))
-        # A part that alone reaches the threshold needs no answer; the others ask.
-        alone = counts.filter(F.col("n") >= least_docs).select(PART, POS)
-        asked = counts.filter(F.col("n") < least_docs).join(often, key, "left_semi").select(PART, POS)
-        told = written(bitmaps(alone.unionByName(asked)))
-        parts = in_place(parts, told, "_bits", f"bits{levels}")
+        whole = Window.partitionBy("prefix", "lang", "complete")
+        counts = parts.mapInArrow(_level(levels), LEVEL).withColumn("all", F.sum("n").over(whole))
+        often = written(counts.filter(F.col("all") >= least_docs).select(PART, POS, "complete"))
+        parts = in_place(parts, written(bitmaps(often)), "_bits", f"bits{levels}")
         levels += 1
-        if not often.filter("NOT complete").take(1):
-            return parts, levels
+        left = {r["complete"]: r["count"] for r in often.groupBy("complete").count().collect()}
+        kept += left.get(True, 0)
+        if not left.get(False):
+            return parts, levels, kept
 
 
 # Counts -----------------------------------------------------------------------------------------
@@ -204,54 +227,65 @@ def kept_terms(staged: DataFrame, least_docs: int) -> tuple[DataFrame, int]:
 COUNTS = "lang string, term string, sources binary, counts binary"
 
 
+def _packed(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Binary rows of an array, cut at ``cut``."""
+    offsets = ((cut - cut[0]) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values[cut[0]:cut[-1]].tobytes())])
+
+
 def _kept_counts(levels: int):
     """One row per kept term of a part: numbers of its sources (``numbers``: of the language) and the counts there."""
 
     def run(batches):
         for b in batches:
             for r in range(len(b)):
-                row = {c: b.column(c)[r].as_py() for c in ("lang", "terms", "starts", "docs", "times", "of", "numbers")}
-                _, kept, _ = refine(row["terms"], [b.column(f"bits{i}")[r].as_py() for i in range(levels)])
-                starts, docs, times = (np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("starts", "docs", "times"))
-                source = np.array(row["numbers"], np.int64)[np.frombuffer(row["of"], "<i4")]
+                terms, _, _, (_, kept, _), (starts, docs, times, of) = _read(b, r, levels, "starts", "docs", "times", "of")
+                if not len(kept):
+                    continue
+                source = np.array(b.column("numbers")[r].as_py(), np.int64)[of]
                 n = np.diff(starts)[kept]
                 at = np.repeat(starts[kept] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 cell, inverse = np.unique((np.repeat(np.arange(len(kept)), n) << 32) | source[docs[at]], return_inverse=True)
-                count = np.zeros(len(cell), np.int64)
-                np.add.at(count, inverse, times[at])
-                cut = np.searchsorted(cell >> 32, np.arange(len(kept) + 1)).tolist()
-                names, which = (cell & 0xFFFFFFFF).astype("<i4"), count.astype("<i8")
-                for lo in range(0, len(kept), 20_000):
-                    some = range(lo, min(lo + 20_000, len(kept)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["lang"]] * len(some), pa.string()), pa.array([row["terms"][kept[i]].decode() for i in some], pa.string()),
-                         pa.array([names[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary()),
-                         pa.array([which[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary())], names=["lang", "term", "sources", "counts"])
+                count = np.bincount(inverse, times[at], len(cell)).astype("<i8")  # below 2 ** 53
+                cut = np.searchsorted(cell >> 32, np.arange(len(kept) + 1))
+                names, lang = (cell & 0xFFFFFFFF).astype("<i4"), b.column("lang")[r].as_py()
+                for lo in range(0, len(kept), 50_000):
+                    some, at = kept[lo : lo + 50_000], cut[lo : lo + 50_001]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), terms.take(pa.array(some)).cast(pa.string()), _packed(names, at), _packed(count, at)],
+                                                     names=["lang", "term", "sources", "counts"])
 
     return trimmed(run)
 
 
+def _joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of packed binary rows, and how many each row has."""
+    size = np.dtype(kind).itemsize
+    data, lens = [b""], [np.empty(0, np.int64)]
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        at = np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, c.offset * 4).astype(np.int64) if len(c) else np.zeros(1, np.int64)
+        lens.append(np.diff(at) // size)
+        if at[-1] > at[0]:
+            data.append(c.buffers()[2][int(at[0]) : int(at[-1])].to_pybytes())
+    return np.frombuffer(b"".join(data), kind).astype(np.int64), np.concatenate(lens)
+
+
 def _cells(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, source and count of every cell of packed rows."""
-    s, c = t.column("sources").to_pylist(), t.column("counts").to_pylist()
-    lens = np.fromiter((len(x) // 4 for x in s), np.int64, len(s))
-    return np.repeat(np.arange(len(s)), lens), np.frombuffer(b"".join(s), "<i4").astype(np.int64), np.frombuffer(b"".join(c), "<i8")
+    source, lens = _joined(t.column("sources"), "<i4")
+    return np.repeat(np.arange(len(lens)), lens), source, _joined(t.column("counts"), "<i8")[0]
 
 
 def _merged(t: pa.Table) -> pa.Table:
     """One row per term of a block, its counts summed over parts."""
     row, source, count = _cells(t)
-    number = Numbers()
-    term = np.fromiter(map(number.__getitem__, t.column("term").to_pylist()), np.int64, len(t))
-    cell, inverse = np.unique((term[row] << 32) | source, return_inverse=True)
+    coded = pc.dictionary_encode(t.column("term").combine_chunks())
+    cell, inverse = np.unique((coded.indices.to_numpy().astype(np.int64)[row] << 32) | source, return_inverse=True)
     total = np.zeros(len(cell), np.int64)
     np.add.at(total, inverse, count)
-    cut = np.searchsorted(cell >> 32, np.arange(len(number) + 1)).tolist()
-    names = (cell & 0xFFFFFFFF).astype("<i4")
-    n = len(number)
-    return pa.table({"lang": pa.array([t.column("lang")[0].as_py()] * n, pa.string()), "block": pa.array([t.column("block")[0].as_py()] * n, pa.int64()),
-                     "term": pa.array(list(number), pa.string()), "sources": pa.array([names[x:y].tobytes() for x, y in itertools.pairwise(cut)], pa.binary()),
-                     "counts": pa.array([total[x:y].astype("<i8").tobytes() for x, y in itertools.pairwise(cut)], pa.binary())})
+    n = len(coded.dictionary)
+    cut = np.searchsorted(cell >> 32, np.arange(n + 1))
+    return pa.table({"lang": pa.repeat(t.column("lang")[0].as_py(), n), "block": pa.array(np.full(n, t.column("block")[0].as_py()), pa.int64()),
+                     "term": coded.dictionary, "sources": _packed((cell & 0xFFFFFFFF).astype("<i4"), cut), "counts": _packed(total.astype("<i8"), cut)})
 
 
 def _sums(batches):
@@ -347,11 +381,11 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     # Every occurring group, numbered within its language.
     groups = staged.select("lang", F.explode("sources").alias("source")).distinct()
     groups = written(groups.withColumn("g", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("bigint") - 1))
-    parts, levels = kept_terms(staged, least_docs)
+    parts, levels, rows = kept_terms(staged, least_docs)
     held = staged.select(PART, "lang", F.posexplode("sources").alias("i", "source")).join(groups, ["lang", "source"])
     numbers = held.groupBy(PART).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda x: x["g"]).alias("g"))
-    counts = written(in_place(parts, written(numbers), "g", "numbers").mapInArrow(_kept_counts(levels), COUNTS))
-    blocks = max(1, -(-counts.count() // ROWS_PER_BLOCK))
+    counts = in_place(parts, written(numbers), "g", "numbers").mapInArrow(_kept_counts(levels), COUNTS)
+    blocks = max(1, -(-rows // ROWS_PER_BLOCK))
     block = F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block")
     merged = written(counts.select("*", block).groupBy("lang", "block").applyInArrow(_merged, "lang string, block bigint, " + COUNTS[len("lang string, "):]))
     kept = merged.groupBy("lang").agg(F.count("*").alias("v"))

@@ -60,12 +60,15 @@ def test_equals_brute_force(spark, monkeypatch):
 
 
 def test_refinement_discards_rare_prefixes_and_keeps_exact_terms():
-    terms = sorted([b"a", b"abcd", b"abcde", b"abcdefgh", b"abcdefghi", b"zzzzz"])
-    begins, complete = sd.groups_of(terms, np.arange(len(terms)), 4)
+    terms = sorted([b"a", b"abcd", b"abcde", b"abcdefgh", b"abcdefghi", b"zzzzz", b"z" * 40, b"z" * 45])
+    size, shared = np.array([len(t) for t in terms]), sd.common(terms)
+    assert shared.tolist() == [0, 1, 4, 5, 8, 0, 5, 40]
+    begins, complete = sd.groups_of(size, shared, np.arange(len(terms)), 4)
     assert begins.tolist() == [0, 1, 2, 5] and complete.tolist() == [True, True, False, False]
-    alive, kept, width = sd.refine(terms, [[0b0110]])  # 'abcd' kept; 'abcd...' survives; 'a' and 'zzzz...' go
+    alive, kept, width = sd.refine(size, shared, [[0b0110]])  # 'abcd' kept; 'abcd...' survives; 'a' and 'zzzz...' go
     assert [terms[i] for i in alive] == [b"abcde", b"abcdefgh", b"abcdefghi"] and [terms[i] for i in kept] == [b"abcd"] and width == 8
-    assert sd.refine(terms, [None])[0].tolist() == [] == sd.refine(terms, [None])[1].tolist()
+    assert [terms[i] for i in alive[sd.groups_of(size, shared, alive, 8)[0]]] == [b"abcde", b"abcdefgh", b"abcdefghi"]
+    assert sd.refine(size, shared, [None])[0].tolist() == [] == sd.refine(size, shared, [None])[1].tolist()
 
 
 def test_shares_are_exact_beyond_64_bits():
