@@ -8,11 +8,16 @@ limit that makes about k (ln k + 3) darts hit a text, whatever its size.  Per
 coordinate the earliest dart stays; coordinates of two texts agree with
 probability equal to their weighted Jaccard similarity.
 
-Texts whose coordinates agree in a band share a bucket.  In rounds, a bucket's
-pivots (one, then 4, 16, ..., those with the most company first) are compared with its other members, exactly, by
-their shingles; found links merge classes, and a bucket is finished when the
-members that have not been pivots are of one class.  So no bucket is expanded into
-pairs, yet no pair of different classes within a bucket stays uncompared.
+Texts whose coordinates agree in a band share a bucket.  No bucket is expanded into pairs:
+
+1. Every text is compared exactly, by its shingles, with one pivot: of the members of all its buckets the one with the
+   most company.  Variants of a text meet that text; links found merge classes.
+2. In buckets that still hold several classes, members outside the largest class are compared with all members of other
+   classes inside a task, by signatures of one byte per coordinate.  Only likely pairs leave it, packed per text.
+3. Likely pairs are checked exactly where their texts' shingles lie together (texts of one pivot have one *home*), and
+   only links between classes leave the task.
+
+So no pair of different classes within a bucket stays uncompared, whatever the bucket's size.
 """
 
 from __future__ import annotations
@@ -21,17 +26,18 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import PART, POS, keyed, marked, stage, trimmed, written
+from .stage import PART, POS, keyed, marked, shuffle_partitions, stage, trimmed, written
 from .subword import Vocabulary
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 6
 COORDINATES = BANDS * ROWS
 TEXTS_AT_ONCE, CHARS_AT_ONCE = 200, 300_000
 PAIRS_PER_PIVOT_COPY = 256
-GROWTH = 4  # pivots of a bucket: 1, 4, 16, ...
+MEMBERS_AT_ONCE, BYTES_AT_ONCE = 2048, 32_000_000  # of a bucket, compared in one group; bytes of signatures compared at once
+HOME, ASKS_PER_COPY = 512, 512  # texts whose shingles lie together; texts compared with one copy of them
 LIKELY = COORDINATES * 62 // 100  # agreeing coordinates of a pair that is compared: 6 standard deviations below 0.8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,7 +84,7 @@ class Shingler:
         return self.hashes[ids], lens
 
     def elements(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, shingle, weight) sorted by text and shingle, and a 64-bit digest of each text's word sequence.
+        """(text, shingle, weight) sorted by text and shingle, and a 128-bit digest (two numbers) of each text's word sequence.
 
         A text of one to four words has one shingle of all its words; a text without words has none.
         """
@@ -95,8 +101,11 @@ class Shingler:
         first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]])) if len(packed) else np.empty(0, np.int64)
         weight = np.diff(first, append=len(packed))
         place = np.arange(len(word)) - np.repeat(end - lens, lens)
-        mixed = np.concatenate([[0], np.cumsum(mix(word ^ mix(place.astype(np.uint64) + _ODD)))]).astype(np.uint64)
-        return (packed[first] >> np.uint64(52)).astype(np.int64), packed[first] & np.uint64((1 << 52) - 1), weight, mix(mixed[end] - mixed[end - lens] + lens.astype(np.uint64))
+        digest = []
+        for salt in (_ODD, np.uint64(0xC2B2AE3D27D4EB4F)):
+            mixed = np.concatenate([[0], np.cumsum(mix((word + salt) ^ mix(place.astype(np.uint64) + salt)))]).astype(np.uint64)
+            digest.append(mix(mixed[end] - mixed[end - lens] + lens.astype(np.uint64)))
+        return (packed[first] >> np.uint64(52)).astype(np.int64), packed[first] & np.uint64((1 << 52) - 1), weight, np.stack(digest, 1)
 
 
 def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, k: int = COORDINATES) -> np.ndarray:
@@ -189,9 +198,9 @@ def _sketch(batches):
             keys, short = band_keys(signature), (mix(signature) & np.uint64(255)).astype(np.uint8)
             total = np.bincount(text, weight, len(texts)).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("id"), pa.array(digest.view(np.int64)), pa.array(total), lists,
-                                              pa.array([r.tobytes() for r in short], pa.binary())],
-                                             names=["node", "id", "digest", "weight", "bands", "short"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(PART), part.column(POS), part.column("id"), *[pa.array(np.ascontiguousarray(digest[:, i]).view(np.int64)) for i in (0, 1)], pa.array(total), lists,
+                 pa.array([r.tobytes() for r in short], pa.binary())], names=[PART, POS, "id", "digest", "digest2", "weight", "bands", "short"])
 
 
 @trimmed
@@ -218,6 +227,16 @@ def _linked(batches):
             yield part.filter(pa.array(yes)).select(part.schema.names[:-4])
 
 
+# A row's place as one number ---------------------------------------------------------------------
+
+def node_of_place() -> Column:
+    return F.shiftleft(PART, 33) + F.col(POS)
+
+
+def place_of(node: str) -> list[Column]:
+    return [F.shiftright(node, 33).alias(PART), F.col(node).bitwiseAND(F.lit((1 << 33) - 1)).alias(POS)]
+
+
 # Classes ----------------------------------------------------------------------------------------
 
 def components(edges: DataFrame) -> DataFrame:
@@ -246,22 +265,6 @@ def _are_stars(edges: DataFrame) -> bool:
     return not ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("is_root").alias("is_root")).filter("up > 1 OR up + is_root > 1").take(1)
 
 
-def _likely(batches):
-    for b in batches:
-        if len(b):
-            a, p = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1) for c in ("short", "p_short"))
-            yield b.filter(pa.array((a == p).sum(1) >= LIKELY)).select(b.schema.names[:-2])
-
-
-def likely(pairs: DataFrame, short: DataFrame) -> DataFrame:
-    """Pairs whose signatures, one byte per coordinate, agree in at least LIKELY places: spares the exact comparison of
-    texts that merely share a passage.  A pair of similarity 0.8 agrees in 144 of 180 places on average, with a standard
-    deviation of 5.4, so fewer than 111 happen to one such pair in a thousand million.
-    """
-    both = pairs.join(short, "node").join(short.select(F.col("node").alias("pivot"), F.col("short").alias("p_short")), "pivot")
-    return both.select(*pairs.columns, "short", "p_short").mapInArrow(_likely, pairs.schema)
-
-
 def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """Of distinct pairs ``(node, pivot)`` those at least SIMILARITY alike, by their whole shingle sets.
 
@@ -275,36 +278,152 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return one.join(two, ["pivot", "salt"]).select(*pairs.columns, "elements", "weights", "p_elements", "p_weights").mapInArrow(_linked, pairs.schema)
 
 
-def link_classes(members: DataFrame, shingles: DataFrame, short: DataFrame) -> DataFrame:
-    """``(node, root)`` of all nodes that share a class with a smaller node, from bucket members ``(key, node, weight, company)``.
+def pivots_of(members: DataFrame) -> DataFrame:
+    """``(node, pivot)``: of the members of all its buckets the one with the most company (ties: the smallest)."""
+    rank = F.struct("company", (-F.col("node")).alias("first"))
+    top = members.groupBy("key").agg(F.max(rank).alias("p"))
+    best = members.select("key", "node").join(top, "key").groupBy("node").agg(F.max("p").alias("p"))
+    return best.select("node", (-F.col("p.first")).alias("pivot"))
+
 
-    Of a bucket the members with the most ``company`` are pivots first.
+def with_homes(pivots: DataFrame) -> DataFrame:
+    """``(node, home)``: texts of one pivot lie together, many in several homes of about HOME texts, few with others'."""
+    sizes = pivots.groupBy("pivot").agg(F.count("*").alias("n"))
+    homes = max(1, -(-pivots.count() // HOME))
+    own = F.xxhash64("pivot", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / HOME)))
+    return pivots.join(sizes, "pivot").select("node", F.when(F.col("n") > HOME, own).otherwise(F.pmod(F.xxhash64("pivot"), F.lit(homes))).alias("home"))
+
+
+class _Bucket:
+    """Members of one block of a bucket, as arrays."""
+
+    FIELDS = ("node", "root", "home", "weight", "minor")
+
+    def __init__(self):
+        self.at, self.rows, self.short = None, {f: [] for f in self.FIELDS}, []
+
+    def add(self, rows: dict, short: np.ndarray) -> None:
+        for f in self.FIELDS:
+            self.rows[f].append(rows[f])
+        self.short.append(short)
+
+    def whole(self) -> tuple[dict, np.ndarray]:
+        if len(self.short) > 1:
+            self.rows, self.short = {f: [np.concatenate(v)] for f, v in self.rows.items()}, [np.concatenate(self.short)]
+        return {f: v[0] for f, v in self.rows.items()}, self.short[0]
+
+
+def likely(q: dict, q_short: np.ndarray, m: dict, m_short: np.ndarray):
+    """Index pairs (query, member) of different classes that may be linked: each pair of a block once.
+
+    Signatures must agree in at least LIKELY places: a pair of similarity 0.8 agrees in 144 of 180 places on average, with
+    a standard deviation of 5.4, so fewer than 111 happen to one such pair in a thousand million.
+    """
+    step = max(1, BYTES_AT_ONCE // (COORDINATES * len(m_short)))
+    for lo in range(0, len(q_short), step):
+        part = slice(lo, lo + step)
+        node, root, weight = (q[f][part, None] for f in ("node", "root", "weight"))
+        fits = (root != m["root"]) & ~(m["minor"] & (node > m["node"])) & (np.minimum(weight, m["weight"]) >= SIMILARITY * np.maximum(weight, m["weight"]) - 1e-9)
+        i, j = np.nonzero(fits)
+        for at in range(0, len(i), BYTES_AT_ONCE // COORDINATES):
+            x, y = i[at : at + BYTES_AT_ONCE // COORDINATES] + lo, j[at : at + BYTES_AT_ONCE // COORDINATES]
+            yes = np.count_nonzero(q_short[x] == m_short[y], axis=1) >= LIKELY
+            yield x[yes], y[yes]
+
+
+@trimmed
+def _compared(batches):
+    """Of sorted blocks of buckets (members first, then queries): per query and home the likely others, packed."""
+    bucket = _Bucket()
+    for b in batches:
+        if not len(b):
+            continue
+        key, block, query = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "query"))
+        rows = {f: b.column(f).to_numpy(zero_copy_only=False) for f in _Bucket.FIELDS}
+        short = np.frombuffer(b"".join(b.column("short").to_pylist()), np.uint8).reshape(len(b), COORDINATES)
+        turn = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (query[1:] != query[:-1])) + 1
+        out = []
+        for x, y in itertools.pairwise([0, *turn.tolist(), len(b)]):
+            at = (key[x], block[x])
+            if bucket.at != at:
+                bucket = _Bucket()
+                bucket.at = at
+            some = {f: v[x:y] for f, v in rows.items()}
+            if not query[x]:
+                bucket.add(some, short[x:y])
+            elif bucket.short:
+                m, m_short = bucket.whole()
+                for i, j in likely(some, short[x:y], m, m_short):
+                    order = np.lexsort((m["home"][j], i))
+                    i, j = i[order], j[order]
+                    home = m["home"][j]
+                    cut = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (home[1:] != home[:-1])])) if len(i) else np.empty(0, np.int64)
+                    out += [(int(home[c]), int(some["node"][i[c]]), int(some["root"][i[c]]), m["node"][j[c:d]].tobytes())
+                            for c, d in itertools.pairwise([*cut.tolist(), len(i)])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                                         names=["home", "node", "root", "others"])
+
+
+def _checked(asks: pa.Table, texts: pa.Table) -> pa.Table:
+    """Links between classes: every asking text against the texts it asks for, exactly, by their shingles."""
+    found = set()
+    if len(asks) and len(texts):
+        sets = [np.frombuffer(e, np.uint64) for e in texts.column("elements").to_pylist()]
+        weights = [np.frombuffer(w, "<u4") for w in texts.column("weights").to_pylist()]
+        element, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(e) for e in sets])
+        order = np.argsort(element, kind="stable")
+        element, of, weight = element[order], of[order], np.concatenate(weights)[order].astype(np.int64)
+        total = np.array([int(w.sum()) for w in weights])
+        node, root = texts.column("node").to_numpy(), texts.column("root").to_numpy()
+        for r in range(len(asks)):
+            e, w = np.frombuffer(asks.column("elements")[r].as_py(), np.uint64), np.frombuffer(asks.column("weights")[r].as_py(), "<u4").astype(np.int64)
+            lo, hi = np.searchsorted(element, e, "left"), np.searchsorted(element, e, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(of[at], np.minimum(np.repeat(w, n), weight[at]), len(sets))
+            asked = np.isin(node, np.frombuffer(b"".join(asks.column("others")[r].as_py()), np.int64))
+            mine = asks.column("root")[r].as_py()
+            for other in np.unique(root[asked & (both / (w.sum() + total - both) >= SIMILARITY)]).tolist():
+                found.add((max(mine, other), min(mine, other)))
+    return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
+
+
+def remaining_links(members: DataFrame, nodes: DataFrame, homes: DataFrame, roots: DataFrame, shingles: DataFrame) -> DataFrame:
+    """``(u, v)`` links between classes within buckets.  ``nodes``: node, weight, short.
+
+    A bucket's members are dealt into blocks of about MEMBERS_AT_ONCE; those outside its largest class are copied to each.
+    A home meets the texts that ask for its own in portions of about ASKS_PER_COPY.
     """
-    spark = members.sparkSession
-    roots = spark.createDataFrame([], "node bigint, root bigint")
-    compared = spark.createDataFrame([], "node bigint, pivot bigint")
-    active, pivots = members, 1
-    while True:
-        labelled = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        many = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        open_ = written(labelled.join(many, "key", "left_semi"))
-        if not open_.take(1):
-            return roots
-        chosen = open_.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("s")).agg(
-            F.max(F.struct("company", (-F.col("node")).alias("first"), "node", "weight", "root")).alias("p"))
-        chosen = chosen.select("key", F.col("p.node").alias("pivot"), F.col("p.weight").alias("p_weight"), F.col("p.root").alias("p_root"))
-        pairs = open_.join(chosen, "key").filter(
-            (F.col("root") != F.col("p_root")) & (F.least("weight", "p_weight") >= SIMILARITY * F.greatest("weight", "p_weight") - 1e-9))
-        pairs = pairs.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"),
-                             F.greatest("root", "p_root").alias("u"), F.least("root", "p_root").alias("v")).distinct()
-        pairs = written(pairs.join(compared, ["node", "pivot"], "left_anti"))
-        compared = compared.unionByName(pairs.select("node", "pivot"))
-        # The links found join whole classes: only their roots are merged.
-        merged = components(verified(written(likely(pairs, short)), shingles).select("u", "v")).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        moved = roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        roots = written(moved.unionByName(merged.select(F.col("root").alias("node"), F.col("top").alias("root"))))
-        active = open_.drop("root").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-        pivots *= GROWTH
+    labelled = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per_class = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
+    open_ = per_class.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
+    open_ = open_.select("key", F.col("main.root").alias("main"), F.ceil(F.col("n") / MEMBERS_AT_ONCE).cast("int").alias("blocks"))
+    known = nodes.join(homes, "node")
+    rows = written(labelled.join(open_, "key").withColumn("minor", F.col("root") != F.col("main")).drop("main"))
+    carried = rows.join(known, "node")
+    fields = ["key", "block", "query", "node", "root", "home", "weight", "minor", "short"]
+    own = carried.withColumns({"block": F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"), "query": F.lit(False)})
+    asking = carried.filter("minor").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "query": F.lit(True)})
+    both = own.select(*fields).unionByName(asking.select(*fields)).repartition(shuffle_partitions(members.sparkSession), "key", "block")
+    asks = written(both.sortWithinPartitions("key", "block", "query").mapInArrow(_compared, "home bigint, node bigint, root bigint, others binary"))
+    asks = written(asks.groupBy("home", "node", "root").agg(F.collect_list("others").alias("others")))
+    per_home = asks.groupBy("home").agg(F.ceil(F.count("*") / ASKS_PER_COPY).cast("int").alias("copies"))
+    dealt = asks.join(per_home, "home").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int")).drop("copies").join(shingles, "node")
+    there = rows.select("node", "root").distinct().join(homes, "node").join(per_home, "home").join(shingles, "node")
+    there = there.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("salt", *[F.col(c).alias(c) for c in ("home", "node", "root", "elements", "weights")])
+    return dealt.groupBy("home", "salt").cogroup(there.groupBy("home", "salt")).applyInArrow(_checked, "u bigint, v bigint")
+
+
+def link_classes(members: DataFrame, nodes: DataFrame, shingles: DataFrame) -> DataFrame:
+    """``(node, root)`` of all nodes that share a class with a smaller node, from bucket members ``(key, node, company)``."""
+    pivots = written(pivots_of(members))
+    first = verified(pivots.filter("node <> pivot"), shingles)
+    roots = written(components(first.select(F.col("node").alias("u"), F.col("pivot").alias("v"))))
+    links = remaining_links(members, nodes, written(with_homes(pivots)), roots, shingles)
+    # The links found join whole classes: only their roots are merged.
+    merged = written(components(links).select(F.col("node").alias("root"), F.col("root").alias("top")))
+    moved = roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return written(moved.unionByName(merged.select(F.col("root").alias("node"), F.col("top").alias("root"))))
 
 
 class NearDuplicates:
@@ -315,8 +434,7 @@ class NearDuplicates:
 
     def kept_rows(self) -> DataFrame:
         """``row`` of the document that stays of each class; the staged rows aren't shuffled."""
-        dropped = self.verdict.filter("NOT kept").select(F.shiftright("node", 33).alias(PART), F.col("node").bitwiseAND(F.lit((1 << 33) - 1)).alias(POS))
-        return marked(self.rows, dropped).filter("NOT _marked").select("row")
+        return marked(self.rows, self.verdict.filter("NOT kept").select(*place_of("node"))).filter("NOT _marked").select("row")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> NearDuplicates:
@@ -328,25 +446,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     col = lambda c: F.col(f"`{c}`")
     rows = stage(docs.select(F.struct(*[col(c) for c in carry or [id_col]]).alias("row"), col(id_col).alias("id"), col(text_col).cast("string").alias("text")))
-    node = (F.shiftleft(F.col(PART), 33) + F.col(POS)).alias("node")
-    numbered = rows.select(node, "id", "text")
     kind = rows.schema["id"].dataType.simpleString()
-    sketch = written(numbered.mapInArrow(_sketch, f"node bigint, id {kind}, digest bigint, weight bigint, bands array<bigint>, short binary"))
+    schema = f"{PART} bigint, {POS} bigint, id {kind}, digest bigint, digest2 bigint, weight bigint, bands array<bigint>, short binary"
+    sketch = stage(rows.select(PART, POS, "id", "text").mapInArrow(_sketch, schema), numbered=True)
+    same = ["digest", "digest2", "weight"]
     some = sketch.filter("weight > 0")
-    same = written(some.groupBy("digest", "weight").agg(F.min(F.struct("node", "bands", "short")).alias("f")).select("digest", "weight", "f.*"))
-    banded = same.select(F.explode("bands").alias("key"), "node", "weight")
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(banded.join(shared, "key"))
+    firsts = written(some.groupBy(*same).agg(F.min(node_of_place()).alias("first")))
+    banded = marked(sketch, firsts.select(*place_of("first"))).filter("_marked").select(node_of_place().alias("node"), "weight", "bands", "short")
+    keys = banded.select(F.explode("bands").alias("key"), "node")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(keys.join(shared, "key"))
     # The text that others are variants of shares more buckets with more texts than the variants share with each other.
-    popular = members.groupBy("node").agg(F.sum("n").alias("company"))
+    popular = written(members.groupBy("node").agg(F.sum("n").alias("company")))
     members = written(members.drop("n").join(popular, "node"))
-    wanted = members.select("node").distinct()
-    picked = marked(rows, wanted.select(F.shiftright("node", 33).alias(PART), F.col("node").bitwiseAND(F.lit((1 << 33) - 1)).alias(POS))).filter("_marked")
-    shingles = keyed(picked.select(node, "text").mapInArrow(_shingles, "node bigint, elements binary, weights binary"), "node")
-    roots = link_classes(members, shingles, written(same.select("node", "short").join(wanted, "node", "left_semi")))
-    first = same.select("digest", "weight", F.col("node").alias("first")).join(roots.withColumnRenamed("node", "first"), "first", "left")
-    classed = some.select("node", "id", "digest", "weight").join(first, ["digest", "weight"]).select("node", "id", F.coalesce("root", "first").alias("class"))
-    classed = written(classed.unionByName(sketch.filter("weight = 0").select("node", "id", F.col("node").alias("class"))))
+    picked = marked(rows, popular.select(*place_of("node"))).filter("_marked")
+    shingles = keyed(picked.select(node_of_place().alias("node"), "text").mapInArrow(_shingles, "node bigint, elements binary, weights binary"), "node")
+    nodes = written(marked(sketch, popular.select(*place_of("node"))).filter("_marked").select(node_of_place().alias("node"), "weight", "short"))
+    roots = link_classes(members, nodes, shingles)
+    first = firsts.join(roots.withColumnRenamed("node", "first"), "first", "left")
+    classed = some.select(node_of_place().alias("node"), "id", *same).join(first, same).select("node", "id", F.coalesce("root", "first").alias("class"))
+    classed = written(classed.unionByName(sketch.filter("weight = 0").select(node_of_place().alias("node"), "id", node_of_place().alias("class"))))
     who = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("node").alias("node"))
     groups = classed.groupBy("class").agg(F.min(who).alias("first"), F.count("*").alias("class_size"))
     verdict = classed.join(groups, "class").select("node", "id", F.col("first.id").alias("class_id"), "class_size", (F.col("first.node") == F.col("node")).alias("kept"))

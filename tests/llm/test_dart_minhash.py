@@ -116,3 +116,41 @@ def test_pivots_repeat_in_few_copies(spark):
     rows = [(i, element(0 if i % 2 else 50), np.ones(4, "<u4").tobytes()) for i in range(-1, 1000)]
     shingle_sets = spark.createDataFrame(rows, "node long, elements binary, weights binary")
     assert dm.verified(pairs, shingle_sets).count() == 500
+
+
+def test_leftovers_of_a_large_bucket_are_compared_in_blocks(spark, monkeypatch):
+    """Chains of variants: most are not linked to the pivot but to each other, so classes need the second comparison."""
+    monkeypatch.setattr(dm, "MEMBERS_AT_ONCE", 8)
+    monkeypatch.setattr(dm, "HOME", 6)
+    monkeypatch.setattr(dm, "ASKS_PER_COPY", 3)
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("etaoinshr", k=5))
+    base, rows = [word() for _ in range(150)], []
+    for chain in range(6):
+        words = list(base)
+        for i in rnd.sample(range(150), 8):
+            words[i] = word()
+        for _ in range(12):  # each differs from the one before by one to three words
+            for i in rnd.sample(range(150), rnd.randint(1, 3)):
+                words[i] = word()
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.id: r.class_id for r in dm.near_duplicates(docs).verdict.collect()}
+    want = dict(zip([i for i, _ in rows], classes(rows), strict=True))
+    assert got == want and 1 < len(set(want.values())) < 40
+
+
+def test_likely_pairs_and_exact_check():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    short = rng.integers(0, 256, (6, dm.COORDINATES)).astype(np.uint8)
+    short[1], short[3] = short[0], short[0]
+    short[3, : dm.COORDINATES - dm.LIKELY + 1] += 1  # one place too few
+    m = {"node": np.arange(6), "root": np.array([0, 1, 2, 3, 4, 0]), "home": np.zeros(6, int), "weight": np.array([10, 9, 9, 10, 10, 10]), "minor": np.arange(6) > 0}
+    q = {k: v[1:] for k, v in m.items()}
+    assert [(x.tolist(), y.tolist()) for x, y in dm.likely(q, short[1:], m, short) if len(x)] == [([0], [0])]
+    sets = lambda *rows: {"elements": [np.array(r, np.uint64).tobytes() for r in rows], "weights": [np.ones(len(r), "<u4").tobytes() for r in rows]}
+    texts = pa.table({"node": [1, 2, 3], "root": [1, 2, 3], **sets(range(10), range(9), range(5, 15))})
+    asks = pa.table({"node": [7], "root": [0], "others": [[np.array([1, 3], np.int64).tobytes()]], **sets(range(10))})
+    assert dm._checked(asks, texts).to_pylist() == [{"u": 1, "v": 0}]  # 2 is alike but was not asked for, 3 is not alike
