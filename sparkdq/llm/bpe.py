@@ -2,26 +2,32 @@
 
 A rolling hash over the last 16 bytes cuts every text where its low bits are
 zero, so passages that documents share are cut alike wherever they stand.  A
-chunk's *body* lies between its first and last certain token border: a space
-after a character that is surely no white space always begins a new pre-token and
-nothing before it depends on what follows.  Bodies found in several parts are encoded once by
-one owner, and their ids travel to the parts that use them; other bodies are
-encoded where they are.  At a join the text from the last certain border of the
-left chunk to the first of the right one is encoded again; a chunk without a
-certain border is absorbed and the join widened until both ends are certain, so
-the repaired sequence is exactly that of the whole text.  Decoding concatenates
-the bytes of all ids; a reused body must decode to its own bytes, else it is
-encoded anew.
+chunk's *body* lies between its first and last likely token border, a space after a
+visible character; what two bodies leave between them is their join.  Cuts and
+keys are found once, when texts are staged in parts of bounded bytes.  Bodies found in several
+parts are encoded once by one owner, and their ids travel to the parts that use them; bodies repeated inside a part are
+encoded once there, and the rest by remembered pieces between borders.
+
+Where a reused body meets its neighbour, the last piece before and the first piece
+after are encoded again as one text: the ids must be those of both sides.  If they
+are not, the stretch is widened on both sides until its first and last piece agree
+with the neighbours' ids, at most to the whole text, and its ids replace theirs.
+Decoding concatenates the bytes of all ids; a reused body must decode to its own
+bytes, else it is encoded anew.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
+import json
 import os
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +36,9 @@ from .stage import PART, stage, trimmed, written
 
 WINDOW = 16
 CHUNK_BITS = 10  # chunks of 1 KB on average
-ROWS_PER_PART = 4096
+PART_BYTES = 16_000_000  # of text in a part, or one text
+AT_ONCE = 1_000_000  # bytes of text worked on at once, or one text
+REUSED = b"\xff"  # before the key of a reused body where pieces stand: no piece begins so
 
 
 def gear() -> np.ndarray:
@@ -52,30 +60,21 @@ def cuts(data: np.ndarray, table: np.ndarray, bits: int = CHUNK_BITS) -> np.ndar
 
 
 def borders(data: np.ndarray) -> np.ndarray:
-    """Certain token borders: a space after a visible ASCII character or one from U+00C0 to U+07FF (none is white space)."""
+    """Likely token borders: a space after a visible ASCII character or one from U+00C0 to U+07FF (none is white space)."""
     at = np.flatnonzero(data[1:] == 0x20) + 1
     last, lead = data[at - 1], data[np.maximum(at - 2, 0)]
     return at[((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF))]
 
 
-def split(data: bytes, table: np.ndarray) -> list[tuple[int, int, bool]]:
-    """The text as alternating joins and bodies: (begin, end, is_body), in order and without gaps."""
+def bodies(data: bytes, table: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the bodies of a text's chunks, in order."""
     view = np.frombuffer(data, np.uint8)
     border = borders(view)
     ends = np.append(cuts(view, table), len(view))
     begins = np.concatenate([[0], ends[:-1]])
     first, last = np.searchsorted(border, begins, "left"), np.searchsorted(border, ends, "right") - 1
-    out, done = [], 0
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        if b > a:
-            x, y = int(border[a]), int(border[b])
-            if x > done:
-                out.append((done, x, False))
-            out.append((x, y, True))
-            done = y
-    if done < len(data):
-        out.append((done, len(data), False))
-    return out
+    some = last > first
+    return list(zip(border[first[some]].tolist(), border[last[some]].tolist(), strict=True))
 
 
 def key(body: bytes) -> bytes:
@@ -85,9 +84,11 @@ def key(body: bytes) -> bytes:
 class Codec:
     """The tokenizer, and the bytes of each id."""
 
-    def __init__(self, tokenizer_json: str, max_pieces: int = 200_000):
+    def __init__(self, tokenizer_json: str, max_pieces: int = 150_000):
+        check(tokenizer_json)
         self.pieces: dict[bytes, bytes] = {}  # piece -> ids
         self.changed: dict[bytes, bytes] = {}  # piece -> what its ids decode to, where that differs
+        self.agreed: set[bytes] = set()  # two pieces whose ids are the same together
         self.max_pieces = max_pieces
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -103,32 +104,70 @@ class Codec:
             self.bytes[i] = added.get(i) or bytes(byte_of[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
 
-    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Ids (little-endian 32-bit integers) of each text and the bytes they decode to.
-
-        A text is encoded by the pieces between its certain borders; short pieces are remembered, up to a bound.  Ids of
-        a piece are decoded when it is first met; only pieces that decode to other bytes need remembering for that.
-        """
+    def know(self, cut: list[list[bytes]]) -> list[bytes]:
+        """Make the ids of all pieces known; returns those to ``forget`` after use: only short pieces are remembered, up to a bound."""
         if len(self.pieces) > self.max_pieces:
-            self.pieces, self.changed = {}, {}
-        cut = []
-        for data in texts:
-            at = [0, *borders(np.frombuffer(data, np.uint8)).tolist(), len(data)] if data else []
-            cut.append([data[x:y] for x, y in itertools.pairwise(at)])
-        new = list(set(itertools.chain.from_iterable(cut)).difference(self.pieces))
+            self.pieces, self.changed, self.agreed = {}, {}, set()
+        new = [p for p in set(itertools.chain.from_iterable(cut)).difference(self.pieces) if not p.startswith(REUSED)]
         self.learn(new)
-        out = []
-        for data, pieces in zip(texts, cut, strict=True):
-            same = not self.changed or self.changed.keys().isdisjoint(pieces)
-            out.append((b"".join(map(self.pieces.__getitem__, pieces)), data if same else b"".join([self.changed.get(p, p) for p in pieces])))
-        for p in new:
-            if len(p) > 64:
-                del self.pieces[p]
+        return [p for p in new if len(p) > 64]
+
+    def forget(self, pieces: list[bytes]) -> None:
+        for p in pieces:
+            self.pieces.pop(p, None)
+            self.changed.pop(p, None)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids (little-endian 32-bit integers) of each text, by its pieces."""
+        cut = [pieces_of(t) for t in texts]
+        long = self.know(cut)
+        out = [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
+        self.forget(long)
+        return out
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as the tokenizer gives them, without pieces."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def disagreeing(self, windows: set[tuple[bytes, bytes]]) -> set[tuple[bytes, bytes]]:
+        """Neighbouring pieces (of known ids) whose ids differ when they are encoded as one text."""
+        new = [w for w in windows if w[0] + w[1] not in self.agreed]
+        out = set()
+        for w, ids in zip(new, self.whole([a + b for a, b in new]), strict=True):
+            if ids == self.pieces[w[0]] + self.pieces[w[1]]:
+                self.agreed.add(w[0] + w[1])
+            else:
+                out.add(w)
         return out
 
+    def repaired(self, pieces: list[bytes], joins: list[int]) -> bytes:
+        """Ids of a text given as pieces of known ids; ``joins``: numbers of pieces at which neighbours disagreed.
+
+        Around a join pieces are encoded again as one text; the stretch grows on both sides until its first and last
+        piece have the ids they had, or it is the whole text.
+        """
+        out, done = [], 0
+        for j in joins:
+            if j < done:
+                continue
+            width = 2
+            while True:
+                lo, hi = max(done, j - width), min(len(pieces), j + width)
+                ids = self.whole([b"".join(pieces[lo:hi])])[0]
+                first, last = self.pieces[pieces[lo]], self.pieces[pieces[hi - 1]]
+                if (lo == 0 or ids.startswith(first) and lo > done) and (hi == len(pieces) or ids.endswith(last)):
+                    break
+                if lo == done and done:  # begin anew: the stretch before was too short
+                    return self.whole([b"".join(pieces)])[0]
+                width *= 2
+            out += [self.pieces[p] for p in pieces[done:lo]]
+            out.append(ids)
+            done = hi
+        return b"".join(out + [self.pieces[p] for p in pieces[done:]])
+
     def learn(self, pieces: list[bytes], at_once: int = 2000) -> None:
-        """Encode and decode pieces.  Those that are certain at both ends are encoded in a row, which costs far less than
-        one by one, and told apart by the byte lengths of their tokens: their borders are token borders in any context.
+        """Encode and decode pieces.  Those with visible characters and a space before them are encoded in a row, which costs
+        far less than one by one, and told apart by the byte lengths of their tokens.
         """
         sure = [p for p in pieces if p[0] == 0x20 and (0x20 < p[-1] < 0x7F or p[-1] >= 0x80 and 0xC3 <= p[-2] <= 0xDF)]
         groups = [sure[i : i + at_once] for i in range(0, len(sure), at_once)]
@@ -149,23 +188,52 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
-def texts_of(column: pa.ChunkedArray, rows: int = 200):
-    """Slices of a text column as lists of UTF-8 bytes; null is empty."""
-    for lo in range(0, len(column), rows):
-        yield [(t or "").encode() for t in column.slice(lo, rows).to_pylist()]
+def check(tokenizer_json: str) -> None:
+    """Raise for a tokenizer whose tokens may reach across a space after a visible character, or change the text."""
+    d = json.loads(tokenizer_json)
+    pre = d.get("pre_tokenizer") or {}
+    known = d["model"].get("type") == "BPE" and not d.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    if not known or d["model"].get("dropout") or any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in d.get("added_tokens") or []):
+        raise ValueError("not a byte-level BPE tokenizer without normaliser, prefix space or added tokens that hold a space")
+
+
+def pieces_of(data: bytes) -> list[bytes]:
+    """A text cut at its borders."""
+    at = [0, *borders(np.frombuffer(data, np.uint8)).tolist(), len(data)] if data else []
+    return [data[x:y] for x, y in itertools.pairwise(at)]
+
+
+def _slices(texts: list[bytes]):
+    """Bounds of slices of texts of about AT_ONCE bytes, at most 2,000 texts."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= AT_ONCE or i - lo >= 2000:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
 @trimmed
-def _keys(batches):
-    table = gear()
+def _chunked(batches):
+    """Texts in parts of about PART_BYTES, with begin and end of their chunks' bodies and the bodies' keys."""
+    table, number, size = gear(), TaskContext.get().partitionId() << 33, 0
     for b in batches:
-        for lo in range(0, len(b), 500):
-            piece, found = b.slice(lo, 500), set()
-            for part, text in zip(piece.column(PART).to_pylist(), piece.column("text").to_pylist(), strict=True):
-                data = (text or "").encode()
-                found |= {(part, key(data[x:y])) for x, y, body in split(data, table) if body}
-            rows = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=[PART, "key"])
+        texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+        for lo, hi in _slices(texts):
+            parts, spans, keys = [], [], []
+            for data in texts[lo:hi]:
+                if size >= PART_BYTES:
+                    number, size = number + 1, 0
+                size += len(data) + 100
+                found = bodies(data, table)
+                parts.append(number)
+                spans.append(np.array(found, "<u4").tobytes())
+                keys.append([key(data[x:y]) for x, y in found])
+            some = b.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), some.column("row"), some.column("text"), pa.array(spans, pa.binary()), pa.array(keys, pa.list_(pa.binary()))],
+                                             names=[PART, "row", "text", "spans", "keys"])
 
 
 class Lazy:
@@ -179,48 +247,92 @@ class Lazy:
         return self.codec
 
 
+def _rows(docs: pa.Table):
+    """Text, spans and keys of every document, in slices of bounded text; null is empty."""
+    texts = docs.column("text").cast(pa.binary())
+    for lo in range(0, len(docs), 500):
+        some = [t or b"" for t in texts.slice(lo, 500).to_pylist()]
+        spans, keys = (docs.column(c).slice(lo, 500).to_pylist() for c in ("spans", "keys"))
+        for x, y in _slices(some):
+            yield [(t, np.frombuffer(s, "<u4").reshape(-1, 2).tolist(), k) for t, s, k in zip(some[x:y], spans[x:y], keys[x:y], strict=True)]
+
+
 def _encode_owned(lazy: Lazy):
     def run(docs: pa.Table, owned: pa.Table) -> pa.Table:
         wanted, out = set(owned.column("key").to_pylist()), []
-        if wanted:
-            codec, table = lazy.get(), gear()
-            for texts in texts_of(docs.column("text")):
-                found = {}
-                for data in texts:
-                    for x, y, body in split(data, table):
-                        if body and (k := key(data[x:y])) in wanted:
-                            found[k] = data[x:y]
-                            wanted.discard(k)
-                out += zip(found, [ids for ids, _ in codec.encode(list(found.values()))], strict=True)
-                if not wanted:
-                    break
+        for rows in _rows(docs) if wanted else []:
+            found = {}
+            for data, spans, keys in rows:
+                for (x, y), k in zip(spans, keys, strict=True):
+                    if k in wanted:
+                        found[k] = data[x:y]
+                        wanted.discard(k)
+            if found:
+                out += zip(found, lazy.get().encode(list(found.values())), strict=True)
+            if not wanted:
+                break
         return pa.table({"key": pa.array([r[0] for r in out], pa.binary()), "ids": pa.array([r[1] for r in out], pa.binary())})
 
     return run
 
 
-def _assemble(lazy: Lazy, cache_bytes: int = 24_000_000):
+def reused(codec: Codec, rows: list, given: dict[bytes, bytes], ends: dict[bytes, tuple[bytes, bytes]]) -> list[list[bytes]]:
+    """Every text as pieces and marks of reused bodies, whose ids are among the codec's pieces and whose first and last pieces are in ``ends``."""
+    out = []
+    for data, spans, keys in rows:
+        border = [0, *borders(np.frombuffer(data, np.uint8)).tolist(), len(data)] if data else []
+        at, seq = 0, []
+        for (x, y), k in zip(spans, keys, strict=True):
+            if k not in given:
+                continue
+            mark = REUSED + k
+            i, j = bisect.bisect_left(border, x), bisect.bisect_left(border, y)
+            if mark not in codec.pieces:
+                if codec.decode(np.frombuffer(given[k], "<u4")) != data[x:y]:
+                    del given[k]
+                    continue
+                codec.pieces[mark] = given[k]
+            ends[k] = (data[border[i] : border[i + 1]], data[border[j - 1] : border[j]])
+            seq += [data[p:q] for p, q in itertools.pairwise(border[at : i + 1])]
+            seq.append(mark)
+            at = j
+        seq += [data[p:q] for p, q in itertools.pairwise(border[at:])]
+        out.append(seq)
+    return out
+
+
+def _assemble(lazy: Lazy):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        codec, table = lazy.get(), gear()
+        codec, ids, decoded = lazy.get(), [], []
         given = dict(zip(shared.column("key").to_pylist(), shared.column("ids").to_pylist(), strict=True))
-        known: dict[bytes, tuple[bytes, bytes]] = {}  # body or join -> ids, decoded bytes
-        size, ids, decoded = 0, [], []
-        for texts in texts_of(docs.column("text")):
-            if size > cache_bytes:
-                known, size = {}, 0
-            parts = [[(data[x:y], body) for x, y, body in split(data, table)] for data in texts]
-            new = {}
-            for piece, body in (p for t in parts for p in t):
-                if piece not in known and piece not in new:
-                    got = given.get(key(piece)) if body else None
-                    new[piece] = (got, codec.decode(np.frombuffer(got, "<u4"))) if got is not None else None
-                    if new[piece] and new[piece][1] != piece:
-                        new[piece] = None
-            fresh = [p for p, v in new.items() if v is None]
-            known |= new | dict(zip(fresh, codec.encode(fresh), strict=True))
-            size += sum(7 * len(p) + 200 for p in new)
-            ids += [b"".join(known[p][0] for p, _ in t) for t in parts]
-            decoded += [b"".join(known[p][1] for p, _ in t).decode("utf-8", "replace") for t in parts]
+        times = Counter(k for c in docs.column("keys").chunks for k in c.flatten().to_pylist())
+        inside = {k for k, n in times.items() if n > 1 and k not in given}  # repeated in this part alone
+        for rows in _rows(docs):
+            first = {}
+            for data, spans, keys in rows:
+                first |= {k: data[x:y] for (x, y), k in zip(spans, keys, strict=True) if k in inside}
+            given |= zip(first, codec.encode(list(first.values())), strict=True)
+            inside -= first.keys()
+            ends: dict[bytes, tuple[bytes, bytes]] = {}
+            seqs = reused(codec, rows, given, ends)
+            long = codec.know([*seqs, *ends.values()])
+            # A reset of the remembered pieces forgets marks: set them again.
+            codec.pieces |= {REUSED + k: given[k] for k in ends}
+            left, right = (lambda p: ends[p[1:]][1] if p[:1] == REUSED else p), (lambda p: ends[p[1:]][0] if p[:1] == REUSED else p)
+            joins = [[i for i in range(1, len(s)) if s[i][:1] == REUSED or s[i - 1][:1] == REUSED] for s in seqs]
+            bad = codec.disagreeing({(left(s[i - 1]), right(s[i])) for s, at in zip(seqs, joins, strict=True) for i in at})
+            for (data, _, _), s, at in zip(rows, seqs, joins, strict=True):
+                if bad and any((left(s[i - 1]), right(s[i])) in bad for i in at):
+                    cut = pieces_of(data)
+                    again = codec.know([cut])
+                    ids.append(codec.repaired(cut, list(range(1, len(cut)))))
+                    decoded.append(codec.decode(np.frombuffer(ids[-1], "<u4")).decode("utf-8", "replace"))
+                    codec.forget(again)
+                    continue
+                ids.append(b"".join(map(codec.pieces.__getitem__, s)))
+                same = not codec.changed or codec.changed.keys().isdisjoint(s)
+                decoded.append((data if same else codec.decode(np.frombuffer(ids[-1], "<u4"))).decode("utf-8", "replace"))
+            codec.forget([*long, *(REUSED + k for k in ends)])
         return pa.table({"row": docs.column("row"), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())})
 
     return run
@@ -230,15 +342,19 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, carry: list[str], text_c
     """Ids (little-endian 32-bit integers) of every whole text and the text they decode to.
 
     Returns ``row`` (struct of ``carry``), ``ids`` binary and ``decoded`` string.  Null counts as empty: no ids, empty
-    text.  Added tokens' strings inside a text become their ids, as is the tokenizer's default.
+    text.  Added tokens' strings inside a text become their ids, as is the tokenizer's default.  Rows are independent:
+    repeated rows and ids give repeated results, any column names are safe, and an empty table gives no rows.  A
+    definition that isn't a plain byte-level BPE raises ValueError.
     """
+    check(tokenizer_json)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    staged = stage(rows, rows_per_part=ROWS_PER_PART)
-    uses = written(staged.select(PART, "text").mapInArrow(_keys, f"{PART} bigint, key binary").distinct())
-    shared = uses.groupBy("key").agg(F.count("*").alias("parts"), F.min(PART).alias("owner")).filter("parts > 1")
+    kind = T.StructType.fromDDL(f"{PART} bigint, text string, spans binary, keys array<binary>").fields
+    staged = stage(rows.mapInArrow(_chunked, T.StructType([kind[0], rows.schema["row"], *kind[1:]])), numbered=True)
+    uses = staged.select(PART, F.explode("keys").alias("key")).groupBy(PART, "key").agg(F.lit(1).alias("one")).drop("one")
+    shared = written(uses.groupBy("key").agg(F.count("*").alias("parts"), F.min(PART).alias("owner")).filter("parts > 1"))
     owned = shared.select(F.col("owner").alias(PART), "key")
-    encoded = written(staged.select(PART, "text").groupBy(PART).cogroup(owned.groupBy(PART))
-                      .applyInArrow(_encode_owned(Lazy(tokenizer_json)), "key binary, ids binary"))
-    sent = uses.join(encoded, "key").select(PART, "key", "ids")
+    texts = staged.select(PART, "row", "text", "spans", "keys")
+    encoded = written(texts.drop("row").groupBy(PART).cogroup(owned.groupBy(PART)).applyInArrow(_encode_owned(Lazy(tokenizer_json)), "key binary, ids binary"))
+    sent = uses.join(encoded, "key").select(F.col(PART).alias("_to"), "key", "ids")
     schema = T.StructType([staged.schema["row"], *T.StructType.fromDDL("ids binary, decoded string").fields])
-    return staged.select(PART, "row", "text").groupBy(PART).cogroup(sent.groupBy(PART)).applyInArrow(_assemble(Lazy(tokenizer_json)), schema)
+    return texts.groupBy(PART).cogroup(sent.groupBy("_to")).applyInArrow(_assemble(Lazy(tokenizer_json)), schema)

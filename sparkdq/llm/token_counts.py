@@ -10,6 +10,7 @@ count.  Token ids never exist outside the counting of one pre-token.
 from __future__ import annotations
 
 import itertools
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,17 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed value
 WHOLE = " "  # marks a chunk that is counted by the whole tokenizer; no pre-token holds white space
 
 
+def check(tokenizer_json: str) -> None:
+    """Raise for a tokenizer that isn't of the one kind whose rules ``PreTokens`` applies: lower-casing after NFC, ``_SPLIT``, BPE."""
+    d = json.loads(tokenizer_json)
+    steps = [s.get("type") for s in (d.get("normalizer") or {}).get("normalizers", [])]
+    split = (d.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    pattern = split[0].get("pattern", {}).get("Regex", "").replace(r"[\p{L}]+", r"\p{L}+").replace(r"[\p{N}]", r"\p{N}")
+    known = steps == ["NFC", "Replace", "Lowercase"] and split[0].get("type") == "Split" and split[0].get("invert") and [s.get("type") for s in split[1:]] == ["ByteLevel"]
+    if not known or pattern != _SPLIT or d["model"].get("type") != "BPE" or any(t.get("lstrip") or t.get("rstrip") for t in d.get("added_tokens") or []):
+        raise ValueError("not a lower-casing BPE tokenizer with this pre-token pattern")
+
+
 class PreTokens:
     """Pre-tokens of whole texts, looked up once per distinct white-space-separated chunk.
 
@@ -176,8 +188,11 @@ def _sum(docs: pa.Table, counts: pa.Table) -> pa.Table:
 def token_counts(docs: DataFrame, tokenizer_json: str, carry: list[str], text_col: str = "text") -> DataFrame:
     """``row`` (struct of ``carry``), ``n_bytes`` (UTF-8) and ``n_tokens`` of every whole text.
 
-    Null counts as empty: 0 bytes, 0 tokens.  ``tokenizer_json`` is the tokenizer's definition (a bounded text).
+    Null counts as empty: 0 bytes, 0 tokens.  ``tokenizer_json`` is the tokenizer's definition (a bounded text); one of
+    another kind than ``check`` allows raises ValueError.  Rows are independent: repeated rows and ids give repeated
+    results, any column names are safe, and an empty table gives no rows.
     """
+    check(tokenizer_json)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = T.StructField("row", rows.schema["row"].dataType)  # null in dictionary rows
     staged = stage(rows.mapInArrow(_count_pretokens(tokenizer_json), T.StructType([*T.StructType.fromDDL(FREQUENCIES).fields, kind])), numbered=True)

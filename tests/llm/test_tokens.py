@@ -56,7 +56,43 @@ def test_chunks_cover_the_text_and_do_not_depend_on_what_stands_before():
     bodies = []
     for before in (b"", b"some other beginning " * 50):
         data = before + passage
-        pieces = bpe.split(data, table)
-        assert b"".join(data[x:y] for x, y, _ in pieces) == data
-        bodies.append({data[x:y] for x, y, body in pieces if body})
+        found = bpe.bodies(data, table)
+        assert all(a < b <= c < d for (a, b), (c, d) in zip(found, found[1:], strict=False)) and b"".join(bpe.pieces_of(data)) == data
+        bodies.append({data[x:y] for x, y in found})
     assert len(bodies[0] & bodies[1]) >= 0.8 * len(bodies[0]) > 5
+
+
+def test_joins_are_repaired_until_they_agree():
+    codec = bpe.Codec(queries.tokenizer_json(BYTE))
+    text = ("something" * 5 + " of the reusable kind 12345, isn't it?   " * 3).encode()
+    for cut in ([9, 13, 50, 71], [3], [45, 46, 47, 48, 49], list(range(1, len(text), 2)), []):
+        pieces = [text[x:y] for x, y in zip([0, *cut], [*cut, len(text)], strict=True)]
+        codec.pieces |= dict(zip(pieces, codec.whole(pieces), strict=True))
+        joins = [i for i in range(1, len(pieces)) if codec.disagreeing({(pieces[i - 1], pieces[i])})]
+        got = codec.repaired(pieces, list(range(1, len(pieces))))
+        assert got == codec.whole([text])[0] and (joins or not cut or got)
+    a, b = b" reus", b"able"
+    codec.pieces |= {a: codec.whole([a])[0], b: codec.whole([b])[0]}
+    assert codec.disagreeing({(a, b)}) == {(a, b)}
+
+
+def test_false_borders_between_reused_bodies_are_found(spark, monkeypatch):
+    """With borders inside words, joins of reused bodies disagree and the repair still gives the library's ids."""
+    import pyarrow as pa
+
+    codec = bpe.Lazy(queries.tokenizer_json(BYTE))
+    data = b"prefix words unbelievable endings and more words"
+    monkeypatch.setattr(bpe, "borders", lambda view: np.array([6, 12, 17, 25, 33]))
+    body = data[12:17]
+    k = bpe.key(body)
+    docs = pa.table({"row": [1], "text": [data.decode()], "spans": [np.array([[12, 17]], "<u4").tobytes()], "keys": pa.array([[k]], pa.list_(pa.binary()))})
+    ids = codec.get().whole([body])[0]
+    got = bpe._assemble(codec)(docs, pa.table({"key": [k], "ids": [ids]})).to_pylist()[0]
+    assert got["ids"] == codec.get().whole([data])[0] and got["decoded"] == data.decode()
+
+
+def test_foreign_tokenizers_are_refused(spark, odd_docs):
+    with pytest.raises(ValueError):
+        bpe.encode_decode(odd_docs, queries.tokenizer_json(WORD), ["doc_id"])
+    with pytest.raises(ValueError):
+        token_counts(odd_docs, queries.tokenizer_json(BYTE), ["doc_id"])
