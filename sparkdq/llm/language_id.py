@@ -37,9 +37,9 @@ def probabilities(z: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def train(rows: DataFrame, label: str = "lang", per_class: int = 600, max_chars: int = 50_000, window: int = 24,
+def train(rows: DataFrame, label: str = "lang", per_class: int = 600, max_chars: int = 100_000, window: int = 24,
           windows_per_text: int = 6, epochs: int = 3, reject_rate: float = 0.002, most: float = 0.5, seed: int = 5) -> LanguageModel:
-    """Fit on at most ``per_class`` texts of each label (documented bound; whole texts up to ``max_chars``).
+    """Fit on at most ``per_class`` texts of each label (documented bounds: of a text over ``max_chars`` a passage of that length).
 
     Examples are runs of ``window`` words of the sampled texts, so short texts are learned too.  ``reject_rate``: share
     of rightly classified held-back texts that the threshold may reject; ``most``: the threshold never exceeds it.  Without labelled rows: no languages, every
@@ -102,7 +102,8 @@ def _identify(model: LanguageModel):
 def identify(docs: DataFrame, model: LanguageModel, carry: list[str], text_col: str = "text") -> DataFrame:
     """Language of every whole text: ``row`` (struct of ``carry``), ``lang_pred``, ``score``, ``rejected``.
 
-    Null texts and texts without a letter are ``und`` with score 0 and are rejected.  Empty tables give no rows.
+    Null texts and texts without a letter are ``und`` with score 0 and are rejected.  Empty tables give no rows.  Rows are scored one by one:
+    repeated rows and ids give repeated results, and any column names are safe.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = T.StructType([rows.schema["row"]]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")

@@ -150,8 +150,8 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(rows: DataFrame, label: str = "quality", per_class: int = 1500, max_chars: int = 30_000, epochs: int = 30, seed: int = 11) -> QualityModel:
-    """Fit on at most ``per_class`` texts of each label (documented bound; whole texts up to ``max_chars``).
+def train(rows: DataFrame, label: str = "quality", per_class: int = 1500, max_chars: int = 100_000, epochs: int = 30, seed: int = 11) -> QualityModel:
+    """Fit on at most ``per_class`` texts of each label (documented bounds: of a text over ``max_chars`` a passage of that length).
 
     A quarter of the sample calibrates the score to the labels' true shares.  Without rows of both labels every score
     is the share of label 1 (one half without any row).
@@ -192,7 +192,8 @@ def _rate(model: QualityModel):
 def rate(docs: DataFrame, model: QualityModel, carry: list[str], text_col: str = "text") -> DataFrame:
     """Quality of every whole text: ``row`` (struct of ``carry``) and ``score`` from 0 to 1.
 
-    Null and empty texts are one passage without words.  Empty tables give no rows.
+    Null and empty texts are one passage without words.  Empty tables give no rows.  Rows are scored one by one:
+    repeated rows and ids give repeated results, and any column names are safe.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(_rate(model), T.StructType([rows.schema["row"]]).add("score", "double"))

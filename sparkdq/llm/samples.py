@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,16 +12,25 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def labelled_sample(rows: DataFrame, label: str, per_class: int, max_chars: int) -> tuple[pa.Table, dict]:
-    """At most about ``per_class`` rows of each label with their whole ``text``, chosen by a hash of the text.
+def labelled_sample(rows: DataFrame, label: str, per_class: int, max_chars: int, id_col: str = "doc_id", seed: int = 7) -> tuple[pa.Table, dict]:
+    """The ``per_class`` rows of each label whose ids hash lowest, as distinct (label, ``text``), and all labels' row counts.
 
-    ``max_chars`` bounds the length of a text that is learned from; nothing else is cut.  Rows are picked by a hash
-    threshold from the label's row count, so every label takes one counting pass and one collecting pass.
+    Rows are drawn one by one, whatever their texts, so every label has some; rows without an id (or a table without
+    that column) are drawn by their place.  A text longer than ``max_chars`` is learned from by a passage of that length
+    at a drawn position; it counts like any other.  Rows that share an id are drawn together, at most twice the bound.
     """
-    rows = rows.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    rows = rows.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
+    place = F.monotonically_increasing_id()
+    who = F.coalesce(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(0)) if id_col in rows.columns else F.lit(0)
+    missing = F.col(id_col).isNull() if id_col in rows.columns else F.lit(True)
+    drawn = rows.select(label, "text", F.when(missing, F.xxhash64(place, F.lit(seed))).otherwise(who).alias("draw"))
+    first = F.row_number().over(Window.partitionBy(label).orderBy("draw"))
+    last = {r[0]: r[1] for r in drawn.select(label, "draw").withColumn("n", first).filter(F.col("n") <= per_class).groupBy(label).agg(F.max("draw")).collect()}
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    draw = F.xxhash64("text", F.lit(7)).bitwiseAND(F.lit((1 << 30) - 1))
     keep = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | ((F.col(label) == F.lit(value)) & (draw < int(min(1.0, per_class / n) * (1 << 30))))
-    return rows.filter(keep).select(label, "text").distinct().orderBy(F.xxhash64("text"), label).limit(2 * per_class * max(1, len(counts))).toArrow(), counts
+    for value, cut in last.items():
+        keep = keep | ((F.col(label) == F.lit(value)) & (F.col("draw") <= cut))
+    start = F.pmod(F.xxhash64("draw", F.lit(seed)), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1) + 1
+    passage = F.substring("text", start.cast("int"), F.lit(max_chars)).alias("text")
+    some = drawn.filter(keep).select(label, passage).distinct()
+    return some.orderBy(F.xxhash64("text"), label).limit(2 * per_class * max(1, len(counts))).toArrow(), counts

@@ -51,9 +51,9 @@ def worst_runs(values: np.ndarray, lens: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def train(rows: DataFrame, label: str = "toxic", per_class: int = 1500, max_chars: int = 12_000, window: int = WINDOW,
+def train(rows: DataFrame, label: str = "toxic", per_class: int = 1500, max_chars: int = 100_000, window: int = WINDOW,
           first_runs: int = 10, rounds: int = 4, seed: int = 3) -> ToxicityModel:
-    """Fit on at most ``per_class`` texts of each label (documented bound; whole texts up to ``max_chars``).
+    """Fit on at most ``per_class`` texts of each label (documented bounds: of a text over ``max_chars`` a passage of that length).
 
     A quarter of the sample is held back to calibrate the score to the labels' true shares.  Without rows of both
     labels the score is the share of label 1 (one half without any row).
@@ -127,7 +127,8 @@ def _rate(model: ToxicityModel):
 def rate(docs: DataFrame, model: ToxicityModel, carry: list[str], text_col: str = "text") -> DataFrame:
     """Toxicity of every whole text: ``row`` (struct of ``carry``) and ``score`` from 0 to 1.
 
-    Null and empty texts have no words and take the calibrated score of 0.  Empty tables give no rows.
+    Null and empty texts have no words and take the calibrated score of 0.  Empty tables give no rows.  Rows are scored one by one:
+    repeated rows and ids give repeated results, and any column names are safe.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(_rate(model), T.StructType([rows.schema["row"]]).add("score", "double"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkdq.llm import language_id, quality, queries, subword, toxicity
+from sparkdq.llm import language_id, quality, queries, samples, subword, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -105,3 +105,15 @@ def test_vocabulary_bounds_do_not_change_scores():
     assert np.allclose(large, np.concatenate([small.of([t])[0] for t in texts]), atol=1e-6)
     encoder, bounded = quality.PassageEncoder(), quality.PassageEncoder(max_words=20)
     assert np.allclose(encoder.encode(texts)[0], np.concatenate([bounded.encode([t])[0] for t in texts]), atol=1e-5)
+
+
+def test_sample_keeps_every_label_and_learns_from_long_texts(spark):
+    """A label whose rows all hold one text, one with a single row, and one with only very long texts stay in the sample."""
+    rows = [(i, "a", "same text") for i in range(3000)] + [(5000, "b", "alone")] + [(6000 + i, "c", f"long{i} " * 500) for i in range(40)]
+    rows += [(None, "d", f"text {i}") for i in range(50)] + [(7000, None, "x"), (7001, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5)
+    for columns in (["doc_id", "lang", "text"], ["lang", "text"]):
+        sample, counts = samples.labelled_sample(docs.select(*columns), "lang", 10, 200)
+        got = [r["lang"] for r in sample.to_pylist()]
+        assert counts == {"a": 3000, "b": 1, "c": 40, "d": 50} and {x: got.count(x) for x in "abcd"} == {"a": 1, "b": 1, "c": 10, "d": 10}
+        assert max(len(r["text"]) for r in sample.to_pylist()) == 200
