@@ -11,6 +11,7 @@ committed table, so a lost executor can't change them later.
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def stage(df: DataFrame, numbered: bool = False, rows_per_part: int | None = Non
     path = scratch_path(spark, name)
     (df.write.format("parquet").option("compression", "zstd").option("path", path)
        .bucketBy(shuffle_partitions(spark), PART).saveAsTable(name))
-    _made.append((spark.sparkContext.applicationId, path, name))
+    _note(path, name)
     return spark.table(name)
 
 
@@ -52,36 +53,52 @@ def keyed(df: DataFrame, key: str) -> DataFrame:
     path = scratch_path(spark, name)
     (df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path)
        .bucketBy(n, key).sortBy(key).saveAsTable(name))
-    _made.append((spark.sparkContext.applicationId, path, name))
+    _note(path, name)
     return spark.table(name)
 
 
-def written(df: DataFrame, keep: bool = False) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: cuts lineage, computes once.
-
-    ``keep``: ``release`` leaves it.
-    """
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back: cuts lineage, computes once."""
     spark = df.sparkSession
     path = scratch_path(spark, "written")
     df.write.option("compression", "zstd").parquet(path)
-    if not keep:
-        _made.append((spark.sparkContext.applicationId, path, None))
+    _note(path, None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: What ``stage`` and ``written`` have left in the shared folder: application, folder, table.
-_made: list[tuple[str, str, str | None]] = []
+class Scope:
+    """Owns what operators stage while it is entered: ``with Scope(spark) as s: ...`` and, once results are written, ``s.close()``.
+
+    Folders and tables of other scopes, or made outside any, are never touched.  Scopes may be nested; the inner one owns.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self._tokens = spark, [], []
+
+    def __enter__(self) -> Scope:
+        self._tokens.append(_scope.set(self))
+        return self
 
+    def __exit__(self, *exc) -> None:
+        _scope.reset(self._tokens.pop())
 
-def release(spark: SparkSession) -> None:
-    """Remove what earlier operators of this session staged.  Only when their results have been written or dropped."""
-    for app, path, table in _made:
-        if app == spark.sparkContext.applicationId:
+    def close(self) -> None:
+        """Remove its folders and tables; results that still read them must have been written before."""
+        for path, table in self.made:
             if table:
-                spark.sql(f"DROP TABLE IF EXISTS {table}")
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    _made.clear()
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.made.clear()
+
+
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+def _note(path: str, table: str | None) -> None:
+    scope = _scope.get()
+    if scope is not None:
+        scope.made.append((path, table))
 
 
 def trimmed(run):
