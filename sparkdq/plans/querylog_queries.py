@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import querylog as QF
+from ..operators import linediff as LD
 from ..operators import querylog as QL
 from ..sources.tables import fixture, fixture_ctes, read_table
 from .registry import register
@@ -138,6 +139,12 @@ def q_line_diff(spark, sf_dir):
     return QL.line_diff(fixture(spark, sf_dir, "query_log"), "query_id", "original_sql", "rewritten_sql")
 
 
+@register("q_diff_hunks")
+def q_diff_hunks(spark, sf_dir):
+    """Q11: unified hunks of every rewritten query (a shortest script has no SQL form; the tests hold it against brute force)."""
+    return LD.diff_hunks(fixture(spark, sf_dir, "query_log"), "query_id", "original_sql", "rewritten_sql")
+
+
 @register("s_split_blank", QLOG + """
 SELECT query_id, CASE WHEN coalesce(regexp_replace(original_sql, '^\\s+|\\s+$', '', 'g') = '', true)
                       THEN 'rejected' ELSE 'valid' END AS status

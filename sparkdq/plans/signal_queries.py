@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import phrases as PH
 from ..operators import retrieval as R
 from ..operators import signals as S
 from ..sources.tables import read_table
@@ -129,6 +130,14 @@ def d_term_hits(spark, sf_dir):
     return S.term_hits(read_table(spark, sf_dir, "documents"), "text", ["source"], TERMS)
 
 
+@register("d_phrase_hits")
+def d_phrase_hits(spark, sf_dir):
+    """Phrases of several words per source: the first three and first five words of every benchmark item."""
+    items = F.split(F.col("text"), r"\s+")
+    terms = read_table(spark, sf_dir, "benchmark").select(F.explode(F.array(*[F.array_join(F.slice(items, 1, n), " ") for n in (3, 5)])).alias("phrase"))
+    return PH.phrase_counts(read_table(spark, sf_dir, "documents"), "text", ["source"], terms)
+
+
 def _text_match_sql():
     parts = []
     for kind, pat in S.TEXT_PATTERNS.items():

@@ -41,6 +41,21 @@ def s_read_csv(spark, sf_dir):
     return io.read_csv(spark, path, df.select("doc_id", "text", "lang", "source", "n_chars").schema)
 
 
+@register("s_infer_csv", """
+SELECT doc_id, text, CASE WHEN doc_id % 3 > 0 THEN lang END AS lang, CASE WHEN doc_id % 5 > 0 THEN n_chars::DOUBLE END AS n_chars,
+       doc_id % 2 = 0 AS is_even, doc_id + 0.5::DOUBLE AS half, n_chars AS signed FROM documents""")
+def s_infer_csv(spark, sf_dir):
+    """Documents written as untyped CSV cells, read back with the types that their values show."""
+    df = read_table(spark, sf_dir, "documents")
+    cells = df.select("doc_id", "text", F.when(F.col("doc_id") % 3 > 0, F.col("lang")).otherwise("NA").alias("lang"),
+                      F.when(F.col("doc_id") % 5 > 0, F.col("n_chars").cast("string")).otherwise("null").alias("n_chars"),
+                      F.when(F.col("doc_id") % 2 == 0, "True").otherwise("False").alias("is_even"),
+                      F.concat(F.col("doc_id").cast("string"), F.lit(".5")).alias("half"), F.concat(F.lit(" +"), F.col("n_chars").cast("string")).alias("signed"))
+    path = scratch_path(spark, "csv")
+    io.write_table(cells, path, "csv")
+    return io.read_csv_inferred(spark, path)
+
+
 @register("s_write_audit_publish", F9_SQL)
 def s_write_audit_publish(spark, sf_dir):
     """S3: stage the cleaned table, audit (score improved), publish, read the target back."""

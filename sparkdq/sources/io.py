@@ -54,6 +54,63 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
     return raw.select(*cols)
 
 
+# Forms that pandas reads as whole numbers, numbers and truth values; white space around numbers is ignored.
+_INTEGER, _TRUTH = r"^[ \t]*[+-]?[0-9]+[ \t]*$", ("True", "TRUE", "true", "False", "FALSE", "false")
+_NUMBER = r"(?i)^[ \t]*[+-]?([0-9]+\.?[0-9]*(e[+-]?[0-9]+)?|\.[0-9]+(e[+-]?[0-9]+)?|inf|infinity)[ \t]*$"
+
+
+def column_types(text: DataFrame, missing_tokens: Sequence[str] = PANDAS_MISSING_TOKENS) -> DataFrame:
+    """The type pandas infers for every column of a table of texts: ``column``, ``position``, ``dtype``, ``type``, ``missing``.
+
+    A column climbs a lattice: all values whole numbers that fit 64 bits (``int64``; ``uint64`` for larger ones without
+    a sign), all numbers (``float64``), all truth values (``bool``), else ``object``.  Missing cells turn whole numbers
+    into ``float64`` and truth values into ``object`` (their Spark ``type`` stays boolean); a column of missing cells
+    alone is ``float64``, one of an empty table ``object``.  All columns are folded in one aggregate over one scan.
+    """
+    aggs, n = [], len(text.columns)
+    for i, name in enumerate(text.columns):
+        c = F.col(f"`{name}`")
+        there = c.isNotNull() & ~c.isin(list(missing_tokens))
+        whole = there & c.rlike(_INTEGER)
+        large = F.trim(F.regexp_replace(c, r"[ \t]", "")).try_cast("decimal(38,0)")
+        fits = c.rlike(_INTEGER) & F.regexp_replace(c, r"[ \t]", "").try_cast("bigint").isNotNull()
+        aggs.append(F.struct(
+            F.lit(name).alias("column"), F.lit(i).alias("position"), F.count_if(~there).alias("missing"), F.count_if(there).alias("there"),
+            F.count_if(whole).alias("whole"), F.count_if(there & fits).alias("fit"),
+            F.count_if(whole & large.between(F.lit("0").cast("decimal(38,0)"), F.lit("18446744073709551615").cast("decimal(38,0)"))).alias("unsigned"),
+            F.count_if(there & c.rlike(_NUMBER)).alias("numbers"), F.count_if(there & c.isin(*_TRUTH)).alias("truths")).alias(f"c{i}"))
+    facts = text.agg(*aggs).select(F.inline(F.array(*[F.col(f"c{i}") for i in range(n)])))
+    every = lambda x: F.col(x) == F.col("there")
+    some, full = F.col("there") > 0, F.col("missing") == 0
+    # Whole numbers beyond 64 bits stay text when nothing is missing, like in pandas.
+    dtype = (F.when(~some, F.when(full, "object").otherwise("float64"))
+             .when(every("fit"), F.when(full, "int64").otherwise("float64"))
+             .when(every("whole") & full, F.when(every("unsigned"), "uint64").otherwise("object"))
+             .when(every("numbers"), "float64")
+             .when(every("truths"), F.when(full, "bool").otherwise("object")).otherwise("object"))
+    kind = (F.when(some & every("truths"), "boolean").when(F.col("dtype") == "int64", "bigint").when(F.col("dtype") == "uint64", "decimal(20,0)")
+            .when(F.col("dtype") == "float64", "double").otherwise("string"))
+    return facts.withColumn("dtype", dtype).select("column", "position", "dtype", kind.alias("type"), "missing")
+
+
+def read_csv_inferred(spark: SparkSession, path: str, missing_tokens: Sequence[str] = PANDAS_MISSING_TOKENS) -> DataFrame:
+    """Header CSV whose column types are inferred like pandas does (``column_types``), then cast in one pass.
+
+    Two scans: one aggregate (a row per column reaches the driver) and the typed read.
+    """
+    raw = spark.read.options(**CSV_CELLS).option("header", True).option("inferSchema", False).csv(path)
+    if not raw.columns:
+        return raw
+    types = {r["column"]: r["type"] for r in column_types(raw, missing_tokens).collect()}
+    cols = []
+    for name in raw.columns:
+        c = F.when(~F.col(f"`{name}`").isin(list(missing_tokens)), F.col(f"`{name}`"))
+        if types[name] != "string":
+            c = F.regexp_replace(c, r"[ \t]", "").try_cast(types[name])
+        cols.append(c.alias(name))
+    return raw.select(*cols)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: Sequence[str] = ()) -> None:
     """Write a directory of files (no single-file promise)."""
