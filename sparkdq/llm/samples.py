@@ -15,15 +15,15 @@ def fold(doc_id: Column, folds: int) -> Column:
 def labelled_sample(rows: DataFrame, label: str, per_class: int, max_chars: int, id_col: str = "doc_id", seed: int = 7) -> tuple[pa.Table, dict]:
     """The ``per_class`` rows of each label whose ids hash lowest, as distinct (label, ``text``), and all labels' row counts.
 
-    Rows are drawn one by one, whatever their texts, so every label has some; rows without an id (or a table without
-    that column) are drawn by their place.  A text longer than ``max_chars`` is learned from by a passage of that length
+    Rows are drawn by their ids, whatever their texts, rows without an id (or a table without that column) by their
+    texts; the lowest of each label are taken, so every label has some.  A text longer than ``max_chars`` is learned from by a passage of that length
     at a drawn position; it counts like any other.  Rows that share an id are drawn together, at most twice the bound.
     """
     rows = rows.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
-    place = F.monotonically_increasing_id()
-    who = F.coalesce(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(0)) if id_col in rows.columns else F.lit(0)
-    missing = F.col(id_col).isNull() if id_col in rows.columns else F.lit(True)
-    drawn = rows.select(label, "text", F.when(missing, F.xxhash64(place, F.lit(seed))).otherwise(who).alias("draw"))
+    who = F.xxhash64("text", F.lit(seed))  # a place would not be the same in both passes
+    if id_col in rows.columns:
+        who = F.when(F.col(id_col).isNull(), who).otherwise(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)))
+    drawn = rows.select(label, "text", who.alias("draw"))
     first = F.row_number().over(Window.partitionBy(label).orderBy("draw"))
     last = {r[0]: r[1] for r in drawn.select(label, "draw").withColumn("n", first).filter(F.col("n") <= per_class).groupBy(label).agg(F.max("draw")).collect()}
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
