@@ -18,6 +18,7 @@ from ..functions.text import strip_ws
 from .fixes import FIX_ACTIONS
 from .masks import MASK_ACTIONS
 from .profile import row_digest
+from .textindex import TextIndex
 from .textjoin import contains_join, phrases_found
 
 # Fixed values that must equal the reference's behaviour.
@@ -173,9 +174,20 @@ def propose(profile_long: DataFrame, rules: DataFrame, policies: DataFrame) -> D
 
 # ---------------------------------------------------------------- G2 / G4
 
-def policy_inventory(policies: DataFrame, docs: DataFrame, text_col: str = "text",
+def _phrases_found(docs: DataFrame | TextIndex, text_col: str, phrases: DataFrame, phrase_col: str, key_cols: list[str]) -> DataFrame:
+    if isinstance(docs, TextIndex):
+        return docs.phrases_found(phrases, phrase_col, key_cols)
+    return phrases_found(docs, text_col, phrases, phrase_col, key_cols)
+
+
+def policy_inventory(policies: DataFrame, docs: DataFrame | TextIndex, text_col: str = "text",
                      doc_key: str = "doc_id") -> DataFrame:
-    """``(doc_id, policy_id)`` for every document containing a policy phrase (case-insensitive)."""
+    """``(doc_id, policy_id)`` for every document containing a policy phrase (case-insensitive).
+
+    Here and below ``docs`` may be a ``TextIndex``: then no text is read, however often texts are asked for phrases.
+    """
+    if isinstance(docs, TextIndex):
+        return docs.find(policies, "phrase", ["policy_id"]).select(F.col("doc").alias(doc_key), "policy_id")
     j = contains_join(docs.select(doc_key, text_col), text_col, policies.select("policy_id", "phrase"), "phrase")
     return j.select(doc_key, "policy_id")
 
@@ -190,10 +202,10 @@ def exploded_refs(props: DataFrame) -> DataFrame:
             .withColumn("q", strip_ws(F.coalesce("ref.quote", F.lit("")))))
 
 
-def canonical_refs(props: DataFrame, policies: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+def canonical_refs(props: DataFrame, policies: DataFrame, docs: DataFrame | TextIndex, text_col: str = "text") -> DataFrame:
     """Keep references whose policy id is known and whose canonical phrase
     (not the quote) occurs in the documents; ``policy_refs`` is rebuilt in order."""
-    present = phrases_found(docs, text_col, policies, "phrase", ["policy_id"])
+    present = _phrases_found(docs, text_col, policies, "phrase", ["policy_id"])
     keyed = props.withColumn("_row", row_digest(props))
     refs = exploded_refs(keyed).withColumn("policy_id", F.col("ref.policy_id"))
     kept = refs.join(present, "policy_id", "left_semi")
@@ -204,7 +216,7 @@ def canonical_refs(props: DataFrame, policies: DataFrame, docs: DataFrame, text_
 
 # ---------------------------------------------------------------- G3, G5-G8
 
-def verdicts(props: DataFrame, docs: DataFrame, text_col: str = "text",
+def verdicts(props: DataFrame, docs: DataFrame | TextIndex, text_col: str = "text",
              columns: Sequence[str] | None = None, allowed_actions: Sequence[str] | None = None,
              threshold: float = CONFIDENCE_THRESHOLD, key_cols: Sequence[str] = (), pii: bool = False) -> DataFrame:
     """Per-proposal verdict: ``key_cols``, ``id``, ``status``, ``notes``, matched ``policy_refs``.
@@ -220,7 +232,7 @@ def verdicts(props: DataFrame, docs: DataFrame, text_col: str = "text",
     keyed = props.withColumn("_row", row_digest(props))
     refs = exploded_refs(keyed)
     quotes = refs.select("q").where(F.col("q") != "").distinct()
-    found = phrases_found(docs, text_col, quotes, "q", ["q"]).withColumn("found", F.lit(True))
+    found = _phrases_found(docs, text_col, quotes, "q", ["q"]).withColumn("found", F.lit(True))
     refs = refs.join(found, "q", "left").withColumn("found", F.coalesce("found", F.lit(False)))
     missing = F.concat(F.lit("Policy quote not found: '" if pii else "Policy quote not found in RAG: '"), F.substring("q", 1, 60), F.lit("...'"))
     note = F.when(~F.col("found"), missing)

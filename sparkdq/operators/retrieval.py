@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
+from ..sources.io import stored_batches
 
 
 def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding") -> DataFrame:
@@ -159,7 +160,23 @@ def combined_text(hits: DataFrame, docs: DataFrame, query_id: str = "query_id",
 
 def read_documents(spark, path: str) -> DataFrame:
     """Whole text files below ``path`` as ``(doc_id, text)``; the id is the file's path."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
+
+
+def append_documents(new_docs: DataFrame, store: str, batch: str, key: str = "doc_id", order_by: Sequence[str] = ()) -> DataFrame:
+    """Add to the Parquet store below ``store`` what ``ingest`` finds new, as the folder of ``batch``; the batch as stored.
+
+    A batch added again is compared with the other batches only and replaces its folder, so a retry stores nothing twice.
+    """
+    spark = new_docs.sparkSession
+    others = [b for b in stored_batches(spark, store) if b != batch]
+    if others:
+        existing = spark.read.parquet(*[f"{store}/batch={b}" for b in others])
+    else:
+        existing = new_docs.select(key).where(F.lit(False))
+    target = f"{store.rstrip('/')}/batch={batch}"
+    ingest(new_docs, existing, key, order_by).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
 
 
 def ingest(new_docs: DataFrame, existing: DataFrame, key: str = "doc_id", order_by: Sequence[str] = ()) -> DataFrame:

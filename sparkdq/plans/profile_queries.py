@@ -15,7 +15,8 @@ def _null_cond(c: str) -> str:
     return f"({c} IS NULL OR isnan({c}))" if c == "price" else f"{c} IS NULL"
 
 
-def _profile_oracle() -> str:
+def _profile_sql(rel: str) -> str:
+    """The long profile of a relation with dirty_customer's columns."""
     aggs = ["count(*) AS n"]
     for c in DC_COLS:
         aggs.append(f"count(*) FILTER (WHERE {_null_cond(c)}) AS nn_{c}")
@@ -28,9 +29,12 @@ def _profile_oracle() -> str:
     parts.append("SELECT 'email', 'email_invalid_count', CAST(inv_email AS DOUBLE) FROM agg")
     parts.append("SELECT 'price', 'negative_count', CAST(neg_price AS DOUBLE) FROM agg")
     parts.append("SELECT NULL, 'dup_rows', CAST(coalesce(sum(n - 1), 0) AS DOUBLE) FROM "
-                 "(SELECT *, count(*) AS n FROM dirty_customer GROUP BY ALL) g")
-    return (fixture_ctes("dirty_customer") + ", agg AS (SELECT " + ", ".join(aggs) + " FROM dirty_customer)\n"
-            + "\nUNION ALL ".join(parts))
+                 f"(SELECT *, count(*) AS n FROM {rel} GROUP BY ALL) g")
+    return f"WITH agg AS (SELECT {', '.join(aggs)} FROM {rel})\n" + "\nUNION ALL ".join(parts)
+
+
+def _profile_oracle() -> str:
+    return fixture_ctes("dirty_customer") + f"SELECT * FROM ({_profile_sql('dirty_customer')}) p"
 
 
 @register("p_profile", _profile_oracle())
@@ -39,11 +43,12 @@ def p_profile(spark, sf_dir):
     return P.profile(fixture(spark, sf_dir, "dirty_customer"))
 
 
-def _pii_oracle() -> str:
+def _pii_sql(rel: str) -> str:
+    """The personal-data profile of a relation with dirty_customer's columns."""
     from ..operators.signals import DATE_RE, DEFAULT_GAZETTEER
 
     gaz = ", ".join(f"('{w}', '{c}')" for c, ws in DEFAULT_GAZETTEER.items() for w in ws)
-    vals = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM dirty_customer "
+    vals = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM {rel} "
                               f"WHERE {c} IS NOT NULL" for c in DC_COLS)
     date_re = DATE_RE.replace("'", "''")
     aggs = ["count(*) AS n"] + [f"count(*) FILTER (WHERE {_null_cond(c)}) AS nn_{c}" for c in DC_COLS]
@@ -59,7 +64,7 @@ def _pii_oracle() -> str:
     parts.append("SELECT \"column\", concat('ner_', class), CAST(n AS DOUBLE) FROM ent")
     parts.append("SELECT \"column\", 'risk_score', CAST(least(p * 5 + (g + l) * 4 + d * 4 "
                  "+ CASE WHEN contains(\"column\", 'mail') THEN 10 ELSE 0 END, 100) AS DOUBLE) FROM risk")
-    return (fixture_ctes("dirty_customer") + ", agg AS (SELECT " + ", ".join(aggs) + " FROM dirty_customer),\n"
+    return ("WITH agg AS (SELECT " + ", ".join(aggs) + f" FROM {rel}),\n"
             f"v AS ({vals}),\n"
             "present AS (SELECT DISTINCT \"column\" FROM v WHERE NOT regexp_matches(value, '^\\s*$')),\n"
             f"dates AS (SELECT \"column\", 'DATE' AS class, sum(len(regexp_extract_all(value, '{date_re}'))) AS n FROM v GROUP BY 1),\n"
@@ -78,6 +83,10 @@ def _pii_oracle() -> str:
             + "\nUNION ALL ".join(parts))
 
 
+def _pii_oracle() -> str:
+    return fixture_ctes("dirty_customer") + f"SELECT * FROM ({_pii_sql('dirty_customer')}) p"
+
+
 @register("p_profile_pii", _pii_oracle())
 def p_profile_pii(spark, sf_dir):
     """P9 (with D1, D3): personal-data profile of dirty_customer in long form."""

@@ -30,6 +30,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
         fix_queries,
+        flow_queries,
         grounding_queries,
         mask_queries,
         profile_queries,

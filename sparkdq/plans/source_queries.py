@@ -74,15 +74,22 @@ def s_write_audit_publish(spark, sf_dir):
     return spark.read.parquet(f"{root}/published")
 
 
+def written_verdicts(spark, sf_dir):
+    """The verdicts of all plans, computed once; the runs appended below filter them."""
+    path = scratch_path(spark, "verdicts")
+    bench_verdicts(spark, sf_dir).write.partitionBy("plan_id").parquet(path)
+    return spark.read.parquet(path)
+
+
 @register("s_run_history", f"""WITH {_verdict_cte(False)}
 SELECT concat('run-', v.plan_id) AS run_id, 'benchmark' AS dataset, v.id, v.action, "column", confidence, n_matched, status, notes,
        true AS accepted, 'checked' AS validation_notes, NULL::VARCHAR AS question
 FROM v JOIN props USING (item_id)""")
 def s_run_history(spark, sf_dir):
     """One run per plan appended with its full records (one of them twice, which changes nothing), read back."""
-    path = scratch_path(spark, "history")
-    v = bench_verdicts(spark, sf_dir)
-    for plan in ("plan0", "plan1", "plan1"):
+    path, v = scratch_path(spark, "history"), written_verdicts(spark, sf_dir)
+    plans = sorted(r["plan_id"] for r in v.select("plan_id").distinct().collect())
+    for plan in [*plans, *plans[-1:]]:
         io.append_run(v.where(F.col("plan_id") == plan), path, f"run-{plan}", "benchmark", True, "checked", 0.9)
     back = io.read_history(spark, path)
     return back.select("run_id", "dataset", "id", "action", F.col("params.column").alias("column"), "confidence",
@@ -95,9 +102,8 @@ SELECT 'benchmark' AS dataset, action, count(DISTINCT plan_id) AS n_runs, count(
 FROM v GROUP BY action""")
 def s_history_summary(spark, sf_dir):
     """Proposals and acceptances per data set and action over all runs."""
-    path = scratch_path(spark, "history")
-    v = bench_verdicts(spark, sf_dir)
-    for plan in ("plan0", "plan1"):
+    path, v = scratch_path(spark, "history"), written_verdicts(spark, sf_dir)
+    for plan in sorted(r["plan_id"] for r in v.select("plan_id").distinct().collect()):
         io.append_run(v.where(F.col("plan_id") == plan), path, plan, "benchmark")
     return io.history_summary(io.read_history(spark, path))
 

@@ -127,6 +127,13 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def stored_batches(spark: SparkSession, path: str) -> list[str]:
+    """Ids of the batches below ``path``, from the names of its folders ``batch=<id>``."""
+    fs, root = _files(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
+
+
 def publish(spark: SparkSession, staged: str, target: str) -> None:
     """Make the folder ``staged`` the folder ``target`` by renames, without copying data.
 
@@ -207,7 +214,7 @@ def append_run(verdicts: DataFrame, path: str, run_id: str, dataset: str,
     if questions is not None:
         asked = questions.select(*run, F.col("question"))
         rows = rows.unionByName(asked, allowMissingColumns=True)
-    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}")
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={_folder_name(run_id)}")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -233,9 +240,10 @@ NESTED_HISTORY_SCHEMA = (
 )
 
 
-def read_nested_history(spark: SparkSession, path: str) -> DataFrame:
-    """Read a nested JSON run history (one document) with an explicit schema."""
-    return spark.read.schema(NESTED_HISTORY_SCHEMA).option("multiLine", True).json(path)
+def read_nested_history(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Read nested JSON run histories with an explicit schema: one document a file, or ``one_per_line``, which lets
+    a large file be split."""
+    return spark.read.schema(NESTED_HISTORY_SCHEMA).option("multiLine", not one_per_line).json(path)
 
 
 def explode_runs(nested: DataFrame) -> DataFrame:
@@ -247,8 +255,39 @@ def explode_runs(nested: DataFrame) -> DataFrame:
         "run_pos", "dataset", "run_ts", "accepted", "fix.*")
 
 
-def append_query_runs(df: DataFrame, path: str) -> None:
+def _folder_name(name: str) -> str:
+    if not name or not all(c.isalnum() or c in "-_." for c in name) or name.startswith("."):
+        raise ValueError(f"{name!r} can't name a folder: letters, digits, '-', '_' and '.' only")
+    return name
+
+
+def append_query_runs(df: DataFrame, path: str, batch: str | None = None) -> None:
     """Append query records (texts, line diff, statistics before and after, scan figures, as the caller has them);
-    ``created_at`` defaults to now."""
+    ``created_at`` defaults to now.
+
+    With ``batch`` the records are a folder of that name, so writing them again replaces them instead of storing them
+    twice; don't mix both forms in one store.
+    """
     out = df if "created_at" in df.columns else df.withColumn("created_at", F.current_timestamp())
-    out.write.mode("append").parquet(path)
+    if batch is None:
+        out.write.mode("append").parquet(path)
+    else:
+        out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={_folder_name(batch)}")
+
+
+def try_append_query_runs(df: DataFrame, path: str, batch: str) -> str | None:
+    """Like ``append_query_runs``, but a failed save is reported, not raised: None, or the error's text.
+
+    The request that the records describe goes on; the same batch can be saved later.
+    """
+    try:
+        append_query_runs(df, path, batch)
+    except Exception as e:
+        return f"{type(e).__name__}: {str(e)[:300]}"
+    return None
+
+
+def append_audit(audit: DataFrame, path: str, run_id: str, dataset: str) -> None:
+    """Append a run's audit rows (``policy_checks.mask_audit``) beside its history; a repeated run replaces them."""
+    (audit.withColumn("dataset", F.lit(dataset)).withColumn("run_ts", F.unix_timestamp())
+     .write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={_folder_name(run_id)}"))
