@@ -24,10 +24,22 @@ WINDOW = 6
 
 
 class ToxicityModel:
-    """Bucket logits of class 1 against class 0, and the logistic calibration of a text's worst run."""
+    """Bucket logits of class 1 against class 0, and the logistic calibration of a text's worst run.
 
-    def __init__(self, logits: np.ndarray, window: int, slope: float, offset: float):
-        self.logits, self.window, self.slope, self.offset = logits, window, slope, offset
+    The worst of many runs is worse by chance: ``trend`` is by how much it rises with the logarithm of a clean text's
+    number of runs, and is taken off, so that length alone makes no text toxic.
+    """
+
+    def __init__(self, logits: np.ndarray, window: int, slope: float, offset: float, trend: float = 0.0):
+        self.logits, self.window, self.slope, self.offset, self.trend = logits, window, slope, offset, trend
+
+    def levels(self, values: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Worst run of each text less what its length explains; 0 for a text without words."""
+        runs = np.maximum(lens - np.minimum(lens, self.window) + 1, 1)
+        return worst_runs(values, lens, self.window) - self.trend * np.log(runs)
+
+    def score(self, levels: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * levels + self.offset, -30, 30)))
 
 
 def run_scores(values: np.ndarray, lens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +111,23 @@ def train(rows: DataFrame, label: str = "toxic", per_class: int = 1500, max_char
     z = model.logits()
     logits = (z[:, 1:] - z[:, :1]).astype(np.float32)
     check = np.flatnonzero(held) if len(set(y[held].tolist())) == 2 else np.arange(len(texts))
-    worst = np.concatenate([worst_runs(*_flat(WordScores(logits), list(p)), window) for p in in_pieces([texts[i] for i in check])])
+    model = ToxicityModel(logits, window, 1.0, 0.0)
+    scored = [_flat(WordScores(logits), list(p)) for p in in_pieces([texts[i] for i in check])]
+    model.trend = length_trend(np.concatenate([model.levels(*s) for s in scored]), np.concatenate([n for _, n in scored]), y[check] == 0, window)
+    levels = np.concatenate([model.levels(*s) for s in scored])
     total = sum(counts.values())
     share = np.array([counts.get(v, 0) / total / max((y[check] == v).mean(), 1e-9) for v in (0, 1)])
-    slope, offset = platt(worst, y[check], share[y[check]])
-    return ToxicityModel(logits, window, slope, offset)
+    model.slope, model.offset = platt(levels, y[check], share[y[check]])
+    return model
+
+
+def length_trend(worst: np.ndarray, lens: np.ndarray, clean: np.ndarray, window: int) -> float:
+    """Least-squares slope (never negative) of clean texts' worst runs on the logarithm of their number of runs."""
+    use = clean & (lens > window)
+    x = np.log(lens[use] - window + 1.0)
+    if len(x) < 20 or x.std() < 1e-9:
+        return 0.0
+    return max(float(np.cov(x, worst[use], bias=True)[0, 1] / x.var()), 0.0)
 
 
 def _flat(scorer: WordScores, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +141,7 @@ def _rate(model: ToxicityModel):
         for b in batches:
             out = [np.empty(0)]
             for piece in in_pieces([t or "" for t in b.column("text").to_pylist()]):
-                z = model.slope * worst_runs(*_flat(scorer, piece), model.window) + model.offset
-                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                out.append(model.score(model.levels(*_flat(scorer, piece))))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.concatenate(out), pa.float64())], names=["row", "score"])
 
     return trimmed(run)

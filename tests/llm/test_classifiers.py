@@ -59,9 +59,25 @@ def test_unseen_misspellings_share_ngrams(spark):
         rows.append((" ".join(w), int(i % 4 == 0)))
     model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"))
     clean, bad = " ".join(word() for _ in range(80)), " ".join([*(word() for _ in range(40)), "vexgromel,", *(word() for _ in range(40))])
-    worst = toxicity.worst_runs(*toxicity._flat(subword.WordScores(model.logits), [clean, bad, ""]), model.window)
-    score = 1 / (1 + np.exp(-(model.slope * worst + model.offset)))
+    score = model.score(model.levels(*toxicity._flat(subword.WordScores(model.logits), [clean, bad, ""])))
     assert score[1] > 0.5 > score[0]
+    assert score[2] == model.score(np.zeros(1))[0]
+
+
+def test_length_alone_makes_no_text_toxic():
+    """Clean texts of random words: the worst run rises with length, what is left of it doesn't."""
+    rng = np.random.default_rng(5)
+    lens = np.concatenate([rng.integers(10, 3000, 300), [0, 1, 5, 6]])
+    values = rng.standard_normal(lens.sum())
+    worst = toxicity.worst_runs(values, lens, 6)
+    model = toxicity.ToxicityModel(np.zeros((2, 1), np.float32), 6, 1.0, 0.0)
+    assert np.array_equal(model.levels(values, lens), worst)
+    clean = np.arange(len(lens)) < 300
+    model.trend = toxicity.length_trend(worst, lens, clean, 6)
+    left = model.levels(values, lens)
+    assert np.corrcoef(worst[clean], np.log(lens[clean]))[0, 1] > 0.4 > 0.1 > abs(np.corrcoef(left[clean], np.log(lens[clean]))[0, 1])
+    assert left[300] == 0 and abs(left[301] - worst[301]) < 1e-12
+    assert toxicity.length_trend(worst, lens, ~clean, 6) == 0.0  # too few to tell
 
 
 def test_worst_runs_equal_a_plain_loop():
