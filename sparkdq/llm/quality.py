@@ -150,13 +150,14 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(rows: DataFrame, label: str = "quality", per_class: int = 1500, max_chars: int = 100_000, epochs: int = 30, seed: int = 11) -> QualityModel:
+def train(rows: DataFrame, label: str = "quality", per_class: int = 1500, max_chars: int = 100_000, epochs: int = 30, seed: int = 11,
+          labels: DataFrame | None = None) -> QualityModel:
     """Fit on at most ``per_class`` texts of each label (documented bounds: of a text over ``max_chars`` a passage of that length).
 
     A quarter of the sample calibrates the score to the labels' true shares.  Without rows of both labels every score
-    is the share of label 1 (one half without any row).
+    is the share of label 1 (one half without any row).  ``labels`` holds (doc_id, ``label``) when ``rows`` have no label.
     """
-    sample, counts = labelled_sample(rows, label, per_class, max_chars)
+    sample, counts = labelled_sample(rows, label, per_class, max_chars, labels=labels)
     y = np.array(sample.column(label).to_pylist(), np.float64)
     model = QualityModel(seed=seed)
     if len(set(y.tolist())) < 2:

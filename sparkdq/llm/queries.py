@@ -57,8 +57,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 4) == 2
-    labels = _table(spark, sf_dir, "labels").filter(~held & F.col("toxic").isNotNull()).select("doc_id", "toxic").distinct()
-    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.train(docs.select("doc_id", "text"), labels=_table(spark, sf_dir, "labels").filter(~held))
     found = toxicity.rate(docs, model, carry=["doc_id"]).withColumn("doc_id", F.col("row.doc_id"))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -67,8 +66,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 5) == 0
-    labels = _table(spark, sf_dir, "labels").filter(~held & F.col("quality").isNotNull()).select("doc_id", "quality").distinct()
-    model = quality.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = quality.train(docs.select("doc_id", "text"), labels=_table(spark, sf_dir, "labels").filter(~held))
     found = quality.rate(docs, model, carry=["doc_id"]).withColumn("doc_id", F.col("row.doc_id"))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

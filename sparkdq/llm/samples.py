@@ -12,25 +12,37 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def labelled_sample(rows: DataFrame, label: str, per_class: int, max_chars: int, id_col: str = "doc_id", seed: int = 7) -> tuple[pa.Table, dict]:
+def labelled_sample(rows: DataFrame, label: str, per_class: int, max_chars: int, id_col: str = "doc_id", seed: int = 7,
+                    labels: DataFrame | None = None) -> tuple[pa.Table, dict]:
     """The ``per_class`` rows of each label whose ids hash lowest, as distinct (label, ``text``), and all labels' row counts.
 
     Rows are drawn by their ids, whatever their texts, rows without an id (or a table without that column) by their
     texts; the lowest of each label are taken, so every label has some.  A text longer than ``max_chars`` is learned from by a passage of that length
     at a drawn position; it counts like any other.  Rows that share an id are drawn together, at most twice the bound.
+
+    ``labels`` holds (``id_col``, ``label``) when the rows themselves have no label.  Then ids alone meet the labels, and
+    only the drawn ones, at most twice ``per_class`` a label, are sent to the texts: no text is shuffled to be drawn.
     """
-    rows = rows.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
-    who = F.xxhash64("text", F.lit(seed))  # a place would not be the same in both passes
-    if id_col in rows.columns:
-        who = F.when(F.col(id_col).isNull(), who).otherwise(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)))
-    drawn = rows.select(label, "text", who.alias("draw"))
+    texts = rows.filter(F.col("text").isNotNull())
+    by_id = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
+    if labels is not None:
+        marked = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label).distinct()
+        drawn = texts.select(id_col).join(marked, id_col).select(id_col, label, by_id.alias("draw"))
+    else:
+        who = F.xxhash64("text", F.lit(seed))  # a place would not be the same in both passes
+        if id_col in rows.columns:
+            who = F.when(F.col(id_col).isNull(), who).otherwise(by_id)
+        drawn = texts.filter(F.col(label).isNotNull()).select(label, "text", who.alias("draw"))
     first = F.row_number().over(Window.partitionBy(label).orderBy("draw"))
     last = {r[0]: r[1] for r in drawn.select(label, "draw").withColumn("n", first).filter(F.col("n") <= per_class).groupBy(label).agg(F.max("draw")).collect()}
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    counts = {r[0]: r[1] for r in drawn.groupBy(label).count().collect()}
+    bound = 2 * per_class * max(1, len(counts))
     keep = F.lit(False)
     for value, cut in last.items():
         keep = keep | ((F.col(label) == F.lit(value)) & (F.col("draw") <= cut))
+    some = drawn.filter(keep)
+    if labels is not None:
+        some = texts.select(id_col, "text").join(F.broadcast(some.orderBy("draw", label).limit(bound).distinct()), id_col)
     start = F.pmod(F.xxhash64("draw", F.lit(seed)), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1) + 1
     passage = F.substring("text", start.cast("int"), F.lit(max_chars)).alias("text")
-    some = drawn.filter(keep).select(label, passage).distinct()
-    return some.orderBy(F.xxhash64("text"), label).limit(2 * per_class * max(1, len(counts))).toArrow(), counts
+    return some.select(label, passage).distinct().orderBy(F.xxhash64("text"), label).limit(bound).toArrow(), counts

@@ -64,13 +64,13 @@ def worst_runs(values: np.ndarray, lens: np.ndarray, window: int) -> np.ndarray:
 
 
 def train(rows: DataFrame, label: str = "toxic", per_class: int = 1500, max_chars: int = 100_000, window: int = WINDOW,
-          first_runs: int = 10, rounds: int = 4, seed: int = 3) -> ToxicityModel:
+          first_runs: int = 10, rounds: int = 4, seed: int = 3, labels: DataFrame | None = None) -> ToxicityModel:
     """Fit on at most ``per_class`` texts of each label (documented bounds: of a text over ``max_chars`` a passage of that length).
 
     A quarter of the sample is held back to calibrate the score to the labels' true shares.  Without rows of both
-    labels the score is the share of label 1 (one half without any row).
+    labels the score is the share of label 1 (one half without any row).  ``labels`` holds (doc_id, ``label``) when ``rows`` have no label.
     """
-    sample, counts = labelled_sample(rows, label, per_class, max_chars)
+    sample, counts = labelled_sample(rows, label, per_class, max_chars, labels=labels)
     y = np.array(sample.column(label).to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.5

@@ -133,3 +133,19 @@ def test_sample_keeps_every_label_and_learns_from_long_texts(spark):
         got = [r["lang"] for r in sample.to_pylist()]
         assert counts == {"a": 3000, "b": 1, "c": 40, "d": 50} and {x: got.count(x) for x in "abcd"} == {"a": 1, "b": 1, "c": 10, "d": 10}
         assert max(len(r["text"]) for r in sample.to_pylist()) == 200
+
+
+def test_labels_of_their_own_give_the_same_sample(spark):
+    """Labels joined by id: the same texts are drawn as from labelled rows; conflicting, missing and repeated labels are defined."""
+    docs = [(i, f"text {i}") for i in range(400)] + [(400, None), (None, "no id"), (7, "a second text of 7"), (401, "unlabelled")]
+    labels = [(i, int(i % 9 == 0)) for i in range(400)] + [(400, 1), (None, 1), (3, 0), (5, 1), (9999, 1), (401, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int").repartition(3)
+    joined = docs.join(labels.distinct(), "doc_id")
+    pairs = lambda sample: sorted((r["toxic"], r["text"]) for r in sample[0].to_pylist())
+    for per_class in (10, 1000):
+        one = samples.labelled_sample(joined, "toxic", per_class, 100)
+        two = samples.labelled_sample(docs, "toxic", per_class, 100, labels=labels)
+        assert pairs(one) == pairs(two) and one[1] == two[1] and len(pairs(one)) >= 20
+    none = samples.labelled_sample(docs, "toxic", 10, 6, labels=labels.limit(0))
+    assert none[0].num_rows == 0 and none[1] == {}
