@@ -12,6 +12,31 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def _below(label: str, cuts: dict) -> Column:
+    keep = F.lit(False)
+    for value, cut in cuts.items():
+        keep = keep | ((F.col(label) == F.lit(value)) & (F.col("draw") <= cut))
+    return keep
+
+
+def _cuts(drawn: DataFrame, label: str, per_class: int, counts: dict) -> dict:
+    """The ``per_class``-th lowest draw of every label (the highest, if it has fewer rows).
+
+    Draws are spread evenly over 64 bits, so only rows under twice the expected cut are ranked, however many a label
+    has; the room is widened for a label that shows too few there (repeated ids share a draw).
+    """
+    share = {v: min(1.0, 2 * (per_class + 50) / n) for v, n in counts.items()}
+    cuts = {}
+    while share:
+        room = {v: min(int(s * 2**64) - 2**63, 2**63 - 1) for v, s in share.items()}
+        first = F.row_number().over(Window.partitionBy(label).orderBy("draw"))
+        near = drawn.filter(_below(label, room)).withColumn("n", first).filter(F.col("n") <= per_class)
+        got = {r[0]: (r[1], r[2]) for r in near.groupBy(label).agg(F.count(F.lit(1)), F.max("draw")).collect()}
+        cuts |= {v: got[v][1] for v, s in share.items() if v in got and (s >= 1 or got[v][0] >= per_class)}
+        share = {v: min(1.0, s * 8) for v, s in share.items() if v not in cuts and s < 1}
+    return cuts
+
+
 def labelled_sample(rows: DataFrame, label: str, per_class: int, max_chars: int, id_col: str = "doc_id", seed: int = 7,
                     labels: DataFrame | None = None) -> tuple[pa.Table, dict]:
     """The ``per_class`` rows of each label whose ids hash lowest, as distinct (label, ``text``), and all labels' row counts.
@@ -33,14 +58,9 @@ def labelled_sample(rows: DataFrame, label: str, per_class: int, max_chars: int,
         if id_col in rows.columns:
             who = F.when(F.col(id_col).isNull(), who).otherwise(by_id)
         drawn = texts.filter(F.col(label).isNotNull()).select(label, "text", who.alias("draw"))
-    first = F.row_number().over(Window.partitionBy(label).orderBy("draw"))
-    last = {r[0]: r[1] for r in drawn.select(label, "draw").withColumn("n", first).filter(F.col("n") <= per_class).groupBy(label).agg(F.max("draw")).collect()}
     counts = {r[0]: r[1] for r in drawn.groupBy(label).count().collect()}
     bound = 2 * per_class * max(1, len(counts))
-    keep = F.lit(False)
-    for value, cut in last.items():
-        keep = keep | ((F.col(label) == F.lit(value)) & (F.col("draw") <= cut))
-    some = drawn.filter(keep)
+    some = drawn.filter(_below(label, _cuts(drawn.select(label, "draw"), label, per_class, counts)))
     if labels is not None:
         some = texts.select(id_col, "text").join(F.broadcast(some.orderBy("draw", label).limit(bound).distinct()), id_col)
     start = F.pmod(F.xxhash64("draw", F.lit(seed)), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1) + 1

@@ -149,3 +149,15 @@ def test_labels_of_their_own_give_the_same_sample(spark):
         assert pairs(one) == pairs(two) and one[1] == two[1] and len(pairs(one)) >= 20
     none = samples.labelled_sample(docs, "toxic", 10, 6, labels=labels.limit(0))
     assert none[0].num_rows == 0 and none[1] == {}
+
+
+def test_cuts_are_the_lowest_draws(spark):
+    """Against sorting: many rows, few rows, one draw shared by all rows, and draws that lie high."""
+    rng = np.random.default_rng(4)
+    draws = {"many": rng.integers(-2**63, 2**63 - 1, 5000), "few": rng.integers(-2**63, 2**63 - 1, 7),
+             "same": np.full(3000, 2**63 - 1), "high": rng.integers(2**62, 2**63 - 1, 2000)}
+    rows = [(v, int(d)) for v, ds in draws.items() for d in ds]
+    table = spark.createDataFrame(rows, "lang string, draw long").repartition(6)
+    cuts = samples._cuts(table, "lang", 20, {v: len(d) for v, d in draws.items()})
+    assert cuts == {v: int(np.sort(d)[min(20, len(d)) - 1]) for v, d in draws.items()}
+    assert samples._cuts(table.limit(0), "lang", 20, {}) == {}
