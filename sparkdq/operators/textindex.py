@@ -43,11 +43,11 @@ def _gaps(c: Column) -> Column:
 
 
 class TextIndex:
-    """The index below ``path``.  ``buckets`` is the number of folders the terms of a batch are dealt to; a bucket is
-    written by as many tasks as its documents are dealt to (``shards``), so a very common word has no task of its own."""
+    """The index below ``path``.  ``buckets`` is the number of folders the terms of a batch are dealt to: every task that reads
+    documents writes its rows there, sorted, so nothing is shuffled and a very common word has no task of its own."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, shards: int = 4):
-        self.spark, self.path, self.buckets, self.shards = spark, path.rstrip("/"), buckets, shards
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     # ------------------------------------------------------------ building
 
@@ -72,9 +72,7 @@ class TextIndex:
         gap = F.array_remove(F.array_distinct("g"), "")
         gaps = cut.select("doc", F.explode(gap).alias("term"))
         rows = words.unionByName(gaps, allowMissingColumns=True).withColumn("bucket", self._bucket(F.col("term")))
-        shard = F.pmod(F.xxhash64("doc"), F.lit(self.shards))
-        (rows.repartition(self.buckets * self.shards, "bucket", shard).sortWithinPartitions("bucket", "term", "doc", "pos")
-         .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}"))
+        (rows.sortWithinPartitions("bucket", "term", "doc", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}"))
         (self._table("postings").where(F.col("batch") == batch).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
          .write.mode("overwrite").parquet(f"{self.path}/terms/batch={batch}"))
 

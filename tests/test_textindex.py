@@ -39,7 +39,7 @@ def _expected(docs, phrases):
 
 @pytest.fixture(scope="module")
 def index(spark, corpus, tmp_path_factory):
-    index, docs = TextIndex(spark, str(tmp_path_factory.mktemp("ix") / "ix"), buckets=4, shards=2), corpus[2]
+    index, docs = TextIndex(spark, str(tmp_path_factory.mktemp("ix") / "ix"), buckets=4), corpus[2]
     index.add(docs.where("doc_id % 2 = 0"), "even")
     for _ in range(2):  # a repeated batch replaces itself
         index.add(docs.where("doc_id % 2 = 1 OR doc_id IS NULL"), "odd")
