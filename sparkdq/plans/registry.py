@@ -29,6 +29,7 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
+        batch_queries,
         fix_queries,
         flow_queries,
         grounding_queries,

@@ -127,6 +127,11 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _files(spark, path)
+    fs.mkdirs(p)
+
+
 def stored_batches(spark: SparkSession, path: str) -> list[str]:
     """Ids of the batches below ``path``, from the names of its folders ``batch=<id>``."""
     fs, root = _files(spark, path)
@@ -214,7 +219,7 @@ def append_run(verdicts: DataFrame, path: str, run_id: str, dataset: str,
     if questions is not None:
         asked = questions.select(*run, F.col("question"))
         rows = rows.unionByName(asked, allowMissingColumns=True)
-    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={_folder_name(run_id)}")
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={folder_name(run_id)}")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -255,7 +260,8 @@ def explode_runs(nested: DataFrame) -> DataFrame:
         "run_pos", "dataset", "run_ts", "accepted", "fix.*")
 
 
-def _folder_name(name: str) -> str:
+def folder_name(name: str) -> str:
+    """``name``, if it can name a folder of a store."""
     if not name or not all(c.isalnum() or c in "-_." for c in name) or name.startswith("."):
         raise ValueError(f"{name!r} can't name a folder: letters, digits, '-', '_' and '.' only")
     return name
@@ -272,7 +278,7 @@ def append_query_runs(df: DataFrame, path: str, batch: str | None = None) -> Non
     if batch is None:
         out.write.mode("append").parquet(path)
     else:
-        out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={_folder_name(batch)}")
+        out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={folder_name(batch)}")
 
 
 def try_append_query_runs(df: DataFrame, path: str, batch: str) -> str | None:
@@ -290,4 +296,4 @@ def try_append_query_runs(df: DataFrame, path: str, batch: str) -> str | None:
 def append_audit(audit: DataFrame, path: str, run_id: str, dataset: str) -> None:
     """Append a run's audit rows (``policy_checks.mask_audit``) beside its history; a repeated run replaces them."""
     (audit.withColumn("dataset", F.lit(dataset)).withColumn("run_ts", F.unix_timestamp())
-     .write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={_folder_name(run_id)}"))
+     .write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={folder_name(run_id)}"))
