@@ -14,8 +14,9 @@ transfer framing is decoded.  A group is one record, bounded by a page's size.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -91,18 +92,72 @@ def segments(record_id: str, key: str | None, url: str | None, payload: bytes) -
 
 
 def parse(archive: bytes):
-    """(fields by lower-case name, block) of every record, by content length; a torn end is left out."""
+    """(fields by lower-case name, block) of every record, by content length.
+
+    A record is sound when its header has a content length, and an empty line or the archive's end follows that many
+    bytes.  Of anything else (foreign lines, a wrong or missing length, a torn end) one (None, bytes) is told per
+    stretch, and reading goes on where a line that begins a record follows.
+    """
     at = 0
-    while (end := archive.find(b"\r\n\r\n", at)) >= 0:
-        lines = archive[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            return
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields.get("content-length", "0"))
-        if end + 4 + size > len(archive):
-            return
-        yield fields, archive[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+    while (at := _skip_line_ends(archive, at)) < len(archive):
+        found = _record_at(archive, at)
+        if found is None:
+            start = RECORD_START.search(archive, at + 1)
+            end = start.start() if start else len(archive)
+            yield None, archive[at:end]
+            at = end
+        else:
+            fields, block, at = found
+            yield fields, block
+
+
+RECORD_START = re.compile(rb"(?m)^WARC/\d+\.\d+\r?$")
+
+
+def _skip_line_ends(archive: bytes, at: int) -> int:
+    while archive[at : at + 2] == b"\r\n":
+        at += 2
+    return at
+
+
+def _record_at(archive: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
+    """Fields, block and end of the record that begins here; None when it isn't sound."""
+    end = archive.find(b"\r\n\r\n", at)
+    if end < 0 or not RECORD_START.match(archive, at):
+        return None
+    lines = archive[at:end].decode("utf-8", "replace").split("\r\n")
+    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    size = whole_number(fields.get("content-length"))
+    if size is None or end + 4 + size > len(archive):
+        return None
+    stop = end + 4 + size
+    if stop < len(archive) and archive[stop : stop + 4] != b"\r\n\r\n":
+        return None
+    return fields, archive[end + 4 : stop], stop
+
+
+def whole_number(text: str | None) -> int | None:
+    """A number of at most 18 decimal digits; None for any other text."""
+    return int(text) if text and len(text) <= 18 and text.isascii() and text.isdecimal() else None
+
+
+def unpacked(content: bytes) -> tuple[bytes, bool]:
+    """The bytes of a file and whether it is whole; a gzip file may have many members, a damaged one gives what can be read."""
+    if content[:2] != b"\x1f\x8b":
+        return content, True
+    out, at = [], 0
+    while content[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            piece = content[at : at + (1 << 16)]
+            if not piece:
+                return b"".join(out), False
+            try:
+                out.append(member.decompress(piece))
+            except zlib.error:
+                return b"".join(out), False
+            at += len(piece) - len(member.unused_data)
+    return b"".join(out), not content[at:].strip(b"\0")
 
 
 def payload_of(block: bytes) -> bytes | None:
@@ -136,7 +191,8 @@ def write_archives(pages: DataFrame, path: str, key_col: str = "page_id", url_co
 
     Payload: the page in UTF-8, null as empty.  Of payloads of at least ``min_bytes`` that are equal, the row with the
     largest key is the response, null keys smallest; rows that share it too are told apart by their place in the staged
-    table, so there is exactly one.  Equality is by SHA-256.  Null URLs get no target field.
+    table, so there is exactly one.  Equality is by SHA-256.  Null URLs get no target field.  Extra columns are not read,
+    whatever their names; of no pages there are no records.
     """
     rows = pages.select(F.col(f"`{key_col}`").alias("id"), F.col(f"`{key_col}`").cast("string").alias("key"),
                         F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
@@ -181,25 +237,38 @@ def _fields(f: dict[str, str]) -> tuple:
 
 
 def _reader(segmented: bool):
+    """Rows of SEGMENTS, or of RECORD: records in one piece, and a row for all that can't be read."""
+    ddl = SEGMENTS if segmented else RECORD
+
+    def rows_of(content: bytes):
+        archive, sound = unpacked(content)
+        for fields, block in parse(archive):
+            if fields is None:
+                if not segmented:
+                    yield (None, None, None, None, None, "damaged", None), len(block)
+                continue
+            rid, kind, key, refers, declared, origin = _fields(fields)
+            number, total = (whole_number(fields.get(f"warc-segment-{x}")) for x in ("number", "total-length"))
+            bad = ("warc-segment-number" in fields and not 0 < (number or 0) < 2**31) or ("warc-segment-total-length" in fields and total is None)
+            if bad or "warc-segment-number" not in fields:
+                if not segmented:
+                    yield decoded(rid, kind, key, refers, declared, block, "segment number" if bad else None), len(block)
+            elif segmented:
+                yield (origin or rid, number, total, kind, key, declared, block), len(block)
+        if not sound and not segmented:
+            yield (None, None, None, None, None, "damaged archive", None), 0
+
     def run(batches):
         for b in batches:
-            for archive in b.column("content"):
+            for content in b.column("content"):
                 rows, size = [], 0
-                content = archive.as_py()
-                for fields, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
-                    if ("warc-segment-number" in fields) != segmented:
-                        continue
-                    rid, kind, key, refers, declared, origin = _fields(fields)
-                    if segmented:
-                        total = fields.get("warc-segment-total-length")
-                        rows.append((origin or rid, int(fields["warc-segment-number"]), int(total) if total else None, kind, key, declared, block))
-                    else:
-                        rows.append(decoded(rid, kind, key, refers, declared, block))
-                    size += len(block)
+                for row, n in rows_of(content.as_py()):
+                    rows.append(row)
+                    size += n
                     if size > 8_000_000:
-                        yield from _table(rows, SEGMENTS if segmented else RECORD).to_batches()
+                        yield from _table(rows, ddl).to_batches()
                         rows, size = [], 0
-                yield from _table(rows, SEGMENTS if segmented else RECORD).to_batches()
+                yield from _table(rows, ddl).to_batches()
 
     return run
 
@@ -221,8 +290,11 @@ def reassemble(t: pa.Table) -> pa.Table:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of all archives below ``path``, segments joined and framing decoded.
 
-    Archives may be gzip files.  ``problem`` is null for sound records, else ``missing segment``, ``total length``, ``framing`` or ``digest``;
-    the payload of revisits and of broken records is null.
+    Archives may be gzip files of one or many members.  ``problem`` is null for sound records, else ``missing segment``,
+    ``total length``, ``segment number``, ``framing`` or ``digest``; the payload of revisits and of broken records is null.
+    Every stretch of an archive that is no record gives a row ``damaged`` without an id, a gzip file that breaks off one
+    ``damaged archive``; the records around them are read (inside a damaged stretch, what looks like a record's first line
+    is taken for one).  ``payload_facts`` leaves those rows out, for no key is known.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", "true").load(path).select("content")
     whole = files.mapInArrow(_reader(False), RECORD)

@@ -1,10 +1,12 @@
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkdq.llm import warc
+from sparkdq.llm.queries import QUERIES
 from sparkdq.session import scratch_path
 
 TRICKY = [None, "", "é" * 20_000, "é" * 20_000, "WARC/1.1\r\n\r\nWARC-Type: response\r\n\r\n0\r\n\r\n" * 900, "x" * warc.SEGMENT, "\r\n", "日" * 30_000, "0\r\n\r\n"]
@@ -78,3 +80,57 @@ def test_framing():
     for size in (1, 7, warc.CHUNK, 3 * warc.CHUNK + 1):
         assert warc.unchunked(warc.chunked(b"q" * size)) == b"q" * size
     assert list(warc.parse(warc.record("response", b"block") + b"\r\n\r\nWARC/1.1\r\nContent-Length: 99\r\n\r\ntorn"))[0][1] == b"block"
+
+
+def one(i, **fields):
+    payload = b"page %d" % i
+    return warc.record("response", warc.HTTP_HEAD + warc.chunked(payload), WARC_Record_ID=f"<r{i}>", Page_Key=str(i), WARC_Payload_Digest="sha1:" + sha1(payload), **fields)
+
+
+END = b"\r\n\r\n"
+
+
+def test_every_sound_record_around_a_broken_stretch_is_read():
+    wrong = one(9).replace(b"Content-Length: ", b"Content-Length: 1")
+    for broken in (b"foreign line", b"foreign\r\n\r\nlines\r\n", one(9)[:-3], one(9) + b"more", wrong, one(9).replace(b"Content-Length: ", b"Content-Length: x"),
+                   one(9).replace(b"Content-Length", b"Content-Width"), one(9).replace(b"Content-Length: ", b"Content-Length: -"), b"WARC/1.1", b"\x00" * 500):
+        got = list(warc.parse(one(1) + END + broken + END + one(2) + END))
+        assert [f["page-key"] for f, _ in got if f] == ["1", "2"], broken
+        assert [f for f, _ in got].count(None) == 1, broken
+        torn = list(warc.parse(one(1) + END + broken))
+        assert [f["page-key"] for f, _ in torn if f] == ["1"] and torn[-1][0] is None, broken
+    assert list(warc.parse(b"")) == list(warc.parse(END)) == []
+
+
+def test_damaged_archives(spark, tmp_path):
+    whole = gzip.compress(one(1) + END) + gzip.compress(one(2) + END)  # a member per record
+    packed = gzip.compress(one(3) + END + b"".join(one(i) + END for i in range(100, 400)))
+    files = {"members": whole, "cut": packed[: len(packed) // 2], "foreign": one(4) + END + b"xx" + END + one(5), "empty": b"", "tail": gzip.compress(one(6)) + b"garbage",
+             "segment": one(7, WARC_Segment_Number="two") + END + one(8, WARC_Segment_Number="1", WARC_Segment_Total_Length="5x") + END + one(10, WARC_Segment_Number="0")}
+    for name, content in files.items():
+        (tmp_path / f"{name}.txt").write_bytes(content)
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    sound = {r["key"]: bytes(r["payload"]) for r in rows if r["problem"] is None}
+    assert {"1", "2", "3", "4", "5", "6"} <= set(sound) and not {"7", "8", "10"} & set(sound)
+    assert all(v == b"page " + k.encode() for k, v in sound.items())
+    problems = sorted(r["problem"] for r in rows if r["problem"])
+    assert problems.count("segment number") == 3 and problems.count("damaged archive") == 2 and 1 <= problems.count("damaged") <= 2
+    facts = {r["key"]: r["problem"] for r in warc.payload_facts(warc.read_archives(spark, str(tmp_path))).collect()}
+    assert facts["7"] == "segment number" and facts["1"] is None and None not in facts
+
+
+def test_registered_query_against_plain_python(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    top = pages.agg(F.max("page_id")).first()[0] + 1
+    copies = pages.where("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + top)
+    odd = spark.createDataFrame([(3 * top + i, "u", t) for i, t in enumerate([None, "", "x" * 70_000, "x" * 70_000])], "page_id long, url string, html string")
+    every = pages.unionByName(copies).unionByName(odd).withColumn("key", F.lit("clash")).cache()
+    every.write.parquet(str(tmp_path / "pages.parquet"))
+    rows = {r["page_id"]: (r["html"] or "").encode() for r in every.collect()}
+    last = {}
+    for i in sorted(rows):
+        last[rows[i]] = i
+    want = {i: (len(b), sha1(b), "response" if last[b] == i else "revisit", None if last[b] == i else last[b]) for i, b in rows.items()}
+    got = [(r["page_id"], (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in QUERIES["op2_warc"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(rows) and dict(got) == want
+    assert sum(w[2] == "revisit" for w in want.values()) > copies.count()
