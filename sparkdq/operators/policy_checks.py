@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import checks as C
+from ..sources.io import write_table
 from . import profile as P
 from .masks import mask_expr
+from .util import col
 
 
 def required_nulls(df: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -74,29 +76,55 @@ def mask_audit(df: DataFrame, actions: Iterable[Mapping]) -> DataFrame:
     reason is the action's description; all counts come from one aggregate over
     the staged projections.
     """
+    staged, steps = _masked_with_marks(df, actions)
+    if not steps:
+        return _audit_rows(df, steps, {})
+    one = staged.agg(*[F.count_if(F.col(f"_s{s[0]}_chg")).alias(f"c{s[0]}") for s in steps])
+    return one.select(F.inline(F.array(*[_audit_row(s, F.col(f"c{s[0]}")) for s in steps])))
+
+
+def mask_and_audit(df: DataFrame, actions: Iterable[Mapping], path: str, fmt: str = "parquet") -> DataFrame:
+    """T11 while masking (M6): write the masked table to ``path`` and return its audit rows (``mask_audit``), counted by the
+    writing tasks, so the input is read once."""
+    staged, steps = _masked_with_marks(df, actions)
+    seen = Observation()
+    if steps:
+        staged = staged.observe(seen, *[F.count_if(F.col(f"_s{s[0]}_chg")).alias(f"c{s[0]}") for s in steps])
+    write_table(staged.select(*[col(c) for c in df.columns]), path, fmt)
+    return _audit_rows(df, steps, seen.get if steps else {})
+
+
+def _masked_with_marks(df: DataFrame, actions: Iterable[Mapping]) -> tuple[DataFrame, list[tuple]]:
+    """The masked table with a mark per step in rows that it changed, and the steps."""
     staged = df
     steps = []
     for i, a in enumerate(actions):
         p = dict(a.get("params") or {})
-        col = p.get("column")
-        if not col or col not in df.columns:
+        c = p.get("column")
+        if not c or c not in df.columns:
             continue
-        e = mask_expr(a.get("action"), col, p)
+        e = mask_expr(a.get("action"), c, p)
         if e is None:
             continue
         prev = f"_s{i}_prev"
-        staged = staged.withColumn(prev, F.col(col).cast("string")).withColumn(col, e)
+        staged = staged.withColumn(prev, F.col(c).cast("string")).withColumn(c, e)
         refs = a.get("policy_refs") or [{}]
-        steps.append((i, a.get("action"), col, refs[0].get("policy_id", refs[0].get("source")), refs[0].get("quote"), a.get("description")))
-        staged = staged.withColumn(f"_s{i}_chg", ~F.col(col).eqNullSafe(F.col(prev)))
-    if not steps:
-        return df.sparkSession.createDataFrame(
-            [], "step int, action string, column string, reason string, policy_id string, quote string, rows_changed bigint")
-    one = staged.agg(*[F.count_if(F.col(f"_s{s[0]}_chg")).alias(f"c{s[0]}") for s in steps])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(s[0]).alias("step"), F.lit(s[1]).alias("action"), F.lit(s[2]).alias("column"),
-                 F.lit(s[5]).cast("string").alias("reason"), F.lit(s[3]).cast("string").alias("policy_id"), F.lit(s[4]).cast("string").alias("quote"),
-                 F.col(f"c{s[0]}").cast("bigint").alias("rows_changed")) for s in steps])))
+        steps.append((i, a.get("action"), c, refs[0].get("policy_id", refs[0].get("source")), refs[0].get("quote"), a.get("description")))
+        staged = staged.withColumn(f"_s{i}_chg", ~F.col(c).eqNullSafe(F.col(prev)))
+    return staged, steps
+
+
+AUDIT_SCHEMA = "step int, action string, column string, reason string, policy_id string, quote string, rows_changed bigint"
+
+
+def _audit_row(s: tuple, n: Column) -> Column:
+    return F.struct(F.lit(s[0]).alias("step"), F.lit(s[1]).alias("action"), F.lit(s[2]).alias("column"),
+                    F.lit(s[5]).cast("string").alias("reason"), F.lit(s[3]).cast("string").alias("policy_id"), F.lit(s[4]).cast("string").alias("quote"),
+                    n.cast("bigint").alias("rows_changed"))
+
+
+def _audit_rows(df: DataFrame, steps: list[tuple], counts: Mapping[str, int]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(s[0], s[1], s[2], s[5], s[3], s[4], counts[f"c{s[0]}"]) for s in steps], AUDIT_SCHEMA)
 
 
 # ---------------------------------------------------------------- V4

@@ -6,11 +6,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import numbering as N
+from ..operators import policy_checks as T
 from ..operators.batches import KeyStore, ProfileHistory, distinct_counts, quantile, rank_error
+from ..operators.masks import apply_masks
+from ..operators.stored import forget_stored, retain_stored
 from ..session import scratch_path
+from ..sources import io
 from ..sources.tables import fixture, fixture_ctes, read_table
+from .mask_queries import _mask_email_sql, _mask_phone_sql
 from .profile_queries import _profile_sql
 from .registry import register
+from .source_queries import AUDIT_ACTIONS
 
 DC = fixture_ctes("dirty_customer")
 
@@ -78,3 +84,40 @@ def v_phone_plan(spark, sf_dir):
     for name in ("nation", "customer"):
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
     return N.match_plan(spark.sql(CALLS_SQL), "phone", spark.sql(PLAN_SQL))
+
+
+@register("s_publish_observed", DC + f"""
+SELECT 'email' AS "column", 'rows_changed' AS metric, count(*) FILTER (WHERE {_mask_email_sql('email')} IS DISTINCT FROM email) AS value FROM dirty_customer
+UNION ALL SELECT 'phone', 'rows_changed', count(*) FILTER (WHERE {_mask_phone_sql('phone')} IS DISTINCT FROM phone) FROM dirty_customer
+UNION ALL SELECT NULL, 'num_rows', count(*) FROM dirty_customer UNION ALL SELECT NULL, 'published_rows', count(*) FROM dirty_customer
+UNION ALL SELECT 'email', 'null_count', count(*) FILTER (WHERE email IS NULL) FROM dirty_customer
+UNION ALL SELECT 'price', 'negative_count', count(*) FILTER (WHERE price < 0) FROM dirty_customer""")
+def s_publish_observed(spark, sf_dir):
+    """Audit rows of masking, and the figures a publication is judged by, counted while the tables are written."""
+    df, root = fixture(spark, sf_dir, "dirty_customer"), scratch_path(spark, "observed")
+    audit = T.mask_and_audit(df, AUDIT_ACTIONS, f"{root}/masked")
+    metrics = {"num_rows": F.count(F.lit(1)), "email_null": F.count_if(F.col("email").isNull()), "negative": F.count_if(F.col("price") < 0)}
+    told = io.write_audit_publish(apply_masks(df, AUDIT_ACTIONS), f"{root}/staging", f"{root}/published", lambda m: m["num_rows"] > 0, mode="A", metrics=metrics)["metrics"]
+    facts = [(None, "num_rows", told["num_rows"]), ("email", "null_count", told["email_null"]), ("price", "negative_count", told["negative"])]
+    published = spark.read.parquet(f"{root}/published").agg(F.count(F.lit(1)).alias("value"))
+    return (audit.select("column", F.lit("rows_changed").alias("metric"), F.col("rows_changed").alias("value"))
+            .unionByName(spark.createDataFrame(facts, "column string, metric string, value bigint"))
+            .unionByName(published.select(F.lit(None).cast("string").alias("column"), F.lit("published_rows").alias("metric"), "value")))
+
+
+@register("t_forget_stored", """
+SELECT event_id, user_id, event_type, ts FROM events e
+WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'signup' AND x.event_id % 7 = 0)
+  AND ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAYS""")
+def t_forget_stored(spark, sf_dir):
+    """T9, T8 on a stored table: users who signed up under a listed event are removed, then old rows; only files with such rows
+    are written again, and a second run finds none."""
+    events, path = read_table(spark, sf_dir, "events"), scratch_path(spark, "stored")
+    events.select("event_id", "user_id", "event_type", "ts").write.partitionBy("event_type").parquet(path)
+    subjects = events.where("event_type = 'signup' AND event_id % 7 = 0")
+    last = str(events.agg(F.max("ts").cast("timestamp_ntz").cast("string")).first()[0])
+    for _ in range(2):
+        told = [forget_stored(spark, path, subjects, "user_id", ["event_type"]), retain_stored(spark, path, "ts", last, 10, partition_by=["event_type"])]
+    if any(t["rewritten"] for t in told):
+        raise RuntimeError("removed rows were found again")
+    return spark.read.parquet(path).select("event_id", "user_id", "event_type", "ts")

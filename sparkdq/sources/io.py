@@ -8,9 +8,9 @@ the one in ``spark.checkpoint.dir``); no data is collected to the driver.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,19 +122,35 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.save(path)
 
 
-def _files(spark: SparkSession, path: str):
+def write_observed(df: DataFrame, path: str, metrics: Mapping[str, Column], fmt: str = "parquet", mode: str = "overwrite",
+                   partition_by: Sequence[str] = ()) -> dict:
+    """S2 with figures: write ``df`` and return the aggregates ``metrics`` of its rows, counted by the writing tasks.
+
+    The data is computed once.  The figures come from the write's last stage, whose tasks count once each even when they
+    are run again.
+    """
+    if not metrics:
+        write_table(df, path, fmt, mode, partition_by)
+        return {}
+    seen = Observation()
+    write_table(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), path, fmt, mode, partition_by)
+    return seen.get
+
+
+def folder(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path in it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def make_folder(spark: SparkSession, path: str) -> None:
-    fs, p = _files(spark, path)
+    fs, p = folder(spark, path)
     fs.mkdirs(p)
 
 
 def stored_batches(spark: SparkSession, path: str) -> list[str]:
     """Ids of the batches below ``path``, from the names of its folders ``batch=<id>``."""
-    fs, root = _files(spark, path)
+    fs, root = folder(spark, path)
     names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
     return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
 
@@ -146,9 +162,9 @@ def publish(spark: SparkSession, staged: str, target: str) -> None:
     fails, then removed; a reader sees the old or the new data, or for a moment
     none, but never a mixture.
     """
-    fs, new = _files(spark, staged)
-    _, old = _files(spark, target)
-    _, aside = _files(spark, f"{target.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
+    fs, new = folder(spark, staged)
+    _, old = folder(spark, target)
+    _, aside = folder(spark, f"{target.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
     if old.getParent() is not None:
         fs.mkdirs(old.getParent())
     had = fs.exists(old)
@@ -163,9 +179,9 @@ def publish(spark: SparkSession, staged: str, target: str) -> None:
 
 
 def write_audit_publish(df: DataFrame, staging_path: str, target_path: str,
-                        audit: Callable[[DataFrame], bool], mode: str = "C", max_retries: int = 2,
+                        audit: Callable[[DataFrame], bool] | Callable[[dict], bool], mode: str = "C", max_retries: int = 2,
                         repropose: Callable[[DataFrame, int], DataFrame] | None = None,
-                        fmt: str = "parquet") -> dict:
+                        fmt: str = "parquet", metrics: Mapping[str, Column] | None = None) -> dict:
     """S3: stage the candidate, audit the staged copy, publish when the mode allows.
 
     Mode ``A``: a failed audit stops (nothing published).  Mode ``B``: a failed
@@ -173,19 +189,22 @@ def write_audit_publish(df: DataFrame, staging_path: str, target_path: str,
     ``max_retries`` times.  Mode ``C`` (default): publish with a warning.  The
     staged folder itself becomes the target; staged data that is not published is
     removed.  When writing, auditing or publishing raises, the target is as
-    before and the error is in the result as ``warning``.
+    before and the error is in the result as ``warning``.  With ``metrics`` the
+    candidate's figures are counted while it is staged (``write_observed``);
+    ``audit`` judges them instead of reading the staged table, and the result
+    holds them as ``metrics``.
     """
     spark = df.sparkSession
     attempt, candidate = 0, df
     while True:
         stage = f"{staging_path.rstrip('/')}/attempt={attempt}"
         try:
-            write_table(candidate, stage, fmt)
-            ok = bool(audit(spark.read.format(fmt).load(stage)))
+            figures = write_observed(candidate, stage, metrics or {}, fmt)
+            ok = bool(audit(figures if metrics else spark.read.format(fmt).load(stage)))
             if ok or mode == "C":
                 publish(spark, stage, target_path)
                 return {"published": True, "audit_passed": ok, "attempts": attempt + 1,
-                        "warning": None if ok else "published although the audit failed"}
+                        "warning": None if ok else "published although the audit failed"} | ({"metrics": figures} if metrics else {})
         except Exception as e:
             _remove(spark, stage)
             return {"published": False, "audit_passed": False, "attempts": attempt + 1, "warning": f"{type(e).__name__}: {str(e)[:300]}"}
@@ -198,7 +217,7 @@ def write_audit_publish(df: DataFrame, staging_path: str, target_path: str,
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    fs, p = _files(spark, path)
+    fs, p = folder(spark, path)
     fs.delete(p, True)
 
 
