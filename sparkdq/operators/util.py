@@ -1,8 +1,8 @@
-"""Small helpers for column names."""
+"""Small helpers for column names and sums."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,3 +13,14 @@ def quoted(name: str) -> str:
 
 def col(name: str) -> Column:
     return F.col(quoted(name))
+
+
+def exact_sum(name: str) -> Column:
+    """Sum of a whole-number column as decimal(38,0): the sum of bigints may not fit a bigint."""
+    return F.sum(col(name).cast("decimal(28,0)"))
+
+
+def narrowed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the whole-number column ``name`` as bigint if all its values fit one, else as it is.  Reads the column once."""
+    fits = df.agg(F.count_if(col(name).isNotNull() & col(name).try_cast("bigint").isNull()) == 0).first()[0]
+    return df.withColumn(name, col(name).cast("bigint")) if fits else df

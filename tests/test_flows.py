@@ -3,6 +3,7 @@
 import pytest
 
 from sparkdq.operators import retrieval as R
+from sparkdq.plans.flow_queries import s_query_batches
 from sparkdq.sources import io
 
 
@@ -44,3 +45,17 @@ def test_run_ids_name_folders(spark, tmp_path):
     for bad in ("", "../x", "a/b", ".hidden"):
         with pytest.raises(ValueError):
             io.append_audit(audit, str(tmp_path / "audit"), bad, "d")
+
+
+def test_query_batches_total_beyond_64_bits(spark, tmp_path):
+    ids = [2, 4, 10 ** 12, 10 ** 12 + 2, 1]  # each product fits 64 bits
+    rows = [(i, 1, "click", "p") for i in ids]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, props string").selectExpr(
+        "*", "TIMESTAMP'2024-01-01 00:00:00' AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["batch"]: (r["n"], int(r["bytes_scanned"]), r["saved"]) for r in s_query_batches(spark, str(tmp_path)).collect()}
+    assert got == {0: (4, sum(i * 7777777 for i in ids[:4]), True), 1: (1, 7777777, True)}
+
+
+def test_query_batches_total_is_bigint_where_it_fits(spark, tmp_path):
+    spark.createDataFrame([(2, 1, "click", "p")], "event_id bigint, user_id bigint, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert s_query_batches(spark, str(tmp_path)).schema["bytes_scanned"].dataType.simpleString() == "bigint"
