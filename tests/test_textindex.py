@@ -1,11 +1,15 @@
 """Positional index against plain substring search."""
 
 import random
+import re
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkdq.operators import proposals as G
+from sparkdq.operators import textindex
 from sparkdq.operators.textindex import TextIndex
 
 WORDS = ["foo", "bar", "Foo", "ba", "o", "über", "x1", "42", "a"]
@@ -93,3 +97,34 @@ def test_verdicts_equal_those_over_texts(spark, index, corpus):
     props = spark.createDataFrame(rows, f"id string, action string, description string, params {G.PARAMS_TYPE}, policy_refs {G.REF_TYPE}, confidence double")
     flat = lambda v: sorted((r["id"], r["status"], r["notes"]) for r in v.collect())
     assert flat(G.verdicts(props, index)) == flat(G.verdicts(props, corpus[2].where(F.col("doc_id").isNotNull())))
+
+
+def test_a_part_has_one_row_per_term(spark, tmp_path):
+    index = TextIndex(spark, str(tmp_path / "ix"), buckets=2)
+    index.add(spark.createDataFrame([(i, "foo bar, foo " * 50) for i in range(40)], "doc_id int, text string").coalesce(1), "b")
+    rows = {r["term"]: r for r in index._table("postings").collect()}
+    assert len(rows) == index._table("postings").count() == 4  # two words, two gaps
+    assert len(rows["foo"]["doc"]) == len(rows["foo"]["pos"]) == rows["foo"]["n"] == 4000
+    assert sorted(rows[", "]["doc"]) == list(range(40)) and rows[", "]["pos"] == []
+
+
+def test_parts_hold_every_occurrence(monkeypatch, corpus):
+    cut = [(d, [w for w in re.split(r"[\W_]+", t.lower()) if w], re.split(r"[^\W_]+", t.lower())) for d, t in corpus[0] if t is not None and d is not None]
+    batch = lambda rows: pa.RecordBatch.from_pydict({c: list(x) for c, x in zip("dwg", zip(*rows))}).rename_columns(["doc", "w", "g"])
+    monkeypatch.setattr(textindex, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(textindex, "PART_WORDS", 25)
+    parts = [b.to_pylist() for b in textindex._inverted(iter([batch(cut[:20]), batch(cut[20:])]))]
+    assert len(parts) > 5 and len({r["part"] for p in parts for r in p}) == len(parts)
+    got, gaps = set(), set()
+    for p in parts:
+        name = {r["id"]: r["term"] for r in p} | {textindex.NONE: None}
+        assert len({r["term"] for r in p}) == len(p)
+        for r in p:
+            assert r["n"] == len(r["doc"])
+            if r["pos"]:
+                got |= {(r["term"], d, i, *map(name.get, x)) for d, i, *x in zip(r["doc"], r["pos"], r["prev"], r["before"], r["after"], r["next"], strict=True)}
+            else:
+                gaps |= {(d, r["term"]) for d in r["doc"]}
+    assert got == {(w, d, i, ws[i - 1] if i else None, gs[i] or None, gs[i + 1] or None, ws[i + 1] if i + 1 < len(ws) else None)
+                   for d, ws, gs in cut for i, w in enumerate(ws)}
+    assert gaps == {(d, g) for d, _, gs in cut for g in gs if g}
