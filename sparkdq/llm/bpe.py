@@ -84,7 +84,7 @@ def key(body: bytes) -> bytes:
 class Codec:
     """The tokenizer, and the bytes of each id."""
 
-    def __init__(self, tokenizer_json: str, max_pieces: int = 150_000):
+    def __init__(self, tokenizer_json: str, max_pieces: int = 300_000):
         check(tokenizer_json)
         self.pieces: dict[bytes, bytes] = {}  # piece -> ids
         self.changed: dict[bytes, bytes] = {}  # piece -> what its ids decode to, where that differs
@@ -236,15 +236,25 @@ def _chunked(batches):
                                              names=[PART, "row", "text", "spans", "keys"])
 
 
+_codecs: dict[str, Codec] = {}  # of this process; one at most
+
+
 class Lazy:
-    """The codec of a task, made at first use and kept for the task's later groups."""
+    """The codec, made at first use and kept for the process' later groups and tasks: pieces that one task has learnt, bounded
+    as ever, serve the next."""
 
     def __init__(self, tokenizer_json: str):
-        self.tokenizer_json, self.codec = tokenizer_json, None
+        self.tokenizer_json = tokenizer_json
 
     def get(self) -> Codec:
-        self.codec = self.codec or Codec(self.tokenizer_json)
-        return self.codec
+        if self.tokenizer_json not in _codecs:
+            _codecs.clear()
+            _codecs[self.tokenizer_json] = Codec(self.tokenizer_json)
+        return _codecs[self.tokenizer_json]
+
+    def forget(self) -> None:
+        """After a failure: a codec may hold what the failed group would have taken back."""
+        _codecs.clear()
 
 
 def _rows(docs: pa.Table):
@@ -257,6 +267,18 @@ def _rows(docs: pa.Table):
             yield [(t, np.frombuffer(s, "<u4").reshape(-1, 2).tolist(), k) for t, s, k in zip(some[x:y], spans[x:y], keys[x:y], strict=True)]
 
 
+def _kept_clean(lazy: Lazy, run):
+    """``run`` that leaves no codec behind when it fails."""
+    def guarded(docs: pa.Table, other: pa.Table) -> pa.Table:
+        try:
+            return run(docs, other)
+        except BaseException:
+            lazy.forget()
+            raise
+
+    return guarded
+
+
 def _encode_owned(lazy: Lazy):
     def run(docs: pa.Table, owned: pa.Table) -> pa.Table:
         wanted, out = set(owned.column("key").to_pylist()), []
@@ -273,7 +295,7 @@ def _encode_owned(lazy: Lazy):
                 break
         return pa.table({"key": pa.array([r[0] for r in out], pa.binary()), "ids": pa.array([r[1] for r in out], pa.binary())})
 
-    return run
+    return _kept_clean(lazy, run)
 
 
 def reused(codec: Codec, rows: list, given: dict[bytes, bytes], ends: dict[bytes, tuple[bytes, bytes]]) -> list[list[bytes]]:
@@ -335,7 +357,7 @@ def _assemble(lazy: Lazy):
             codec.forget([*long, *(REUSED + k for k in ends)])
         return pa.table({"row": docs.column("row"), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())})
 
-    return run
+    return _kept_clean(lazy, run)
 
 
 def encode_decode(docs: DataFrame, tokenizer_json: str, carry: list[str], text_col: str = "text") -> DataFrame:

@@ -96,3 +96,16 @@ def test_foreign_tokenizers_are_refused(spark, odd_docs):
         bpe.encode_decode(odd_docs, queries.tokenizer_json(WORD), ["doc_id"])
     with pytest.raises(ValueError):
         token_counts(odd_docs, queries.tokenizer_json(BYTE), ["doc_id"])
+
+
+def test_a_codec_serves_later_tasks_until_a_failure():
+    text = queries.tokenizer_json(BYTE)
+    codec = bpe.Lazy(text).get()
+    assert bpe.Lazy(text).get() is codec
+
+    def fails(docs, other):
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        bpe._kept_clean(bpe.Lazy(text), fails)(None, None)
+    assert bpe.Lazy(text).get() is not codec
