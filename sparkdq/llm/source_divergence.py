@@ -1,8 +1,10 @@
 """Divergence of sources by their terms, kept by iceberg prefix refinement.
 
-1. Every task turns its texts into *parts*, one per chunk of texts and language: the
-   sorted distinct terms, the documents of each, and how often.  Documents never
-   leave their part, so distinct-document counts add up over parts.
+1. Every task turns its texts into *parts*: the sorted distinct terms of a chunk of
+   texts of one language, the documents of each, and how often.  A chunk's terms are
+   cut into several parts between first prefixes, so that later steps hold little at a
+   time.  A prefix' documents of a chunk are in one part, so distinct-document counts
+   add up over parts.
 2. Level by level (byte prefixes of 4, 8, 16, ...) each part counts the documents of
    every prefix of its remaining terms; counts are summed over parts, and prefixes
    below the threshold are discarded, with every term that begins with them.  Parts
@@ -33,6 +35,8 @@ from .stage import PART, POS, bitmaps, stage, trimmed, written
 LEAST_DOCS, RANKS, SCALE = 3, 200, 1_000_000_000
 FIRST_BYTES = 4  # the first level; each next one doubles it
 CHUNK_WORDS = 5_000_000
+READ_BYTES = 4 << 20  # of text cut into words at once
+PART_POSTINGS = 1 << 18  # pairs of term and document in a part, more if its one first prefix has more
 ROWS_PER_BLOCK = 50_000
 CELLS = 1 << 18  # sources x terms compared at once
 _TERM_BYTES = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -46,9 +50,17 @@ class Numbers(dict):
         return n
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    """Runs of ASCII letters and characters above U+007F, A-Z lower-cased, in UTF-8."""
-    return text.translate(_TERM_BYTES).split()
+def words_of(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Runs of ASCII letters and characters above U+007F, A-Z lower-cased, in UTF-8: those of all texts, and how many each text has."""
+    joined = np.frombuffer(b"".join([b" ", b" ".join(texts), b" "]).translate(_TERM_BYTES), np.uint8)
+    inside = joined != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined[inside])])
+    borders = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return words.dictionary_encode(), np.diff(np.searchsorted(starts, borders + 1))
 
 
 # Parts ------------------------------------------------------------------------------------------
@@ -57,24 +69,65 @@ class _Chunk:
     """Texts of one language that a task has read."""
 
     def __init__(self):
-        self.terms, self.sources = Numbers(), Numbers()
-        self.ids, self.of = [], []
-
-    def add(self, source: str, words: list[bytes]) -> None:
-        self.ids.append(np.fromiter(map(self.terms.__getitem__, words), np.int32, len(words)))
-        self.of.append(self.sources[source])
-
-    def columns(self) -> dict:
-        lens = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        names = sorted(self.terms)
+        self.sources = Numbers()
+        self.words, self.lens, self.of = [], [], []
+
+    def add(self, sources: list[str], texts: list[bytes]) -> None:
+        words, lens = words_of(texts)
+        self.words.append(words)
+        self.lens.append(lens)
+        self.of += map(self.sources.__getitem__, sources)
+
+    def _postings(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted terms, where the documents of each begin, these, how often, and the source of each document.
+
+        Documents are numbered by source, so that a term's documents of one source lie together.
+        """
+        words = pa.chunked_array(self.words).unify_dictionaries()
+        self.words.clear()
+        names = words.chunk(0).dictionary
+        order = pc.sort_indices(names)
         place = np.empty(len(names), np.int64)
-        place[np.fromiter(map(self.terms.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
-        ids = place[np.concatenate(self.ids)] if lens.sum() else np.empty(0, np.int64)
-        packed, times = np.unique((ids << 32) | np.repeat(np.arange(len(lens)), lens), return_counts=True)
-        starts = np.searchsorted(packed >> 32, np.arange(len(names) + 1))
-        return {"terms": names, "common": common(names).astype("<i4").tobytes(), "starts": starts.astype("<i4").tobytes(),
-                "docs": (packed & 0xFFFFFFFF).astype("<i4").tobytes(), "times": times.astype("<i4").tobytes(), "of": np.array(self.of, "<i4").tobytes(),
-                "sources": list(self.sources)}
+        place[order.to_numpy()] = np.arange(len(names))
+        lens, of = np.concatenate(self.lens), np.array(self.of, np.int64)
+        by_source = np.argsort(of, kind="stable")
+        number = np.empty(len(of), np.int32)
+        number[by_source] = np.arange(len(of))
+        packed = np.empty(len(words), np.int64)
+        at = 0
+        for c in words.chunks:
+            packed[at : at + len(c)] = place[c.indices.to_numpy()]
+            at += len(c)
+        del words, c, place
+        packed <<= 32
+        packed |= np.repeat(number, lens)
+        packed.sort()
+        first = np.flatnonzero(np.append(packed[:1] >= 0, packed[1:] != packed[:-1]))
+        times = np.diff(np.append(first, len(packed))).astype("<i4")
+        packed = packed[first]
+        docs = (packed & 0xFFFFFFFF).astype("<i4")
+        packed >>= 32
+        starts = np.append(np.flatnonzero(np.append(packed[:1] >= 0, packed[1:] != packed[:-1])), len(packed))
+        return names.take(order), starts, docs, times, of[by_source]
+
+    def columns(self, postings: int):
+        """Columns of each part of about so many postings.  The first has all sources of the chunk, the others those of their terms."""
+        names, starts, docs, times, of = self._postings()
+        sources = list(self.sources)
+        first = pc.binary_slice(names, 0, FIRST_BYTES)
+        free = np.append(0, np.flatnonzero(pc.not_equal(first[1:], first[:-1]).to_numpy(zero_copy_only=False)) + 1)  # a part may begin there
+        cuts = free[np.flatnonzero(np.diff(starts[free] // postings, prepend=-1))]
+        for lo, hi in itertools.pairwise([*cuts.tolist(), len(names)]):
+            some, at = names[lo:hi], slice(starts[lo], starts[hi])
+            used = np.zeros(len(of), bool)
+            used[docs[at]] = True
+            mine = of[used]
+            held = np.unique(mine) if lo else np.arange(len(sources))
+            size = pc.binary_length(some).to_numpy(zero_copy_only=False)
+            yield {"terms": b"".join(listed := some.to_pylist()), "ends": np.cumsum(size).astype("<i4").tobytes(),
+                   "common": common(listed).astype("<i4").tobytes(), "starts": (starts[lo : hi + 1] - starts[lo]).astype("<i4").tobytes(),
+                   "docs": (np.cumsum(used) - 1)[docs[at]].astype("<i4").tobytes(), "times": times[at].tobytes(),
+                   "of": np.searchsorted(held, mine).astype("<i4").tobytes(), "sources": [sources[i] for i in held.tolist()]}
 
 
 def common(names: list[bytes], width: int = 32) -> np.ndarray:
@@ -91,30 +144,37 @@ def common(names: list[bytes], width: int = 32) -> np.ndarray:
     return out
 
 
-PARTS = f"{PART} bigint, lang string, terms array<binary>, common binary, starts binary, docs binary, times binary, of binary, sources array<string>"
-_TYPES = [(PART, pa.int64()), ("lang", pa.string()), ("terms", pa.list_(pa.binary())), ("common", pa.binary()), ("starts", pa.binary()), ("docs", pa.binary()), ("times", pa.binary()),
-          ("of", pa.binary()), ("sources", pa.list_(pa.string()))]
+PARTS = f"{PART} bigint, lang string, terms binary, ends binary, common binary, starts binary, docs binary, times binary, of binary, sources array<string>"
+_TYPES = [(PART, pa.int64()), ("lang", pa.string()), *((c, pa.binary()) for c in ("terms", "ends", "common", "starts", "docs", "times", "of")),
+          ("sources", pa.list_(pa.string()))]
 
 
 @trimmed
 def _parts(batches):
-    """One row per language and chunk of about CHUNK_WORDS words."""
+    """Rows of each language and chunk of about CHUNK_WORDS words."""
     number = itertools.count(TaskContext.get().partitionId() << 33)
     chunks: dict[str, _Chunk] = {}
     size = 0
 
     def flush():
         for lang in list(chunks):
-            row = {PART: next(number), "lang": lang} | chunks.pop(lang).columns()
-            yield pa.RecordBatch.from_arrays([pa.array([row[c]], t) for c, t in _TYPES], names=[c for c, _ in _TYPES])
+            for columns in chunks.pop(lang).columns(PART_POSTINGS):
+                row = {PART: next(number), "lang": lang} | columns
+                yield pa.RecordBatch.from_arrays([pa.array([row[c]], t) for c, t in _TYPES], names=[c for c, _ in _TYPES])
 
     for b in batches:
         langs, sources = b.column("lang").to_pylist(), b.column("source").to_pylist()
         texts = b.column("text").cast(pa.binary())
-        for i in range(len(b)):
-            words = terms_of(texts[i].as_py() or b"")
-            chunks.setdefault(langs[i], _Chunk()).add(sources[i], words)
-            size += len(words) + 1
+        bounds = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // READ_BYTES
+        cuts = np.append(np.flatnonzero(np.diff(bounds, prepend=-1)), len(b))
+        for lo, hi in itertools.pairwise(cuts.tolist()):
+            by_lang: dict[str, list[int]] = {}
+            for i in range(lo, hi):
+                by_lang.setdefault(langs[i], []).append(i)
+            for lang, rows in by_lang.items():
+                chunk = chunks.setdefault(lang, _Chunk())
+                chunk.add([sources[i] for i in rows], [texts[i].as_py() or b"" for i in rows])
+                size += len(chunk.words[-1]) + len(rows)
             if size >= CHUNK_WORDS:
                 yield from flush()
                 size = 0
@@ -157,9 +217,10 @@ def refine(size: np.ndarray, shared: np.ndarray, answers: list[list[int] | None]
 
 def _read(b: pa.RecordBatch, r: int, levels: int, *packed: str) -> tuple:
     """Of a staged part: its terms, the state of the refinement, and the ``packed`` columns."""
-    terms = b.column("terms")[r].values
-    size = pc.binary_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
-    shared, *rest = (np.frombuffer(b.column(c)[r].as_py(), "<i4").astype(np.int64) for c in ("common", *packed))
+    ends, shared, *rest = (np.frombuffer(b.column(c)[r].as_buffer(), "<i4").astype(np.int64) for c in ("ends", "common", *packed))
+    offsets = np.append(0, ends).astype(np.int32)
+    terms = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), b.column("terms")[r].as_buffer()])
+    size = np.diff(offsets).astype(np.int64)
     return terms, size, shared, refine(size, shared, [b.column(f"bits{i}")[r].as_py() for i in range(levels)]), rest
 
 
@@ -212,7 +273,7 @@ def kept_terms(staged: DataFrame, least_docs: int) -> tuple[DataFrame, int, int]
     parts = staged
     while True:
         whole = Window.partitionBy("prefix", "lang", "complete")
-        counts = parts.mapInArrow(_level(levels), LEVEL).withColumn("all", F.sum("n").over(whole))
+        counts = parts.drop("times", "of", "sources").mapInArrow(_level(levels), LEVEL).withColumn("all", F.sum("n").over(whole))
         often = written(counts.filter(F.col("all") >= least_docs).select(PART, POS, "complete"))
         parts = in_place(parts, written(bitmaps(often)), "_bits", f"bits{levels}")
         levels += 1
@@ -245,8 +306,10 @@ def _kept_counts(levels: int):
                 source = np.array(b.column("numbers")[r].as_py(), np.int64)[of]
                 n = np.diff(starts)[kept]
                 at = np.repeat(starts[kept] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                cell, inverse = np.unique((np.repeat(np.arange(len(kept)), n) << 32) | source[docs[at]], return_inverse=True)
-                count = np.bincount(inverse, times[at], len(cell)).astype("<i8")  # below 2 ** 53
+                cell = (np.repeat(np.arange(len(kept)), n) << 32) | source[docs[at]]
+                begins = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))  # a term's documents are ordered by source
+                count = np.add.reduceat(times[at], begins).astype("<i8")
+                cell = cell[begins]
                 cut = np.searchsorted(cell >> 32, np.arange(len(kept) + 1))
                 names, lang = (cell & 0xFFFFFFFF).astype("<i4"), b.column("lang")[r].as_py()
                 for lo in range(0, len(kept), 50_000):

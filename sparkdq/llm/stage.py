@@ -109,6 +109,9 @@ def trimmed(run):
         finally:
             import ctypes
 
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()  # Arrow keeps what it frees, too
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
             if trim:
                 trim(0)

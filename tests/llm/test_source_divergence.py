@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -81,3 +82,23 @@ def test_odd_documents_and_empty_table(spark, odd_docs, no_docs):
     got = sorted(tuple(r[c] for c in COLUMNS) for r in sd.divergence(odd_docs, least_docs=2).collect())
     assert got == brute(rows, least_docs=2)
     assert sd.divergence(no_docs).count() == 0
+
+
+def test_parts_stay_small(spark):
+    """A task holds few postings at a time, however many a chunk of texts has; a first prefix is in one part, a document's source beside it."""
+    words = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnop", repeat=5), 600_000)]
+    docs = spark.createDataFrame([("en", "s1", " ".join(words)), ("en", "s2", "aaaaa pppp"), ("en", "s3", "1")], "lang string, source string, text string").coalesce(1)
+    parts = docs.mapInArrow(sd._parts, sd.PARTS).collect()
+    at = [np.frombuffer(p.docs, "<i4") for p in parts]
+    assert sum(map(len, at)) == 600_002 and max(map(len, at)) <= 300_000
+    assert [set(p.sources) for p in parts] == [{"s1", "s2", "s3"}, {"s1"}, {"s1", "s2"}]
+    assert [Counter(p.sources[i] for i in np.frombuffer(p.of, "<i4")[a]) for p, a in zip(parts, at, strict=True)][0]["s2"] == 1
+    firsts = [{p.terms[e - 5 : e][:4] for e in np.frombuffer(p.ends, "<i4") if e >= 5} for p in parts[:2]]
+    assert not firsts[0] & firsts[1]
+
+
+def test_small_parts_equal_brute_force(spark, monkeypatch):
+    rows = corpus(random.Random(6), 60)
+    for name, value in (("READ_BYTES", 300), ("CHUNK_WORDS", 200), ("PART_POSTINGS", 5)):
+        monkeypatch.setattr(sd, name, value)
+    assert run(spark, rows) == brute(rows)
